@@ -18,6 +18,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
+#: What is no letter: ASCII other than A-Z and a-z. Bytes of other scripts count as letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 _P = 0x9E3779B97F4A7C15
@@ -74,11 +78,11 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21):
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): word spans, and each row's first word (n_rows + 1)."""
     n = len(data)
     word = np.zeros(n + 1, bool)
-    np.logical_not(SPACE[data], out=word[:n])
+    np.logical_not(space[data], out=word[:n])
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)

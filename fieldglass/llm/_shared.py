@@ -60,8 +60,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def might_contain(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``big`` whose key may be among ``small``'s keys.
+def marked(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """``big`` with a flag ``_may``: whether the row's key may be among ``small``'s keys.
 
     A bitmap of 2**bits hash positions is aggregated in Spark and joined by
     broadcast: at most 2**bits / 32768 rows of 4 KiB whatever the inputs'
@@ -74,9 +74,14 @@ def might_contain(big: DataFrame, key: Column, small: DataFrame, small_key: Colu
         .groupBy(F.bitmap_bucket_number("_h").alias("_bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     )
-    cols = big.columns
+    cols = [F.col(f"`{c}`") for c in big.columns]
     probe = big.withColumn("_h", h(key)).withColumn("_bucket", F.bitmap_bucket_number("_h"))
     pos = F.bitmap_bit_position("_h")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(F.lit(1))
-    return probe.join(F.broadcast(maps), "_bucket").where(bit == 1).select(*[F.col(c) for c in cols])
+    return probe.join(F.broadcast(maps), "_bucket", "left").select(*cols, F.coalesce(bit == 1, F.lit(False)).alias("_may"))
+
+
+def might_contain(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``big`` whose key may be among ``small``'s keys; see ``marked``."""
+    return marked(big, key, small, small_key, bits).where("_may").drop("_may")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import might_contain, partitions, stage
+from fieldglass.llm._shared import marked, might_contain, partitions, stage
 
 #: A memtable is flushed at so many rows or so many bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 15, 24 << 20
@@ -259,3 +259,24 @@ def exact_dedup(
     return entries.select("entry", "doc_id", "rep", "text_sha256").join(reps_out, "rep").select(
         "doc_id", "keep_id", "group_size", (F.col("entry") == F.col("top")).alias("kept"), "text_sha256"
     )
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Only rows that may be dropped are joined; all others pass where they are.
+    """
+    told = exact_dedup(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_k"))
+    told = stage(told, "copies")
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
+    rows = marked(docs, key(F.col(f"`{id_col}`")), told, key(F.col("_i")))
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), up, low), 256)
+    maybe = rows.where("_may").drop("_may").withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_sha", sha)
+    # rows equal in identifier and text leave one
+    groups = told.groupBy("_i", "_s").agg(F.max("_k").alias("_k"))
+    joined = maybe.join(groups, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left").where("_k is null or _k")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    alone = joined.where("_k is null").select(*cols)
+    stays = joined.where("_k").dropDuplicates(["_id", "_sha"]).select(*cols)
+    return rows.where("not _may").select(*cols).unionByName(alone).unionByName(stays)

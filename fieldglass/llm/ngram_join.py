@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._components import components
-from fieldglass.llm._shared import might_contain, partitions, stage
+from fieldglass.llm._shared import marked, might_contain, partitions, stage
 
 #: Members of a bucket that become hubs in one round of the resolution.
 HUBS = 32
@@ -345,3 +345,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     linked = full.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(name, "cid").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of the smallest identifier stays.
+
+    Rows are known by a hash of identifier and text; only rows that may be
+    dropped are joined.
+    """
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    name = F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    named = docs.select(name.alias("_name"), ident.alias("_id"), text.alias("text"))
+    linked = stage(ngram_join(named.select("_name", "text"), k, percent, "_name", "text").select(F.col("doc_id").alias("_name"), "component_id"), "joined")
+    again = linked.join(named.select("_name", "_id"), "_name").distinct()
+    group = again.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_name").alias("name"))).alias("top"), F.count("*").alias("m")).where("m > 1")
+    drop = stage(again.join(group, "component_id").where(F.col("_name") != F.col("top.name")).select(F.col("_name").alias("_drop")), "near-copies")
+    rows = marked(docs.withColumn("_name", name), F.col("_name"), drop, F.col("_drop"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = rows.where("_may").join(drop, F.col("_name") == F.col("_drop"), "left_anti")
+    return rows.where("not _may").select(*cols).unionByName(maybe.select(*cols))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import chat_format, exact_dedup, mixing, ngram_join, vector_dedup
+from fieldglass.llm import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sentence_pieces, toxicity, vector_dedup
+from fieldglass.llm._sample import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,39 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    model = language_id.train(docs.where("not held_out"))
+    out = language_id.predict(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("_n"), F.xxhash64("text").alias("_tie"))
     out = mixing.mix_sources(docs, size=F.col("_n"), tie=F.col("_tie"))
     return out.select("doc_id", "source", F.col("_n").cast("long").alias("n_chars"), "block", "slot", F.col("position.start").alias("start"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2))
+    out = quality.score(docs, quality.train(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.train(docs.where(~held_out(F.col("doc_id"), 5, 0)), labels)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
@@ -41,6 +69,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The model file's place on the driver; the file itself is not part of this repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentence_pieces.encode(docs, sentence_pieces.load(PIECES))
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "n_fallback", F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), "round_trip")
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -51,8 +89,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_html_text": op2_html_text,
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
