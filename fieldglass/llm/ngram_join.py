@@ -34,14 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._components import components
 from fieldglass.llm._shared import marked, might_contain, partitions, stage
 
-#: Members of a bucket that become hubs in one round of the resolution.
-HUBS = 32
+#: Keys' worth of a set that runs out of segments.
+CHARGE = 2_000
+#: Sets that one side of a block comparison holds.
+CHUNK = 512
 #: Index entries that one reducing task gets on average at most.
 ENTRIES = 1 << 21
 
@@ -59,30 +60,35 @@ def _thin(mu: float) -> float:
     return math.exp(-mu) * (1 + mu)
 
 
+@lru_cache(maxsize=64)
+def bands(percent: int) -> np.ndarray:
+    """The smallest size of each band; similar sets are in one band or in neighbours."""
+    ratio, lows = max(math.sqrt(2), 1.02 * 100 / percent), [1]
+    while lows[-1] < 1 << 40:
+        lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * ratio)))
+    return np.array(lows, np.int64)
+
+
 @lru_cache(maxsize=4096)
 def allocation(band: int, percent: int) -> tuple[int, int]:
     """(segments, how many of the first are indexed with one-deletion neighbourhoods).
 
-    Cost: keys made for a set of the band, and a charge for each set that
-    is likely to run out of segments, since thin keys are shared widely.
+    Cost: keys made for a set of the band, and a charge for the chance that a
+    set runs out of segments, since thin keys are shared widely.
     """
-    top = (2 << band) - 1
-    units = int(differing(top, largest_partner(top, percent), percent)) + 1
-    best = None
-    for near in range(0, units // 2 + 1):
-        if near > 3:
-            break
-        for m in range(max(1, units - near), 2 * units + 2):
-            mu = top / m
-            plain = m - near
-            need = units - 2 * near
-            f = _thin(mu) if m > 1 else 0.0
-            sure = plain * (1 - f) - 2 * math.sqrt(plain * f * (1 - f))
-            short = max(0.0, need - sure)
-            keys = near * (mu + 1) + max(0, need)
-            cost = keys + 200 * min(1.0, short) + 0.02 * m
-            if best is None or cost < best[0]:
-                best = (cost, m, near)
+    sizes = (int(bands(percent)[band]), int(bands(percent)[band + 1]) - 1)
+    units = [int(differing(n, largest_partner(n, percent), percent)) + 1 for n in sizes]
+    # one-deletion neighbourhoods throughout: as few segments as can count the units
+    few = -(-units[1] // 2)
+    best = (sum(n + few for n in sizes), few, few) if units[1] > 1 else (0, 1, 0)
+    for m in range(units[1], 2 * units[1] + 2):
+        cost = float(sum(units))
+        for n, u in zip(sizes, units, strict=True):
+            f = _thin(n / m) if m > 1 else 0.0
+            mean, dev = m * (1 - f), math.sqrt(m * f * (1 - f)) + 1e-9
+            cost += CHARGE * math.erfc((mean - u + 0.5) / dev / math.sqrt(2)) / 2
+        if cost < best[0]:
+            best = (cost, m, 0)
     return best[1], best[2]
 
 
@@ -93,8 +99,8 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     if not len(rows):
         return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
     size = n[rows]
-    band = np.frexp(size.astype(np.float64))[1] - 1
-    low = 1 << band
+    band = np.searchsorted(bands(percent), size, "right") - 1
+    low = bands(percent)[band]
     # a set looks for partners of its own band, and for smaller ones of the band below
     below = (band > 0) & (size <= largest_partner(low - 1, percent))
     view = np.concatenate((rows, rows[below]))
@@ -289,6 +295,91 @@ def _verify(percent: int):
     return work
 
 
+def _compare(percent: int):
+    """Rows sorted by (pair, side): the sets of two chunks, or of one; a spanning forest of links."""
+
+    def links(names, sets, side):
+        n = np.array([len(t) for t in sets])
+        rows = np.repeat(np.arange(len(sets)), n)
+        token, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows, col = rows[df[col] > 1], col[df[col] > 1]
+        _, col = np.unique(col, return_inverse=True)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(col, kind="stable")
+        rows, col = rows[order], col[order]
+        width = int(col[-1]) + 1 if len(col) else 0
+        for lo in range(0, width, 4096):
+            i, j = np.searchsorted(col, (lo, lo + 4096))
+            m = np.zeros((len(sets), min(4096, width - lo)), np.float32)
+            m[rows[i:j], col[i:j] - lo] = 1
+            common += m[left] @ m[right].T
+        common = np.rint(common).astype(np.int64)
+        i, j = np.nonzero(100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+        up = {}
+
+        def find(x):
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            fx, fy = find(x), find(y)
+            if fx != fy:
+                up[fx] = fy
+                yield names[x], names[y]
+
+    def work(batches):
+        pair, names, sets, side = None, [], [], []
+
+        def done():
+            if len(sets) > 1:
+                found = list(links(names, sets, np.array(side)))
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            t = batch.column("tokens")
+            for i, (p, c, s) in enumerate(zip(batch.column("pair").to_pylist(), batch.column("cid").to_pylist(), batch.column("side").to_pylist(), strict=True)):
+                if p != pair:
+                    yield from done()
+                    pair, names, sets, side = p, [], [], []
+                names.append(c)
+                sets.append(np.frombuffer(t[i].as_buffer().to_pybytes(), np.uint64))
+                side.append(s)
+        yield from done()
+
+    return work
+
+
+def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) within buckets that are in several components, as forests.
+
+    named: (key, cid, comp) of shared buckets.
+    """
+    spark = named.sparkSession
+    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("hub"), F.count("*").alias("m")).where("lo <> hi and m > 2")
+    star = named.join(split.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    block = components(star, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("block"))
+    # similar sets are at most two size classes apart
+    grade = F.floor(F.log(F.octet_length("tokens") / 8) * (2 / math.log(100 / percent))).cast("int")
+    placed = block.join(tokens, "cid").withColumn("grade", grade)
+    cut = placed.groupBy("block", "grade").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"))
+    chunk = F.xxhash64("block", "grade", F.pmod(F.xxhash64("cid"), F.col("cuts")))
+    held = stage(placed.join(cut, ["block", "grade"]).select("block", "grade", "cid", "tokens", chunk.alias("chunk")), "blocks")
+    chunks = held.select("block", "grade", "chunk").distinct()
+    c, d = chunks.alias("c"), chunks.alias("d")
+    near = (F.col("d.grade").between(F.col("c.grade"), F.col("c.grade") + 3)) & ((F.col("d.grade") > F.col("c.grade")) | (F.col("d.chunk") >= F.col("c.chunk")))
+    pairs = stage(c.join(d, (F.col("c.block") == F.col("d.block")) & near).select(F.col("c.chunk").alias("x"), F.col("d.chunk").alias("y"), F.xxhash64("c.chunk", "d.chunk").alias("pair")), "chunk-pairs")
+    first = held.join(pairs.withColumnRenamed("x", "chunk"), "chunk").select("pair", F.lit(0).alias("side"), "cid", "tokens")
+    second = held.join(pairs.where("x <> y").withColumnRenamed("y", "chunk"), "chunk").select("pair", F.lit(1).alias("side"), "cid", "tokens")
+    both = first.unionByName(second).repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side", "cid")
+    return both.mapInArrow(_compare(percent), "a long, b long")
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -319,26 +410,12 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         two = one.join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
         return stage(two.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long, ok boolean"), "verified")
 
-    told = verified(links)
-    found = told.where("ok").select("a", "b")
+    found = verified(links).where("ok").select("a", "b")
     comp = components(found, "a", "b")
-    done = 0
-    while True:
-        named = members.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m > {max(2, done + 1)}").select("key")
-        open_ = stage(named.join(split, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("cid"))), "open")
-        hubs = open_.where(f"rank > {done} and rank <= {done + HUBS}").select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = hubs.join(open_, "key").where("comp <> ca and (rank > ra)").select("a", F.col("cid").alias("b")).distinct()
-        pairs = stage(pairs.join(told.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        done += HUBS
-        if not pairs.isEmpty():
-            new = verified(pairs)
-            told = told.unionByName(new)
-            if not new.where("ok").isEmpty():
-                found = found.unionByName(new.where("ok").select("a", "b"))
-                comp = components(found, "a", "b")
-        if open_.where(f"rank > {done}").isEmpty():
-            break
+    named = members.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    more = stage(_blocks(stage(named, "named"), tokens, percent), "block-links")
+    if not more.isEmpty():
+        comp = components(found.unionByName(more), "a", "b")
     top = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "top", F.coalesce("component", "cid").alias("comp"))
     least = top.groupBy("comp").agg(F.min("top").alias("component_id"))
     name = top.join(least, "comp").select("cid", "component_id")
