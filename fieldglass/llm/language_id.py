@@ -32,8 +32,8 @@ from fieldglass.llm import _crf
 from fieldglass.llm._sample import bounded, texts_of
 
 #: Bounds of the training sample, hashed windows, and frequency of lexicon words.
-TEXTS, WINDOWS, FREQUENT = 1600, 1 << 16, 3
-ROUNDS_ALONE, ROUNDS_CHAIN = 25, 15
+TEXTS, WINDOWS, FREQUENT = 1000, 1 << 16, 3
+ROUNDS_ALONE, ROUNDS_CHAIN = 18, 10
 UNDECIDED = "und"
 
 
