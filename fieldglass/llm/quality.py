@@ -27,7 +27,7 @@ from fieldglass.llm import _crf
 from fieldglass.llm._sample import bounded, texts_of
 
 #: Bound of the training sample, bins of a measure, and training rounds.
-TEXTS, BINS, ROUNDS = 4000, 10, 120
+TEXTS, BINS, ROUNDS = 2000, 10, 120
 
 _LINE_END = np.zeros(256, bool)
 _LINE_END[[0x0A, 0x0D]] = True
