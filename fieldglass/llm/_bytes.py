@@ -7,6 +7,8 @@ never from a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +30,28 @@ _P = 0x9E3779B97F4A7C15
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives longer than its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def released(work):
+    """``work`` on a task's batches; what it freed goes back when it has ended."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> _S30)) * _M1
@@ -69,7 +93,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of at most ``most`` bytes each, or one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:

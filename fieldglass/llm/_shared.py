@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.llm import _bytes as B
+
 _OWN: dict[str, str] = {}
 _USED: set[str] = set()
 
@@ -56,6 +58,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+
+
+def mapped(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow whose workers hand back freed memory at the end of a task.
+
+    Sets the session's bound on the bytes of a batch, for both sides of the
+    pipe hold whole batches: ten thousand texts may be 64 MB.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(B.released(work), schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

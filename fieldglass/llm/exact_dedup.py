@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import marked, might_contain, partitions, stage
+from fieldglass.llm._shared import mapped, marked, might_contain, partitions, stage
 
 #: A memtable is flushed at so many rows or so many bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 15, 24 << 20
@@ -221,20 +221,18 @@ def exact_dedup(
     """
     spark, sign = docs.sparkSession, 1 if keep == "largest" else -1
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    entries = stage(slim.mapInArrow(_memtables(sign, digest_bits, min(memtable_rows, 1 << 24), memtable_bytes), ENTRY), "runs")
+    entries = stage(mapped(slim, _memtables(sign, digest_bits, min(memtable_rows, 1 << 24), memtable_bytes), ENTRY), "runs")
     reps = entries.where("entry = rep")
     shards = partitions(spark)
     hits = stage(
-        reps.select("key", "rep", "doc_id", "n")
-        .repartition(shards, "key")
-        .mapInArrow(_compact(sign), "rep long, win long, doc_id long, n long"),
+        mapped(reps.select("key", "rep", "doc_id", "n").repartition(shards, "key"), _compact(sign), "rep long, win long, doc_id long, n long"),
         "compacted",
     )
     rank = lambda d, r: F.struct(d.isNotNull().alias("v"), (F.lit(sign) * d).alias("d"), (-r).alias("r"))
     # byte verification: the texts of hits only
     digest = hits.join(reps.select("rep", "text_sha256"), "rep")
     wanted = might_contain(slim, F.coalesce("doc_id", F.lit(-1)), hits, F.coalesce("doc_id", F.lit(-1)))
-    bodies = wanted.mapInArrow(_texts, "doc_id long, text_sha256 string, body binary")
+    bodies = mapped(wanted, _texts, "doc_id long, text_sha256 string, body binary")
     held = stage(
         digest.alias("h")
         .join(bodies.alias("t"), F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.text_sha256") == F.col("t.text_sha256")))

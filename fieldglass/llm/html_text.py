@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.llm._shared import mapped
+
 #: A container is template if at least so many of a host's different main
 #: texts have it on their pages, and at least this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
@@ -241,7 +243,7 @@ def _extract(batches):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text for every row."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    pairs = slim.select("url", "html").mapInArrow(_scan, "host string, piece long, main long").distinct()
+    pairs = mapped(slim.select("url", "html"), _scan, "host string, piece long, main long").distinct()
     counts = pairs.groupBy("host", "piece").agg(F.count("*").alias("n"))
     totals = counts.where("piece is null").select("host", F.col("n").alias("all"))
     template = (
@@ -253,4 +255,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     placed = slim.withColumn("host", F.when(F.length(host) > 0, F.regexp_replace(host, r"[\[\]]", "")))
-    return placed.join(template, "host", "left").select("page_id", "url", "html", "host", "pieces").mapInArrow(_extract, "page_id long, url string, text string")
+    return mapped(placed.join(template, "host", "left").select("page_id", "url", "html", "host", "pieces"), _extract, "page_id long, url string, text string")

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from fieldglass.llm import _bytes as B
 from fieldglass.llm import _crf
 from fieldglass.llm._sample import bounded, texts_of
+from fieldglass.llm._shared import mapped
 
 #: Bounds of the training sample, hashed windows, and frequency of lexicon words.
 TEXTS, WINDOWS, FREQUENT = 1000, 1 << 16, 3
@@ -125,6 +126,8 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     truth = np.repeat(np.searchsorted(labels, langs), n)
     flags = np.zeros(len(starts), bool)
     flags[first[:-1][n > 0]] = True
+    # the words go through the chain some texts at a time: (first word, word after the last)
+    parts = [(int(first[i]), int(first[j])) for i, j in B.pieces(first, 1 << 17)]
     params = {"windows": model.windows, "words": model.words, "trans": model.trans, "start": model.start}
     gold = np.zeros((len(types), k))
     np.add.at(gold, (back, truth), 1.0)
@@ -145,7 +148,8 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
         uphill(adam, gold - p * count[:, None])
     # parts in other languages get labels of their own
     sticky = np.log(np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * (0.98 - 0.02 / max(1, k - 1)))
-    truth = _crf.forward_backward(rate()[back], flags, sticky, np.zeros(k)).argmax(axis=1)
+    rated = rate()
+    truth = np.concatenate([_crf.forward_backward(rated[back[i:j]], flags[i:j], sticky, np.zeros(k)).argmax(axis=1) for i, j in parts])
     gold[:] = 0
     np.add.at(gold, (back, truth), 1.0)
     inner = np.flatnonzero(~flags)
@@ -155,11 +159,14 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     model.trans[:] = sticky
     adam = _crf.Adam(0.05)
     for _ in range(ROUNDS_CHAIN):
-        gamma, expected = _crf.forward_backward(rate()[back], flags, model.trans, model.start, True)
-        grad = gold.copy()
-        for j in range(k):
-            grad[:, j] -= np.bincount(back, weights=gamma[:, j], minlength=len(types))
-        uphill(adam, grad, {"trans": pairs - expected - 0.5 * model.trans, "start": begins - gamma[flags].sum(axis=0) - 0.5 * model.start}.items())
+        rated, grad, expected, begun = rate(), gold.copy(), np.zeros((k, k)), np.zeros(k)
+        for i, j in parts:
+            gamma, moves = _crf.forward_backward(rated[back[i:j]], flags[i:j], model.trans, model.start, True)
+            expected += moves
+            begun += gamma[flags[i:j]].sum(axis=0)
+            for c in range(k):
+                grad[:, c] -= np.bincount(back[i:j], weights=gamma[:, c], minlength=len(types))
+        uphill(adam, grad, {"trans": pairs - expected - 0.5 * model.trans, "start": begins - begun - 0.5 * model.start}.items())
     return model
 
 
@@ -173,7 +180,7 @@ def _predict(model: Model | None):
                 continue
             data, off = B.raw(_low(text))
             names = np.array([*model.labels, UNDECIDED], object)
-            for i, j in B.pieces(off):
+            for i, j in B.pieces(off, 1 << 20):
                 gamma, size, first = model.words_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 total = _sum_rows(gamma * size[:, None], first) if len(gamma) else np.zeros((j - i, len(model.labels)))
                 mass = total.sum(axis=1)
@@ -199,12 +206,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts
     ids = bounded(slim.where("lang is not null").select("doc_id"), texts).distinct()
     got = texts_of(slim.where("lang is not null and text is not null"), ids).select("doc_id", "lang", "text").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    texts_, langs = [r["text"] for r in got], [r["lang"] for r in got]
+    del got
+    model = fit(texts_, langs)
+    B.tidy()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns ``keep`` with the predicted label and its score, for every row."""
     slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([*slim.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = slim.mapInArrow(_predict(model), schema)
+    out = mapped(slim, _predict(model), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred), F.col("score").alias(score))

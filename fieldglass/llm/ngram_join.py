@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._components import components
-from fieldglass.llm._shared import marked, might_contain, partitions, stage
+from fieldglass.llm._shared import mapped, marked, might_contain, partitions, stage
 
 #: Keys' worth of a set that runs out of segments.
 CHARGE = 2_000
@@ -377,7 +377,7 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     first = held.join(pairs.withColumnRenamed("x", "chunk"), "chunk").select("pair", F.lit(0).alias("side"), "cid", "tokens")
     second = held.join(pairs.where("x <> y").withColumnRenamed("y", "chunk"), "chunk").select("pair", F.lit(1).alias("side"), "cid", "tokens")
     both = first.unionByName(second).repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side", "cid")
-    return both.mapInArrow(_compare(percent), "a long, b long")
+    return mapped(both, _compare(percent), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
@@ -388,27 +388,27 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage(slim.mapInArrow(_index(k, percent, 1 << 18, salt), "doc_id long, cid long, chk long, n long, keys binary"), "sets")
+    rows = stage(mapped(slim, _index(k, percent, 1 << 18, salt), "doc_id long, cid long, chk long, n long, keys binary"), "sets")
     full = rows.where("n > 0")
     classes = full.groupBy("cid").agg(F.min("doc_id").alias("top"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
     if not classes.where("c0 <> c1").isEmpty():
         return ngram_join(docs, k, percent, id_col, text_col, salt + 1)
     entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
     parts = max(partitions(spark), -(-entries // ENTRIES))
-    dealt = stage(full.select("cid", "keys").where(F.octet_length("keys") > 0).mapInArrow(_deal(parts, 1 << 20), _PACKED), "dealt")
-    reduced = dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part").mapInArrow(_reduce, _PACKED)
+    dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, 1 << 19), _PACKED), "dealt")
+    reduced = mapped(dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part"), _reduce, _PACKED)
     shared = stage(dealt.where(F.col("kind") != _ENTRY).unionByName(reduced), "shared")
     links = shared.where(F.col("kind") == _LINK).select("a", "b").distinct()
-    members = shared.where(F.col("kind") == _MEMBER).select("keys", "cids").mapInArrow(_unpack, "key long, cid long").distinct()
+    members = mapped(shared.where(F.col("kind") == _MEMBER).select("keys", "cids"), _unpack, "key long, cid long").distinct()
     # the sets of candidates, read anew
     some = stage(classes.select("cid", "top").join(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "cid"), "candidates")
     wanted = might_contain(slim, F.coalesce("doc_id", F.lit(-1)), some, F.coalesce("top", F.lit(-1)))
-    tokens = stage(wanted.mapInArrow(_sets_of(k, salt), "cid long, tokens binary").join(some.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "tokens")
+    tokens = stage(mapped(wanted, _sets_of(k, salt), "cid long, tokens binary").join(some.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
         two = one.join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-        return stage(two.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long, ok boolean"), "verified")
+        return stage(mapped(two.select("a", "b", "ta", "tb"), _verify(percent), "a long, b long, ok boolean"), "verified")
 
     found = verified(links).where("ok").select("a", "b")
     comp = components(found, "a", "b")

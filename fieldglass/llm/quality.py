@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm import _bytes as B
 from fieldglass.llm import _crf
 from fieldglass.llm._sample import bounded, texts_of
+from fieldglass.llm._shared import mapped
 
 #: Bound of the training sample, bins of a measure, and training rounds.
 TEXTS, BINS, ROUNDS = 2000, 10, 120
@@ -203,10 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
     got = texts_of(slim, ids).select("doc_id", "good", F.coalesce("text", F.lit("")).alias("text")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in got], [r["good"] for r in got])
+    model = fit([r["text"] for r in got], [r["good"] for r in got])
+    B.tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_score(model), "doc_id long, score double")
+    return mapped(slim, _score(model), "doc_id long, score double")

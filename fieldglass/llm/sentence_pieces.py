@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
+from fieldglass.llm._shared import mapped
 
 MARK = "▁".encode()
 #: Kinds of pieces in a model file.
@@ -442,7 +443,7 @@ def encode_column(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarr
         texts = pa.compute.binary_join_element_wise(lead, texts, "")
     data, off = B.raw(texts)
     out, sizes = [], []
-    for i, j in B.pieces(off, 1 << 23):
+    for i, j in B.pieces(off, 1 << 21):
         own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
         n = len(part)
         if not n:
@@ -477,18 +478,21 @@ def decode_column(model: Pieces, ids: np.ndarray, first: np.ndarray) -> pa.Array
     plain = np.frombuffer(b"".join(model.plain), np.uint8)
     size = np.array([len(p) for p in model.plain], np.int64)
     begin = np.cumsum(size) - size
-    data = B.gather(plain, begin[ids], size[ids])
-    total = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum(size[ids], out=total[1:])
-    off = total[first]
-    lo = off[:-1].copy()
-    if model.prefix and len(data):
-        lead = (off[1:] > lo) & (data[np.minimum(lo, len(data) - 1)] == 0x20)
-        lo[lead] += 1
-    joined = B.gather(data, lo, off[1:] - lo)
-    out = np.zeros(len(off), np.int64)
-    np.cumsum(off[1:] - lo, out=out[1:])
-    raw = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(out.tobytes()), pa.py_buffer(joined.tobytes())])
+    out, parts = [np.zeros(1, np.int64)], []
+    for i, j in B.pieces(first, 1 << 20):
+        own = ids[first[i] : first[j]]
+        data = B.gather(plain, begin[own], size[own])
+        total = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(size[own], out=total[1:])
+        off = total[first[i : j + 1] - first[i]]
+        lo = off[:-1].copy()
+        if model.prefix and len(data):
+            lead = (off[1:] > lo) & (data[np.minimum(lo, len(data) - 1)] == 0x20)
+            lo[lead] += 1
+        parts.append(B.gather(data, lo, off[1:] - lo).tobytes())
+        out.append(out[-1][-1] + np.cumsum(off[1:] - lo))
+    joined, out = b"".join(parts), np.concatenate(out)
+    raw = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(out.tobytes()), pa.py_buffer(joined)])
     try:
         return raw.cast(pa.large_string())
     except pa.ArrowInvalid:
@@ -529,7 +533,7 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", keep: list[st
     from pyspark.sql import types as T
 
     schema = T.StructType([f for f in slim.schema.fields if f.name != "_text"] + [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_fallback", T.LongType())] + [T.StructField("round_trip", T.BooleanType())] * check)
-    return slim.mapInArrow(_encode(model, check), schema)
+    return mapped(slim, _encode(model, check), schema)
 
 
 def _decode(model: Pieces):
@@ -554,4 +558,4 @@ def decode(coded: DataFrame, model: Pieces, pieces_col: str = "pieces", keep: li
     slim = coded.select(*keep, F.col(pieces_col).cast("array<int>").alias("pieces"))
     _ = model.plain
     schema = T.StructType([f for f in slim.schema.fields if f.name != "pieces"] + [T.StructField("text", T.StringType())])
-    return slim.mapInArrow(_decode(model), schema)
+    return mapped(slim, _decode(model), schema)

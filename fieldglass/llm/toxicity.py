@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._sample import bounded, texts_of
+from fieldglass.llm._shared import mapped
 
 #: Bounds of the training sample and of the vocabulary.
 POSITIVES, UNLABELLED, VOCABULARY = 3000, 9000, 1024
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     p_ids = bounded(known.where(F.col(label_col) == 1).select("doc_id").distinct(), positives).withColumn("positive", F.lit(True))
     u_ids = bounded(docs.select("doc_id"), unlabelled).distinct().withColumn("positive", F.lit(False))
     slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
-    got = texts_of(slim, p_ids.unionByName(u_ids)).select("positive", "text").mapInArrow(_distinct_words, "positive boolean, words binary").collect()
+    got = mapped(texts_of(slim, p_ids.unionByName(u_ids)).select("positive", "text"), _distinct_words, "positive boolean, words binary").collect()
     sets = {k: sorted((np.frombuffer(bytes(r["words"]), np.uint64) for r in got if r["positive"] == k), key=lambda a: (len(a), a.tobytes())) for k in (True, False)}
     return fit(sets[True], sets[False], prior)
 
@@ -174,4 +175,4 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_score(model), "doc_id long, score double")
+    return mapped(slim, _score(model), "doc_id long, score double")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._components import components
-from fieldglass.llm._shared import partitions, stage
+from fieldglass.llm._shared import mapped, partitions, stage
 
 #: Vectors a pivot stands for; most pivots (a pivot is one vector, so the
 #: broadcast is bounded by this number); classes of a cell joined at once.
@@ -172,16 +172,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         own = classes.where(F.size("vec") == d).select("vec").orderBy(F.xxhash64("vec"), "cls").limit(k).collect()
         pivots[d] = _unit(np.array([r["vec"] for r in own], np.float64))
     reach = math.acos(threshold)
-    homes = stage(classes.select("cls", "label", "n", "vec").mapInArrow(_homes(pivots), "cls long, label string, n long, vec array<double>, dim int, home int, far double"), "homes")
+    homes = stage(mapped(classes.select("cls", "label", "n", "vec"), _homes(pivots), "cls long, label string, n long, vec array<double>, dim int, home int, far double"), "homes")
     radius = {(r["dim"], r["home"]): r["r"] for r in homes.groupBy("dim", "home").agg(F.max("far").alias("r")).collect()}
     # chunks of the classes at home in a cell, and the replicas that probe them
     per_cell = homes.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     mine = homes.withColumnRenamed("home", "cell").join(per_cell, ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
-    spread = homes.mapInArrow(_replicas(pivots, radius, reach), "cls long, label string, n long, vec array<double>, dim int, cell int")
+    spread = mapped(homes, _replicas(pivots, radius, reach), "cls long, label string, n long, vec array<double>, dim int, cell int")
     probes = spread.join(per_cell, ["label", "dim", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
     cols = [F.xxhash64("label", "dim", "cell", "chunk").alias("part"), "probe", "cls", "n", "vec"]
     found = stage(
-        mine.select(*cols).unionByName(probes.select(*cols)).repartition(partitions(spark), "part").sortWithinPartitions("part", "probe", "cls").mapInArrow(_join_cells(threshold), "cls long, other long, links long"),
+        mapped(mine.select(*cols).unionByName(probes.select(*cols)).repartition(partitions(spark), "part").sortWithinPartitions("part", "probe", "cls"), _join_cells(threshold), "cls long, other long, links long"),
         "found",
     )
     comp = components(found.where("other is not null"), "cls", "other")
