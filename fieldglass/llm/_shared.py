@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +51,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for lasting ones."""
+    mine: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), mine))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in mine:
+            _remove(spark, path)
+
+
+def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    ``lasting``: passes with the block around the innermost ``passing`` block.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 

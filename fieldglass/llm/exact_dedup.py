@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import mapped, marked, might_contain, partitions, stage
+from fieldglass.llm._shared import mapped, marked, might_contain, partitions, passing, stage
 
 #: A memtable is flushed at so many rows or so many bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 15, 24 << 20
@@ -264,8 +264,9 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only rows that may be dropped are joined; all others pass where they are.
     """
-    told = exact_dedup(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_k"))
-    told = stage(told, "copies")
+    with passing(docs.sparkSession):
+        told = exact_dedup(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_k"))
+        told = stage(told, "copies", lasting=True)
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
     rows = marked(docs, key(F.col(f"`{id_col}`")), told, key(F.col("_i")))
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

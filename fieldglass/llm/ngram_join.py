@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._components import components
-from fieldglass.llm._shared import mapped, marked, might_contain, partitions, stage
+from fieldglass.llm._shared import mapped, marked, might_contain, partitions, passing, stage
 
 #: Keys' worth of a set that runs out of segments.
 CHARGE = 2_000
@@ -380,24 +380,13 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return mapped(both, _compare(percent), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Sets link when 100 * intersection >= percent * union.  ``salt``: of the
-    classes' 64-bit names; where two classes share a name, another is taken.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage(mapped(slim, _index(k, percent, 1 << 18, salt), "doc_id long, cid long, chk long, n long, keys binary"), "sets")
-    full = rows.where("n > 0")
-    classes = full.groupBy("cid").agg(F.min("doc_id").alias("top"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
-    if not classes.where("c0 <> c1").isEmpty():
-        return ngram_join(docs, k, percent, id_col, text_col, salt + 1)
-    entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    parts = max(partitions(spark), -(-entries // ENTRIES))
-    dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, 1 << 19), _PACKED), "dealt")
-    reduced = mapped(dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part"), _reduce, _PACKED)
-    shared = stage(dealt.where(F.col("kind") != _ENTRY).unionByName(reduced), "shared")
+def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent: int, salt: int, parts: int) -> DataFrame:
+    """(cid, component_id) of every class with shingles, as a written table."""
+    spark = slim.sparkSession
+    with passing(spark):
+        dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, 1 << 19), _PACKED), "dealt")
+        reduced = mapped(dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part"), _reduce, _PACKED)
+        shared = stage(dealt.where(F.col("kind") != _ENTRY).unionByName(reduced), "shared", lasting=True)
     links = shared.where(F.col("kind") == _LINK).select("a", "b").distinct()
     members = mapped(shared.where(F.col("kind") == _MEMBER).select("keys", "cids"), _unpack, "key long, cid long").distinct()
     # the sets of candidates, read anew
@@ -418,7 +407,26 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         comp = components(found.unionByName(more), "a", "b")
     top = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "top", F.coalesce("component", "cid").alias("comp"))
     least = top.groupBy("comp").agg(F.min("top").alias("component_id"))
-    name = top.join(least, "comp").select("cid", "component_id")
+    return stage(top.join(least, "comp").select("cid", "component_id"), "names", lasting=True)
+
+
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Sets link when 100 * intersection >= percent * union.  ``salt``: of the
+    classes' 64-bit names; where two classes share a name, another is taken.
+    """
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stage(mapped(slim, _index(k, percent, 1 << 18, salt), "doc_id long, cid long, chk long, n long, keys binary"), "sets")
+    full = rows.where("n > 0")
+    classes = full.groupBy("cid").agg(F.min("doc_id").alias("top"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    if not classes.where("c0 <> c1").isEmpty():
+        return ngram_join(docs, k, percent, id_col, text_col, salt + 1)
+    entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+    parts = max(partitions(spark), -(-entries // ENTRIES))
+    with passing(spark):
+        name = _named(slim, full, classes, k, percent, salt, parts)
     linked = full.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(name, "cid").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
@@ -433,7 +441,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     name = F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
     named = docs.select(name.alias("_name"), ident.alias("_id"), text.alias("text"))
-    linked = stage(ngram_join(named.select("_name", "text"), k, percent, "_name", "text").select(F.col("doc_id").alias("_name"), "component_id"), "joined")
+    with passing(docs.sparkSession):
+        linked = stage(ngram_join(named.select("_name", "text"), k, percent, "_name", "text").select(F.col("doc_id").alias("_name"), "component_id"), "joined", lasting=True)
     again = linked.join(named.select("_name", "_id"), "_name").distinct()
     group = again.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_name").alias("name"))).alias("top"), F.count("*").alias("m")).where("m > 1")
     drop = stage(again.join(group, "component_id").where(F.col("_name") != F.col("top.name")).select(F.col("_name").alias("_drop")), "near-copies")
