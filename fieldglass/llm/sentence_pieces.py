@@ -302,8 +302,8 @@ class Pieces:
         order = np.argsort(n, kind="stable")
         short = order[n[order] <= LONG]
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(short), 1 << 15):
-            own = short[at : at + (1 << 15)]
+        for at in range(0, len(short), 1 << 13):
+            own = short[at : at + (1 << 13)]
             if len(own):
                 got.append((own, *self._block(data, first[own], n[own])))
         for i in order[len(short) :]:
@@ -443,7 +443,7 @@ def encode_column(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarr
         texts = pa.compute.binary_join_element_wise(lead, texts, "")
     data, off = B.raw(texts)
     out, sizes = [], []
-    for i, j in B.pieces(off, 1 << 21):
+    for i, j in B.pieces(off, 1 << 19):
         own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
         n = len(part)
         if not n:
@@ -479,7 +479,7 @@ def decode_column(model: Pieces, ids: np.ndarray, first: np.ndarray) -> pa.Array
     size = np.array([len(p) for p in model.plain], np.int64)
     begin = np.cumsum(size) - size
     out, parts = [np.zeros(1, np.int64)], []
-    for i, j in B.pieces(first, 1 << 20):
+    for i, j in B.pieces(first, 1 << 18):
         own = ids[first[i] : first[j]]
         data = B.gather(plain, begin[own], size[own])
         total = np.zeros(len(own) + 1, np.int64)
@@ -505,8 +505,8 @@ def _encode(model: Pieces, check: bool):
     def work(batches):
         for b in batches:
             at = b.schema.get_field_index("_text")
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
                 text = part.column(at)
                 ids, first = encode_column(model, text)
                 list_ = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
