@@ -65,7 +65,7 @@ _FOLDED = _CODE[FOLD]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         inverse = pow(_P, -1, 1 << 64)
         for k, base in enumerate((_P, inverse)):
             a = np.full(size, base, np.uint64)

@@ -67,6 +67,11 @@ def passing(spark: SparkSession):
             _remove(spark, path)
 
 
+#: Writers hold a row group of each task whole, and pages of a hundred rows
+#: at least unless told otherwise; with packed rows that would be much.
+WRITE = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4}
+
+
 def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
@@ -75,7 +80,7 @@ def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**WRITE).parquet(path)
     blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
     if blocks:
         blocks[-1].append(path)

@@ -43,8 +43,16 @@ from fieldglass.llm._shared import mapped, marked, might_contain, partitions, pa
 CHARGE = 2_000
 #: Sets that one side of a block comparison holds.
 CHUNK = 512
+#: Bytes of token sets that one side of a block comparison holds on average at most.
+CHUNK_BYTES = 2 << 20
 #: Index entries that one reducing task gets on average at most.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
+#: Index entries that a dealing task collapses at a time.
+DEALT = 1 << 18
+#: Entries of a packed row; a page of such rows is held whole by writers and readers.
+PACKED = 1 << 15
+#: Bytes of text whose words are hashed at a time.
+PIECE = 1 << 18
 
 
 def differing(r: np.ndarray | int, s: np.ndarray | int, percent: int):
@@ -156,7 +164,7 @@ def _fingerprints(tokens: np.ndarray, first: np.ndarray, salt: int) -> np.ndarra
 def _token_sets(column: pa.Array, k: int):
     """For parts of the column: (rows, tokens, first)."""
     data, off = B.raw(column)
-    for i, j in B.pieces(off):
+    for i, j in B.pieces(off, PIECE):
         own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
         starts, ends, first = B.spans(part, own)
         yield (i, j), *B.sets(*B.shingles(B.hashes(part, starts, ends), first, k))
@@ -214,8 +222,8 @@ def _emit(links, member):
     if len(links):
         nil = [None] * len(links)
         yield _packed(nil, nil, nil, links[:, 0], links[:, 1], _LINK)
-    for at in range(0, len(member[0]), 1 << 18):
-        k, c = member[0][at : at + (1 << 18)], member[1][at : at + (1 << 18)]
+    for at in range(0, len(member[0]), PACKED):
+        k, c = member[0][at : at + PACKED], member[1][at : at + PACKED]
         yield _packed([None], [k.tobytes()], [c.tobytes()], [None], [None], _MEMBER)
 
 
@@ -256,7 +264,11 @@ def _reduce(batches):
             keys.append(np.frombuffer(k, np.uint64))
             cids.append(np.frombuffer(c, np.int64))
     if keys:
-        _, links, member = collapse(np.concatenate(keys), np.concatenate(cids))
+        key, cid = np.concatenate(keys), np.concatenate(cids)
+        keys.clear()
+        cids.clear()
+        _, links, member = collapse(key, cid)
+        del key, cid
         yield from _emit(links, member)
 
 
@@ -310,9 +322,9 @@ def _compare(percent: int):
         order = np.argsort(col, kind="stable")
         rows, col = rows[order], col[order]
         width = int(col[-1]) + 1 if len(col) else 0
-        for lo in range(0, width, 4096):
-            i, j = np.searchsorted(col, (lo, lo + 4096))
-            m = np.zeros((len(sets), min(4096, width - lo)), np.float32)
+        for lo in range(0, width, 2048):
+            i, j = np.searchsorted(col, (lo, lo + 2048))
+            m = np.zeros((len(sets), min(2048, width - lo)), np.float32)
             m[rows[i:j], col[i:j] - lo] = 1
             common += m[left] @ m[right].T
         common = np.rint(common).astype(np.int64)
@@ -367,7 +379,7 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     # similar sets are at most two size classes apart
     grade = F.floor(F.log(F.octet_length("tokens") / 8) * (2 / math.log(100 / percent))).cast("int")
     placed = block.join(tokens, "cid").withColumn("grade", grade)
-    cut = placed.groupBy("block", "grade").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"))
+    cut = placed.groupBy("block", "grade").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.octet_length("tokens")) / CHUNK_BYTES)).cast("int").alias("cuts"))
     chunk = F.xxhash64("block", "grade", F.pmod(F.xxhash64("cid"), F.col("cuts")))
     held = stage(placed.join(cut, ["block", "grade"]).select("block", "grade", "cid", "tokens", chunk.alias("chunk")), "blocks")
     chunks = held.select("block", "grade", "chunk").distinct()
@@ -384,7 +396,7 @@ def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent
     """(cid, component_id) of every class with shingles, as a written table."""
     spark = slim.sparkSession
     with passing(spark):
-        dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, 1 << 19), _PACKED), "dealt")
+        dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, DEALT), _PACKED), "dealt")
         reduced = mapped(dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part"), _reduce, _PACKED)
         shared = stage(dealt.where(F.col("kind") != _ENTRY).unionByName(reduced), "shared", lasting=True)
     links = shared.where(F.col("kind") == _LINK).select("a", "b").distinct()
