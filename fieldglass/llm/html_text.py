@@ -38,6 +38,8 @@ from fieldglass.llm._shared import mapped
 #: A container is template if at least so many of a host's different main
 #: texts have it on their pages, and at least this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: Parts that the pages of one host are dealt into.
+SALTS = 64
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -255,4 +257,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     placed = slim.withColumn("host", F.when(F.length(host) > 0, F.regexp_replace(host, r"[\[\]]", "")))
-    return mapped(placed.join(template, "host", "left").select("page_id", "url", "html", "host", "pieces"), _extract, "page_id long, url string, text string")
+    # a host may hold a third of all pages: its few template rows are repeated, its pages dealt among them
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return mapped(placed.join(template, ["host", "salt"], "left").select("page_id", "url", "html", "host", "pieces"), _extract, "page_id long, url string, text string")
