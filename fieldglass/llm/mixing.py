@@ -5,115 +5,115 @@ text.  Block j of a source of weight w has the window [floor(j / w),
 ceil((j + 1) / w)): it is released at the window's start and due at its end.
 Among released blocks the one with the earliest deadline takes the next slot,
 so after any number of slots each source is less than one block from its
-share.  Weights are integers over a common period, the schedule repeats with
-it, and where a source runs out the rest go on with their weights in
-proportion: only that periodic schedule, whose size depends on the number of
-sources, is made on the driver; the slots of all blocks are computed in Spark.
+share.  Weights are exact fractions (of floats, their exact values): windows
+are computed in integers of any length, and nothing is rounded to a period.
+Where a source runs out the rest go on with their weights in proportion, from
+a new start.  The schedule is as long as the text has blocks.  One task walks
+through it, holding one block of each source, and writes the slots as it goes;
+the driver holds the sources' weights only.  Rows find their slots by a join.
 
 Defined results: every row gets a position; a null source is a source of its
 own; a null text has length 0; rows equal in identifier are ordered by their
-texts' hash; an empty table gives no rows.  Other columns pass through.
+texts' hash; an empty table gives no rows; sources of weight 0 follow after all
+others, in equal shares.  Other columns pass through.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from numbers import Rational
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fieldglass.llm._shared import stage
+from fieldglass.llm._shared import mapped, stage
 
-#: Text of a block in characters, and slots of a period.
+#: Text of a block in characters, and slots that the scheduling task hands on at a time.
 BLOCK_CHARS, PERIOD = 1 << 16, 1000
+#: So many slots are sent to every executor; a longer schedule is joined by a shuffle.
+SENT = 1 << 16
 #: Ranges of the pseudo-random order that are ranked apart, as a power of two.
 RANGE_BITS = 14
 
 
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Shares of ``period`` slots by largest remainder; every source gets one at least."""
-    total = sum(weights.values())
-    period = max(period, len(weights))
-    exact = {s: w * period / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s)):
-        if sum(out.values()) >= period:
-            break
-        out[s] += 1
-    return out
+def integer_weights(weights: dict[str, Rational | float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("a source's weight is negative")
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    out = {s: int(w * unit) for s, w in exact.items()}
+    g = math.gcd(*out.values()) or 1
+    return {s: w // g for s, w in out.items()}
 
 
-def pfair(weights: dict[str, int]) -> list[str]:
-    """One period: the source of each slot. Earliest deadline first over released blocks."""
-    period = sum(weights.values())
+def schedule(weights: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end. Earliest deadline first over released blocks."""
+    total = sum(weights.values())
     later = [(0, s, 0) for s in sorted(weights)]  # (release, source, block)
     heapq.heapify(later)
     ready: list[tuple[int, int, int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while later and later[0][0] <= slot:
             _, s, j = heapq.heappop(later)
             k = weights[s]
-            due = -(-(j + 1) * period // k)
+            due = -(-(j + 1) * total // k)
             # ties: a window that overlaps its successor's is served first
-            overlap = (j + 1) * period % k != 0
+            overlap = (j + 1) * total % k != 0
             heapq.heappush(ready, (due, -int(overlap), -k, s, j))
         due, _, _, s, j = heapq.heappop(ready)
         assert slot < due
-        out.append(s)
-        if j + 1 < weights[s]:
-            heapq.heappush(later, ((j + 1) * period // weights[s], s, j + 1))
-    return out
+        yield s
+        heapq.heappush(later, ((j + 1) * total // weights[s], s, j + 1))
+        slot += 1
+
+
+def pfair(weights: dict[str, int]) -> list[str]:
+    """The source of each slot until all weights are served exactly."""
+    return list(islice(schedule(weights), sum(weights.values())))
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
-    """Periods of the schedule until every source's blocks are placed.
+def slots(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot until every source's blocks are placed.
 
     Each phase ends at the slot in which some source places its last block;
     the others go on in the next phase.
     """
-    left, out, base = {s: n for s, n in blocks.items() if n > 0}, [], 0
-    done = dict.fromkeys(left, 0)
+    left = {s: n for s, n in blocks.items() if n > 0}
     while left:
-        own = {s: weights[s] for s in left}
-        g = math.gcd(*own.values())
-        own = {s: w // g for s, w in own.items()}
-        slots = pfair(own)
-        places: dict[str, list[int]] = {s: [] for s in own}
-        for i, s in enumerate(slots):
-            places[s].append(i)
-        last = {s: (n - 1) // own[s] * len(slots) + places[s][(n - 1) % own[s]] for s, n in left.items()}
-        end = min(last.values()) + 1
-        cycles, rest = divmod(end, len(slots))
-        used = {s: cycles * own[s] + sum(p < rest for p in places[s]) for s in own}
-        for s in own:
-            out.append({"source": s, "first": done[s], "last": done[s] + used[s], "base": base, "period": len(slots), "weight": own[s], "places": places[s]})
-            done[s] += used[s]
-            left[s] -= used[s]
-        left = {s: n for s, n in left.items() if n}
-        base += end
-    return out
-
-
-PLAN = T.StructType(
-    [
-        T.StructField("_s", T.StringType()),
-        T.StructField("_first", T.LongType()),
-        T.StructField("_last", T.LongType()),
-        T.StructField("_base", T.LongType()),
-        T.StructField("_period", T.LongType()),
-        T.StructField("_weight", T.LongType()),
-        T.StructField("_places", T.ArrayType(T.LongType())),
-    ]
-)
+        own = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        for s in schedule(integer_weights(own)):
+            yield s, blocks[s] - left[s]
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+
+
+def _slots(blocks: dict[str, int], weights: dict[str, int], rows: int):
+    def work(batches):
+        for _ in batches:
+            found, base = slots(blocks, weights), 0
+            while part := list(islice(found, rows)):
+                columns = [pa.array([s for s, _ in part], pa.string()), pa.array([j for _, j in part], pa.int64()), pa.array(range(base, base + len(part)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["_s", "block", "slot"])
+                base += len(part)
+
+    return work
+
+
 _NULL = "\0null"
 
 
 def mix_sources(
     docs: DataFrame,
-    weights: dict[str, float] | None = None,
+    weights: dict[str, Rational | float] | None = None,
     power: float = 0.5,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -127,8 +127,8 @@ def mix_sources(
 
     weights: by source; without them a source of n characters weighs
     n ** power.  Sources missing from weights weigh as the smallest given.
-    A document belongs to the block in which it begins.  ``size`` and ``tie``
-    stand for the text's length and hash, for callers without a text column.
+    A document belongs to the block in which it begins.  ``period``: slots that
+    the scheduling task hands on at a time.  ``size`` and ``tie`` stand for the text's length and hash, for callers without a text column.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))
@@ -155,17 +155,16 @@ def mix_sources(
     if weights is None:
         weights = {s: float(t) ** power for s, t in totals.items()}
     else:
-        weights = {_NULL if s is None else s: float(w) for s, w in weights.items()}
-    floor = min(weights.values(), default=1.0)
-    own = integer_weights({s: weights.get(s, floor) for s in totals}, period) if totals else {}
-    plan = phases({s: -(-t // block_chars) for s, t in totals.items()}, own) if totals else []
-    plan_df = spark.createDataFrame([tuple(p.values()) for p in plan], PLAN)
+        weights = {_NULL if s is None else s: w for s, w in weights.items()}
+    floor = min(weights.values(), default=1)
+    own = integer_weights({s: weights.get(s, floor) for s in totals})
+    blocks = {s: -(-t // block_chars) for s, t in totals.items()}
+    plan = stage(mapped(spark.range(0, 1, 1, 1), _slots(blocks, own, period), "_s string, block long, slot long"), "slots")
+    plan = F.broadcast(plan) if sum(blocks.values()) <= SENT else plan
     placed = (
         keyed.join(sums.select("_s", "_range", "_before"), ["_s", "_range"])
         .withColumn("_start", start)
         .withColumn("block", F.expr(f"_start div {int(block_chars)}"))
-        .join(F.broadcast(plan_df), (keyed["_s"] == plan_df["_s"]) & F.col("block").between(F.col("_first"), F.col("_last") - 1))
+        .join(plan, ["_s", "block"])
     )
-    j = F.col("block") - F.col("_first")
-    slot = F.col("_base") + F.expr("(block - _first) div _weight") * F.col("_period") + F.element_at("_places", (j % F.col("_weight") + 1).cast("int"))
-    return placed.select(*out_cols, "block", slot.alias("slot"), F.struct(slot.alias("slot"), F.col("_start").alias("start")).alias("position"))
+    return placed.select(*out_cols, "block", "slot", F.struct("slot", F.col("_start").alias("start")).alias("position"))

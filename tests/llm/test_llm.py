@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,43 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def gaps(placed, weights):
+    """The largest distance from a share over the slots until a source runs out."""
+    total, done, most = sum(weights.values()), dict.fromkeys(weights, 0), 0
+    last = {s: i for i, s in enumerate(placed)}
+    for i, s in enumerate(placed[: min(last.values()) + 1], 1):
+        done[s] += 1
+        most = max(most, *(abs(done[x] - w * i / total) for x, w in weights.items()))
+    return most
+
+
+@pytest.mark.parametrize("sent", [1 << 16, 10])
+def test_mixing_exact_weights(spark, monkeypatch, sent):
+    """Weights that divide no period: the gap does not grow with the slots."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    n = {"a": 2660} | {f"s{i}": 280 for i in range(19)}
+    weights = {"a": Fraction(1, 3)} | {f"s{i}": Fraction(2, 57) for i in range(19)}
+    rows = [(i, s, "t" * 9) for i, s in enumerate(x for x, k in n.items() for _ in range(k))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix_sources(df, weights, block_chars=10).orderBy("slot").collect()
+    assert [r.slot for r in out] == list(range(len(rows)))
+    assert gaps([r.source for r in out], weights) < 1
+
+
+def test_mixing_long_schedules():
+    for weights, n in (({"a": 0.9999, "b": 0.0001}, {"a": 10**6, "b": 4}), ({"a": 0.25} | {f"s{i}": 0.000375 for i in range(2000)}, {"a": 750} | {f"s{i}": 3 for i in range(2000)})):
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        total, done, last = sum(exact.values()), dict.fromkeys(weights, 0), len(weights) == 2 and 39_000 or 2_000
+        for i, (s, j) in enumerate(mixing.slots(n, mixing.integer_weights(weights)), 1):
+            assert j == done[s]
+            done[s] += 1
+            assert abs(done[s] - exact[s] * i / total) < 1
+            if i == last:
+                break
+        assert all(abs(done[s] - w * last / total) < 1 for s, w in exact.items())
+    assert [s for s, _ in mixing.slots({"a": 2, "b": 2, "z": 1}, mixing.integer_weights({"a": 1, "b": 1, "z": 0}))][-1] == "z"
+
+
 @pytest.fixture(scope="module")
 def model():
     return sentence_pieces.load(PIECES)
