@@ -354,3 +354,25 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mix(spark, some, "")
     assert mixed.columns == docs.columns and mixed.count() == some.count()
 
+
+def test_pipeline_order(spark, tmp_path):
+    """Part files of growing size: the scan takes the last first, yet the rows come in the mixed order."""
+    import corpus_pipeline
+
+    rows = [(i, f"w{i} " * (i * i), "en", f"s{i % 3}", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    mixed = corpus_pipeline.mix(spark, docs, "").select("doc_id")
+    at = {x: i for i, x in enumerate(want)}
+    assert [r.doc_id for r in mixed.collect()] == want
+    size = lambda i: F.repeat(F.lit("w "), i.cast("int") * i.cast("int"))
+    rank = spark.createDataFrame(list(at.items()), "doc_id long, at long")
+    written = docs.join(rank, "doc_id").repartitionByRange(8, "at").sortWithinPartitions("at").withColumn("text", size(F.col("at"))).drop("at")
+    written.write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.to_pieces(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    got = out.collect()
+    assert [r.doc_id for r in got] == want
+    positions = [r.position for r in got]
+    assert positions == sorted(set(positions))
+    out.write.parquet(str(tmp_path / "out"))
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).orderBy("position").collect()] == want
