@@ -134,3 +134,42 @@ def best_overlap(pairs: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFram
     top = pairs.groupBy("image_id", "pred_id").agg(F.max("iou").alias("any_iou"), F.max(F.when(F.col("pc") == F.col("gc"), F.col("iou"))).alias("same_iou"))
     own = preds.join(gts.select("image_id").distinct(), "image_id", "left_semi")
     return own.join(top, ["image_id", "pred_id"], "left").na.fill(0.0, ["any_iou", "same_iou"])
+
+
+def cases(preds: DataFrame, gts: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pools of the case sampler: category, image_id, gt_id, pred_id, class_id, size_group, duplicate_like.
+
+    sized: image_id, gt_id, size_group of every target.
+    """
+    key = ["image_id", "gt_id"]
+    pairs = overlaps(preds, gts)
+    sure, any_class = assign(pairs), assign(pairs, Point(aware=False))
+    first = F.struct((-F.col("iou")).alias("i"), (-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"))
+    same, strong = F.col("pc") == F.col("gc"), F.col("conf") >= REFERENCE.confidence
+    fits = (
+        F.when(F.col("category") == "low_confidence_detection", same & ~strong & (F.col("iou") >= REFERENCE.overlap))
+        .when(F.col("category") == "localization_failure", same & strong & (F.col("iou") >= 0.1) & (F.col("iou") < REFERENCE.overlap))
+        .otherwise(F.lit(True))
+    )
+    missed = taxonomy(pairs, gts, sure).select(*key, "class_id", F.col("primary").alias("category"))
+    shown = pairs.join(missed, key).where(fits).groupBy(*key).agg(F.min(first)["pred_id"].alias("pred_id"))
+    missed = missed.join(shown, key, "left").withColumn("duplicate_like", F.lit(False))
+
+    fps = false_positives(pairs, preds, gts, sure)
+    nearest = pairs.groupBy("image_id", "pred_id").agg(F.min(F.struct((-F.col("iou")).alias("i"), F.col("gt_id").alias("gt_id"), F.col("gc").alias("gc"))).alias("t"))
+    hit = preds.join(sure.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_semi").alias("b")
+    a = fps.alias("a")
+    twice = a.join(hit, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.class_id") == F.col("b.class_id")))
+    twice = twice.where(G.overlap(G.corners("a"), G.corners("b")) >= 0.5).select("a.image_id", "a.pred_id").distinct().withColumn("duplicate_like", F.lit(True))
+    false = fps.join(nearest, ["image_id", "pred_id"], "left").join(twice, ["image_id", "pred_id"], "left")
+    false = false.select(
+        "image_id", F.col("t.gt_id").alias("gt_id"), F.coalesce("t.gc", "class_id").alias("class_id"), F.when(F.col("annotated"), "fp_annotated").otherwise("fp_empty_label").alias("category"), "pred_id", F.coalesce("duplicate_like", F.lit(False)).alias("duplicate_like")
+    )
+
+    def matched(found: DataFrame, category: str) -> DataFrame:
+        both = found.join(pairs.select("image_id", "gt_id", "pred_id", "pc", "gc"), [*key, "pred_id"])
+        kept = both.where("pc <> gc") if category == "wrong_class_geometric_match" else both
+        return kept.select(*key, F.col("gc").alias("class_id"), F.lit(category).alias("category"), "pred_id", F.lit(False).alias("duplicate_like"))
+
+    out = missed.unionByName(false).unionByName(matched(any_class, "wrong_class_geometric_match")).unionByName(matched(sure, "successful_detection"))
+    return out.join(sized.select(*key, "size_group"), key, "left").select("category", "image_id", F.col("gt_id").cast("long").alias("gt_id"), F.col("pred_id").cast("long").alias("pred_id"), "class_id", "size_group", "duplicate_like")

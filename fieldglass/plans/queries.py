@@ -486,6 +486,54 @@ def quota_cases(spark: SparkSession, d: str) -> DataFrame:
     return selection.quota(t, "primary", dict.fromkeys(names, 6), 7, "id").select("category", F.col("pick").cast("long").alias("pick"), "id", "rank")
 
 
+def _cases(spark: SparkSession, d: str) -> tuple[list[dict], list[dict]]:
+    """Cases of the validation images, as in the reference."""
+    valid = S.images(spark, d).where("split = 'valid'").select("image_id")
+    own = lambda df: df.join(valid, "image_id", "left_semi")
+    side = F.col("short_side")
+    sized = own(_sized(spark, d)).withColumn("size_group", F.when(side < 32, 0).when(side < 64, 1).otherwise(2))
+    return selection.select_cases(matching.cases(own(S.predictions(spark, d)), own(S.targets(spark, d)), sized), 7)
+
+
+@query()
+def select_cases(spark: SparkSession, d: str) -> DataFrame:
+    names = ["case_id", "category", "image_id", "gt_id", "pred_id", "class_id", "size_group", "reuses_image", "rank"]
+    rows = [tuple(c[n] for n in names) for c in _cases(spark, d)[0]]
+    return spark.createDataFrame(rows, "case_id string, category string, image_id long, gt_id long, pred_id long, class_id long, size_group int, reuses_image boolean, rank string")
+
+
+@query()
+def case_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([tuple(c.values()) for c in _cases(spark, d)[1]], "category string, quota long, pool long, selected long, shortfall long")
+
+
+@query()
+def review_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """The scene has boxes only: a polygon's share of its box is rendered from the identifiers."""
+    w, h = F.col("width"), F.col("height")
+    rows = _sized(spark, d).select(
+        "split",
+        "image_id",
+        "gt_id",
+        "class_id",
+        ((50 + (F.col("image_id") * 7 + F.col("gt_id") * 13) % 51) / 100.0).alias("occupancy"),
+        (F.col("box_w") / w * (F.col("box_h") / h)).alias("area"),
+        F.least(F.col("x0") / w, F.col("y0") / h, 1 - F.col("x1") / w, 1 - F.col("y1") / h).alias("border"),
+        F.abs(F.log(w / h)).alias("aspect"),
+    )
+    return selection.review_annotations(rows)
+
+
+@query()
+def diverse_vectors(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("vec_id") % 10
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    rows = S.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(k < 7, "train").when(k < 9, "valid").otherwise("test").alias("split"), F.sha2(F.col("embedding").cast("string"), 256).alias("hash"), (F.col("vec_id") % 97).alias("source"), bits.alias("bits"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return spark.createDataFrame(list(enumerate(selection.diverse(rows, {"train": 4, "valid": 3}, 7))), "pick long, vec_id long")
+
+
 @query()
 def farthest_first(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

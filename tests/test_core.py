@@ -1,14 +1,16 @@
 """Literal cases of the operators, and the queries against their SQL."""
 
 import glob
+import math
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as G
-from fieldglass.operators import duplicates, graph, matching, precision, stats, versions
+from fieldglass.operators import duplicates, graph, matching, precision, selection, stats, versions
 from fieldglass.plans.queries import ORACLE, QUERIES
 from fieldglass.scene import Point
 from fieldglass.sources import labels, trees
@@ -171,3 +173,94 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.sql(ORACLE[name])
     assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
+
+
+def greedy(cases, quotas, seed):
+    """All cases on one side: the sampler by its rules."""
+    for c in cases:
+        c["rank"] = selection.rank_key(seed, c["category"], c["image_id"], c["gt_id"], c["pred_id"])
+    out, images, ids = [], set(), set()
+    order = [*selection.FIRST_PICKED, *(q for q in quotas if q not in selection.FIRST_PICKED)]
+    for category in order:
+        left, n = [c for c in cases if c["category"] == category], {}
+        for i in range(min(quotas[category], len(left))):
+            pick = left
+            if category == "fp_annotated" and i == 0:
+                pick = [c for c in left if c["duplicate_like"]] or left
+            if category == "successful_detection" and i < 2:
+                pick = [c for c in left if c["class_id"] in ((2, 3), (0, 1, 4, 5))[i]] or left
+            c = min(pick, key=lambda c: (c["image_id"] in images, ("g", c["image_id"], c["gt_id"]) in ids, ("p", c["image_id"], c["pred_id"]) in ids, n.get(("c", c["class_id"]), 0), n.get(("s", c["size_group"]), 0), c["rank"]))
+            left.remove(c)
+            out.append(c)
+            images.add(c["image_id"])
+            ids |= {(k, c["image_id"], c[v]) for k, v in (("g", "gt_id"), ("p", "pred_id")) if c[v] is not None}
+            for k in (("c", c["class_id"]), ("s", c["size_group"])):
+                n[k] = n.get(k, 0) + 1
+    return {(c["category"], c["image_id"], c["gt_id"], c["pred_id"]) for c in out}
+
+
+POOL = "category string, image_id long, gt_id long, pred_id long, class_id long, size_group int, duplicate_like boolean"
+
+
+@pytest.mark.parametrize("images", [3, 20, 400])
+def test_select_cases(spark, images):
+    rng, rows = random.Random(images), {}
+    for _ in range(3000):
+        q = rng.choice(list(selection.QUOTAS))
+        image = 0 if rng.random() < 0.5 else rng.randrange(images)  # one image has half of all cases
+        gt = None if q == "fp_empty_label" else rng.randrange(30)
+        r = (q, image, gt, rng.randrange(30) if rng.random() < 0.9 else None, rng.randrange(6), None if gt is None else gt % 3, q == "fp_annotated" and rng.random() < 0.02)
+        rows[r[:4]] = r
+    del rows[next(k for k in rows if k[0] == "fp_empty_label")]
+    rows = [r for r in rows.values() if r[0] != "localization_failure" or r[1] < 1][:2500]
+    df = spark.createDataFrame(rows, POOL)
+    cases, counts = selection.select_cases(df, 7)
+    want = greedy([r.asDict() for r in df.collect()], selection.QUOTAS, 7)
+    assert {(c["category"], c["image_id"], c["gt_id"], c["pred_id"]) for c in cases} == want
+    assert sum(c["selected"] + c["shortfall"] for c in counts) == 36 and sum(c["pool"] for c in counts) == len(rows)
+    assert [c["case_id"] for c in cases] == [f"S3-{i:02d}" for i in range(1, len(cases) + 1)]
+
+
+def test_case_pools(spark):
+    """One missed, one matched, one wrong-class target, a second find of the matched one, and a find without targets."""
+    g = boxes(spark, [(1, 1, 0, 0, 0, 10, 10), (1, 3, 1, 50, 50, 60, 60), (1, 5, 2, 100, 100, 110, 110)])
+    p = boxes(spark, [(1, 1, 0, 0, 0, 10, 10, 90), (1, 2, 0, 0, 0, 10, 9, 80), (1, 4, 4, 50, 50, 60, 60, 70), (2, 1, 3, 0, 0, 5, 5, 60)], True)
+    got = {tuple(r) for r in matching.cases(p, g, g.withColumn("size_group", F.lit(0))).collect()}
+    assert got == {
+        ("complete_miss", 1, 5, 1, 2, 0, False),
+        ("classification_error", 1, 3, 4, 1, 0, False),
+        ("fp_annotated", 1, 1, 2, 0, 0, True),
+        ("fp_annotated", 1, 3, 4, 1, 0, False),
+        ("fp_empty_label", 2, None, 1, 3, None, False),
+        ("wrong_class_geometric_match", 1, 3, 4, 1, 0, False),
+        ("successful_detection", 1, 1, 1, 0, 0, False),
+    }
+
+
+def test_review_annotations(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["train", "valid", "test"]), i // 2 if i % 3 else i + 1000, i, i % 4, rng.random(), rng.random(), rng.random(), float(math.floor(rng.random() * 5))) for i in range(200)]
+    own = [r for r in rows if r[0] != "test"]
+    want = {}
+    for name, i, sign in (("lowest_occupancy", 4, 1), ("highest_occupancy", 4, -1), ("smallest_box", 5, 1), ("largest_box", 5, -1), ("closest_to_boundary", 6, 1), ("unusual_image_aspect_ratio", 7, -1)):
+        for r in sorted(own, key=lambda r: (sign * r[i], r[:3]))[:10]:
+            want.setdefault(r[:3], set()).add(name)
+    several = sorted({r[:2] for r in own if sum(x[:2] == r[:2] for x in own) > 1})[:10]
+    for r in own:
+        if r[:2] in several:
+            want.setdefault(r[:3], set()).add("multi_annotation_image")
+    for group in {(r[0], r[3]) for r in own}:
+        of = [r for r in own if (r[0], r[3]) == group]
+        v = sorted(r[4] for r in of)
+        mid = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+        want.setdefault(min(of, key=lambda r: (abs(r[4] - mid), r[:3]))[:3], set()).add("representative_class")
+    df = spark.createDataFrame(rows, "split string, image_id long, gt_id long, class_id long, occupancy double, area double, border double, aspect double")
+    assert {(r.split, r.image_id, r.gt_id): r.reasons for r in selection.review_annotations(df).collect()} == {k: ",".join(sorted(v)) for k, v in want.items()}
+
+
+def test_diverse(spark):
+    rows = [(1, "a", "h1", "s1", 0, [0.0, 0.0]), (2, "b", "h1", "s2", 255, [9.0, 9.0]), (3, "b", "h3", "s1", 255, [9.0, 9.0]), (4, "b", "h4", "s4", 3, [0.05, 0.05]), (5, "b", "h5", "s5", 255, [0.05, 0.06]), (6, "b", "h6", "s6", 3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, split string, hash string, source string, bits long, vector array<double>")
+    assert selection.diverse(df, {"a": 1, "b": 2}, 7) == [1, 6, 5]
+    with pytest.raises(ValueError):
+        selection.diverse(df, {"a": 1, "b": 3}, 7)
