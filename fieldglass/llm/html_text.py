@@ -3,8 +3,12 @@
 One lenient pass over a page's tags keeps a stack of open elements.  Every
 closed container (division, list, section, table, ...) has a hash of its tag,
 class and contents.  Spark counts, for each host, on how many different main
-texts' pages each hash occurs; containers that recur on many of a host's pages
-are its template, and the second pass deletes them.  Menus, headers, footers,
+texts' pages each hash occurs; containers that recur are the host's template,
+and the second pass deletes them.  The count needed does not grow with the
+host: a section's menu or a rare notice is on few of a large host's pages.
+Containers inside an article are content until they are on a share of all the
+host's main texts' pages too.  Each page is joined to its own template hashes,
+so no list grows with the host.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are
 also known by tag, role, class or id, which serves hosts of few pages.
 
@@ -33,13 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm._shared import mapped
+from fieldglass.llm._shared import mapped, stage
 
 #: A container is template if at least so many of a host's different main
-#: texts have it on their pages, and at least this share of them.
+#: texts have it on their pages; inside an article, at least this share of them too.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
-#: Parts that the pages of one host are dealt into.
-SALTS = 64
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -91,13 +93,14 @@ class _Frame:
 
 
 def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[int]]:
-    """(main text, hashes of the containers that may be template)."""
+    """(main text, hashes of the containers that may be template; odd ones are inside an article)."""
     blocks: list[str] = []
     line: list[str] = []
     stack = [_Frame("#", False, "", 0)]
     hashes: set[int] = set()
     spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
     inside = 0  # articles and main elements that are open
+    articles = 0  # articles that are open
     out = 0  # elements beside the main text that are open
 
     def flush() -> None:
@@ -108,7 +111,7 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
                 blocks.append(text)
 
     def close() -> None:
-        nonlocal inside, out
+        nonlocal inside, articles, out
         f = stack.pop()
         tag = f.tag
         if f.out:
@@ -121,12 +124,13 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
         stack[-1].parts.append(digest.hex())
         if tag in spans:
             inside -= 1
+            articles -= tag == "article"
             spans[tag].append((f.at, len(blocks)))
             f.holds = True
         if f.holds:
             stack[-1].holds = True
         elif tag in CONTAINER and len(blocks) > f.at:
-            h = int.from_bytes(digest, "big", signed=True)
+            h = int.from_bytes(digest, "big", signed=True) & ~1 | (articles > 0)
             hashes.add(h)
             if h in template:
                 del blocks[f.at :]
@@ -197,6 +201,7 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
         out += beside
         if tag in spans and not beside:
             inside += 1
+            articles += tag == "article"
     while len(stack) > 1:
         close()
     flush()
@@ -216,48 +221,31 @@ def host_of(url: str | None) -> str | None:
 
 def _scan(batches):
     for b in batches:
-        hosts, seen, mains = [], [], []
+        hosts, mains, pieces = [], [], []
         for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            host = host_of(url)
-            if host is None or not html:
-                continue
-            main, hashes = parse(html)
-            key = int.from_bytes(hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-            for h in (*hashes, None):
-                hosts.append(host)
-                seen.append(h)
-                mains.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(seen, pa.int64()), pa.array(mains, pa.int64())], ["host", "piece", "main"])
+            host = host_of(url) if html else None
+            main, hashes = parse(html) if host is not None else ("", set())
+            hosts.append(host)
+            mains.append(int.from_bytes(hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
+            pieces.append(sorted(hashes))
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(hosts, pa.string()), pa.array(mains, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))], ["row", "host", "main", "pieces"])
 
 
 def _extract(batches):
-    known: dict[str, frozenset[int]] = {}
     for b in batches:
-        texts = []
-        for host, html, pieces in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-            if pieces and host not in known:
-                known = {} if len(known) > 1000 else known
-                known[host] = frozenset(pieces)
-            texts.append(parse(html, known[host] if pieces else frozenset())[0] if html else "")
+        texts = [parse(html, frozenset(pieces or ()))[0] if html else "" for html, pieces in zip(b.column("html").to_pylist(), b.column("pieces").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text for every row."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    pairs = mapped(slim.select("url", "html"), _scan, "host string, piece long, main long").distinct()
-    counts = pairs.groupBy("host", "piece").agg(F.count("*").alias("n"))
-    totals = counts.where("piece is null").select("host", F.col("n").alias("all"))
-    template = (
-        counts.where(f"piece is not null and n >= {int(least_pages)}")
-        .join(totals, "host")
-        .where(F.col("n") >= F.col("all") * least_share)
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    )
-    host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    placed = slim.withColumn("host", F.when(F.length(host) > 0, F.regexp_replace(host, r"[\[\]]", "")))
-    # a host may hold a third of all pages: its few template rows are repeated, its pages dealt among them
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return mapped(placed.join(template, ["host", "salt"], "left").select("page_id", "url", "html", "host", "pieces"), _extract, "page_id long, url string, text string")
+    slim = slim.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    seen = stage(mapped(slim.select("row", "url", "html"), _scan, "row long, host string, main long, pieces array<long>"), "containers").where("host is not null")
+    counts = seen.select("host", "main", F.explode("pieces").alias("piece")).distinct().groupBy("host", "piece").agg(F.count("*").alias("n")).where(f"n >= {int(least_pages)}")
+    totals = seen.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    in_article = F.col("piece").bitwiseAND(F.lit(1)) == 1
+    template = counts.join(totals, "host").where(~in_article | (F.col("n") >= F.col("all") * least_share)).select("host", "piece")
+    # a page's own template hashes: as long as the page, whatever the host's size
+    own = seen.select("row", "host", F.explode("pieces").alias("piece")).join(template, ["host", "piece"]).groupBy("row").agg(F.collect_set("piece").alias("pieces"))
+    return mapped(slim.join(own, "row", "left").select("page_id", "url", "html", "pieces"), _extract, "page_id long, url string, text string")

@@ -333,6 +333,21 @@ def test_html_template(spark):
     assert sorted((r.page_id, r.text) for r in out) == [*[(i, f"own {i} text") for i in range(6)], (7, "The same words"), (8, ""), (8, "x")]
 
 
+def test_html_rare_templates(spark):
+    """A large host: each section's menu and a rare notice are on under 2% of its pages; article content stays."""
+    quoted = "<div><p>A passage quoted by a few articles</p></div>"
+    rows = []
+    for i in range(600):
+        menu = f"<div class=x{i % 60}><p>Section {i % 60}</p><p>its menu</p></div>"
+        notice = "<section><p>A rare notice</p></section>" if i % 150 == 7 else ""
+        body = f"<article><p>story {i}</p>{quoted if i % 200 == 3 else ''}</article>" if i % 2 else f"<div><p>story {i}</p></div>"
+        rows.append((i, f"http://big.org/{i}", f"<body>{menu}{notice}{body}</body>"))
+    rows.append((600, "http://small.org/", "<body><section><p>A rare notice</p></section><p>x</p></body>"))
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"story {i}" + ("\nA passage quoted by a few articles" if i % 200 == 3 else "") for i in range(600)}
+    assert out == want | {600: "A rare notice\nx"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
