@@ -12,8 +12,11 @@ so no list grows with the host.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are
 also known by tag, role, class or id, which serves hosts of few pages.
 
-The main text is that of the longest article, else of the main element, else
-of the body.  An element around an article or main element is never template.
+The main text is that of all top-level articles but comments and teasers, with
+the headings of the main element before them; without an article it is that of
+the longest main element, else of the body.  A teaser is an article marked so by class or id,
+or one whose first heading is a link only; where all are teasers, all stay.
+An element around an article or main element is never template.
 A header inside an article or main element belongs to it.
 
 Blocks (paragraphs, headings, list items, table rows, lines ended by a line
@@ -46,6 +49,11 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.2
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
+#: What is left of an element's attributes without these are names.
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDES = re.compile(r"(?:^|[\s=/])hidden(?:[\s=/]|$)", re.I)
+#: Elements that a slash ends at once although others of their kind hold raw text.
+FOREIGN = frozenset(("svg", "math"))
 
 #: Elements by their role in a page.
 RAW = frozenset("script style template noscript iframe svg textarea title xmp math object".split())
@@ -63,6 +71,8 @@ AROUND = frozenset(
     "alert disclaimer comment comments commentlist disqus replies respond share sharing social related recommended newsletter subscribe "
     "subscription signup login search searchbox popup modal overlay pagination pager skip widget complementary contentinfo".split()
 )
+TEASER = frozenset("teaser teasers card preview".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -79,17 +89,19 @@ def _aside(tag: str, raw: str) -> tuple[bool, str]:
     a = _attributes(raw)
     names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()
     out = not AROUND.isdisjoint(_WORD.findall(names)) and tag not in ("body", "html", "article", "main") or "comment" in names and tag == "article"
-    out = out or bool(_HIDDEN.search(a.get("style", ""))) or a.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) is not None and "hidden" not in a.get("class", "")
+    out = out or bool(_HIDDEN.search(a.get("style", ""))) or a.get("aria-hidden") == "true" or "hidden" in raw.lower() and _HIDES.search(_VALUE.sub("=", raw)) is not None
     return out, a.get("class", "")
 
 
 class _Frame:
-    __slots__ = ("tag", "out", "cls", "at", "parts", "holds")
+    __slots__ = ("tag", "out", "cls", "at", "parts", "holds", "last", "teaser")
 
     def __init__(self, tag: str, out: bool, cls: str, at: int):
         self.tag, self.out, self.cls, self.at = tag, out, cls, at
         self.parts: list[str] = []
         self.holds = False
+        self.last = ""  # the last element closed in it
+        self.teaser: bool | None = None  # of an article, as soon as it is known
 
 
 def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[int]]:
@@ -99,6 +111,8 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
     stack = [_Frame("#", False, "", 0)]
     hashes: set[int] = set()
     spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
+    teasers: set[tuple[int, int]] = set()
+    headings: list[tuple[int, int]] = []  # of main elements, outside their articles
     inside = 0  # articles and main elements that are open
     articles = 0  # articles that are open
     out = 0  # elements beside the main text that are open
@@ -122,10 +136,21 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
             flush()
         digest = hashlib.blake2b(f"{tag}\0{f.cls}\0{'\0'.join(f.parts)}".encode("utf-8", "replace"), digest_size=8).digest()
         stack[-1].parts.append(digest.hex())
+        stack[-1].last = tag
+        if tag in HEADING and inside:
+            if not articles:
+                headings.append((f.at, len(blocks)))
+            elif f.parts:
+                around = next(x for x in reversed(stack) if x.tag == "article")
+                if around.teaser is None:
+                    around.teaser = len(f.parts) == 1 and f.last == "a"
         if tag in spans:
             inside -= 1
             articles -= tag == "article"
-            spans[tag].append((f.at, len(blocks)))
+            if tag == "main" or not articles:
+                spans[tag].append((f.at, len(blocks)))
+                if f.teaser:
+                    teasers.add(spans[tag][-1])
             f.holds = True
         if f.holds:
             stack[-1].holds = True
@@ -134,6 +159,8 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
             hashes.add(h)
             if h in template:
                 del blocks[f.at :]
+                while headings and headings[-1][0] >= f.at:
+                    headings.pop()
 
     def text(piece: str) -> None:
         if piece and not out:
@@ -165,6 +192,8 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
                 flush()
             continue
         raw = m[3] if m[2] else m[6]
+        if tag in FOREIGN and raw.endswith("/"):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = stop.end() if stop else end
@@ -201,14 +230,20 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
         out += beside
         if tag in spans and not beside:
             inside += 1
-            articles += tag == "article"
+            if tag == "article":
+                articles += 1
+                if raw and not raw.isspace() and not TEASER.isdisjoint(_WORD.findall(f"{cls} {_attributes(raw).get('id', '')}".lower())):
+                    stack[-1].teaser = True
     while len(stack) > 1:
         close()
     flush()
-    for kind in ("article", "main"):
-        if spans[kind]:
-            lo, hi = max(spans[kind], key=lambda s: (sum(map(len, blocks[s[0] : s[1]])), -s[0]))
-            return "\n".join(blocks[lo:hi]), hashes
+    if spans["article"]:
+        kept = [x for x in spans["article"] if x not in teasers and x[0] < x[1]] or spans["article"]
+        kept = [x for x in headings if x[1] <= kept[0][0] and any(lo <= x[0] and kept[0][1] <= hi for lo, hi in spans["main"])] + kept
+        return "\n".join(b for lo, hi in kept for b in blocks[lo:hi]), hashes
+    if spans["main"]:
+        lo, hi = max(spans["main"], key=lambda s: (sum(map(len, blocks[s[0] : s[1]])), -s[0]))
+        return "\n".join(blocks[lo:hi]), hashes
     return "\n".join(blocks), hashes
 
 

@@ -326,6 +326,24 @@ def test_html():
     assert html_text.parse("<div>" * 5000 + "deep" + "</div>" * 5000)[0] == "deep"
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a</p><svg/><p>b</p><math />c", "a\nb\nc"),
+        ("<p>a</p><svg><text>x</text></svg><p>b</p>", "a\nb"),
+        ('<article title="the hidden cost"><p>a</p></article>', "a"),
+        ("<p>a</p><div hidden>x</div><div data-x='1' HIDDEN=''>y</div><div class='a hidden b'>z</div>", "a\nz"),
+        ("<article><p>a</p></article><article><p>longer b</p></article>", "a\nlonger b"),
+        ("<article><p>a</p><article class=comment><p>no</p></article><article><p>within</p></article></article>", "a\nwithin"),
+        ("<article><h2>A</h2><p>a</p></article><article><h3><a href=x>T</a></h3><p>a teaser of some length</p></article><article class='post teaser'><p>t</p></article>", "A\na"),
+        ("<article><h3><a href=x>T</a></h3></article><article><h3><a href=y>U</a></h3></article>", "T\nU"),
+        ("<h1>Site</h1><main><h1>Title</h1><p>lead</p><article><p>a</p></article><h2>More</h2></main>", "Title\na"),
+    ],
+)
+def test_html_faults(page, want):
+    assert html_text.parse(page)[0] == want
+
+
 def test_html_template(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div class=x>The same words</div><div><p>own {i} text</p></div></body>") for i in range(6)]
     rows += [(7, "http://other.org/", "<body><div class=x>The same words</div></body>"), (8, None, None), (8, "", "<p>x</p>")]
