@@ -173,10 +173,10 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 def _predict(model: Model | None):
     def work(batches):
         for b in batches:
-            langs, scores = [], []
+            langs, scores, sures = [], [], []
             text = b.column("text")
             if model is None:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([UNDECIDED] * b.num_rows, pa.string()), pa.array(np.zeros(b.num_rows))], [*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([UNDECIDED] * b.num_rows, pa.string()), pa.array(np.zeros(b.num_rows)), pa.array(np.zeros(b.num_rows))], [*b.schema.names, "lang_pred", "score", "sure"])
                 continue
             data, off = B.raw(_low(text))
             names = np.array([*model.labels, UNDECIDED], object)
@@ -186,16 +186,19 @@ def _predict(model: Model | None):
                 mass = total.sum(axis=1)
                 best = np.where(mass > 0, total.argmax(axis=1), len(model.labels))
                 share = np.where(mass > 0, total.max(axis=1) / np.maximum(mass, 1e-300), 0.0)
+                tops = _sum_rows((gamma.max(axis=1) * size)[:, None], first)[:, 0] if len(gamma) else np.zeros(j - i)
+                sure = np.where(mass > 0, tops / np.maximum(mass, 1e-300), 0.0)
                 # bytes beyond ASCII need not be letters
                 for r in np.flatnonzero(mass > 0):
                     lo, hi = off[i + r], off[i + r + 1]
                     if hi - lo < 64 and not any(c.isalpha() for c in data[lo:hi].tobytes().decode("utf-8", "replace")):
-                        best[r], share[r] = len(model.labels), 0.0
+                        best[r], share[r], sure[r] = len(model.labels), 0.0, 0.0
                     elif hi - lo >= 64 and not (~B.NO_LETTER[:128])[np.minimum(data[lo : lo + 4096], 127) * (data[lo : lo + 4096] < 128)].any() and not any(c.isalpha() for c in data[lo:hi].tobytes().decode("utf-8", "replace")):
-                        best[r], share[r] = len(model.labels), 0.0
+                        best[r], share[r], sure[r] = len(model.labels), 0.0, 0.0
                 langs.append(names[best])
                 scores.append(np.minimum(share, 1.0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(langs) if langs else [], pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*b.schema.names, "lang_pred", "score"])
+                sures.append(np.minimum(sure, 1.0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(langs) if langs else [], pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(np.concatenate(sures) if sures else np.zeros(0))], [*b.schema.names, "lang_pred", "score", "sure"])
 
     return work
 
@@ -213,9 +216,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns ``keep`` with the predicted label and its score, for every row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score", sure: str | None = None) -> DataFrame:
+    """The columns ``keep`` with the predicted label and its score, for every row.
+
+    score: the label's share of the words' mass.  ``sure``: name of a further
+    column, the mean certainty of each word's own label; it stays high where a
+    text changes between languages.
+    """
     slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType([*slim.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*slim.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
     out = mapped(slim, _predict(model), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred), F.col("score").alias(score))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred), F.col("score").alias(score), *([F.col("sure").alias(sure)] if sure else []))

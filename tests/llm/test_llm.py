@@ -409,3 +409,18 @@ def test_pipeline_order(spark, tmp_path):
     assert positions == sorted(set(positions))
     out.write.parquet(str(tmp_path / "out"))
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).orderBy("position").collect()] == want
+
+
+def test_pipeline_keeps_mixed_languages(spark):
+    """A clean text in equal parts of each language stays; texts without letters go."""
+    import corpus_pipeline
+
+    docs = _sf(spark, "documents")
+    of = {}
+    for r in docs.where("length(text) > 1500 and lang is not null").orderBy("doc_id").collect():
+        of.setdefault(r.lang, r.text[:1500].rsplit(" ", 1)[0])
+    assert len(of) >= 3
+    rows = [(-1, " ".join(of[x] for x in sorted(of)[:3])), (-2, " ".join(of[x] for x in sorted(of))), (-3, "123 !? 456"), (-4, None)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), "").select("doc_id").collect()}
+    assert kept & {-1, -2, -3, -4} == {-1, -2}
