@@ -11,7 +11,7 @@ other way.  Labels of non-toxic rows are used for the prior alone.
 
 Words are runs of letters, A-Z lower-cased; a word's features are the word and
 its beginnings of four to six bytes, since insults are inflected and compounded.
-The vocabulary are the features that are over-represented in P.  Scoring hashes
+The vocabulary are all features that are over-represented in P.  Scoring hashes
 the words of whole texts in numpy and looks them up in the sorted vocabulary.
 
 Defined results: a null or empty text gets the score of a text without known
@@ -32,8 +32,8 @@ from fieldglass.llm import _bytes as B
 from fieldglass.llm._sample import bounded, texts_of
 from fieldglass.llm._shared import mapped
 
-#: Bounds of the training sample and of the vocabulary.
-POSITIVES, UNLABELLED, VOCABULARY = 3000, 9000, 1024
+#: Bounds of the training sample; it bounds the vocabulary, too.
+POSITIVES, UNLABELLED = 3000, 9000
 #: A word is known if so many confirmed texts hold it.
 LEAST = 4
 #: ... and it is so much (log) more frequent among them.
@@ -103,7 +103,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     cu = np.searchsorted(every, vp, "right") - np.searchsorted(every, vp, "left")
     lift = np.log((cp + 0.5) / len(positive)) - np.log((cu + 0.5) / len(unlabelled))
     gain = np.where(lift > LIFT, cp * lift, 0)
-    top = np.sort(np.argsort(-gain, kind="stable")[: min(VOCABULARY, int((gain > 0).sum()))])
+    top = np.flatnonzero(gain > 0)
     model = Model(vp[top], np.zeros(len(top)), 0.0)
 
     def pairs(sets):

@@ -318,6 +318,16 @@ def test_toxicity():
     assert toxicity.fit([], sets(clean[:5]), 0.25).bias == pytest.approx(np.log(1 / 3))
 
 
+def test_toxicity_many_words():
+    """More toxic words than a thousand: each of them is in the vocabulary."""
+    n = 1500
+    bad = [np.array([10_000 + i], np.uint64) for i in range(n) for _ in range(4)]
+    clean = [np.array([1 + i % 900], np.uint64) for i in range(6000)]
+    m = toxicity.fit(bad, clean, 0.3)
+    assert len(m.words) == n
+    assert (m.lookup(np.arange(10_000, 10_000 + n, dtype=np.uint64)) >= 0).all()
+
+
 def test_html():
     page = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><div id=sidebar>side</div><div class="cookie-notice">we use</div>
 <main><article><header><h1>T &amp;amp; x</h1></header><p>a  b<p>c<ul><li>1<li>2</ul><script>var t="</p>";</script><form><p>f</p></form><section class="comments"><p>no</p></section><p>end &nbsp; &#233; &am</article></main><footer>f</footer"""
