@@ -327,6 +327,21 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d)
 
 
+def _signature(width: int):
+    """Signs of the first ``width`` components, 64 at most; a missing one counts as not positive."""
+    total = F.lit(0).cast("long")
+    for i in range(width):
+        value = (1 << i) - (1 << 64 if i == 63 else 0)
+        total = total.bitwiseOR(F.when(F.get("embedding", F.lit(i)) > 0, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+    return total
+
+
+@query()
+def near_duplicates_64(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's 4-bit search over the whole 64-bit signature."""
+    return duplicates.hamming_pairs(S.table(spark, d, "embeddings").select("vec_id", _signature(64).alias("bits")), "vec_id", "bits", 64, 4)
+
+
 @query(_BITS + ", e as (select first_id a, second_id b from p union all select second_id, first_id from p), r(n, u) as (select a, a from e union select r.n, e.b from r join e on r.u=e.a) select n node, min(u) component from r group by 1")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_near(spark, d), "first_id", "second_id")

@@ -264,3 +264,21 @@ def test_diverse(spark):
     assert selection.diverse(df, {"a": 1, "b": 2}, 7) == [1, 6, 5]
     with pytest.raises(ValueError):
         selection.diverse(df, {"a": 1, "b": 3}, 7)
+
+
+def test_near_duplicates_64(spark, tmp_path):
+    """Planted pairs at 0 to 6 bits, the last bit among them, against all pairs."""
+    rng = random.Random(5)
+    signs = [[rng.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(40)]
+    for i in range(21):
+        v = list(signs[i])
+        for k in {63, *rng.sample(range(63), 6)} if i == 20 else rng.sample(range(63), i % 7):
+            v[k] = -v[k]
+        signs.append(v)
+    v = list(signs[30])
+    v[63] = -v[63]
+    signs.append(v)
+    spark.createDataFrame(list(enumerate(signs)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {(i, j, n) for j in range(len(signs)) for i in range(j) if (n := sum(a != b for a, b in zip(signs[i], signs[j], strict=True))) <= 4}
+    assert len(want) > 10 and (30, 61, 1) in want
+    assert {tuple(r) for r in QUERIES["near_duplicates_64"](spark, str(tmp_path)).collect()} == want
