@@ -1,27 +1,35 @@
 """Connected components of a link table, without collecting it.
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014): each
-round is one min-aggregation and one equi join on the node, so a node with
-very many links is pre-aggregated before the shuffle and its join partition
-is split by adaptive execution.  Rounds are written to the shared folder.
+round is one min-aggregation and one equi join on the node.  The aggregation
+combines before its shuffle.  Nodes with more than a 256th of all links are at
+most 512; their minima are broadcast and their links never shuffled by
+node, so no task gets a hot node.  Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.plans.scratch import stage
+from fieldglass.plans import scratch
+
+#: A node is hot with more links than this and than a share of all.
+HOT, SHARE = 1024, 256
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """One star round over (a, b); every edge is seen from one or both ends."""
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    busy = F.broadcast(least.where(F.col("n") > hot).select("a", F.col("m").alias("top")))
+    seen = near.join(busy, "a", "left")
+    joined = seen.where("top is null").join(least.select("a", "m"), "a").select("a", "b", "m").unionByName(seen.where("top is not null").select("a", "b", F.col("top").alias("m")))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -30,19 +38,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, stage: Callable[[DataFrame, str], DataFrame] = scratch.stage) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Nodes are longs.  Nulls and self-links are ignored; an empty table gives
-    no rows; repeated links count once.
+    no rows; repeated links count once.  ``stage`` writes a table and reads it back.
     """
     edges = stage(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "links")
-    told = None
-    while True:
-        edges = stage(_star(_star(edges, True), False), "star")
+    told, size = None, edges.count()
+    while size:
+        # a star keeps the number of edges at most; both directions count
+        hot = max(HOT, 2 * size // SHARE)
+        edges = stage(_star(_star(edges, True, hot), False, hot), "star")
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if tuple(now) == told:
             break
-        told = tuple(now)
+        told, size = tuple(now), now[0]
     tops = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -1,8 +1,9 @@
 """Shared folder for written intermediates.
 
 Intermediates that cut lineage go to the folder the cluster names in
-``spark.checkpoint.dir``.  Only where that setting is absent (tests, a
-laptop) a temporary folder of this process is used.
+``spark.checkpoint.dir``.  Only where that setting is absent and the master is
+local (tests, a laptop) a temporary folder of this process is used; a cluster
+without it is refused, for its executors share no local folder.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "root" not in _OWN:
             _OWN["root"] = tempfile.mkdtemp(prefix="fieldglass-")
             atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
@@ -30,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{root.rstrip('/')}/fieldglass-{app}"
     if path not in _USED:
         _USED.add(path)
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
