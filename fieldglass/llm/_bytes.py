@@ -8,6 +8,7 @@ never from a Python loop over words.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-_P = 0x9E3779B97F4A7C15
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_P = np.uint64(0x9E3779B97F4A7C15)
+_C = np.uint64(0xD6E8FEB86659FD93)
+#: Spans longer than this are hashed one at a time by BLAKE2.
+LONG = 64
+#: The bytes of a word that belong to a span, by their number.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -59,21 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
-_FOLDED = _CODE[FOLD]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = 1 << max(18, (n - 1).bit_length())
-        inverse = pow(_P, -1, 1 << 64)
-        for k, base in enumerate((_P, inverse)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POW[k] = np.multiply.accumulate(a)
-    return _POW[0][:n], _POW[1][:n]
-
-
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -118,16 +108,41 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, A-Z lower-cased if ``fold``."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _CODE)[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, A-Z lower-cased if ``fold``; lanes are independent.
 
-
-def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's runs of k words (all its words, if fewer), and each row's first run."""
+    Eight bytes are taken up at a time, each time through a bijective mixing:
+    spans of one length up to eight never collide, and no pattern of bytes cancels out.
+    """
+    n = len(data)
+    held = np.zeros(n + 8, np.uint8)
+    held[:n] = FOLD[data] if fold else data
+    words = np.ndarray((n + 1,), "<u8", held, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _P + mix(np.full(1, lane + 1, np.uint64)))
+    own, short = np.arange(len(size)), size <= LONG
+    if not short.all():
+        own = own[short]
+        for i in np.flatnonzero(~short).tolist():
+            digest = hashlib.blake2b(held[starts[i] : ends[i]].tobytes(), digest_size=8, salt=lane.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
+    step = 0
+    while len(own):
+        left = size[own] - step
+        own, left = (own, left) if (left > 0).all() else (own[left > 0], left[left > 0])
+        if not len(own):
+            break
+        taken = words[starts[own] + step] & _MASK[np.minimum(left, 8)]
+        out[own] = mix((out[own] ^ taken) * _C)
+        step += 8
+    return out
+
+
+def shingles(words: np.ndarray, first: np.ndarray, k: int, other: np.ndarray | None = None):
+    """(hashes of each row's runs of k words, or of all its words if fewer; each row's first run).
+
+    ``other``: a second lane of the words; then the runs' second hashes come last.
+    """
     count = np.diff(first)
     n = len(words)
     runs = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
@@ -135,25 +150,41 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     np.cumsum(runs, out=begin[1:])
     rows = np.repeat(np.arange(len(runs)), runs)
     at = first[:-1][rows] + np.arange(begin[-1]) - begin[:-1][rows]
-    out = np.zeros(len(at), np.uint64)
     short = count[rows] < k
-    for j in range(k):
-        use = ~short | (j < count[rows])
-        nxt = mix(out * np.uint64(0xD6E8FEB86659FD93) + words[np.minimum(at + j, n - 1)] + np.uint64(j + 1)) if n else out
-        out = nxt if use.all() else np.where(use, nxt, out)
-    return out, begin
+
+    def chained(lane: np.ndarray, whole: bool) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for j in range(k if n else 0):
+            use = ~short | (j < count[rows])
+            nxt = out * _C + lane[np.minimum(at + j, n - 1)] + np.uint64(j + 1)
+            nxt = mix(nxt) if whole else nxt
+            out = nxt if use.all() else np.where(use, nxt, out)
+        return out if whole else mix(out)
+
+    return (chained(words, True), begin) if other is None else (chained(words, True), begin, chained(other, False))
 
 
-def sets(hashed: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct values, sorted, and the rows' first positions."""
-    out, size = [], np.zeros(len(begin), np.int64)
+def sets(hashed: np.ndarray, begin: np.ndarray, other: np.ndarray | None = None):
+    """(each row's distinct values, sorted; the rows' first positions); with ``other`` its values come last."""
+    out, second, size = [], [], np.zeros(len(begin), np.int64)
     for r in range(len(begin) - 1):
-        a = np.sort(hashed[begin[r] : begin[r + 1]])
+        a = hashed[begin[r] : begin[r + 1]]
+        if other is None:
+            a = np.sort(a)
+        else:
+            order = np.argsort(a)
+            a, o = a[order], other[begin[r] : begin[r + 1]][order]
         if len(a) > 1:
-            a = a[np.concatenate(([True], a[1:] != a[:-1]))]
+            fresh = np.concatenate(([True], a[1:] != a[:-1]))
+            a = a[fresh]
+            if other is not None:
+                o = o[fresh]
         out.append(a)
+        if other is not None:
+            second.append(o)
         size[r + 1] = len(a)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(size)
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+    return (joined(out), np.cumsum(size)) if other is None else (joined(out), np.cumsum(size), joined(second))
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

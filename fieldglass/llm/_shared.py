@@ -1,15 +1,7 @@
-"""Shared folder for written intermediates, and a bounded row filter.
-
-Intermediates that cut lineage go to the folder the cluster names in
-``spark.checkpoint.dir``.  Only where that setting is absent (tests, a
-laptop) a temporary folder of this process is used.
-"""
+"""Written intermediates that pass, Arrow work of bounded batches, and a bounded row filter."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -18,39 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
+from fieldglass.plans.scratch import partitions, remove, shared_dir
 
-_OWN: dict[str, str] = {}
-_USED: set[str] = set()
+__all__ = ["free_name", "heavy", "mapped", "marked", "might_contain", "partitions", "passing", "split_join", "stage", "unpacked"]
 
 #: The row filter's bits: 2**25 bits are at most 1024 rows of 4 KiB.
 FILTER_BITS = 25
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for this application."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        if "root" not in _OWN:
-            _OWN["root"] = tempfile.mkdtemp(prefix="fieldglass-")
-            atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
-        root = "file://" + _OWN["root"]
-    path = f"{root.rstrip('/')}/fieldglass-{app}"
-    if path not in _USED:
-        _USED.add(path)
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended already; its owner clears the folder
-        pass
-
-
 _PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
@@ -64,7 +30,7 @@ def passing(spark: SparkSession):
     finally:
         _PASSING.reset(token)
         for path in mine:
-            _remove(spark, path)
+            remove(spark, path)
 
 
 #: Writers hold a row group of each task whole, and pages of a hundred rows
@@ -101,12 +67,18 @@ def mapped(df: DataFrame, work, schema) -> DataFrame:
     return df.mapInArrow(B.released(work), schema)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def packed(df: DataFrame) -> Column:
+    """The caller's whole row as one value, so that no name of it can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``df`` out of a packed row."""
+    return [F.col(row)[c].alias(c) for c in df.columns]
 
 
 def marked(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """``big`` with a flag ``_may``: whether the row's key may be among ``small``'s keys.
+    """(row, key, may): ``big``'s packed rows, their keys, and whether the key may be among ``small``'s keys.
 
     A bitmap of 2**bits hash positions is aggregated in Spark and joined by
     broadcast: at most 2**bits / 32768 rows of 4 KiB whatever the inputs'
@@ -115,18 +87,42 @@ def marked(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bit
     """
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     maps = (
-        small.select(h(small_key).alias("_h"))
-        .groupBy(F.bitmap_bucket_number("_h").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+        small.select(h(small_key).alias("h"))
+        .groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     )
-    cols = [F.col(f"`{c}`") for c in big.columns]
-    probe = big.withColumn("_h", h(key)).withColumn("_bucket", F.bitmap_bucket_number("_h"))
-    pos = F.bitmap_bit_position("_h")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    probe = big.select(packed(big).alias("row"), key.alias("key")).withColumn("h", h(F.col("key"))).withColumn("bucket", F.bitmap_bucket_number("h"))
+    pos = F.bitmap_bit_position("h")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(F.lit(1))
-    return probe.join(F.broadcast(maps), "_bucket", "left").select(*cols, F.coalesce(bit == 1, F.lit(False)).alias("_may"))
+    return probe.join(F.broadcast(maps), "bucket", "left").select("row", "key", F.coalesce(bit == 1, F.lit(False)).alias("may"))
 
 
 def might_contain(big: DataFrame, key: Column, small: DataFrame, small_key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``big`` whose key may be among ``small``'s keys; see ``marked``."""
-    return marked(big, key, small, small_key, bits).where("_may").drop("_may")
+    return marked(big, key, small, small_key, bits).where("may").select(*unpacked(big))
+
+
+def heavy(total: int) -> int:
+    """A key with more rows than this, of ``total``, is dealt over several tasks; at most 256 keys are."""
+    return max(1024, total // 256)
+
+
+def split_join(big: DataFrame, small: DataFrame, hot: int) -> DataFrame:
+    """``big`` (with a key k) with the value v that ``small`` (k, v, n) has for it, or null.
+
+    n is the number of the key's rows.  Keys of more than ``hot`` rows are
+    broadcast (few, see ``heavy``), the others joined by a shuffle.
+    """
+    busy = F.broadcast(small.where(F.col("n") > hot).select("k", F.col("v").alias("busy")))
+    seen = big.join(busy, "k", "left")
+    cold = seen.where("busy is null").drop("busy").join(small.where(F.col("n") <= hot).select("k", "v"), "k", "left")
+    return cold.unionByName(seen.where("busy is not null").withColumnRenamed("busy", "v"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores behind it until no column has it, whatever the letters' case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

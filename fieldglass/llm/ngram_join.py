@@ -1,7 +1,9 @@
 """Similarity self-join of word-shingle sets by universe partition.
 
-A document is the set of its k-word shingles, hashed to 64 bits.  Equal sets
-are one class.  Two sets of sizes r <= s that are similar enough differ in at
+A document is the set of its k-word shingles.  A shingle is a 64-bit token; a
+second, independent lane of hashes goes into the 128-bit name by which equal
+sets are one class.  Sets so small that only an equal one is similar enough
+need no search: their class is their component.  Two larger sets of sizes r <= s that are similar enough differ in at
 most H(r, s) elements.  Within a band of sizes the universe of tokens is cut
 by a hash into m segments; so among segments that together count H + 1 units,
 one at least agrees.  A segment is indexed in one of two ways, allocated for
@@ -19,6 +21,12 @@ not with their pairs.  Candidates are verified exactly on the sets.  Where
 the members of a key's bucket end in several components, further members
 become hubs until every pair of them is linked or verified.
 
+What rests on hashes: a false link needs two documents that are a shingle or
+two short of the threshold and two of whose other shingles collide in 64 bits
+(10^13 such pairs would give one with a chance of 10^-6), or two sets that
+collide in 128 bits.  Classes that share the first 64 bits are told apart by
+the rest and renamed where they are.
+
 Defined results: null or blank texts have empty sets and link with nothing;
 a text of fewer than k words is one shingle; a null identifier names a
 component only if it has no other; repeated rows link with each other; an
@@ -36,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._components import components
-from fieldglass.llm._shared import mapped, marked, might_contain, partitions, passing, stage
+from fieldglass.llm._shared import mapped, marked, might_contain, partitions, passing, stage, unpacked
+from fieldglass.operators.graph import components
 
 #: Keys' worth of a set that runs out of segments.
 CHARGE = 2_000
@@ -155,42 +163,46 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     return keys[order], begin
 
 
-def _fingerprints(tokens: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
-    total = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(B.mix(tokens ^ np.uint64(salt & 0xFFFFFFFFFFFFFFFF)), out=total[1:])
+def _fingerprints(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(B.mix(values), out=total[1:])
     return B.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
 
 
 def _token_sets(column: pa.Array, k: int):
-    """For parts of the column: (rows, tokens, first)."""
+    """For parts of the column: (rows, tokens, first, the sets' names, their second halves)."""
     data, off = B.raw(column)
     for i, j in B.pieces(off, PIECE):
         own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
         starts, ends, first = B.spans(part, own)
-        yield (i, j), *B.sets(*B.shingles(B.hashes(part, starts, ends), first, k))
+        words, other = B.hashes(part, starts, ends), B.hashes(part, starts, ends, lane=1)
+        tokens, first, second = B.sets(*B.shingles(words, first, k, other))
+        yield (i, j), tokens, first, _fingerprints(tokens, first), _fingerprints(second, first)
 
 
-def _index(k: int, percent: int, remember: int, salt: int):
-    """doc_id, class, check, n and the index keys; a class's keys once a task."""
+def _index(k: int, percent: int, remember: int):
+    """id, class (two halves), n and the index keys; a class's keys once a task."""
 
     def work(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for (i, j), tokens, first in _token_sets(batch.column("text"), k):
-                cid, check = _fingerprints(tokens, first, salt), _fingerprints(tokens, first, ~salt)
+            for (i, j), tokens, first, cid, check in _token_sets(batch.column("text"), k):
+                n = np.diff(first)
+                # a set that is similar to equal ones alone needs no key
+                sought = differing(n, largest_partner(n, percent), percent) > 0
                 fresh = np.zeros(j - i, bool)
-                for r, c in enumerate(cid.tolist()):
+                for r in np.flatnonzero(sought).tolist():
+                    c = (int(cid[r]), int(check[r]))
                     if c not in seen:
                         fresh[r] = True
                         if len(seen) < remember:
                             seen.add(c)
-                n = np.diff(first)
                 keep = np.repeat(fresh, n)
                 part = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(np.where(fresh, n, 0), out=part[1:])
                 keys, begin = signatures(tokens[keep], part, percent)
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((begin * 8).tobytes()), pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), B.longs(cid), B.longs(check), pa.array(n), blob], ["doc_id", "cid", "chk", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), B.longs(cid), B.longs(check), pa.array(n), blob], ["id", "cid", "chk", "n", "keys"])
 
     return work
 
@@ -278,12 +290,12 @@ def _unpack(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["key", "cid"])
 
 
-def _sets_of(k: int, salt: int):
+def _sets_of(k: int):
     def work(batches):
         for batch in batches:
-            for (_i, _j), tokens, first in _token_sets(batch.column("text"), k):
+            for (_i, _j), tokens, first, cid, check in _token_sets(batch.column("text"), k):
                 blob = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * 8).tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([B.longs(_fingerprints(tokens, first, salt)), blob], ["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([B.longs(cid), B.longs(check), blob], ["raw", "chk", "tokens"])
 
     return work
 
@@ -375,7 +387,7 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     spark = named.sparkSession
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("hub"), F.count("*").alias("m")).where("lo <> hi and m > 2")
     star = named.join(split.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    block = components(star, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("block"))
+    block = components(star, "a", "b", stage).select(F.col("node").alias("cid"), F.col("component").alias("block"))
     # similar sets are at most two size classes apart
     grade = F.floor(F.log(F.octet_length("tokens") / 8) * (2 / math.log(100 / percent))).cast("int")
     placed = block.join(tokens, "cid").withColumn("grade", grade)
@@ -392,7 +404,7 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return mapped(both, _compare(percent), "a long, b long")
 
 
-def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent: int, salt: int, parts: int) -> DataFrame:
+def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """(cid, component_id) of every class with shingles, as a written table."""
     spark = slim.sparkSession
     with passing(spark):
@@ -402,9 +414,9 @@ def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent
     links = shared.where(F.col("kind") == _LINK).select("a", "b").distinct()
     members = mapped(shared.where(F.col("kind") == _MEMBER).select("keys", "cids"), _unpack, "key long, cid long").distinct()
     # the sets of candidates, read anew
-    some = stage(classes.select("cid", "top").join(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "cid"), "candidates")
-    wanted = might_contain(slim, F.coalesce("doc_id", F.lit(-1)), some, F.coalesce("top", F.lit(-1)))
-    tokens = stage(mapped(wanted, _sets_of(k, salt), "cid long, tokens binary").join(some.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "tokens")
+    some = stage(classes.select("cid", "raw", "chk", "top").join(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "cid"), "candidates")
+    wanted = might_contain(slim, F.col("id"), some, F.col("top"))
+    tokens = stage(mapped(wanted.select("text"), _sets_of(k), "raw long, chk long, tokens binary").join(some.select("raw", "chk", "cid"), ["raw", "chk"]).select("cid", "tokens").dropDuplicates(["cid"]), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -412,53 +424,74 @@ def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent
         return stage(mapped(two.select("a", "b", "ta", "tb"), _verify(percent), "a long, b long, ok boolean"), "verified")
 
     found = verified(links).where("ok").select("a", "b")
-    comp = components(found, "a", "b")
+    comp = components(found, "a", "b", stage)
     named = members.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     more = stage(_blocks(stage(named, "named"), tokens, percent), "block-links")
     if not more.isEmpty():
-        comp = components(found.unionByName(more), "a", "b")
+        comp = components(found.unionByName(more), "a", "b", stage)
     top = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "top", F.coalesce("component", "cid").alias("comp"))
     least = top.groupBy("comp").agg(F.min("top").alias("component_id"))
     return stage(top.join(least, "comp").select("cid", "component_id"), "names", lasting=True)
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def _told_apart(full: DataFrame) -> DataFrame:
+    """The rows, each class under a 64-bit name ``cid`` of its own; ``raw`` is the first half of the full name.
 
-    Sets link when 100 * intersection >= percent * union.  ``salt``: of the
-    classes' 64-bit names; where two classes share a name, another is taken.
+    Of classes that share a first half, all but one are renamed by a hash of
+    the full name.  Shared halves are as rare as 64-bit collisions.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage(mapped(slim, _index(k, percent, 1 << 18, salt), "doc_id long, cid long, chk long, n long, keys binary"), "sets")
-    full = rows.where("n > 0")
-    classes = full.groupBy("cid").agg(F.min("doc_id").alias("top"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
-    if not classes.where("c0 <> c1").isEmpty():
-        return ngram_join(docs, k, percent, id_col, text_col, salt + 1)
+    full = full.withColumn("raw", F.col("cid"))
+    while True:
+        twice = full.groupBy("cid").agg(F.min("chk").alias("least"), F.max("chk").alias("most")).where("least <> most").select("cid", "least")
+        if twice.isEmpty():
+            return full
+        twice = stage(twice, "shared-names")
+        renamed = F.when(F.col("least").isNotNull() & (F.col("chk") != F.col("least")), F.xxhash64("cid", "chk")).otherwise(F.col("cid"))
+        full = full.join(twice, "cid", "left").withColumn("cid", renamed).drop("least")
+
+
+def _joined(slim: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n, component_id) of rows (id, text); ids are of any type with an order."""
+    spark = slim.sparkSession
+    kind = slim.schema["id"].dataType.simpleString()
+    rows = stage(mapped(slim, _index(k, percent, 1 << 17), f"id {kind}, cid long, chk long, n long, keys binary"), "sets")
+    full = _told_apart(rows.where("n > 0"))
+    classes = full.groupBy("cid").agg(F.min("raw").alias("raw"), F.min("chk").alias("chk"), F.min("id").alias("top"))
     entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
     parts = max(partitions(spark), -(-entries // ENTRIES))
     with passing(spark):
-        name = _named(slim, full, classes, k, percent, salt, parts)
-    linked = full.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(name, "cid").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+        name = _named(slim, full, classes, k, percent, parts)
+    linked = full.select("id", "n", "cid").join(name, "cid").select("id", "n", "component_id")
+    return linked.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+
+
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Sets link when 100 * intersection >= percent * union.
+    """
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _joined(slim, k, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of the smallest identifier stays.
 
-    Rows are known by a hash of identifier and text; only rows that may be
-    dropped are joined.
+    A null identifier ranks behind all others.  Rows are known by identifier
+    and 128 bits of their text's SHA-256; of rows equal in both, one stays: the
+    least by a hash of the whole row.  Rows without words have no duplicates
+    but such.  All columns pass through, whatever their names.
     """
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    name = F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
-    named = docs.select(name.alias("_name"), ident.alias("_id"), text.alias("text"))
+    body = F.coalesce(text, F.lit(""))
+    name = F.struct(ident.isNull().alias("nil"), ident.alias("id"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("text"))
     with passing(docs.sparkSession):
-        linked = stage(ngram_join(named.select("_name", "text"), k, percent, "_name", "text").select(F.col("doc_id").alias("_name"), "component_id"), "joined", lasting=True)
-    again = linked.join(named.select("_name", "_id"), "_name").distinct()
-    group = again.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_name").alias("name"))).alias("top"), F.count("*").alias("m")).where("m > 1")
-    drop = stage(again.join(group, "component_id").where(F.col("_name") != F.col("top.name")).select(F.col("_name").alias("_drop")), "near-copies")
-    rows = marked(docs.withColumn("_name", name), F.col("_name"), drop, F.col("_drop"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = rows.where("_may").join(drop, F.col("_name") == F.col("_drop"), "left_anti")
-    return rows.where("not _may").select(*cols).unionByName(maybe.select(*cols))
+        linked = stage(_joined(docs.select(name.alias("id"), text.alias("text")), k, percent).select("id", "component_id"), "joined", lasting=True)
+    # rows that share a component, with whether their name is the one that stays
+    several = linked.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1")
+    told = stage(linked.join(several, "component_id").groupBy("id").agg(F.first(F.col("id") == F.col("component_id")).alias("stays")), "near-copies")
+    rows = marked(docs, name, told, F.col("id"))
+    maybe = rows.where("may").join(told, F.col("key") == F.col("id"), "left")
+    alone = maybe.where("stays is null").select("row")
+    first = maybe.where("stays").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return rows.where("not may").select("row").unionByName(alone).unionByName(first).select(*unpacked(docs))

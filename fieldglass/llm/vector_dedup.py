@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._components import components
 from fieldglass.llm._shared import mapped, partitions, stage
+from fieldglass.operators.graph import components
 
 #: Vectors a pivot stands for; most pivots (a pivot is one vector, so the
 #: broadcast is bounded by this number); classes of a cell joined at once.
