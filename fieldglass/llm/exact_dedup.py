@@ -8,11 +8,14 @@ digest.  In each shard runs enter one after the other: a key that a level's
 filter excludes is not searched there; levels of similar size are merged, and
 the compaction keeps the preferred identifier of each digest.  Hits across
 runs are then verified by joining the entries' texts and comparing their bytes;
-texts that only share a digest are told apart.
+texts that only share a digest are told apart.  There are as many shards as
+the entries need, and the entries of a text that very many runs hold are
+dealt over several tasks, each with a copy of the text they are compared to.
 
 Defined results: a null text counts as empty; a null identifier ranks below
-all others; of rows equal in identifier and text one stays; an empty table
-gives no rows; other columns of the input are ignored.
+all others; of rows equal in identifier and text one stays (in
+``distinct_texts`` the least by a hash of the whole row); an empty table
+gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import mapped, marked, might_contain, partitions, passing, stage
+from fieldglass.llm._shared import heavy, mapped, marked, might_contain, partitions, passing, split_join, stage, unpacked
 
 #: A memtable is flushed at so many rows or so many bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 15, 24 << 20
 #: So many runs of a level are merged into one of the next.
 FANOUT = 4
+#: Index entries that a shard's task holds on average at most.
+ENTRIES = 1 << 20
 
 ENTRY = "entry long, doc_id long, text_sha256 string, rep long, key long, n long"
 
@@ -220,10 +225,10 @@ def exact_dedup(
     "largest" or "smallest" identifier.  ``digest_bits``: of the index key.
     """
     spark, sign = docs.sparkSession, 1 if keep == "largest" else -1
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     entries = stage(mapped(slim, _memtables(sign, digest_bits, min(memtable_rows, 1 << 24), memtable_bytes), ENTRY), "runs")
     reps = entries.where("entry = rep")
-    shards = partitions(spark)
+    shards = max(partitions(spark), -(-reps.count() // ENTRIES))
     hits = stage(
         mapped(reps.select("key", "rep", "doc_id", "n").repartition(shards, "key"), _compact(sign), "rep long, win long, doc_id long, n long"),
         "compacted",
@@ -231,16 +236,18 @@ def exact_dedup(
     rank = lambda d, r: F.struct(d.isNotNull().alias("v"), (F.lit(sign) * d).alias("d"), (-r).alias("r"))
     # byte verification: the texts of hits only
     digest = hits.join(reps.select("rep", "text_sha256"), "rep")
-    wanted = might_contain(slim, F.coalesce("doc_id", F.lit(-1)), hits, F.coalesce("doc_id", F.lit(-1)))
-    bodies = mapped(wanted, _texts, "doc_id long, text_sha256 string, body binary")
-    held = stage(
-        digest.alias("h")
-        .join(bodies.alias("t"), F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.text_sha256") == F.col("t.text_sha256")))
-        .select("h.rep", "h.win", "h.doc_id", "h.n", "t.body"),
-        "held",
-    ).dropDuplicates(["rep"])
-    winner = held.where("rep = win").select("win", F.col("body").alias("other"))
-    told = stage(held.join(winner, "win").withColumn("same", F.col("body") == F.col("other")), "verified")
+    wanted = might_contain(slim, F.col("doc_id"), hits, F.col("doc_id"))
+    own = ["doc_id", "text_sha256"]
+    bodies = mapped(wanted, _texts, "doc_id long, text_sha256 string, body binary").groupBy(*own).agg(F.first("body").alias("body"))
+    same_row = F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.text_sha256") == F.col("t.text_sha256"))
+    held = stage(digest.alias("h").join(bodies.alias("t"), same_row).select("h.rep", "h.win", "h.doc_id", "h.n", "t.body"), "held")
+    # a text that very many runs hold: its entries are dealt over several tasks
+    hot = heavy(hits.count())
+    fan = F.broadcast(hits.groupBy("win").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("win", F.ceil(F.col("c") / hot).cast("int").alias("fan")))
+    wide = F.coalesce("fan", F.lit(1))
+    winner = held.where("rep = win").select("win", F.col("body").alias("other")).join(fan, "win", "left").select("win", "other", F.explode(F.sequence(F.lit(0), wide - 1)).alias("salt"))
+    dealt = held.join(fan, "win", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), wide).cast("int")).drop("fan")
+    told = stage(dealt.join(winner, ["win", "salt"]).withColumn("same", F.col("body") == F.col("other")), "verified")
     same = told.where("same").select("rep", F.col("win").alias("top"), "doc_id", "n")
     # equal digests of different texts: grouped by the bytes themselves
     rest = told.where("not same").select("rep", "win", "doc_id", "n", "body")
@@ -264,18 +271,19 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only rows that may be dropped are joined; all others pass where they are.
     """
+    ident = F.col(f"`{id_col}`").cast("long")
+    named = lambda i, sha: F.struct(i.isNull().alias("nil"), i.alias("id"), sha.alias("sha"))
     with passing(docs.sparkSession):
-        told = exact_dedup(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_k"))
+        told = exact_dedup(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("doc_id").alias("i"), named(F.col("doc_id"), F.col("text_sha256")).alias("k"), F.col("kept"))
         told = stage(told, "copies", lasting=True)
-    key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
-    rows = marked(docs, key(F.col(f"`{id_col}`")), told, key(F.col("_i")))
+    rows = marked(docs, ident, told, F.col("i"))
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), up, low), 256)
-    maybe = rows.where("_may").drop("_may").withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_sha", sha)
+    body = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    sha = F.sha2(F.translate(body, up, low), 256)
+    maybe = rows.where("may").select("row", named(F.col("key"), sha).alias("k"))
+    groups = told.groupBy("k").agg(F.max("kept").alias("v"), F.count("*").alias("n"))
+    joined = split_join(maybe, groups, heavy(told.count()))
+    alone = joined.where("v is null").select("row")
     # rows equal in identifier and text leave one
-    groups = told.groupBy("_i", "_s").agg(F.max("_k").alias("_k"))
-    joined = maybe.join(groups, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left").where("_k is null or _k")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    alone = joined.where("_k is null").select(*cols)
-    stays = joined.where("_k").dropDuplicates(["_id", "_sha"]).select(*cols)
-    return rows.where("not _may").select(*cols).unionByName(alone).unionByName(stays)
+    stays = joined.where("v").groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return rows.where("not may").select("row").unionByName(alone).unionByName(stays).select(*unpacked(docs))
