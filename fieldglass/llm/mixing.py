@@ -14,8 +14,10 @@ the driver holds the sources' weights only.  Rows find their slots by a join.
 
 Defined results: every row gets a position; a null source is a source of its
 own; a null text has length 0; rows equal in identifier are ordered by their
-texts' hash; an empty table gives no rows; sources of weight 0 follow after all
-others, in equal shares.  Other columns pass through.
+texts' hash, rows equal in both by a hash of the whole row; an empty table gives no rows; sources of weight 0 follow after all
+others, in equal shares; if all weights are 0, all share equally.  Other columns
+pass through; a column of theirs named as a new one (block, slot, position)
+gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -29,16 +31,17 @@ from numbers import Rational
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldglass.llm._shared import mapped, stage
+from fieldglass.llm._shared import free_name, mapped, packed, stage
 
 #: Text of a block in characters, and slots that the scheduling task hands on at a time.
 BLOCK_CHARS, PERIOD = 1 << 16, 1000
 #: So many slots are sent to every executor; a longer schedule is joined by a shuffle.
 SENT = 1 << 16
-#: Ranges of the pseudo-random order that are ranked apart, as a power of two.
-RANGE_BITS = 14
+#: Rows of a range of the pseudo-random order, which is ranked apart, if one source had all.
+RANGE_ROWS = 1 << 16
 
 
 def integer_weights(weights: dict[str, Rational | float]) -> dict[str, int]:
@@ -131,26 +134,29 @@ def mix_sources(
     the scheduling task hands on at a time.  ``size`` and ``tie`` stand for the text's length and hash, for callers without a text column.
     """
     spark = docs.sparkSession
-    order = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))
-    n = size if size is not None else F.coalesce(F.length(F.col(text_col)), F.lit(0))
+    order = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("mix"))
+    n = size if size is not None else F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0))
     keyed = docs.select(
-        F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("_s"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(_NULL)).alias("_s"),
         order.alias("_o"),
-        F.col(id_col).alias("_id"),
-        (tie if tie is not None else F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("_h"),
+        F.col(f"`{id_col}`").alias("_id"),
+        (tie if tie is not None else F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).alias("_h"),
         (n.cast("long") + 1).alias("_n"),
-        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
-    ).withColumn("_range", F.shiftright(F.col("_o"), 64 - RANGE_BITS))
-    light = stage(keyed.select("_s", "_o", "_id", "_h", "_n", "_range"), "sizes")
+        packed(docs).alias("_row"),
+    )
+    light = stage(keyed.select("_s", "_o", "_n"), "sizes")
+    # as many ranges as the rows need, so that none grows with the table
+    ranges = max(4, (light.count() // RANGE_ROWS).bit_length())
+    ranged = F.shiftright(F.col("_o"), 64 - ranges)
+    keyed, light = keyed.withColumn("_range", ranged), light.withColumn("_range", ranged)
     # lengths summed per (source, range) first; then only these sums are added up
     sums = light.groupBy("_s", "_range").agg(F.sum("_n").alias("_sum"))
-    from pyspark.sql import Window as W
-
     before = W.partitionBy("_s").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     totals = {r["_s"]: r["t"] for r in sums.groupBy("_s").agg(F.sum("_sum").alias("t")).collect()}
-    out_cols = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    within = W.partitionBy("_s", "_range").orderBy("_o", "_id", "_h").rowsBetween(W.unboundedPreceding, -1)
+    new = ["block", "slot", "position"]
+    out_cols = [F.col("_row")[c].alias(free_name(c, [*new, *(d for d in docs.columns if d != c)]) if c.lower() in new else c) for c in docs.columns]
+    within = W.partitionBy("_s", "_range").orderBy("_o", "_id", "_h", F.xxhash64("_row")).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))
     if weights is None:
         weights = {s: float(t) ** power for s, t in totals.items()}
