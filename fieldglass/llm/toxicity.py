@@ -9,8 +9,12 @@ whose second term, the risk on negatives, is corrected by the class prior and
 kept from going negative: where a step would make it so, the step goes the
 other way.  Labels of non-toxic rows are used for the prior alone.
 
-Words are runs of letters, A-Z lower-cased; a word's features are the word and
+Words are runs of letters, A-Z lower-cased; a word's stems are the word and
 its beginnings of four to six bytes, since insults are inflected and compounded.
+A text's features are its stems, each at the levels that it reaches: that the
+stem occurs, that it does so two, three or five times, and that it does so
+twice and in every 128th or every 64th word; a stem that clean texts hold now
+and then may still be an insult where it is dense.
 The vocabulary are all features that are over-represented in P.  Scoring hashes
 the words of whole texts in numpy and looks them up in the sorted vocabulary.
 
@@ -34,42 +38,63 @@ from fieldglass.llm._shared import mapped
 
 #: Bounds of the training sample; it bounds the vocabulary, too.
 POSITIVES, UNLABELLED = 3000, 9000
-#: A word is known if so many confirmed texts hold it.
-LEAST = 4
+#: A feature is known if so many confirmed texts have it (settings by cross-validation on the learning folds).
+LEAST = 3
 #: ... and it is so much (log) more frequent among them.
-LIFT = 0.7
+LIFT = 1.0
 BEGINNINGS = (4, 5, 6)
 
 
+def levels(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(n, LEVELS) flags: the levels that ``count`` occurrences among ``words`` words reach."""
+    twice = count >= 2
+    return np.stack((count >= 1, twice, count >= 3, count >= 5, twice & (128 * count >= words), twice & (64 * count >= words)), axis=1)
+
+
+#: A feature is a stem's hash with its level in the low bits.
+LEVELS, LOW = 6, np.uint64(7)
+
+
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
-    weights: np.ndarray  # one for each word, then one for any other
+    words: np.ndarray  # sorted hashes of features
+    weights: np.ndarray  # one for each feature
     bias: float
 
-    def score(self, rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-        """Probability for each of n rows, from distinct (row, known word) pairs."""
-        g = np.full(n, self.bias)
-        np.add.at(g, rows, self.weights[words])
-        return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
-
     def __post_init__(self) -> None:
+        self.stems = np.unique(self.words & ~LOW)
         self.door = np.zeros(1 << 16, bool)
-        self.door[self.words & np.uint64(0xFFFF)] = True
-
-    def lookup(self, hashed: np.ndarray) -> np.ndarray:
-        """Index of each hash among the known words, or -1."""
-        if not len(self.words):
-            return np.full(len(hashed), -1)
-        out = np.full(len(hashed), -1)
-        may = np.flatnonzero(self.door[hashed & np.uint64(0xFFFF)])
-        at = np.minimum(np.searchsorted(self.words, hashed[may]), len(self.words) - 1)
-        out[may] = np.where(self.words[at] == hashed[may], at, -1)
+        self.door[(self.stems >> np.uint64(3)) & np.uint64(0xFFFF)] = True
+        self.table = np.zeros((len(self.stems), LEVELS))
+        if len(self.words):
+            self.table[np.searchsorted(self.stems, self.words & ~LOW), (self.words & LOW).astype(int)] = self.weights
+
+    def lookup(self, stems: np.ndarray) -> np.ndarray:
+        """Index of each hash among the known stems, or -1."""
+        out = np.full(len(stems), -1)
+        if len(self.stems):
+            may = np.flatnonzero(self.door[(stems >> np.uint64(3)) & np.uint64(0xFFFF)])
+            at = np.minimum(np.searchsorted(self.stems, stems[may]), len(self.stems) - 1)
+            out[may] = np.where(self.stems[at] == stems[may], at, -1)
         return out
 
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Probability for each row."""
+        found, first, words = stems_of(data, off)
+        n = len(words)
+        g = np.full(n, self.bias)
+        at = self.lookup(found)
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            rows = np.searchsorted(first, known, "right") - 1
+            pair, count = np.unique(rows * len(self.stems) + at[known], return_counts=True)
+            row, stem = pair // len(self.stems), pair % len(self.stems)
+            np.add.at(g, row, (self.table[stem] * levels(count, words[row])).sum(axis=1))
+        return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, first feature of each row): words and their beginnings."""
+
+def stems_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words' stems, first stem of each row, words of each row)."""
     starts, ends, first = B.spans(data, off, B.NO_LETTER)
     size = ends - starts
     sets, where = [B.hashes(data, starts, ends)], [np.arange(len(starts))]
@@ -78,8 +103,20 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         sets.append(B.mix(B.hashes(data, starts[own], starts[own] + n) + np.uint64(n)))
         where.append(own)
     order = np.argsort(np.concatenate(where), kind="stable")
-    row = np.concatenate(where)[order]
-    return np.concatenate(sets)[order], np.searchsorted(row, first)
+    return np.concatenate(sets)[order] & ~LOW, np.searchsorted(np.concatenate(where)[order], first), np.diff(first)
+
+
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's distinct features, sorted; the rows' first positions)."""
+    found, first, words = stems_of(data, off)
+    out, size = [], np.zeros(len(off), np.int64)
+    for r in range(len(off) - 1):
+        stem, count = np.unique(found[first[r] : first[r + 1]], return_counts=True)
+        reached = levels(count, np.full(len(count), words[r]))
+        own = (stem[:, None] | np.arange(LEVELS, dtype=np.uint64))[reached]
+        out.append(own)
+        size[r + 1] = len(own)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(size)
 
 
 def _distinct_words(batches):
@@ -87,12 +124,12 @@ def _distinct_words(batches):
         data, off = B.raw(b.column("text"))
         for i, j in B.pieces(off):
             own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
-            words, begin = B.sets(*features(part, own))
+            words, begin = features(part, own)
             blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((begin * 8).tobytes()), pa.py_buffer(words.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("positive").slice(i, j - i), blob], ["positive", "words"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500, rate: float = 0.1, sparse: float = 3e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500, rate: float = 0.1, sparse: float = 3e-5) -> Model:
     """Train on sets of word hashes."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0)
@@ -103,16 +140,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     cu = np.searchsorted(every, vp, "right") - np.searchsorted(every, vp, "left")
     lift = np.log((cp + 0.5) / len(positive)) - np.log((cu + 0.5) / len(unlabelled))
     gain = np.where(lift > LIFT, cp * lift, 0)
-    top = np.flatnonzero(gain > 0)
-    model = Model(vp[top], np.zeros(len(top)), 0.0)
+    vocabulary = vp[gain > 0]
 
     def pairs(sets):
-        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = model.lookup(np.concatenate(sets))
-        return rows[at >= 0], at[at >= 0]
+        rows, every_ = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(vocabulary, every_), max(0, len(vocabulary) - 1))
+        own = np.flatnonzero(vocabulary[at] == every_) if len(vocabulary) else np.zeros(0, np.int64)
+        return rows[own], at[own]
 
     (pr, pw), (ur, uw) = pairs(positive), pairs(unlabelled)
-    np_, nu, v = len(positive), len(unlabelled), len(top)
+    np_, nu, v = len(positive), len(unlabelled), len(vocabulary)
     x = np.zeros(v + 1)
     x[v] = -1.0
     m1, m2 = np.zeros(v + 1), np.zeros(v + 1)
@@ -137,23 +174,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         x -= pace * (m1 / (1 - 0.9**t))
         # most words of confirmed texts mean nothing: a sparse solution
         x = np.sign(x) * np.maximum(np.abs(x) - pace * np.append(np.full(v, sparse), 8 * sparse), 0)
-    model.weights, model.bias = x[:v], float(x[v])
-    return model
+    return Model(vocabulary, x[:v], float(x[v]))
 
 
 def _score(model: Model):
     def work(batches):
         for b in batches:
             data, off = B.raw(b.column("text"))
-            out = []
-            for i, j in B.pieces(off):
-                own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
-                hashed, first = features(part, own)
-                at = model.lookup(hashed)
-                known = np.flatnonzero(at >= 0)
-                rows = np.searchsorted(first, known, "right") - 1
-                pair = np.unique(rows * (len(model.words) + 1) + at[known])
-                out.append(model.score(pair // (len(model.words) + 1), pair % (len(model.words) + 1), j - i))
+            out = [model.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in B.pieces(off)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
     return work

@@ -308,8 +308,7 @@ def test_toxicity():
     bad = [t + f" {rng.choice(['vilestone', 'vilesting', 'scumbag'])} " + clean[rng.randrange(800)] for t in clean[:120]]
 
     def sets(texts):
-        data, off = toxicity.B.raw(pa.array(texts))
-        w, b = toxicity.B.sets(*toxicity.features(data, off))
+        w, b = toxicity.features(*toxicity.B.raw(pa.array(texts)))
         return [w[b[i] : b[i + 1]] for i in range(len(texts))]
 
     m = toxicity.fit(sets(bad[:80]), sets(clean[120:] + bad[80:100]), 0.03)
@@ -321,11 +320,49 @@ def test_toxicity():
 def test_toxicity_many_words():
     """More toxic words than a thousand: each of them is in the vocabulary."""
     n = 1500
-    bad = [np.array([10_000 + i], np.uint64) for i in range(n) for _ in range(4)]
-    clean = [np.array([1 + i % 900], np.uint64) for i in range(6000)]
+    bad = [np.array([80_000 + 8 * i], np.uint64) for i in range(n) for _ in range(4)]
+    clean = [np.array([8 + 8 * (i % 900)], np.uint64) for i in range(6000)]
     m = toxicity.fit(bad, clean, 0.3)
     assert len(m.words) == n
-    assert (m.lookup(np.arange(10_000, 10_000 + n, dtype=np.uint64)) >= 0).all()
+    assert (m.lookup(np.arange(80_000, 80_000 + 8 * n, 8, dtype=np.uint64)) >= 0).all()
+
+
+def test_toxicity_density():
+    """A stem that clean texts hold now and then is toxic where it is dense."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(400)}x" for _ in range(n)]
+    dense = lambda: some(40) + [f"gluupp{rng.randrange(90)}" for _ in range(3)]
+    clean = lambda i: some(300) + ["gluupp7"] * (i % 8 == 0)
+    text = lambda words: " ".join(rng.sample(words, len(words)))
+    bad, good = [text(dense()) for _ in range(150)], [text(clean(i)) for i in range(1200)]
+
+    def sets(texts):
+        w, b = toxicity.features(*toxicity.B.raw(pa.array(texts)))
+        return [w[b[i] : b[i + 1]] for i in range(len(texts))]
+
+    m = toxicity.fit(sets(bad[:100]), sets(good[:900] + bad[:100]), 0.1)
+    score = lambda texts: m.score(*toxicity.B.raw(pa.array(texts)))
+    assert (score(bad[100:]) >= 0.5).mean() > 0.9 and (score(good[900:]) >= 0.5).mean() < 0.02
+
+
+def test_toxicity_in_spark(spark):
+    """train and score on the driver's rows, held out by fold, with the defined edge cases."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    m = toxicity.train(docs.where(~held), labels.where(~held))
+    more = spark.createDataFrame([(-1, None, 1), (-2, "", 2), (-3, "x" * 200_000, 3), (-3, "x" * 200_000, 3), (None, "idiot", 4)], "doc_id long, text string, score int")
+    test = docs.where(held).select("doc_id", "text").unionByName(more, allowMissingColumns=True)
+    rows = toxicity.score(test, m).collect()
+    assert len(rows) == test.count() and all(0 <= r.score <= 1 for r in rows)
+    out = {r.doc_id: r.score for r in rows}
+    truth = {r.doc_id: r.toxic for r in labels.where(held).collect()}
+    hit = [i for i in truth if truth[i] == 1 and out[i] >= 0.5]
+    false = [i for i in truth if truth[i] == 0 and out[i] >= 0.5]
+    assert len(hit) >= 0.9 * sum(truth.values()) and len(false) <= 0.01 * len(truth)
+    assert out[-1] == out[-2] and sum(r.doc_id == -3 for r in rows) == 2
+    assert toxicity.score(docs.limit(0), m).count() == 0
+    none = toxicity.train(docs.limit(20), labels.limit(0))
+    assert len(none.words) == 0 and len({r.score for r in toxicity.score(docs.limit(9), none).collect()}) == 1
 
 
 def test_html():
