@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm._sample import bounded, texts_of
-from fieldglass.llm._shared import mapped
+from fieldglass.llm._shared import mapped, passing, stage
 
 #: Bounds of the training sample; it bounds the vocabulary, too.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -119,34 +119,73 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(size)
 
 
-def _distinct_words(batches):
+def _distinct_features(batches):
     for b in batches:
         data, off = B.raw(b.column("text"))
         for i, j in B.pieces(off):
             own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
-            words, begin = features(part, own)
-            blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((begin * 8).tobytes()), pa.py_buffer(words.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("positive").slice(i, j - i), blob], ["positive", "words"])
+            found, begin = features(part, own)
+            blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((begin * 8).tobytes()), pa.py_buffer(found.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("positive").slice(i, j - i), blob], ["positive", "features"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500, rate: float = 0.1, sparse: float = 3e-5) -> Model:
-    """Train on sets of word hashes."""
+def _counted(batches):
+    """For each batch: its features with their numbers of confirmed and of unlabelled texts."""
+    for b in batches:
+        data, off = B.raw(b.column("features"))
+        found = np.frombuffer(data.tobytes(), np.uint64)
+        yes = np.repeat(b.column("positive").to_numpy(zero_copy_only=False), np.diff(off) // 8)
+        feature, back = np.unique(found, return_inverse=True)
+        p = np.bincount(back[yes], minlength=len(feature))
+        u = np.bincount(back[~yes], minlength=len(feature))
+        yield pa.RecordBatch.from_arrays([B.longs(feature), pa.array(p), pa.array(u)], ["feature", "p", "u"])
+
+
+def _placed(vocabulary: np.ndarray):
+    def work(batches):
+        for b in batches:
+            blobs = [_known(vocabulary, np.frombuffer(x, np.uint64)).astype(np.int32).tobytes() for x in b.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(blobs, pa.binary())], ["positive", "places"])
+
+    return work
+
+
+def _kept(p, u, positives: int, unlabelled: int) -> np.ndarray:
+    """Which features are known, from their numbers of confirmed and of unlabelled texts."""
+    lift = np.log((p + 0.5) / positives) - np.log((u + 0.5) / unlabelled)
+    return (p >= min(LEAST, positives)) & (lift > LIFT)
+
+
+def _known(vocabulary: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places in the vocabulary of those features that are in it."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
+    return at[vocabulary[at] == found]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, **settings) -> Model:
+    """Train on sets of features."""
     if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0)
-    vp, cp = np.unique(np.concatenate(positive), return_counts=True)
-    vp, cp = vp[cp >= min(LEAST, len(positive))], cp[cp >= min(LEAST, len(positive))]
+        return untrained(prior)
+    vocabulary, p = np.unique(np.concatenate(positive), return_counts=True)
     every = np.concatenate(unlabelled)
     every.sort()
-    cu = np.searchsorted(every, vp, "right") - np.searchsorted(every, vp, "left")
-    lift = np.log((cp + 0.5) / len(positive)) - np.log((cu + 0.5) / len(unlabelled))
-    gain = np.where(lift > LIFT, cp * lift, 0)
-    vocabulary = vp[gain > 0]
+    u = np.searchsorted(every, vocabulary, "right") - np.searchsorted(every, vocabulary, "left")
+    vocabulary = vocabulary[_kept(p, u, len(positive), len(unlabelled))]
+    places = lambda sets: [_known(vocabulary, s) for s in sets]
+    return fit_places(vocabulary, places(positive), places(unlabelled), prior, **settings)
+
+
+def untrained(prior: float) -> Model:
+    return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0)
+
+
+def fit_places(vocabulary: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500, rate: float = 0.1, sparse: float = 3e-5) -> Model:
+    """Train on sets of places in the vocabulary."""
 
     def pairs(sets):
-        rows, every_ = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-        at = np.minimum(np.searchsorted(vocabulary, every_), max(0, len(vocabulary) - 1))
-        own = np.flatnonzero(vocabulary[at] == every_) if len(vocabulary) else np.zeros(0, np.int64)
-        return rows[own], at[own]
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
 
     (pr, pw), (ur, uw) = pairs(positive), pairs(unlabelled)
     np_, nu, v = len(positive), len(unlabelled), len(vocabulary)
@@ -194,13 +233,23 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     prior = float(row[0] or 0.0)
     p_ids = bounded(known.where(F.col(label_col) == 1).select("doc_id").distinct(), positives).withColumn("positive", F.lit(True))
     u_ids = bounded(docs.select("doc_id"), unlabelled).distinct().withColumn("positive", F.lit(False))
-    slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
-    got = mapped(texts_of(slim, p_ids.unionByName(u_ids)).select("positive", "text"), _distinct_words, "positive boolean, words binary").collect()
-    sets = {k: sorted((np.frombuffer(bytes(r["words"]), np.uint64) for r in got if r["positive"] == k), key=lambda a: (len(a), a.tobytes())) for k in (True, False)}
-    return fit(sets[True], sets[False], prior)
+    slim = docs.select("doc_id", F.col(f"`{text_col}`").cast("string").alias("text"))
+    with passing(docs.sparkSession):
+        sample = stage(mapped(texts_of(slim, p_ids.unionByName(u_ids)).select("positive", "text"), _distinct_features, "positive boolean, features binary"), "toxic-sample")
+        sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+        n, m = sizes.get(True, 0), sizes.get(False, 0)
+        if not n or not m:
+            return untrained(prior)
+        # features are counted in Spark; only those that will be known come to the driver
+        counts = mapped(sample, _counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+        many = counts.where(F.col("p") >= min(LEAST, n)).where(F.log((F.col("p") + 0.5) / n) - F.log((F.col("u") + 0.5) / m) > LIFT)
+        vocabulary = np.sort(np.array([r["feature"] for r in many.select("feature").collect()], np.int64).view(np.uint64))
+        rows = mapped(sample, _placed(vocabulary), "positive boolean, places binary").collect()
+    places = {k: sorted((np.frombuffer(bytes(r["places"]), np.int32) for r in rows if r["positive"] == k), key=lambda a: (len(a), a.tobytes())) for k in (True, False)}
+    return fit_places(vocabulary, places[True], places[False], prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return mapped(slim, _score(model), "doc_id long, score double")
