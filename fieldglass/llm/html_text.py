@@ -1,23 +1,29 @@
 """Main text of web pages by site template removal.
 
 One lenient pass over a page's tags keeps a stack of open elements.  Every
-closed container (division, list, section, table, ...) has a hash of its tag,
-class and contents.  Spark counts, for each host, on how many different main
-texts' pages each hash occurs; containers that recur are the host's template,
-and the second pass deletes them.  The count needed does not grow with the
-host: a section's menu or a rare notice is on few of a large host's pages.
-Containers inside an article are content until they are on a share of all the
-host's main texts' pages too.  Each page is joined to its own template hashes,
-so no list grows with the host.  Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are
-also known by tag, role, class or id, which serves hosts of few pages.
+closed container (division, list, section, table, menu, header, footer,
+sidebar, form, ...) has a hash of its tag, class and contents.  Spark counts,
+for each host, on how many different main texts' pages each hash occurs;
+containers that recur are the host's template, and the second pass deletes
+them.  The count needed does not grow with the host: a section's menu or a
+rare notice is on few of a large host's pages.  Containers inside an article
+are content until they are on a share of all the host's main texts' pages too.
+Each page is joined to its own template hashes, so no list grows with the host.
+
+Recurrence decides wherever a container is on pages enough.  What it cannot
+know, containers of small hosts and those that vary from page to page, is
+judged by hints: tags, roles, classes and ids of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments.  A class or id is a hint
+if all its words name such things or mere places (``cookie-notice`` and
+``top-menu``, not ``ad-hoc`` or ``social-science``).  ``hints=False`` leaves
+it all to recurrence.  Scripts and styles are never text.
 
 The main text is that of all top-level articles but comments and teasers, with
 the headings of the main element before them; without an article it is that of
 the longest main element, else of the body.  A teaser is an article marked so by class or id,
 or one whose first heading is a link only; where all are teasers, all stay.
 An element around an article or main element is never template.
-A header inside an article or main element belongs to it.
+Of a header inside an article or main element the headings stay.
 
 Blocks (paragraphs, headings, list items, table rows, lines ended by a line
 break) are joined by one line feed; white space within one becomes a blank.
@@ -40,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm._shared import mapped, stage
+from fieldglass.llm._shared import heavy, mapped, split_join, stage
 
 #: A container is template if at least so many of a host's different main
 #: texts have it on their pages; inside an article, at least this share of them too.
@@ -56,11 +62,12 @@ _HIDES = re.compile(r"(?:^|[\s=/])hidden(?:[\s=/]|$)", re.I)
 FOREIGN = frozenset(("svg", "math"))
 
 #: Elements by their role in a page.
-RAW = frozenset("script style template noscript iframe svg textarea title xmp math object".split())
+RAW = frozenset("script style template iframe svg textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav footer aside form button select option canvas audio video dialog menu".split()) | RAW
-CONTAINER = frozenset("div ul ol section table dl figure details header article main center fieldset".split())
-BLOCK = CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre blockquote address figcaption hr br body html hgroup summary caption".split())
+UNSEEN = frozenset("head select option canvas audio video".split())
+NEVER = frozenset("nav footer aside form button dialog menu".split())
+CONTAINER = frozenset("div ul ol section table dl figure details header article main center fieldset".split()) | NEVER
+BLOCK = CONTAINER - {"button"} | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre blockquote address figcaption hr br body html hgroup summary caption".split())
 ENDS_P = BLOCK - {"br", "html", "body", "caption"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOP = frozenset("ul ol dl table div section article main body td th blockquote".split())
@@ -71,6 +78,7 @@ AROUND = frozenset(
     "alert disclaimer comment comments commentlist disqus replies respond share sharing social related recommended newsletter subscribe "
     "subscription signup login search searchbox popup modal overlay pagination pager skip widget complementary contentinfo".split()
 )
+PLACE = frozenset("box bar block wrapper wrap container area section panel inner outer top bottom left right main site page global primary secondary header slot unit zone item content list link links post article entry user reader group row col column small large mini mobile desktop sticky fixed".split())
 TEASER = frozenset("teaser teasers card preview".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -80,17 +88,24 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if "=" in text else {}
 
 
+def _names(text: str) -> bool:
+    """Whether one of the names stands for what is beside the main text."""
+    for name in text.lower().split():
+        words = _WORD.findall(name)
+        if not AROUND.isdisjoint(words) and all(w in AROUND or w in PLACE for w in words):
+            return True
+    return False
+
+
 def _aside(tag: str, raw: str) -> tuple[bool, str]:
-    """(whether the element is beside the main text, its class)."""
-    if tag in NEVER:
-        return True, ""
+    """(whether the element is by its looks beside the main text, its class)."""
     if not raw or raw.isspace():
-        return False, ""
+        return tag in NEVER, ""
     a = _attributes(raw)
-    names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()
-    out = not AROUND.isdisjoint(_WORD.findall(names)) and tag not in ("body", "html", "article", "main") or "comment" in names and tag == "article"
+    cls, names = a.get("class", ""), f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
+    out = tag in NEVER or tag not in ("body", "html", "article", "main") and _names(names) or tag == "article" and "comment" in names.lower()
     out = out or bool(_HIDDEN.search(a.get("style", ""))) or a.get("aria-hidden") == "true" or "hidden" in raw.lower() and _HIDES.search(_VALUE.sub("=", raw)) is not None
-    return out, a.get("class", "")
+    return out, cls
 
 
 class _Frame:
@@ -104,8 +119,8 @@ class _Frame:
         self.teaser: bool | None = None  # of an article, as soon as it is known
 
 
-def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[int]]:
-    """(main text, hashes of the containers that may be template; odd ones are inside an article)."""
+def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True) -> tuple[str, set[int]]:
+    """(main text, hashes of all containers; odd ones are inside an article)."""
     blocks: list[str] = []
     line: list[str] = []
     stack = [_Frame("#", False, "", 0)]
@@ -113,6 +128,7 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
     spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
     teasers: set[tuple[int, int]] = set()
     headings: list[tuple[int, int]] = []  # of main elements, outside their articles
+    titles: list[tuple[int, int]] = []  # all headings
     inside = 0  # articles and main elements that are open
     articles = 0  # articles that are open
     out = 0  # elements beside the main text that are open
@@ -124,19 +140,41 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
             if text:
                 blocks.append(text)
 
+    def cut(at: int, keep: list[str]) -> None:
+        """Only ``keep`` is left of the blocks from ``at`` on."""
+        blocks[at:] = keep
+        for spans_ in (headings, titles):
+            while spans_ and spans_[-1][0] >= at:
+                spans_.pop()
+
     def close() -> None:
         nonlocal inside, articles, out
         f = stack.pop()
         tag = f.tag
+        if tag in BLOCK and not out:
+            flush()
+        digest = hashlib.blake2b(f"{tag}\0{f.cls}\0{'\0'.join(f.parts)}".encode("utf-8", "replace"), digest_size=8).digest()
         if f.out:
             out -= 1
             line.clear()
+        if out or f.out:
+            if f.out and f.parts and tag in CONTAINER:
+                hashes.add(int.from_bytes(digest, "big", signed=True) & ~1 | (articles > 0))
+            if out:
+                stack[-1].parts.append(digest.hex())
             return
-        if tag in BLOCK:
-            flush()
-        digest = hashlib.blake2b(f"{tag}\0{f.cls}\0{'\0'.join(f.parts)}".encode("utf-8", "replace"), digest_size=8).digest()
         stack[-1].parts.append(digest.hex())
         stack[-1].last = tag
+        if tag in HEADING and f.at < len(blocks):
+            titles.append((f.at, len(blocks)))
+        if tag == "header" and inside:
+            kept = [b for lo, hi in titles if lo >= f.at for b in blocks[lo:hi]]
+            if len(kept) < len(blocks) - f.at:
+                own = [h for h in headings if h[0] >= f.at]
+                cut(f.at, kept)
+                titles.extend((f.at + i, f.at + i + 1) for i in range(len(kept)))
+                if own:
+                    headings.append((f.at, len(blocks)))
         if tag in HEADING and inside:
             if not articles:
                 headings.append((f.at, len(blocks)))
@@ -158,15 +196,14 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
             h = int.from_bytes(digest, "big", signed=True) & ~1 | (articles > 0)
             hashes.add(h)
             if h in template:
-                del blocks[f.at :]
-                while headings and headings[-1][0] >= f.at:
-                    headings.pop()
+                cut(f.at, [])
 
     def text(piece: str) -> None:
-        if piece and not out:
-            if "&" in piece:
-                piece = unescape(piece)
-            line.append(piece)
+        if piece:
+            if not out:
+                if "&" in piece:
+                    piece = unescape(piece)
+                line.append(piece)
             piece = " ".join(piece.split())
             if piece:
                 stack[-1].parts.append(piece)
@@ -198,6 +235,14 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = stop.end() if stop else end
             continue
+        if tag == "xmp" or tag == "noscript" and not inside:
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
+            if tag == "xmp" and not out:
+                flush()
+                line.append(html[pos : stop.start() if stop else end])
+                flush()
+            pos = stop.end() if stop else end
+            continue
         if tag in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
@@ -222,8 +267,7 @@ def parse(html: str, template: frozenset[int] = frozenset()) -> tuple[str, set[i
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         beside, cls = _aside(tag, raw)
-        if tag == "header" and not beside and not inside:
-            beside = True
+        beside = tag in UNSEEN or hints and (beside or tag == "header" and not inside)
         if beside and not out:
             flush()
         stack.append(_Frame(tag, beside, cls, len(blocks)))
@@ -254,33 +298,44 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
-def _scan(batches):
+def _scan(hints: bool):
+    return lambda batches: _scanned(batches, hints)
+
+
+def _scanned(batches, hints):
     for b in batches:
         hosts, mains, pieces = [], [], []
         for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
             host = host_of(url) if html else None
-            main, hashes = parse(html) if host is not None else ("", set())
+            main, hashes = parse(html, hints=hints) if host is not None else ("", set())
             hosts.append(host)
             mains.append(int.from_bytes(hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
             pieces.append(sorted(hashes))
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(hosts, pa.string()), pa.array(mains, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))], ["row", "host", "main", "pieces"])
 
 
-def _extract(batches):
+def _extract(hints: bool):
+    return lambda batches: _extracted(batches, hints)
+
+
+def _extracted(batches, hints):
     for b in batches:
-        texts = [parse(html, frozenset(pieces or ()))[0] if html else "" for html, pieces in zip(b.column("html").to_pylist(), b.column("pieces").to_pylist(), strict=True)]
+        texts = [parse(html, frozenset(pieces or ()), hints)[0] if html else "" for html, pieces in zip(b.column("html").to_pylist(), b.column("pieces").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, hints: bool = True) -> DataFrame:
     """page_id, url, text for every row."""
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    slim = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     slim = slim.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    seen = stage(mapped(slim.select("row", "url", "html"), _scan, "row long, host string, main long, pieces array<long>"), "containers").where("host is not null")
-    counts = seen.select("host", "main", F.explode("pieces").alias("piece")).distinct().groupBy("host", "piece").agg(F.count("*").alias("n")).where(f"n >= {int(least_pages)}")
+    seen = stage(mapped(slim.select("row", "url", "html"), _scan(hints), "row long, host string, main long, pieces array<long>"), "containers").where("host is not null")
+    single = seen.select("row", "host", "main", F.explode("pieces").alias("piece"))
+    pairs = F.struct("host", "piece").alias("k")
+    counts = single.groupBy("host", "piece", "main").agg(F.count("*").alias("rows")).groupBy("host", "piece").agg(F.count("*").alias("mains"), F.sum("rows").alias("n")).where(f"mains >= {int(least_pages)}")
     totals = seen.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("all"))
     in_article = F.col("piece").bitwiseAND(F.lit(1)) == 1
-    template = counts.join(totals, "host").where(~in_article | (F.col("n") >= F.col("all") * least_share)).select("host", "piece")
+    template = counts.join(totals, "host").where(~in_article | (F.col("mains") >= F.col("all") * least_share)).select(pairs, F.lit(True).alias("v"), "n")
     # a page's own template hashes: as long as the page, whatever the host's size
-    own = seen.select("row", "host", F.explode("pieces").alias("piece")).join(template, ["host", "piece"]).groupBy("row").agg(F.collect_set("piece").alias("pieces"))
-    return mapped(slim.join(own, "row", "left").select("page_id", "url", "html", "pieces"), _extract, "page_id long, url string, text string")
+    total = int(seen.agg(F.sum(F.size("pieces"))).first()[0] or 0)
+    own = split_join(single.select("row", pairs), template, heavy(total)).where("v").groupBy("row").agg(F.collect_set("k.piece").alias("pieces"))
+    return mapped(slim.join(own, "row", "left").select("page_id", "url", "html", "pieces"), _extract(hints), "page_id long, url string, text string")
