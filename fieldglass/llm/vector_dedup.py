@@ -1,8 +1,9 @@
 """Near duplicates among vectors by an exact metric range join.
 
 Equal vectors of a label collapse into one class first, so a group of copies
-of any size is one row of the join.  Sampled pivots partition the unit sphere:
-a class lives in the cell of its nearest pivot.  For the angular metric and
+of any size is one row of the join.  A label of few vectors is one cell.  For
+a label of many, pivots sampled from it partition the unit sphere, as many as
+its vectors need: a class lives in the cell of its nearest pivot.  For the angular metric and
 range r, a class x can have a partner in the cell of pivot j only if
 d(x, p_j) - d(x, p_home) <= 2 r and d(x, p_j) <= radius_j + r (triangle
 inequality), and only to those cells it is replicated.  Cells, split into
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import mapped, partitions, stage
+from fieldglass.llm._shared import heavy, mapped, partitions, split_join, stage
 from fieldglass.operators.graph import components
 
-#: Vectors a pivot stands for; most pivots (a pivot is one vector, so the
-#: broadcast is bounded by this number); classes of a cell joined at once.
-PER_PIVOT, MOST_PIVOTS, CHUNK = 8192, 256, 4096
+#: Vectors a pivot stands for at least; classes of a cell joined at once.
+PER_PIVOT, CHUNK = 8192, 4096
+#: Bytes of all pivots at most: with more vectors, a pivot stands for more of
+#: them, and their cells are cut into more chunks.
+PIVOT_BYTES = 32 << 20
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -50,45 +53,70 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _by_dim(batch: pa.RecordBatch, name: str):
-    dims = batch.column(batch.schema.get_field_index(name)).value_lengths().to_numpy()
-    for d in np.unique(dims):
-        yield int(d), batch.filter(pa.array(dims == d))
+def _groups(batch: pa.RecordBatch, pivots: dict[tuple[str, int], np.ndarray]):
+    """(label and length, pivots or None, rows) for parts of a batch."""
+    keys = list(zip(batch.column("label").to_pylist(), batch.column("vec").value_lengths().to_pylist(), strict=True))
+    for key in sorted(set(keys) & pivots.keys()):
+        yield key, pivots[key], batch.filter(pa.array([k == key for k in keys]))
+    rest = [k not in pivots for k in keys]
+    if any(rest):
+        yield None, None, batch.filter(pa.array(rest))
 
 
-def _homes(pivots: dict[int, np.ndarray]):
+_CELL = "cls long, label string, n long, vec array<double>, dim int"
+
+
+def _homes(pivots: dict[tuple[str, int], np.ndarray]):
     def work(batches):
         for whole in batches:
-            for d, b in _by_dim(whole, "vec"):
-                if b.num_rows:
-                    a = _angles(_unit(_vectors(b.column("vec"))), pivots[d])
+            for _, p, b in _groups(whole, pivots):
+                home, far = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+                if p is not None:
+                    a = _angles(_unit(_vectors(b.column("vec"))), p)
                     home = a.argmin(axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("cls"), b.column("label"), b.column("n"), b.column("vec"), pa.array(np.full(b.num_rows, d, np.int32)), pa.array(home.astype(np.int32)), pa.array(a[np.arange(len(a)), home])],
-                        ["cls", "label", "n", "vec", "dim", "home", "far"],
-                    )
+                    far = a[np.arange(len(a)), home]
+                dim = b.column("vec").value_lengths().cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("label"), b.column("n"), b.column("vec"), dim, pa.array(home.astype(np.int32)), pa.array(far)], ["cls", "label", "n", "vec", "dim", "home", "far"])
 
     return work
 
 
-def _replicas(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float], reach: float):
+def _replicas(pivots: dict[tuple[str, int], np.ndarray], radius: dict[tuple[str, int, int], float], reach: float):
     slack = 1e-7
 
     def work(batches):
         for whole in batches:
-            for d, b in _by_dim(whole, "vec"):
-                if not b.num_rows:
-                    continue
-                a = _angles(_unit(_vectors(b.column("vec"))), pivots[d])
-                own = a.min(axis=1, keepdims=True)
-                r = np.array([radius.get((d, j), -10.0) for j in range(len(pivots[d]))])
-                row, cell = np.nonzero((a - own <= 2 * reach + slack) & (a <= r + reach + slack))
+            for key, p, b in _groups(whole, pivots):
+                row, cell = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+                if p is not None:
+                    a = _angles(_unit(_vectors(b.column("vec"))), p)
+                    own = a.min(axis=1, keepdims=True)
+                    r = np.array([radius.get((*key, j), -10.0) for j in range(len(p))])
+                    row, cell = np.nonzero((a - own <= 2 * reach + slack) & (a <= r + reach + slack))
                 t = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([t.column("cls"), t.column("label"), t.column("n"), t.column("vec"), t.column("dim"), pa.array(cell.astype(np.int32))], ["cls", "label", "n", "vec", "dim", "cell"])
 
     return work
 
 
+def _pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """(label, length) -> pivots, for labels of many vectors; all in PIVOT_BYTES at most."""
+    dim = F.size("vec")
+    total = classes.agg(F.count("*").alias("n"), F.max(dim).alias("d")).first()
+    most = max(1, PIVOT_BYTES // (8 * (total["d"] or 1)))
+    per = max(PER_PIVOT, -(-total["n"] // most))
+    many = classes.groupBy("label", dim.alias("dim")).agg(F.count("*").alias("m")).where(F.col("m") >= 2 * per).withColumn("k", F.floor(F.col("m") / per))
+    # a label has m >= 2 * per vectors, so these are at most most / 2 rows, and twice the pivots about 2 * most
+    lucky = F.pmod(F.xxhash64("vec"), F.lit(1 << 40)) / float(1 << 40)
+    some = classes.withColumn("dim", dim).join(F.broadcast(many), ["label", "dim"]).where(lucky < (2 * F.col("k") + 16) / F.col("m"))
+    out: dict[tuple[str, int], list] = {}
+    for r in sorted(some.select("label", "dim", "k", "cls", "vec").collect(), key=lambda r: (r["label"], r["dim"], r["cls"])):
+        own = out.setdefault((r["label"], r["dim"]), [])
+        if len(own) < r["k"]:
+            own.append(r["vec"])
+    return {key: _unit(np.array(own, np.float64)) for key, own in out.items()}
+
+
 class _Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -158,26 +186,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     v = F.col("vec")
-    x = F.col(vec_col).cast("array<double>")
-    rows = stage(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), x.alias("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    x = F.col(f"`{vec_col}`").cast("array<double>")
+    rows = stage(vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), x.alias("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda c: c != 0)
     good = rows.where(usable)
     # one class for each (label, vector)
     classes = stage(good.groupBy("label", "vec").agg(F.min("row").alias("cls"), F.count("*").alias("n"), F.min("vec_id").alias("top")), "classes")
-    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for d, n in sizes.items():
-        k = max(1, min(MOST_PIVOTS, n // PER_PIVOT))
-        own = classes.where(F.size("vec") == d).select("vec").orderBy(F.xxhash64("vec"), "cls").limit(k).collect()
-        pivots[d] = _unit(np.array([r["vec"] for r in own], np.float64))
+    pivots = _pivots(classes)
     reach = math.acos(threshold)
-    homes = stage(mapped(classes.select("cls", "label", "n", "vec"), _homes(pivots), "cls long, label string, n long, vec array<double>, dim int, home int, far double"), "homes")
-    radius = {(r["dim"], r["home"]): r["r"] for r in homes.groupBy("dim", "home").agg(F.max("far").alias("r")).collect()}
+    homes = stage(mapped(classes.select("cls", "label", "n", "vec"), _homes(pivots), f"{_CELL}, home int, far double"), "homes")
+    radius = {}
+    if pivots:
+        wide = F.broadcast(spark.createDataFrame(sorted(pivots), "label string, dim int"))
+        radius = {(r["label"], r["dim"], r["home"]): r["r"] for r in homes.join(wide, ["label", "dim"]).groupBy("label", "dim", "home").agg(F.max("far").alias("r")).collect()}
     # chunks of the classes at home in a cell, and the replicas that probe them
     per_cell = homes.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     mine = homes.withColumnRenamed("home", "cell").join(per_cell, ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
-    spread = mapped(homes, _replicas(pivots, radius, reach), "cls long, label string, n long, vec array<double>, dim int, cell int")
+    spread = mapped(homes, _replicas(pivots, radius, reach), f"{_CELL}, cell int")
     probes = spread.join(per_cell, ["label", "dim", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
     cols = [F.xxhash64("label", "dim", "cell", "chunk").alias("part"), "probe", "cls", "n", "vec"]
     found = stage(
@@ -190,7 +216,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     counts = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     told = named.join(tops, "component").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     # rows find their class by (label, vector); a class's name is its first row
-    own = classes.select(F.col("label").alias("l"), F.col("vec").alias("w"), "cls").join(told, "cls")
-    linked = good.join(own, (good["label"] == own["l"]) & (good["vec"] == own["w"])).select("vec_id", "n_links", "component_id")
+    k = F.struct("label", "vec").alias("k")
+    own = classes.select(k, "cls", "n").join(told, "cls").select("k", F.struct("n_links", "component_id").alias("v"), "n")
+    linked = split_join(good.select("vec_id", k), own, heavy(good.count())).select("vec_id", "v.n_links", "v.component_id")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

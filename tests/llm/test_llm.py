@@ -135,6 +135,21 @@ def test_vectors_many_pivots(spark, monkeypatch):
     test_vectors(spark)
 
 
+def test_vectors_bounded_pivots(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "PER_PIVOT", 1)
+    monkeypatch.setattr(vector_dedup, "PIVOT_BYTES", 8 * 8 * 6)
+    monkeypatch.setattr(vector_dedup, "CHUNK", 3)
+    monkeypatch.setattr(vector_dedup, "heavy", lambda total: 1)
+    test_vectors(spark)
+
+
+def test_vectors_clashing_names(spark):
+    rows = [(None, [1.0, 0.0], 1, 5, "a"), (None, [1.0, 0.0], 1, 5, "a"), (3, [1.0, 0.0], 1, 6, "b"), (4, [0.0, 1.0], 1, 6, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, row int, vec string")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(df).collect())
+    assert got == [("3", 2, 3, True), ("4", 0, 4, True), ("None", 2, 3, True), ("None", 2, 3, True)]
+
+
 def test_chat(spark):
     says = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", says), (1, 1, "assistant", "a\\<\\|b"), (1, 1, "assistant", "a\\<\\|b"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 0, "us\ner", "<|nl|>\n"), (None, 0, "assistant", "")]
