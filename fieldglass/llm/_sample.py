@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.llm._shared import mapped
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the identifier's text, modulo ``modulus``; null for null."""
@@ -24,3 +30,15 @@ def bounded(ids: DataFrame, most: int, *keep: str) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of a bounded sample; ids is at most some thousand rows."""
     return docs.join(F.broadcast(ids), "doc_id")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], object]) -> object | None:
+    """``fit`` of all rows of a bounded sample, worked out in one task, so the driver holds the model alone; None without rows."""
+
+    def work(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    got = mapped(sample.repartition(1), work, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None

@@ -47,6 +47,7 @@ def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.options(**WRITE).parquet(path)
+    B.tidy()  # what the driver's models left
     blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
     if blocks:
         blocks[-1].append(path)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm import _crf
-from fieldglass.llm._sample import bounded, texts_of
+from fieldglass.llm._sample import bounded, fitted, texts_of
 from fieldglass.llm._shared import mapped
 
 #: Bounds of the training sample, hashed windows, and frequency of lexicon words.
@@ -205,15 +205,14 @@ def _predict(model: Model | None):
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS) -> Model | None:
     """Fit on a bounded sample of rows with a label (doc_id orders the sample)."""
-    slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    slim = docs.select("doc_id", F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     ids = bounded(slim.where("lang is not null").select("doc_id"), texts).distinct()
-    got = texts_of(slim.where("lang is not null and text is not null"), ids).select("doc_id", "lang", "text").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    texts_, langs = [r["text"] for r in got], [r["lang"] for r in got]
-    del got
-    model = fit(texts_, langs)
-    B.tidy()
-    return model
+    return fitted(texts_of(slim.where("lang is not null and text is not null"), ids).select("doc_id", "lang", "text"), _fit_rows)
+
+
+def _fit_rows(rows: list[dict]) -> Model | None:
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score", sure: str | None = None) -> DataFrame:

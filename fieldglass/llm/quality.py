@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
 from fieldglass.llm import _crf
-from fieldglass.llm._sample import bounded, texts_of
+from fieldglass.llm._sample import bounded, fitted, texts_of
 from fieldglass.llm._shared import mapped
 
 #: Bound of the training sample, bins of a measure, and training rounds.
@@ -201,15 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     """Fit on a bounded sample of labelled rows; both tables have doc_id."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("good"))
     ids = bounded(known, texts, "good")
-    slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
-    got = texts_of(slim, ids).select("doc_id", "good", F.coalesce("text", F.lit("")).alias("text")).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    model = fit([r["text"] for r in got], [r["good"] for r in got])
-    B.tidy()
-    return model
+    slim = docs.select("doc_id", F.col(f"`{text_col}`").cast("string").alias("text"))
+    model = fitted(texts_of(slim, ids).select("doc_id", "good", F.coalesce("text", F.lit("")).alias("text")), _fit_rows)
+    return model if model is not None else fit([], [])
+
+
+def _fit_rows(rows: list[dict]) -> Model:
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit([r["text"] for r in rows], [r["good"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return mapped(slim, _score(model), "doc_id long, score double")
