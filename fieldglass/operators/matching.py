@@ -1,8 +1,8 @@
 """One-to-one assignment of predictions to targets, and what follows from it.
 
 Predictions in falling order of confidence each take the free target of their
-image with the greatest overlap.  Pairs that overlap enough come from an equi
-join on the image (and class) with the overlap as residual predicate; an
+image with the greatest overlap.  Pairs come from an equi join on the image;
+that boxes touch is its residual predicate, so pairs apart are never rows.  An
 image's sorted candidate lists are folded by ``aggregate``.  Lists are as long
 as an image has boxes, whatever the number of images.
 """
@@ -16,12 +16,29 @@ from fieldglass.functions import geometry as G
 from fieldglass.scene import CLASSES, REFERENCE, Point
 
 
-def overlaps(preds: DataFrame, gts: DataFrame) -> DataFrame:
-    """All pairs of a prediction and a target in an image, with their overlap."""
+def overlaps(preds: DataFrame, gts: DataFrame, apart: bool = False) -> DataFrame:
+    """Pairs of a prediction and a target in an image that overlap, with their overlap; with ``apart`` all pairs."""
     v = G.overlap(G.corners("p"), G.corners("g"))
-    return preds.alias("p").join(gts.alias("g"), F.col("p.image_id") == F.col("g.image_id")).select(
-        F.col("p.image_id").alias("image_id"), "p.pred_id", "g.gt_id", F.col("p.class_id").alias("pc"), F.col("g.class_id").alias("gc"), "p.conf", v.alias("iou")
-    )
+    on = F.col("p.image_id") == F.col("g.image_id")
+    if not apart:
+        on = on & (F.col("p.x0") < F.col("g.x1")) & (F.col("g.x0") < F.col("p.x1")) & (F.col("p.y0") < F.col("g.y1")) & (F.col("g.y0") < F.col("p.y1"))
+    return preds.alias("p").join(gts.alias("g"), on).select(F.col("p.image_id").alias("image_id"), "p.pred_id", "g.gt_id", F.col("p.class_id").alias("pc"), F.col("g.class_id").alias("gc"), "p.conf", v.alias("iou"))
+
+
+def _match_type(pairs: DataFrame) -> str:
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    return f"struct<pred_id:{kind('pred_id')},gt_id:{kind('gt_id')},iou:double>"
+
+
+def _fold(ps: Column, match: str) -> Column:
+    """Matches of an image: ps are its predictions in order, each with its targets ``ts`` in order."""
+
+    def take(found: Column, p: Column) -> Column:
+        first = F.get(F.filter(p["ts"], lambda t: ~F.exists(found, lambda m: m["gt_id"] == t["gt_id"])), F.lit(0))
+        new = F.array(F.struct(p["pred_id"].alias("pred_id"), first["gt_id"].alias("gt_id"), first["iou"].alias("iou")).cast(match))
+        return F.when(first.isNotNull(), F.concat(found, new)).otherwise(found)
+
+    return F.aggregate(ps, F.expr(f"cast(array() as array<{match}>)"), take)
 
 
 def assign(pairs: DataFrame, point: Point = REFERENCE, keys: tuple[str, ...] = ("image_id",), limits: tuple[Column, Column] | None = None) -> DataFrame:
@@ -36,15 +53,7 @@ def assign(pairs: DataFrame, point: Point = REFERENCE, keys: tuple[str, ...] = (
     target = F.struct((-F.col("iou")).alias("k"), F.col("gt_id").alias("gt_id"), F.col("iou").alias("iou"))
     lists = kept.groupBy(*keys, "pred_id", "conf").agg(F.array_sort(F.collect_list(target)).alias("ts"))
     rows = lists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"), F.col("ts").alias("ts")))).alias("ps"))
-    empty = F.expr("cast(array() as array<struct<pred_id:int,gt_id:int,iou:double>>)")
-
-    def take(found: Column, p: Column) -> Column:
-        free = F.filter(p["ts"], lambda t: ~F.exists(found, lambda m: m["gt_id"] == t["gt_id"]))
-        first = F.get(free, F.lit(0))
-        new = F.array(F.struct(p["pred_id"].cast("int").alias("pred_id"), first["gt_id"].cast("int").alias("gt_id"), first["iou"].alias("iou")))
-        return F.when(F.size(free) > 0, F.concat(found, new)).otherwise(found)
-
-    return rows.select(*keys, F.explode(F.aggregate("ps", empty, take)).alias("m")).select(*keys, "m.pred_id", "m.gt_id", "m.iou")
+    return rows.select(*keys, F.explode(_fold(F.col("ps"), _match_type(pairs))).alias("m")).select(*keys, "m.pred_id", "m.gt_id", "m.iou")
 
 
 def totals(matches: DataFrame, preds: DataFrame, gts: DataFrame, point: Point = REFERENCE) -> DataFrame:
@@ -56,21 +65,47 @@ def totals(matches: DataFrame, preds: DataFrame, gts: DataFrame, point: Point =
     return row.select("*", *[c.alias(k) for k, c in G.metrics(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
+#: The two grids of operating points: overlaps at two confidences, and confidences at one overlap.
+GRIDS = {
+    "overlap": [Point(c, o, a) for a in (True, False) for c in (5, 25) for o in (0.1, 0.3, 0.5)],
+    "confidence": [Point(c, 0.5, a) for a in (True, False) for c in (1, 5, 10, 25, 50)],
+}
+
+
 def grid(pairs: DataFrame, preds: DataFrame, gts: DataFrame, points: list[Point]) -> DataFrame:
-    """Totals at every point, from one pass over the pairs."""
+    """Totals at every point: an image's candidate lists are sorted once and folded for each point."""
     spark = pairs.sparkSession
-    params = spark.createDataFrame([(p.aware, p.confidence, p.overlap) for p in points], "aware boolean, min_conf int, min_iou double")
-    keys = ("aware", "min_conf", "min_iou", "image_id")
-    cut = pairs.where(F.col("iou") >= min(p.overlap for p in points)).join(F.broadcast(params), (F.col("conf") >= F.col("min_conf")) & (F.col("iou") >= F.col("min_iou")) & (~F.col("aware") | (F.col("pc") == F.col("gc"))))
-    free = Point(0, 0.0, False)
-    tp = assign(cut, free, keys, (F.lit(-1), F.lit(-1.0))).groupBy("aware", "min_conf", "min_iou").agg(F.count("*").alias("tp"))
-    kept = preds.groupBy("conf").agg(F.count("*").alias("n")).join(F.broadcast(params), F.col("conf") >= F.col("min_conf")).groupBy("aware", "min_conf", "min_iou").agg(F.sum("n").alias("np"))
-    all_ = params.join(kept, ["aware", "min_conf", "min_iou"], "left").join(tp, ["aware", "min_conf", "min_iou"], "left").crossJoin(gts.agg(F.count("*").alias("ng")))
+    numbered = list(dict.fromkeys(points))
+    params = spark.createDataFrame([(i, p.aware, p.confidence, p.overlap) for i, p in enumerate(numbered)], "i int, aware boolean, min_conf int, min_iou double")
+    target = F.struct((-F.col("iou")).alias("k"), F.col("gt_id").alias("gt_id"), F.col("iou").alias("iou"), (F.col("pc") == F.col("gc")).alias("same"))
+    cut = pairs.where((F.col("iou") >= min(p.overlap for p in numbered)) & (F.col("conf") >= min(p.confidence for p in numbered)))
+    lists = cut.groupBy("image_id", "pred_id", "conf").agg(F.array_sort(F.collect_list(target)).alias("ts"))
+    pred = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"), F.col("ts").alias("ts"))
+    rows = lists.groupBy("image_id").agg(F.array_sort(F.collect_list(pred)).alias("ps"))
+    match = _match_type(pairs)
+
+    def hits(p: Point) -> Column:
+        fits = lambda t: (t["iou"] >= p.overlap) & t["same"] if p.aware else t["iou"] >= p.overlap
+        kept = F.transform(F.filter("ps", lambda x: -x["c"] >= p.confidence), lambda x: F.struct(x["pred_id"].alias("pred_id"), F.filter(x["ts"], fits).alias("ts")))
+        return F.sum(F.size(_fold(kept, match)))
+
+    tp = rows.agg(*[hits(p).alias(f"t{i}") for i, p in enumerate(numbered)]).select(F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(numbered))])).alias("i", "tp"))
+    kept = preds.agg(*[F.count_if(F.col("conf") >= p.confidence).alias(f"n{i}") for i, p in enumerate(numbered)]).select(F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(numbered))])).alias("i", "np"))
+    all_ = params.join(F.broadcast(kept), "i").join(F.broadcast(tp), "i").crossJoin(gts.agg(F.count("*").alias("ng")))
     t = F.coalesce("tp", F.lit(0))
-    row = all_.select("aware", "min_conf", "min_iou", t.alias("tp"), (F.coalesce("np", F.lit(0)) - t).alias("fp"), (F.col("ng") - t).alias("fn"))
+    row = all_.select("aware", "min_conf", "min_iou", t.alias("tp"), (F.col("np") - t).alias("fp"), (F.col("ng") - t).alias("fn"))
     return row.select("*", *[c.alias(k) for k, c in G.metrics(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
+def grids(pairs: DataFrame, preds: DataFrame, gts: DataFrame, named: dict[str, list[Point]] | None = None) -> DataFrame:
+    """The rows of ``grid`` for several grids, each under its name; points that grids share are worked out once."""
+    named = named or GRIDS
+    every = grid(pairs, preds, gts, [p for ps in named.values() for p in ps])
+    rows = [(g, p.aware, p.confidence, p.overlap) for g, ps in named.items() for p in ps]
+    which = pairs.sparkSession.createDataFrame(rows, "grid string, aware boolean, min_conf int, min_iou double")
+    return which.join(F.broadcast(every), ["aware", "min_conf", "min_iou"])
+
+
 def taxonomy(pairs: DataFrame, gts: DataFrame, matches: DataFrame, conf: int = 25, strong: float = 0.5, near: float = 0.1) -> DataFrame:
     """Every unmatched target with its primary category and non-exclusive flags."""
     missed = gts.join(matches, ["image_id", "gt_id"], "left_anti").select("image_id", "gt_id", "class_id")
@@ -142,7 +177,8 @@ def cases(preds: DataFrame, gts: DataFrame, sized: DataFrame) -> DataFrame:
     sized: image_id, gt_id, size_group of every target.
     """
     key = ["image_id", "gt_id"]
-    pairs = overlaps(preds, gts)
+    every = overlaps(preds, gts, apart=True)
+    pairs = every.where("iou > 0")
     sure, any_class = assign(pairs), assign(pairs, Point(aware=False))
     first = F.struct((-F.col("iou")).alias("i"), (-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"))
     same, strong = F.col("pc") == F.col("gc"), F.col("conf") >= REFERENCE.confidence
@@ -156,7 +192,7 @@ def cases(preds: DataFrame, gts: DataFrame, sized: DataFrame) -> DataFrame:
     missed = missed.join(shown, key, "left").withColumn("duplicate_like", F.lit(False))
 
     fps = false_positives(pairs, preds, gts, sure)
-    nearest = pairs.groupBy("image_id", "pred_id").agg(F.min(F.struct((-F.col("iou")).alias("i"), F.col("gt_id").alias("gt_id"), F.col("gc").alias("gc"))).alias("t"))
+    nearest = every.groupBy("image_id", "pred_id").agg(F.min(F.struct((-F.col("iou")).alias("i"), F.col("gt_id").alias("gt_id"), F.col("gc").alias("gc"))).alias("t"))
     hit = preds.join(sure.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_semi").alias("b")
     a = fps.alias("a")
     twice = a.join(hit, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.class_id") == F.col("b.class_id")))

@@ -2,31 +2,44 @@
 
 Per image the best ``most`` predictions above the floor; for a class and a
 threshold, pairs in falling order of overlap, the first kept per prediction and
-then per target.  The precision envelope is read at 101 recalls; behind
-the last recall it declines to (1, 0) (``sentinel``) or drops at once.
+then per target.  A prediction's rank in its class does not depend on the
+threshold: it is worked out once, and only hits are multiplied by thresholds.
+The precision envelope is read at 101 recalls, each segment between two
+hits adding what lies in it; behind the last recall it declines to (1, 0)
+(``sentinel``) or drops at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordering import following, ordinals, running_max
+
 FLOOR, MOST = 0.1, 300
 THRESHOLDS = tuple(50 + 5 * k for k in range(10))
 
 
 def hits(pairs: DataFrame, preds: DataFrame, floor: float = FLOOR, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(ranked predictions, (threshold, prediction) of true positives)."""
+    """(kept predictions, (threshold, prediction) of true positives)."""
     rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("conf"), "pred_id"))
     kept = preds.where(F.col("conf") > floor).withColumn("r", rank).where(F.col("r") <= most).select("image_id", "pred_id", "class_id", "conf")
-    same = pairs.where("pc = gc").join(kept.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_semi")
-    cut = pairs.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold int")
-    cand = same.join(F.broadcast(cut), F.col("iou") >= F.col("threshold") / 100.0)
+    same = pairs.where((F.col("pc") == F.col("gc")) & (F.col("iou") >= THRESHOLDS[0] / 100.0)).join(kept.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_semi")
+    marks = F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: F.col("iou") >= t / 100.0)
     order = [F.desc("iou"), "pred_id", "gt_id"]
-    first = cand.withColumn("a", F.row_number().over(W.partitionBy("threshold", "image_id", "pred_id").orderBy(*order))).where("a = 1")
-    tp = first.withColumn("b", F.row_number().over(W.partitionBy("threshold", "image_id", "gt_id").orderBy(*order))).where("b = 1")
-    return kept, tp.select("threshold", "image_id", "pred_id")
+    # the best target of a prediction is the same at all thresholds that it reaches
+    first = same.withColumn("a", F.row_number().over(W.partitionBy("image_id", "pred_id").orderBy(*order))).where("a = 1")
+    # so a target's best prediction is its hit wherever it reaches the threshold
+    tp = first.withColumn("b", F.row_number().over(W.partitionBy("image_id", "gt_id").orderBy(*order))).where("b = 1")
+    return kept, tp.select("image_id", "pred_id", F.explode(marks).alias("threshold"))
+
+
+def _segment(lo: Column, hi: Column, at: Column, to: Column) -> Column:
+    """Sum of the weighted line from (lo, at) to (hi, to) at the marks lo <= k/100 < hi; the last mark counts elsewhere."""
+    own = F.filter(F.sequence(F.floor(lo * 100).cast("int"), F.least(F.ceil(hi * 100), F.lit(99)).cast("int")), lambda k: (k / 100.0 >= lo) & (k / 100.0 < hi))
+    slope = F.coalesce(F.try_divide(to - at, hi - lo), F.lit(0.0))
+    return F.aggregate(own, F.lit(0.0), lambda s, k: s + (at + slope * (k / 100.0 - lo)) * F.when(k == 0, 0.005).otherwise(0.01))
 
 
 def average_precision(pairs: DataFrame, preds: DataFrame, gts: DataFrame, sentinel: bool = True, floor: float = FLOOR, most: int = MOST) -> DataFrame:
@@ -34,27 +47,16 @@ def average_precision(pairs: DataFrame, preds: DataFrame, gts: DataFrame, sentin
     kept, tp = hits(pairs, preds, floor, most)
     cut = pairs.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold int")
     support = gts.groupBy("class_id").agg(F.count("*").alias("support"))
-    flagged = kept.crossJoin(F.broadcast(cut)).join(tp.withColumn("hit", F.lit(1)), ["threshold", "image_id", "pred_id"], "left").na.fill(0, ["hit"])
-    # predictions of equal confidence need a total order; only changes of the hit count matter
-    w = W.partitionBy("class_id", "threshold").orderBy(F.desc("conf"), "image_id", "pred_id")
-    ranked = flagged.withColumn("n", F.row_number().over(w)).withColumn("tp", F.sum("hit").over(w)).where("hit = 1")
-    curve = ranked.join(F.broadcast(support), "class_id").select("class_id", "threshold", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"), "tp")
-    back = W.partitionBy("class_id", "threshold").orderBy(F.desc("tp")).rowsBetween(W.unboundedPreceding, 0)
-    points = curve.withColumn("envelope", F.max("precision").over(back)).groupBy("class_id", "threshold").agg(F.array_sort(F.collect_list(F.struct("recall", "envelope"))).alias("c"))
-    # the envelope between hits: linear between neighbouring curve points, as the reading at 101 recalls has it
-    marks = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / 100.0)
-    c = F.col("c")
-    last = F.element_at(c, -1)
-    tail = F.array(F.struct(F.lit(1.0).alias("recall"), F.lit(0.0).alias("envelope"))) if sentinel else F.array(F.struct(last["recall"].alias("recall"), F.lit(0.0).alias("envelope")), F.struct(F.lit(1.0).alias("recall"), F.lit(0.0).alias("envelope")))
-    head = F.array(F.struct(F.lit(0.0).alias("recall"), F.get(c, F.lit(0))["envelope"].alias("envelope")))
-    line = F.concat(head, c, tail)
-
-    def read(x):
-        lo = F.array_max(F.filter(F.transform(F.col("line"), lambda p, i: F.struct(p["recall"].alias("recall"), i.alias("i"), p["envelope"].alias("envelope"))), lambda p: p["recall"] <= x))
-        hi = F.get(F.col("line"), lo["i"] + 1)
-        return F.when(hi.isNull() | (hi["recall"] <= lo["recall"]), lo["envelope"]).otherwise(lo["envelope"] + (hi["envelope"] - lo["envelope"]) * (x - lo["recall"]) / (hi["recall"] - lo["recall"]))
-
-    read_ = points.select("class_id", "threshold", line.alias("line")).select("class_id", "threshold", F.transform(marks, read).alias("y"))
-    area = F.aggregate(F.zip_with(F.slice("y", 1, 100), F.slice("y", 2, 100), lambda a, b: (a + b) / 2 * 0.01), F.lit(0.0), lambda s, v: s + v)
-    done = read_.select("class_id", "threshold", area.alias("ap"))
-    return support.crossJoin(F.broadcast(cut)).join(done, ["class_id", "threshold"], "left").na.fill(0.0, ["ap"]).select("class_id", "threshold", "support", "ap")
+    ranked = ordinals(kept, ["class_id"], [F.desc("conf"), F.asc("image_id"), F.asc("pred_id")])
+    found = ranked.join(tp, ["image_id", "pred_id"]).select("class_id", "threshold", "n")
+    key = ["class_id", "threshold"]
+    curve = ordinals(found, key, [F.asc("n")], "tp", "part").join(F.broadcast(support), "class_id")
+    curve = curve.select(*key, "part", "tp", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
+    line = following(running_max(curve, key, "part", "tp", "precision", "envelope").select(*key, "part", "tp", "recall", "envelope"), key, "part", "tp", ["recall", "envelope"])
+    end, least = F.coalesce("next_recall", F.lit(1.0)), F.coalesce("next_envelope", F.lit(0.0))
+    after = _segment(F.col("recall"), end, F.col("envelope"), least)
+    if not sentinel:
+        after = F.when(F.col("next_recall").isNotNull(), after).otherwise(0.0)
+    head = F.when(F.col("tp") == 1, _segment(F.lit(0.0), F.col("recall"), F.col("envelope"), F.col("envelope"))).otherwise(0.0)
+    done = line.groupBy(*key).agg(F.sum(head + after).alias("ap"))
+    return support.crossJoin(F.broadcast(cut)).join(done, key, "left").na.fill(0.0, ["ap"]).select("class_id", "threshold", "support", "ap")

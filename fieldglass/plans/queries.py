@@ -47,7 +47,7 @@ def match_sql(conf: int = 25, overlap: float = 0.5, aware: bool = True, name: st
 
 
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p, g = S.predictions(spark, d), S.targets(spark, d)
+    p, g = S.boxes(spark, d)
     return p, g, matching.overlaps(p, g)
 
 
@@ -82,21 +82,21 @@ def match_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.assign(_all(spark, d)[2]).select("image_id", F.col("pred_id").cast("long").alias("pred_id"), F.col("gt_id").cast("long").alias("gt_id"), F.round("iou", 9).alias("iou"))
 
 
-_POINTS = [S.Point(c, o, a) for a in (True, False) for c, o in [*[(c, o) for c in (5, 25) for o in (0.1, 0.3, 0.5)], (1, 0.5), (10, 0.5), (50, 0.5)]]
-
-
 def _grid_sql() -> str:
+    points = list(dict.fromkeys(p for ps in matching.GRIDS.values() for p in ps))
     out, parts = S.SQL, []
-    for i, p in enumerate(_POINTS):
+    for i, p in enumerate(points):
         out += match_sql(p.confidence, p.overlap, p.aware, f"m{i}")
-        parts.append(f"select {str(p.aware).lower()} aware, {p.confidence} min_conf, {p.overlap}::double min_iou, (select count(*) from m{i}) tp, (select count(*) from pred where conf>={p.confidence}) np")
-    return out + ", n as (select aware, min_conf, min_iou, tp, np-tp fp, (select count(*) from gt)-tp fn from (" + " union all ".join(parts) + f")) select aware, min_conf, min_iou, tp, fp, fn, {_PRF} from n"
+        for g, own in matching.GRIDS.items():
+            if p in own:
+                parts.append(f"select '{g}' grid, {str(p.aware).lower()} aware, {p.confidence} min_conf, {p.overlap}::double min_iou, (select count(*) from m{i}) tp, (select count(*) from pred where conf>={p.confidence}) np")
+    return out + ", n as (select grid, aware, min_conf, min_iou, tp, np-tp fp, (select count(*) from gt)-tp fn from (" + " union all ".join(parts) + f")) select grid, aware, min_conf, min_iou, tp, fp, fn, {_PRF} from n"
 
 
 @query(_grid_sql())
 def sensitivity_grid(spark: SparkSession, d: str) -> DataFrame:
     p, g, v = _all(spark, d)
-    return matching.grid(v, p, g, _POINTS)
+    return matching.grids(v, p, g)
 
 
 _TAX = (

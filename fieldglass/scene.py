@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.plans.scratch import stage
+
 #: Parameters of an evaluation; classes are 0 .. CLASSES - 1.
 SPLITS = ("train", "valid", "test")
 CLASSES = 6
@@ -60,15 +62,21 @@ def _box(shift) -> list:
     return [(x + shift).alias("x0"), (y + shift).alias("y0"), (x + 40 + F.col("q") % 20).alias("x1"), (y + 40 + F.col("q") % 15).alias("y1")]
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def targets(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """image_id, gt_id, class_id, x0, y0, x1, y1."""
-    return _rows(spark, sf_dir).where("rn % 2 = 1").select("image_id", F.col("rn").alias("gt_id"), (F.col("pk") % CLASSES).alias("class_id"), *_box(F.lit(0)))
+    return (rows or _rows(spark, sf_dir)).where("rn % 2 = 1").select("image_id", F.col("rn").alias("gt_id"), (F.col("pk") % CLASSES).alias("class_id"), *_box(F.lit(0)))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """image_id, pred_id, class_id, x0, y0, x1, y1, conf (in hundredths)."""
     cls = (F.col("pk") + F.when(F.col("d") > 7, 1).otherwise(0)) % CLASSES
-    return _rows(spark, sf_dir).where("rn % 3 <> 0").select("image_id", F.col("rn").alias("pred_id"), cls.alias("class_id"), *_box(F.col("d") * 2), ((F.col("q") * 17 + F.col("d") * 3) % 100).alias("conf"))
+    return (rows or _rows(spark, sf_dir)).where("rn % 3 <> 0").select("image_id", F.col("rn").alias("pred_id"), cls.alias("class_id"), *_box(F.col("d") * 2), ((F.col("q") * 17 + F.col("d") * 3) % 100).alias("conf"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, targets) from rows that are numbered once and written."""
+    rows = stage(_rows(spark, sf_dir), "scene")
+    return predictions(spark, sf_dir, rows), targets(spark, sf_dir, rows)
 
 
 SQL = """
