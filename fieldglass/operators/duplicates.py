@@ -3,15 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordering import ordinals
 
-def exact_groups(rows: DataFrame, digest: Column, split: str, id_col: str) -> DataFrame:
-    """Groups of equal content, numbered by digest, and whether they cross splits."""
-    g = rows.groupBy(digest.alias("digest")).agg(F.count("*").alias("group_size"), F.count_distinct(split).alias("splits"), F.min(id_col).alias("first_id")).where("group_size > 1")
-    kind = F.when(F.col("splits") > 1, "cross_split").otherwise("within_split")
-    return g.select(F.dense_rank().over(W.orderBy("digest")).cast("long").alias("group_id"), "digest", "group_size", kind.alias("group_class"), "first_id")
+
+def _numbered(groups: DataFrame, key: str) -> DataFrame:
+    """Groups with their 1-based number in the key's order, without a window over all of them."""
+    return ordinals(groups, [], [F.asc(key)], "group_id")
+
+
+def exact_groups(rows: DataFrame, digest: Column, split: str, id_col: str, candidate: str | None = None) -> DataFrame:
+    """Groups of equal content, numbered by digest, with their class.
+
+    cross_split if a candidate has the content in several splits, else
+    within_split if one has it twice, else cross_candidate; ``cross_candidate``
+    also tells on its own whether several candidates have it.
+    """
+    own = F.col(candidate) if candidate else F.lit("")
+    per = rows.groupBy(digest.alias("digest"), own.alias("c")).agg(F.count("*").alias("n"), F.count_distinct(split).alias("splits"), F.min(id_col).alias("first_id"))
+    g = per.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max("splits").alias("splits"), F.max("n").alias("most"), F.count("*").alias("candidates"), F.min("first_id").alias("first_id")).where("group_size > 1")
+    kind = F.when(F.col("splits") > 1, "cross_split").when(F.col("most") > 1, "within_split").otherwise("cross_candidate")
+    out = _numbered(g, "digest").select("group_id", "digest", "group_size", kind.alias("group_class"), "first_id", *([(F.col("candidates") > 1).alias("cross_candidate")] if candidate else []))
+    return out
+
+
+def source_groups(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """Sources of several rows, numbered by key: group_id, key, group_size, cross_split."""
+    g = rows.groupBy(key).agg(F.count("*").alias("group_size"), (F.count_distinct(split) > 1).alias("cross_split")).where("group_size > 1")
+    return _numbered(g, key)
+
+
+def candidate_pairs(rows: DataFrame, id_col: str, key: str, near: DataFrame) -> DataFrame:
+    """first_id, second_id, reasons: pairs that share a source, and near pairs (first_id, second_id)."""
+    a, b = rows.alias("a"), rows.alias("b")
+    same = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))).select(F.col(f"a.{id_col}").alias("first_id"), F.col(f"b.{id_col}").alias("second_id"), F.lit("shared_source_name").alias("reason"))
+    close = near.select(F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), F.lit("near_hash").alias("reason"))
+    return same.unionByName(close).groupBy("first_id", "second_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def first_pairs(pairs: DataFrame, most: int = 50_000) -> tuple[DataFrame, bool]:
+    """(the first pairs in order, whether there were more)."""
+    rows = pairs.orderBy("first_id", "second_id").limit(most + 1)
+    return rows.limit(most), rows.count() > most
 
 
 def hamming_pairs(rows: DataFrame, id_col: str, bits_col: str, width: int, most: int) -> DataFrame:

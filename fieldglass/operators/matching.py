@@ -188,7 +188,7 @@ def cases(preds: DataFrame, gts: DataFrame, sized: DataFrame) -> DataFrame:
         .otherwise(F.lit(True))
     )
     missed = taxonomy(pairs, gts, sure).select(*key, "class_id", F.col("primary").alias("category"))
-    shown = pairs.join(missed, key).where(fits).groupBy(*key).agg(F.min(first)["pred_id"].alias("pred_id"))
+    shown = every.join(missed, key).where(fits).groupBy(*key).agg(F.min(first)["pred_id"].alias("pred_id"))
     missed = missed.join(shown, key, "left").withColumn("duplicate_like", F.lit(False))
 
     fps = false_positives(pairs, preds, gts, sure)

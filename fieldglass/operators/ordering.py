@@ -26,12 +26,25 @@ def ordinals(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     placed = stage(sorted_.withColumn(ids, F.monotonically_increasing_id()), "placed")
     pid, at = F.shiftright(F.col(ids), _LOCAL), F.col(ids).bitwiseAND(F.lit((1 << _LOCAL) - 1))
     sizes = placed.groupBy(*keys, pid.alias("pid")).agg(F.count("*").alias("size"), F.min(at).alias("first_at"))
+    # one row for each part and group: without groups, as many as there are parts
     before = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*keys, "pid", (before - F.col("first_at") + 1).alias("shift"))
-    out = placed.withColumn("pid", pid).join(offsets, [*keys, "pid"])
+    on = F.col("p.pid") == F.col("o.pid")
+    for k in keys:
+        on = on & F.col(f"p.`{k}`").eqNullSafe(F.col(f"o.`{k}`"))
+    out = placed.withColumn("pid", pid).alias("p").join(offsets.alias("o"), on).select("p.*", "o.shift")
     return out.select(*rows.columns, (at + F.col("shift")).alias(name), *([F.col("pid").alias(part)] if part else []))
 
 
+def running_sum(rows: DataFrame, keys: list[str], part: str, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of the values at the same or an earlier place of the group; ``part`` as from ``ordinals``."""
+    sums = rows.groupBy(*keys, part).agg(F.sum(value).alias("own"))
+    before = F.sum("own").over(W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*keys, part, F.coalesce(before, F.lit(0)).alias("before"))
+    here = W.partitionBy(*keys, part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(value).over(here)).join(sums, [*keys, part]).withColumn(name, F.col(name) + F.col("before")).drop("before")
+
+
 def running_max(rows: DataFrame, keys: list[str], part: str, order: str, value: str, name: str) -> DataFrame:
     """``rows`` with the greatest value among those at the same or a later place of the group; ``part`` as from ``ordinals``."""
     later = W.partitionBy(*keys, part).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordering import ordinals
+
 
 def ranked(rows: DataFrame, reason: str, order: list[Column], most: int, id_cols: list[str]) -> DataFrame:
     """The first ``most`` rows of a total order, with the reason."""
@@ -149,10 +147,6 @@ def diverse(rows: DataFrame, counts: dict[str, int], seed: int, close: int = 4,
     return [t["id"] for t in taken]
 
 
-def rank_key(seed: int, *parts: object) -> str:
-    return hashlib.sha256(json.dumps([seed, *parts], separators=(",", ":")).encode()).hexdigest()
-
-
 def farthest_first(rows: DataFrame, id_col: str, vector: str, count: int, seed: int) -> list[int]:
     """``count`` rows, each the farthest from those taken before; one bounded result per step.
 
@@ -170,8 +164,124 @@ def farthest_first(rows: DataFrame, id_col: str, vector: str, count: int, seed:
     return ids
 
 
-def seeded_order(ids: list, seed: int) -> list:
-    """A reproducible permutation of ordered identifiers, on the driver."""
-    out = sorted(ids)
-    random.Random(seed).shuffle(out)
-    return out
+def _first(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group; groups are splits, classes, categories or images."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+
+
+def review_images(candidates: DataFrame, mandatory: str = "representative_class", most: int = 4) -> DataFrame:
+    """image_id, reasons: all mandatory ones' images, then of each other reason the first distinct images by their metric.
+
+    candidates: image_id, reason, metric, gt_id.
+    """
+    must = candidates.where(F.col("reason") == mandatory).select("image_id", "reason")
+    best = candidates.where(F.col("reason") != mandatory).groupBy("reason", "image_id").agg(F.min(F.struct("metric", "gt_id")).alias("m"))
+    rest = _first(best, ["reason"], [F.col("m.metric"), F.col("image_id")], most).select("image_id", "reason")
+    return must.unionByName(rest).groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def preprocessing_review(records: DataFrame, rankings: dict[str, Column], by: str = "class_id", value: str = "mean", id_col: str = "image_id", most: int = 2) -> DataFrame:
+    """id, reasons: of each class the image nearest its median mean, and the first of every ranking."""
+    parts = [nearest_median(records.where(F.col(by).isNotNull()), [by], value, [id_col]).select(id_col, F.lit("representative_class").alias("reason"))]
+    parts += [ranked(records, reason, [order], most, [id_col]) for reason, order in rankings.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def audit_samples(boxes: DataFrame, issues: DataFrame, empties: DataFrame, pairs: DataFrame, rare: int = 5) -> DataFrame:
+    """category, image_id: all boxes of rare classes, else the one nearest the class's median area; the smallest boxes; first issues, empty labels and cross-split pairs.
+
+    boxes: image_id, gt_id, class_id, area; issues, empties: image_id;
+    pairs: first_id, second_id, cross_split, difference, distance.
+    """
+    n = boxes.groupBy("class_id").agg(F.count("*").alias("n"))
+    few = boxes.join(n.where(F.col("n") <= rare), "class_id", "left_semi")
+    many = nearest_median(boxes.join(n.where(F.col("n") > rare), "class_id", "left_semi"), ["class_id"], "area", ["image_id", "gt_id"])
+    by_class = F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("category")
+    parts = [few.select(by_class, "image_id"), many.select(by_class, "image_id")]
+    parts.append(boxes.orderBy("area", "image_id", "gt_id").limit(5).select(F.lit("smallest").alias("category"), "image_id"))
+    parts.append(issues.orderBy("image_id").limit(5).select(F.lit("issue").alias("category"), "image_id"))
+    parts.append(empties.orderBy("image_id").limit(3).select(F.lit("empty").alias("category"), "image_id"))
+    cross = pairs.where("cross_split").orderBy("difference", "distance", "first_id", "second_id").limit(3)
+    parts.append(cross.select(F.lit("cross_split").alias("category"), F.explode(F.array("first_id", "second_id")).alias("image_id")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def stable_ids(preds: DataFrame) -> DataFrame:
+    """Predictions with ``box_id`` pred/000000, ... in falling confidence of their image, then by class and box."""
+    order = [F.desc("conf"), F.asc("class_id"), F.asc("x0"), F.asc("y0"), F.asc("x1"), F.asc("y1")]
+    place = F.row_number().over(W.partitionBy("image_id").orderBy(*order))
+    return preds.withColumn("box_id", F.format_string("pred/%06d", place - 1))
+
+
+#: How much a pair's class matters for the review.
+PRIORITY = {"high_confidence_derivative": 0, "probable_derivative": 1, "inconclusive": 2, "unrelated_false_positive": 3}
+
+
+def cross_split_pairs(pairs: DataFrame, most: int = 30) -> DataFrame:
+    """The first cross-split pairs by class, residual and inliers, with their place."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("classification"))
+    order = [rank, F.col("rmse"), F.desc("inliers"), F.col("first_id"), F.col("second_id")]
+    first = pairs.where("cross_split").orderBy(*order).limit(most)
+    return first.withColumn("place", F.row_number().over(W.orderBy(*order)))  # of ``most`` rows
+
+
+def shown_predictions(case: DataFrame, pairs: DataFrame, detailed: bool) -> DataFrame:
+    """image_id, pred_id, place of what is drawn for each case: its own prediction, the best of every combination, then by overlap.
+
+    case: image_id, gt_id, focus_id; pairs as from ``overlaps``, with ``apart``.  Not detailed: only confident ones, by confidence.
+    """
+    j = case.join(pairs, ["image_id", "gt_id"])
+    focus = F.col("pred_id") == F.col("focus_id")
+    if detailed:
+        combination = F.struct((F.col("pc") == F.col("gc")).alias("same"), (F.col("conf") >= 25).alias("sure"), (F.col("iou") >= 0.5).alias("strong"))
+        best = W.partitionBy("image_id", "gt_id", combination).orderBy(F.desc("iou"), F.desc("conf"), "pred_id")
+        j = j.withColumn("tier", F.when(focus, 0).when((F.col("iou") >= 0.1) & (F.row_number().over(best) == 1), 1).otherwise(2))
+        order, cap = [F.col("tier"), F.desc("iou"), F.desc("conf"), F.col("pred_id")], 8
+    else:
+        j = j.where(focus | (F.col("conf") >= 25)).withColumn("tier", F.when(focus, 0).otherwise(1))
+        order, cap = [F.col("tier"), F.desc("conf"), F.col("pred_id")], 6
+    return _first(j, ["image_id", "gt_id"], order, cap).select("image_id", "gt_id", "pred_id", "place")
+
+
+def best_listed(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of each target's listed predictions (image_id, gt_id, pred_id) the best by overlap, confidence, id."""
+    j = pairs.join(listed, ["image_id", "gt_id", "pred_id"])
+    return j.groupBy("image_id", "gt_id").agg(F.min(F.struct((-F.col("iou")).alias("i"), (-F.col("conf")).alias("c"), "pred_id"))["pred_id"].alias("pred_id"))
+
+
+def count_windows(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """Rows with the number of their window of ``size`` rows in order; the last may be shorter."""
+    if size < 1:
+        raise ValueError("a window holds a row at least")
+    return ordinals(rows, [], order, "place").withColumn("window", F.floor((F.col("place") - 1) / size)).drop("place")
+
+
+def preview_specs(boxes: DataFrame) -> DataFrame:
+    """spec, image_id: first image of each class, the smallest box, the one nearest the border, most boxes, first of several classes.
+
+    boxes: image_id, gt_id, class_id, area, border.
+    """
+    first = boxes.groupBy("class_id").agg(F.min("image_id").alias("image_id")).select(F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("spec"), "image_id")
+    one = lambda name, value: boxes.agg(F.min_by("image_id", F.struct(value.alias("v"), "image_id", "gt_id")).alias("image_id")).select(F.lit(name).alias("spec"), "image_id")
+    per = boxes.groupBy("image_id").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("classes"))
+    most = per.agg(F.min_by("image_id", F.struct((-F.col("n")).alias("v"), "image_id")).alias("image_id")).select(F.lit("most_boxes").alias("spec"), "image_id")
+    several = per.where("classes > 1").agg(F.min("image_id").alias("image_id")).where("image_id is not null").select(F.lit("several_classes").alias("spec"), "image_id")
+    return first.unionByName(one("smallest", F.col("area"))).unionByName(one("border", F.col("border"))).unionByName(most).unionByName(several)
+
+
+def reproducibility_samples(boxes: DataFrame, images: DataFrame, head: int = 6) -> DataFrame:
+    """The first image of each class and the first of all, each once."""
+    first = boxes.groupBy("class_id").agg(F.min("image_id").alias("image_id")).select("image_id")
+    return first.unionByName(images.select("image_id").orderBy("image_id").limit(head)).distinct()
+
+
+def mixed_groups(members: DataFrame) -> DataFrame:
+    """Groups with empty and annotated members: counts, and the first of either kind. members: group_id, image_id, is_empty."""
+    g = members.groupBy("group_id").agg(F.count("*").alias("members"), F.count_if("is_empty").alias("empty"), F.min(F.when(F.col("is_empty"), F.col("image_id"))).alias("first_empty"), F.min(F.when(~F.col("is_empty"), F.col("image_id"))).alias("first_annotated"))
+    return g.where("empty > 0 and empty < members")

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.functions.geometry import finite
+from fieldglass.operators.ordering import ordinals, running_sum
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Of the longer description.
+PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 
 
 def describe(value: Column, prefix: str = "", digits: int = 6) -> list[Column]:
@@ -22,6 +27,33 @@ def describe(value: Column, prefix: str = "", digits: int = 6) -> list[Column]:
     ]
 
 
+def describe_long(value: Column, prefix: str = "", digits: int = 6) -> list[Column]:
+    """Count, mean, median, population deviation, extremes and seven percentiles; a value that is not finite is an error."""
+    v = F.when(value.isNotNull() & ~finite(value), F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(value)
+    named = {"mean": F.avg(v), "median": F.percentile(v, F.lit(0.5)), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)} | {f"p{p}": F.percentile(v, F.lit(p / 100.0)) for p in PERCENTILES}
+    return [F.count(v).alias(f"{prefix}count"), *[F.round(c, digits).alias(f"{prefix}{k}") for k, c in named.items()]]
+
+
+def describe_grouped(rows: DataFrame, by: list[str], metrics: list[str], total: str | None = None) -> DataFrame:
+    """by, metric and the short description of each metric, over groups and, under the name ``total``, over all of the first key."""
+    u = rows.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "v")
+    if total is None:
+        return u.groupBy(*by, "metric").agg(*describe(F.col("v")))
+    sets = [[*by, "metric"], [*by[1:], "metric"]]
+    g = u.groupingSets(sets, *by, "metric").agg(*describe(F.col("v")), F.grouping(by[0]).alias("g"))
+    return g.withColumn(by[0], F.when(F.col("g") == 1, F.lit(total)).otherwise(F.col(by[0]))).drop("g")
+
+
+def histogram(rows: DataFrame, by: list[str], value: Column, edges: list[float]) -> DataFrame:
+    """by, bin, lo, hi, n, percent over the bins between the edges, the last one closed; empty bins count 0."""
+    bins = rows.sparkSession.createDataFrame([(i, lo, hi, i == len(edges) - 2) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, lo double, hi double, closed boolean")
+    own = rows.select(*by, value.cast("double").alias("v"))
+    bin_ = F.when(F.col("v") == edges[-1], F.lit(len(edges) - 2)).otherwise(F.lit(sum(1 for _ in edges)) - 1 - F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e > F.col("v"))))
+    counts = own.where((F.col("v") >= edges[0]) & (F.col("v") <= edges[-1])).groupBy(*by, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    dense = own.select(*by).distinct().crossJoin(F.broadcast(bins)).join(counts, [*by, "bin"], "left").na.fill(0, ["n"])
+    return dense.select(*by, "bin", "lo", "hi", "n", F.round(100.0 * F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy(*by))), 6).alias("percent"))
+
+
 def thresholds(rows: DataFrame, by: list[str], value: Column, limits: list[float]) -> DataFrame:
     """Counts and shares of values strictly below each limit; 0 over no rows."""
     cut = rows.sparkSession.createDataFrame([(x,) for x in limits], "limit double")
@@ -45,23 +77,17 @@ def pooled(rows: DataFrame, by: list[str], n: str, total: str, squares: str) ->
     return g.select(*by, "n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)), 6).alias("std"))
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Ranks with ties at their mean."""
-    parts = by or []
-    return F.rank().over(W.partitionBy(*parts).orderBy(value)) + (F.count("*").over(W.partitionBy(*parts, value)) - 1) / 2.0
-
-
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation from the counts of distinct values; null below three rows or without spread.
 
-    Ranks come from each column's histogram, so the window runs over distinct
-    values and not over all rows.
+    Ranks come from each column's histogram, sorted by range: no task holds
+    all distinct values.
     """
 
     def ranks(c: str, name: str) -> DataFrame:
-        h = rows.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(W.orderBy(c))
-        return h.select(c, (upto - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
+        h = ordinals(rows.groupBy(c).agg(F.count("*").alias("n")), [], [F.asc(c)], "place", "part")
+        h = running_sum(h, [], "part", "place", "n", "upto")
+        return h.select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
 
     r = rows.join(ranks(a, "ra"), a).join(ranks(b, "rb"), b).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("r"))
     ok = (F.col("n") >= 3) & F.col("r").isNotNull()

@@ -28,13 +28,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def match_sql(conf: int = 25, overlap: float = 0.5, aware: bool = True, name: str = "m") -> str:
+def match_sql(conf: float = 25, overlap: float = 0.5, aware: bool = True, name: str = "m", source: str = "iou") -> str:
     """CTEs that fold an image's predictions in falling order of confidence."""
     same = "and pc = gc" if aware else ""
     return f""", {name}_c as (
   select image_id, pred_id, row_number() over (partition by image_id order by conf desc, pred_id) k,
     list(struct_pack(g := gt_id, v := v) order by v desc, gt_id) ts
-  from iou where conf >= {conf} and v >= {overlap}::double {same} group by image_id, pred_id, conf),
+  from {source} where conf >= {conf} and v >= {overlap}::double {same} group by image_id, pred_id, conf),
 {name}_f as (
   select image_id, 0::bigint k, []::bigint[] used, null::struct(g bigint, v double) pick from (select distinct image_id from {name}_c)
   union all
@@ -387,19 +387,27 @@ def class_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with o as (select 'a'||o_orderkey nm, 'k'||(o_orderkey//3) k from orders where o_orderkey%4<>0),
+    """with recursive o as (select o_orderkey ord, 'a'||o_orderkey nm, 'k'||(o_orderkey//3) k from orders where o_orderkey%4<>0),
 n as (select case when o_orderkey%6=0 then 'b'||o_orderkey else 'a'||o_orderkey end nm, 'k'||(o_orderkey//3) k from orders where o_orderkey%5<>0),
-x as (select nm from o intersect select nm from n), lo as (select * from o where nm not in (select nm from x)), ln as (select * from n where nm not in (select nm from x)),
-k as (select a.nm o, b.nm n from (select k, min(nm) nm from lo group by 1 having count(*)=1) a join (select k, min(nm) nm from ln group by 1 having count(*)=1) b using (k))
-select nm old_name, nm new_name, 'exact' how from x union all select o, n, 'key' from k
-union all select nm, null, 'removed' from lo where nm not in (select o from k) union all select null, nm, 'added' from ln where nm not in (select n from k)"""
+ol as (select k, nm, row_number() over (partition by k order by ord, nm) i from o),
+nl as (select k, list(nm order by nm) free from n group by 1),
+ks as (select k from o union select k from n),
+f(k, i, free, o, g, how) as (
+  select ks.k, 0::bigint, coalesce(nl.free, []::varchar[]), null::varchar, null::varchar, null::varchar from ks left join nl using (k)
+  union all
+  select f.k, f.i+1, list_filter(f.free, lambda x: x is distinct from case when list_contains(f.free, ol.nm) then ol.nm when len(f.free)=1 then f.free[1] end),
+    ol.nm, case when list_contains(f.free, ol.nm) then ol.nm when len(f.free)=1 then f.free[1] end,
+    case when list_contains(f.free, ol.nm) then 'exact' when len(f.free)=1 then 'key' else 'removed' end
+  from f join ol on ol.k=f.k and ol.i=f.i+1),
+e as (select k, unnest(free) nm from (select k, arg_max(free, i) free from f group by 1))
+select k "key", o old_name, g new_name, how from f where o is not null union all select k, null, nm, 'added' from e"""
 )
 def version_match(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     o = S.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("k"), F.floor(k / 3).cast("string")).alias("key"))
-    old = o.where("o_orderkey % 4 <> 0").select(F.concat(F.lit("a"), k.cast("string")).alias("name"), "key")
+    old = o.where("o_orderkey % 4 <> 0").select(F.concat(F.lit("a"), k.cast("string")).alias("name"), "key", k.alias("ord"))
     new = o.where("o_orderkey % 5 <> 0").select(F.concat(F.when(k % 6 == 0, "b").otherwise("a"), k.cast("string")).alias("name"), "key")
-    return versions.two_stage(old, new)
+    return versions.two_stage(old, new, ["key"], "ord")
 
 
 _LIN = "with n as (select p_partkey id, p_partkey%50 k, p_partkey%17 s from part), o as (select s_suppkey id, s_suppkey%60 k, s_suppkey%19 s from supplier)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,24 @@ from fieldglass.scene import EXPORT, SPLITS
 _PART = r"(?:^|/)((?:train|valid|test)(?:/.*)?)$"
 
 
-def files(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
+def content(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path, length, content of every file, empty ones too.
+
+    The scan passes over files without bytes; they are known from its file index, which the driver holds anyway.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    names = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in scan.inputFiles()]
+    every = spark.createDataFrame(names, "path string")
+    return every.join(scan.select("path", "length", "content"), "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
+
+
+def files(spark: SparkSession, root: str, glob: str = "*", hashed: bool = False) -> DataFrame:
     """path, relative_path, split, kind, name, stem, size_bytes (and sha256)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    df = content(spark, root, glob)
     rel = F.regexp_extract("path", _PART, 1)
     name = F.element_at(F.split("path", "/"), -1)
     cols = ["path", rel.alias("relative_path"), F.get(F.split(rel, "/"), F.lit(0)).alias("split"), F.get(F.split(rel, "/"), F.lit(1)).alias("kind"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("length").alias("size_bytes")]
-    return df.select(*cols, *([F.sha2("content", 256).alias("sha256")] if content else []))
+    return df.select(*cols, *([F.sha2("content", 256).alias("sha256")] if hashed else []))
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
