@@ -3,8 +3,9 @@
 Predictions in falling order of confidence each take the free target of their
 image with the greatest overlap.  Pairs come from an equi join on the image;
 that boxes touch is its residual predicate, so pairs apart are never rows.  An
-image's sorted candidate lists are folded by ``aggregate``.  Lists are as long
-as an image has boxes, whatever the number of images.
+image's sorted pairs are folded by ``aggregate``, in the partitions that the
+join made.  Lists are as long as an image has pairs, whatever the number of
+images.
 """
 
 from __future__ import annotations
@@ -30,30 +31,29 @@ def _match_type(pairs: DataFrame) -> str:
     return f"struct<pred_id:{kind('pred_id')},gt_id:{kind('gt_id')},iou:double>"
 
 
+def _sorted_pairs() -> Column:
+    """An image's pairs in the order of assignment: by confidence, prediction, overlap, target."""
+    pair = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"), (-F.col("iou")).alias("k"), F.col("gt_id").alias("gt_id"), F.col("iou").alias("iou"), (F.col("pc") == F.col("gc")).alias("same"))
+    return F.array_sort(F.collect_list(pair))
+
+
 def _fold(ps: Column, match: str) -> Column:
-    """Matches of an image: ps are its predictions in order, each with its targets ``ts`` in order."""
+    """Matches of an image's sorted pairs: a pair is one if neither its prediction nor its target is taken."""
 
     def take(found: Column, p: Column) -> Column:
-        first = F.get(F.filter(p["ts"], lambda t: ~F.exists(found, lambda m: m["gt_id"] == t["gt_id"])), F.lit(0))
-        new = F.array(F.struct(p["pred_id"].alias("pred_id"), first["gt_id"].alias("gt_id"), first["iou"].alias("iou")).cast(match))
-        return F.when(first.isNotNull(), F.concat(found, new)).otherwise(found)
+        taken = F.exists(found, lambda m: (m["pred_id"] == p["pred_id"]) | (m["gt_id"] == p["gt_id"]))
+        return F.when(taken, found).otherwise(F.concat(found, F.array(F.struct(p["pred_id"], p["gt_id"], p["iou"]).cast(match))))
 
     return F.aggregate(ps, F.expr(f"cast(array() as array<{match}>)"), take)
 
 
-def assign(pairs: DataFrame, point: Point = REFERENCE, keys: tuple[str, ...] = ("image_id",), limits: tuple[Column, Column] | None = None) -> DataFrame:
-    """keys, pred_id, gt_id, iou of every match; pairs as from ``overlaps``.
-
-    limits: (confidence, overlap) columns instead of the point's.
-    """
-    conf, least = limits or (F.lit(point.confidence), F.lit(point.overlap))
-    kept = pairs.where((F.col("conf") >= conf) & (F.col("iou") >= least))
+def assign(pairs: DataFrame, point: Point = REFERENCE) -> DataFrame:
+    """image_id, pred_id, gt_id, iou of every match; pairs as from ``overlaps``, whose partitioning by image serves here, too."""
+    kept = pairs.where((F.col("conf") >= point.confidence) & (F.col("iou") >= point.overlap))
     if point.aware:
         kept = kept.where("pc = gc")
-    target = F.struct((-F.col("iou")).alias("k"), F.col("gt_id").alias("gt_id"), F.col("iou").alias("iou"))
-    lists = kept.groupBy(*keys, "pred_id", "conf").agg(F.array_sort(F.collect_list(target)).alias("ts"))
-    rows = lists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"), F.col("ts").alias("ts")))).alias("ps"))
-    return rows.select(*keys, F.explode(_fold(F.col("ps"), _match_type(pairs))).alias("m")).select(*keys, "m.pred_id", "m.gt_id", "m.iou")
+    rows = kept.groupBy("image_id").agg(_sorted_pairs().alias("ps"))
+    return rows.select("image_id", F.explode(_fold(F.col("ps"), _match_type(pairs))).alias("m")).select("image_id", "m.pred_id", "m.gt_id", "m.iou")
 
 
 def totals(matches: DataFrame, preds: DataFrame, gts: DataFrame, point: Point = REFERENCE) -> DataFrame:
@@ -77,17 +77,13 @@ def grid(pairs: DataFrame, preds: DataFrame, gts: DataFrame, points: list[Point]
     spark = pairs.sparkSession
     numbered = list(dict.fromkeys(points))
     params = spark.createDataFrame([(i, p.aware, p.confidence, p.overlap) for i, p in enumerate(numbered)], "i int, aware boolean, min_conf int, min_iou double")
-    target = F.struct((-F.col("iou")).alias("k"), F.col("gt_id").alias("gt_id"), F.col("iou").alias("iou"), (F.col("pc") == F.col("gc")).alias("same"))
     cut = pairs.where((F.col("iou") >= min(p.overlap for p in numbered)) & (F.col("conf") >= min(p.confidence for p in numbered)))
-    lists = cut.groupBy("image_id", "pred_id", "conf").agg(F.array_sort(F.collect_list(target)).alias("ts"))
-    pred = F.struct((-F.col("conf")).alias("c"), F.col("pred_id").alias("pred_id"), F.col("ts").alias("ts"))
-    rows = lists.groupBy("image_id").agg(F.array_sort(F.collect_list(pred)).alias("ps"))
+    rows = cut.groupBy("image_id").agg(_sorted_pairs().alias("ps"))
     match = _match_type(pairs)
 
     def hits(p: Point) -> Column:
-        fits = lambda t: (t["iou"] >= p.overlap) & t["same"] if p.aware else t["iou"] >= p.overlap
-        kept = F.transform(F.filter("ps", lambda x: -x["c"] >= p.confidence), lambda x: F.struct(x["pred_id"].alias("pred_id"), F.filter(x["ts"], fits).alias("ts")))
-        return F.sum(F.size(_fold(kept, match)))
+        fits = lambda x: (-x["c"] >= p.confidence) & (x["iou"] >= p.overlap) & (x["same"] if p.aware else F.lit(True))
+        return F.sum(F.size(_fold(F.filter("ps", fits), match)))
 
     tp = rows.agg(*[hits(p).alias(f"t{i}") for i, p in enumerate(numbered)]).select(F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(numbered))])).alias("i", "tp"))
     kept = preds.agg(*[F.count_if(F.col("conf") >= p.confidence).alias(f"n{i}") for i, p in enumerate(numbered)]).select(F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(numbered))])).alias("i", "np"))
