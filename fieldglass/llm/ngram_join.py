@@ -389,18 +389,20 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     star = named.join(split.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     block = components(star, "a", "b", stage).select(F.col("node").alias("cid"), F.col("component").alias("block"))
     # similar sets are at most two size classes apart
-    grade = F.floor(F.log(F.octet_length("tokens") / 8) * (2 / math.log(100 / percent))).cast("int")
-    placed = block.join(tokens, "cid").withColumn("grade", grade)
-    cut = placed.groupBy("block", "grade").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.octet_length("tokens")) / CHUNK_BYTES)).cast("int").alias("cuts"))
+    # sets are dealt into chunks by their sizes alone; the sets themselves move once, by the class
+    grade = F.floor(F.log(F.col("bytes") / 8) * (2 / math.log(100 / percent))).cast("int")
+    placed = stage(block.join(tokens.select("cid", F.octet_length("tokens").alias("bytes")), "cid").withColumn("grade", grade), "placed")
+    cut = placed.groupBy("block", "grade").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("cuts"))
     chunk = F.xxhash64("block", "grade", F.pmod(F.xxhash64("cid"), F.col("cuts")))
-    held = stage(placed.join(cut, ["block", "grade"]).select("block", "grade", "cid", "tokens", chunk.alias("chunk")), "blocks")
+    dealt = placed.join(cut, ["block", "grade"]).select("block", "grade", "cid", chunk.alias("chunk"))
+    held = stage(dealt.join(tokens, "cid"), "blocks")
     chunks = held.select("block", "grade", "chunk").distinct()
     c, d = chunks.alias("c"), chunks.alias("d")
     near = (F.col("d.grade").between(F.col("c.grade"), F.col("c.grade") + 3)) & ((F.col("d.grade") > F.col("c.grade")) | (F.col("d.chunk") >= F.col("c.chunk")))
     pairs = stage(c.join(d, (F.col("c.block") == F.col("d.block")) & near).select(F.col("c.chunk").alias("x"), F.col("d.chunk").alias("y"), F.xxhash64("c.chunk", "d.chunk").alias("pair")), "chunk-pairs")
-    first = held.join(pairs.withColumnRenamed("x", "chunk"), "chunk").select("pair", F.lit(0).alias("side"), "cid", "tokens")
-    second = held.join(pairs.where("x <> y").withColumnRenamed("y", "chunk"), "chunk").select("pair", F.lit(1).alias("side"), "cid", "tokens")
-    both = first.unionByName(second).repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side", "cid")
+    ends = F.array(F.struct(F.col("x").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("y").alias("chunk"), F.lit(1).alias("side")))
+    met = pairs.select("pair", F.inline(F.when(F.col("x") == F.col("y"), F.slice(ends, 1, 1)).otherwise(ends)))
+    both = held.join(met, "chunk").select("pair", "side", "cid", "tokens").repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side", "cid")
     return mapped(both, _compare(percent), "a long, b long")
 
 
