@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sentence_pieces, toxicity, vector_dedup
+from fieldglass.llm import chat_format, divergence, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, quality, sentence_pieces, toxicity, vector_dedup
 from fieldglass.llm._sample import held_out
 
 
@@ -87,6 +87,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=2, least_chars=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"), least_docs=10, top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_html_text": op2_html_text,
@@ -98,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_divergence": op13_divergence,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,4 +163,36 @@ from embeddings left join n on n.a = vec_id join m on m.x = vec_id""",
 with t as (select doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}')) h, translate(coalesce(text, ''), '{_UP}', '{_LOW}') x from documents)
 select doc_id, max(doc_id) over (partition by x) keep_id, count(*) over (partition by x)::bigint group_size,
   doc_id = max(doc_id) over (partition by x) kept, h text_sha256 from t""",
+    "op11_line_dedup": f"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
+k as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') key from l),
+r as (select key, min(doc_id) keeper from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select k.doc_id, k.line, k.pos, r.keeper is not null and r.keeper <> k.doc_id gone from k left join r on r.key = k.key)
+select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
+from m group by doc_id""",
+    "op13_divergence": f"""
+with d as (
+  select coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') ws from documents),
+t as (select lang, unnest(list_distinct(ws)) term from d),
+v as (select lang, term from t group by lang, term having count(*) >= 10),
+nv as (select lang, count(*) v from v group by lang),
+g as (select distinct lang, source from d),
+w as (select lang, source, term, count(*) n from (select lang, source, unnest(ws) term from d) group by all),
+kc as (select g.lang, g.source, v.term, coalesce(w.n, 0) n from g join v on v.lang = g.lang
+  left join w on w.lang = g.lang and w.source = g.source and w.term = v.term),
+lc as (select lang, term, sum(n) n from kc group by all),
+p as (select kc.lang, source, term, n, (1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by kc.lang, source) + 2 * nv.v))::hugeint p from kc join nv on nv.lang = kc.lang),
+q as (select lc.lang, term, (1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lc.lang) + 2 * nv.v))::hugeint p from lc join nv on nv.lang = lc.lang),
+f as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) val
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+e as (select a.lang, a.source, b.source item, coalesce(f.val, 0) val from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+x as (select p.lang, p.source, p.term item, (p.p - q.p) * (p.p - q.p) // (p.p + q.p) val from p join q on q.lang = p.lang and q.term = p.term where p.n > 0 and p.p > q.p),
+u as (select *, 'pair' part from e union all select *, 'term' from x),
+r as (select *, row_number() over (partition by lang, source, part order by val desc, encode(item)) rank from u)
+select lang, source, part, item, val::bigint as value, rank::int rank from r where part = 'pair' or rank <= 10""",
 }
