@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import chat_format, divergence, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, quality, sentence_pieces, toxicity, vector_dedup
+from fieldglass.llm import chat_format, divergence, exact_dedup, hard_negatives, html_text, language_id, line_dedup, mixing, ngram_join, quality, sentence_pieces, toxicity, vector_dedup
 from fieldglass.llm._sample import held_out
 
 
@@ -92,6 +92,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"), least_docs=10, top=10)
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_divergence": op13_divergence,
 }
 
@@ -173,6 +180,23 @@ m as (select k.doc_id, k.line, k.pos, r.keeper is not null and r.keeper <> k.doc
 select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
 from m group by doc_id""",
+    "op12_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select a.vec_id anchor_id, b.vec_id other, a.label = b.label same, list_inner_product(a.e, b.e)::bigint score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, other positive_id, score positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (
+  select p.*, s.other negative_id, s.score negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.other) rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int rank, negative_id, positive_score, negative_score from n where rank <= 10""",
     "op13_divergence": f"""
 with d as (
   select coalesce(lang, '') lang, coalesce(source, '') source,
