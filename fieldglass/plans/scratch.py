@@ -12,9 +12,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("fieldglass_passing", default=())
 _OWN: dict[str, str] = {}
 _USED: set[str] = set()
 
@@ -47,12 +50,33 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for lasting ones."""
+    mine: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), mine))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def stage(df: DataFrame, label: str, by: list[str] | None = None, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    ``by``: columns to lay the files out by; ``lasting``: the table passes with
+    the block around the innermost ``passing`` block, without one at the session's end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
