@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -108,6 +109,10 @@ def _aside(tag: str, raw: str) -> tuple[bool, str]:
     return out, cls
 
 
+#: Elements whose places on the stack matter to elements that end others by themselves.
+MARKED = STOP | frozenset(SAME) | frozenset().union(*SAME.values())
+
+
 class _Frame:
     __slots__ = ("tag", "out", "cls", "at", "parts", "holds", "last", "teaser")
 
@@ -119,8 +124,11 @@ class _Frame:
         self.teaser: bool | None = None  # of an article, as soon as it is known
 
 
-def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True) -> tuple[str, set[int]]:
-    """(main text, hashes of all containers; odd ones are inside an article)."""
+def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True, shortcut: bool = True) -> tuple[str, set[int]]:
+    """(main text, hashes of all containers; odd ones are inside an article).
+
+    ``shortcut``: of a page with articles or main elements, these alone.
+    """
     blocks: list[str] = []
     line: list[str] = []
     stack = [_Frame("#", False, "", 0)]
@@ -131,6 +139,13 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
     titles: list[tuple[int, int]] = []  # all headings
     inside = 0  # articles and main elements that are open
     articles = 0  # articles that are open
+    opened: Counter[str] = Counter()  # open elements by tag
+    # places on the stack of open paragraphs, of what bounds them, of marked elements and of articles
+    paragraphs: list[int] = []
+    bounds: list[int] = []
+    marks: list[int] = []
+    within: list[int] = []
+    skipped: list[int] = []
     out = 0  # elements beside the main text that are open
 
     def flush() -> None:
@@ -147,10 +162,21 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
             while spans_ and spans_[-1][0] >= at:
                 spans_.pop()
 
+    def since(spans_: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+        """The spans from ``at`` on: the last ones."""
+        k = len(spans_)
+        while k and spans_[k - 1][0] >= at:
+            k -= 1
+        return spans_[k:]
+
     def close() -> None:
         nonlocal inside, articles, out
         f = stack.pop()
         tag = f.tag
+        opened[tag] -= 1
+        for places in (paragraphs, bounds, marks, within):
+            if places and places[-1] == len(stack):
+                places.pop()
         if tag in BLOCK and not out:
             flush()
         digest = hashlib.blake2b(f"{tag}\0{f.cls}\0{'\0'.join(f.parts)}".encode("utf-8", "replace"), digest_size=8).digest()
@@ -168,9 +194,9 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
         if tag in HEADING and f.at < len(blocks):
             titles.append((f.at, len(blocks)))
         if tag == "header" and inside:
-            kept = [b for lo, hi in titles if lo >= f.at for b in blocks[lo:hi]]
+            kept = [b for lo, hi in since(titles, f.at) for b in blocks[lo:hi]]
             if len(kept) < len(blocks) - f.at:
-                own = [h for h in headings if h[0] >= f.at]
+                own = since(headings, f.at)
                 cut(f.at, kept)
                 titles.extend((f.at + i, f.at + i + 1) for i in range(len(kept)))
                 if own:
@@ -179,7 +205,7 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
             if not articles:
                 headings.append((f.at, len(blocks)))
             elif f.parts:
-                around = next(x for x in reversed(stack) if x.tag == "article")
+                around = stack[within[-1]]
                 if around.teaser is None:
                     around.teaser = len(f.parts) == 1 and f.last == "a"
         if tag in spans:
@@ -221,7 +247,7 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if any(f.tag == tag for f in stack[1:]):
+            if opened[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -243,16 +269,13 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
                 flush()
             pos = stop.end() if stop else end
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in STOP or stack[k].out:
-                    break
+        if tag in ENDS_P and paragraphs and paragraphs[-1] >= (bounds[-1] if bounds else 0):
+            while len(stack) > paragraphs[-1] + 1:
+                close()
+            close()
         if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
+            while marks:
+                k = marks[-1]
                 if stack[k].tag in SAME[tag]:
                     while len(stack) > k:
                         close()
@@ -260,6 +283,11 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
                         break
                 elif stack[k].tag in STOP or k < len(stack) - 1 and stack[k].tag == "tr" and tag != "tr":
                     break
+                else:
+                    skipped.append(marks.pop())
+            while skipped:
+                if (k := skipped.pop()) < len(stack):  # not closed meanwhile
+                    marks.append(k)
         if tag in BLOCK and not out:
             flush()
         elif tag in ("td", "th") and not out:
@@ -270,9 +298,13 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
         beside = tag in UNSEEN or hints and (beside or tag == "header" and not inside)
         if beside and not out:
             flush()
+        for places, own in ((paragraphs, tag == "p"), (bounds, beside or tag in STOP), (marks, tag in MARKED), (within, tag == "article")):
+            if own:
+                places.append(len(stack))
+        opened[tag] += 1
         stack.append(_Frame(tag, beside, cls, len(blocks)))
         out += beside
-        if tag in spans and not beside:
+        if tag in spans and not out:
             inside += 1
             if tag == "article":
                 articles += 1
@@ -281,11 +313,11 @@ def parse(html: str, template: frozenset[int] = frozenset(), hints: bool = True)
     while len(stack) > 1:
         close()
     flush()
-    if spans["article"]:
+    if spans["article"] and shortcut:
         kept = [x for x in spans["article"] if x not in teasers and x[0] < x[1]] or spans["article"]
         kept = [x for x in headings if x[1] <= kept[0][0] and any(lo <= x[0] and kept[0][1] <= hi for lo, hi in spans["main"])] + kept
         return "\n".join(b for lo, hi in kept for b in blocks[lo:hi]), hashes
-    if spans["main"]:
+    if spans["main"] and shortcut:
         lo, hi = max(spans["main"], key=lambda s: (sum(map(len, blocks[s[0] : s[1]])), -s[0]))
         return "\n".join(blocks[lo:hi]), hashes
     return "\n".join(blocks), hashes

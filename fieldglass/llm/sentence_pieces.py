@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.llm._shared import mapped
+from fieldglass.llm._shared import free_name, mapped
 
 MARK = "▁".encode()
 #: Kinds of pieces in a model file.
@@ -525,15 +525,19 @@ def _encode(model: Pieces, check: bool):
 
 
 def encode(docs: DataFrame, model: Pieces, text_col: str = "text", keep: list[str] | None = None, check: bool = True) -> DataFrame:
-    """The columns ``keep`` (all but the text) with pieces, n_fallback, and round_trip: whether they decode to the text."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    taken = {"_text", "pieces", "n_fallback", "round_trip"}
-    slim = docs.select(*[F.col(c).alias(f"{c}_" if c in taken else c) for c in keep], F.col(text_col).cast("string").alias("_text"))
-    _ = model.trie, model.weight, model.bytes_, model.plain, model.by_words, model.reach
+    """The columns ``keep`` (all but the text) with pieces, n_fallback, and round_trip: whether they decode to the text.
+
+    A kept column that has one of these names gets an underscore behind it.
+    """
     from pyspark.sql import types as T
 
+    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    new = ["pieces", "n_fallback", *(["round_trip"] if check else [])]
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    _ = model.trie, model.weight, model.bytes_, model.plain, model.by_words, model.reach
     schema = T.StructType([f for f in slim.schema.fields if f.name != "_text"] + [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_fallback", T.LongType())] + [T.StructField("round_trip", T.BooleanType())] * check)
-    return mapped(slim, _encode(model, check), schema)
+    names = [free_name(c, [*new, *(x for x in keep if x != c)]) if c.lower() in new else c for c in keep]
+    return mapped(slim, _encode(model, check), schema).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *new)
 
 
 def _decode(model: Pieces):
@@ -551,11 +555,12 @@ def _decode(model: Pieces):
 
 
 def decode(coded: DataFrame, model: Pieces, pieces_col: str = "pieces", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` with the decoded text; null pieces decode to ""."""
+    """The columns ``keep`` (all but the pieces and ``text``) with the decoded text; null pieces decode to ""."""
     from pyspark.sql import types as T
 
     keep = [c for c in coded.columns if c not in (pieces_col, "text")] if keep is None else keep
-    slim = coded.select(*keep, F.col(pieces_col).cast("array<int>").alias("pieces"))
+    slim = coded.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{pieces_col}`").cast("array<int>").alias("pieces"))
     _ = model.plain
     schema = T.StructType([f for f in slim.schema.fields if f.name != "pieces"] + [T.StructField("text", T.StringType())])
-    return mapped(slim, _decode(model), schema)
+    names = [free_name(c, ["text", *(x for x in keep if x != c)]) if c.lower() == "text" else c for c in keep]
+    return mapped(slim, _decode(model), schema).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "text")

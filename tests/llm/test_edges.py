@@ -115,3 +115,50 @@ def test_empty_weights_of_floats():
     with pytest.raises(ValueError):
         mixing.integer_weights({"a": -1})
     assert np.array(list(mixing.integer_weights({"a": 0.5, "b": 0.25}).values())).tolist() == [2, 1]
+
+
+WHOLE = "doc_id long, text string, lang string, source string, n_chars long, block int, Slot int, position string, _pred int, _score int, _sure int, pieces int, pieces_ int, round_trip int, `a.b` int, row int, key int"
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """All stages over null, empty, repeated and near-equal rows with clashing columns, and over an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    words = {"en": "the and of house river stone light walk under never".split(), "de": "der und von haus fluss stein licht gehen unter niemals".split()}
+    rows = []
+    for i in range(80):
+        lang = "en" if i % 2 else "de"
+        rows.append([i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, f"s{i % 3}"])
+    rows += [[80, rows[3][1], "de", "s1"], [81, rows[4][1] + " end", "en", None], [82, None, "en", "s1"], [83, "", None, "s2"], [84, "123 456", None, None], [None, rows[5][1] + " x", None, "s1"], [7, rows[7][1], "en", "s1"]]
+    whole = [(*r, len(r[1] or ""), i, 2, f"p{i}", 3, 4, 5, 6, 7, 8, i, 9, 10) for i, r in enumerate(rows)]
+    for name, data in (("some", whole), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(data, WHOLE).coalesce(2).write.parquet(str(d / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(d))
+        got = out.collect()
+        assert out.columns == ["doc_id", "lang", "source", "n_chars", "block", "Slot", "position_", "_pred", "_score", "_sure", "pieces__", "pieces_", "round_trip_", "a.b", "row", "key", "position", "pieces", "n_fallback", "round_trip"]
+        if not data:
+            assert got == []
+            continue
+        want = {r[0]: r for r in whole}
+        kept = {r.doc_id for r in got}
+        # one of each group of equal or near-equal texts; none without letters
+        assert len(got) == len(kept) == 80 and not kept & {82, 83, 84, None} and len({3, 80} & kept) == 1 and len({4, 81} & kept) == 1
+        for r in got:
+            own = want[r.doc_id] if r.doc_id != 7 else whole[7 if r["a.b"] == 7 else -1]
+            assert (r.lang, r.source, r.n_chars, r.block, r.Slot, r.position_, r._pred, r._score, r._sure, r.pieces__, r.pieces_, r.round_trip_, r["a.b"], r.row, r.key) == own[2:] and r.round_trip
+        assert [r.position for r in got] == sorted(r.position for r in got)
+
+
+def test_pieces_with_clashing_names(spark):
+    from fieldglass.llm import sentence_pieces
+    from fieldglass.llm.queries import PIECES
+
+    model = sentence_pieces.load(PIECES)
+    df = spark.createDataFrame([(1, "a b", 2, 3, 4, "t"), (1, None, 2, 3, 4, None), (1, "a b", 2, 3, 4, "t")], "pieces int, text string, pieces_ int, `a.b` int, N_fallback int, c0 string")
+    out = sentence_pieces.encode(df, model)
+    assert out.columns == ["pieces__", "pieces_", "a.b", "N_fallback_", "c0", "pieces", "n_fallback", "round_trip"]
+    assert sorted((r.pieces__, r["a.b"], r.c0 or "", r.round_trip) for r in out.collect()) == [(1, 3, "", True), (1, 3, "t", True), (1, 3, "t", True)]
+    back = sentence_pieces.decode(out, model)
+    assert sorted(r.text for r in back.collect()) == ["", "a b", "a b"] and back.columns[-1] == "text"

@@ -88,12 +88,46 @@ def test_recurrence_alone(spark, semantic):
     assert all(t and "imprint" not in t and "offer" not in t and t.startswith(f"story {i} ") for i, t in got.items())
 
 
-def test_recurrence_on_the_driver_pages(spark):
-    """Where a page's menu, advert and imprint recur on its host, recurrence alone gives the text that hints give."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    with_, without = ({r.page_id: r.text for r in html_text.extract(pages.withColumn("url", pages.url.substr(1, 9)), hints=h).collect()} for h in (True, False))
-    # all pages as one host: its few menus, adverts and imprints recur
-    assert sum(with_[i] == without[i] for i in with_) > 0.9 * len(with_)
+def test_recurrence_on_the_driver_pages():
+    """With the shortcut to articles and the hints switched off, recurrence alone gives the full text where a host's menus recur, and nothing does without it."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url", "html"])
+    pages = [(html_text.host_of(u), h) for u, h in zip(table["url"].to_pylist(), table["html"].to_pylist(), strict=True) if h]
+    full = [html_text.parse(h)[0] for _, h in pages]
+    seen = {}
+    for (host, h), text in zip(pages, full, strict=True):
+        for piece in html_text.parse(h, hints=False, shortcut=False)[1]:
+            seen.setdefault((host, piece), set()).add(text)
+    template = {}
+    for (host, piece), mains in seen.items():
+        if len(mains) >= html_text.LEAST_PAGES:
+            template.setdefault(host, set()).add(piece)
+
+    def alike(pieces, hints):
+        return sum(html_text.parse(h, frozenset(pieces.get(host, ())), hints, shortcut=False)[0] == text for (host, h), text in zip(pages, full, strict=True))
+
+    assert alike({}, False) == 0
+    assert alike(template, False) > 0.25 * len(pages)
+    # what does not recur, the hints know; the shortcut adds nothing on these pages
+    assert alike(template, True) == len(pages)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 60_000 + "<p>x</p>" * 90_000, "<div>" * 90_000 + "x" + "</div>" * 90_000, "<article>" + "<b>" * 60_000 + "<h2>y</h2>" * 70_000, "<table><tr>" + "<td>x<i>" * 120_000],
+)
+def test_nested_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.parse(page)
+    assert len(page) > 870_000 and time.process_time() - began < 6  # quadratic time took minutes
+
+
+def test_article_in_a_menu():
+    """An article that is no main text leaves no trace behind it."""
+    assert html_text.parse("<nav><article>no</article></nav><main><header><p>by</p><h1>T</h1></header><h2>s</h2><p>a</p></main>")[0] == "T\ns\na"
 
 
 @pytest.mark.parametrize(
