@@ -46,8 +46,9 @@ def fp_image_groups(probes: DataFrame, images: DataFrame, gts: DataFrame) -> Dat
     all_ = images.select("image_id").join(has, "image_id", "left").na.fill(False, ["annotated"])
     groups = images.sparkSession.createDataFrame([(True,), (False,)], "annotated boolean")
     n = all_.groupBy("annotated").agg(F.count("*").alias("images"))
-    fp = probes.groupBy("annotated").agg(F.count("*").alias("fp"), F.count_distinct("image_id").alias("images_with_fp"), *stats.describe_long(F.col("conf").cast("double"), "conf_"))
-    j = groups.join(n, "annotated", "left").join(fp, "annotated", "left").na.fill(0, ["images", "fp", "images_with_fp", "conf_count"])
+    fp = probes.groupBy("annotated").agg(F.count("*").alias("fp"), F.count_distinct("image_id").alias("images_with_fp"))
+    j = groups.join(n, "annotated", "left").join(fp, "annotated", "left").na.fill(0, ["images", "fp", "images_with_fp"])
+    j = stats.with_described(j, probes, ["annotated"], {"conf_": F.col("conf")})
     total = F.sum("fp").over(W.partitionBy())  # two rows
     r = lambda c: F.round(c, 9)
     return j.select(
@@ -98,10 +99,11 @@ def flag_counts(taxonomy: DataFrame, flags: list[str]) -> DataFrame:
 def class_table(matches: DataFrame, preds: DataFrame, gts: DataFrame, conf: int = 25, classes: int = CLASSES) -> DataFrame:
     """Per class: tp, fp, fn, precision, recall, f1, support and its share, the matches' overlaps, low-support flags."""
     own = matches.join(gts.select("image_id", "gt_id", "class_id"), ["image_id", "gt_id"])
-    tp = own.groupBy("class_id").agg(F.count("*").alias("tp"), *stats.describe_long(F.col("iou"), "iou_"))
+    tp = own.groupBy("class_id").agg(F.count("*").alias("tp"))
     kept = preds.where(F.col("conf") >= conf).groupBy("class_id").agg(F.count("*").alias("np"))
     support = gts.groupBy("class_id").agg(F.count("*").alias("support"))
-    j = _classes(gts, classes).join(support, "class_id", "left").join(kept, "class_id", "left").join(tp, "class_id", "left").na.fill(0, ["support", "np", "tp", "iou_count"])
+    j = _classes(gts, classes).join(support, "class_id", "left").join(kept, "class_id", "left").join(tp, "class_id", "left").na.fill(0, ["support", "np", "tp"])
+    j = stats.with_described(j, own, ["class_id"], {"iou_": F.col("iou")})
     j = j.withColumn("fp", F.col("np") - F.col("tp")).withColumn("fn", F.col("support") - F.col("tp")).drop("np")
     m = G.metrics(F.col("tp"), F.col("fp"), F.col("fn"))
     share = G.percentage(F.col("support"), F.sum("support").over(W.partitionBy()))  # a row for each class
@@ -124,23 +126,20 @@ def confidence_table(best: DataFrame, bounds: list[tuple[float, float]]) -> Data
     """Bins [lo, hi) of confidence, the last closed: candidates, three descriptions, and those that reach half overlap."""
     bins = best.sparkSession.createDataFrame([(float(a), float(b), i == len(bounds) - 1) for i, (a, b) in enumerate(bounds)], "lo double, hi double, closed boolean")
     inside = (F.col("conf") >= F.col("lo")) & ((F.col("conf") < F.col("hi")) | F.col("closed") & (F.col("conf") == F.col("hi")))
-    j = F.broadcast(bins).join(best, inside, "left")
-    return j.groupBy("lo", "hi", "closed").agg(
-        F.count("conf").alias("candidates"),
-        *stats.describe_long(F.col("conf"), "conf_"),
-        *stats.describe_long(F.col("any_iou"), "any_"),
-        *stats.describe_long(F.col("same_iou"), "same_"),
-        F.count_if(F.col("any_iou") >= 0.5).alias("any_half"),
-        F.count_if(F.col("same_iou") >= 0.5).alias("same_half"),
-    )
+    j = best.join(F.broadcast(bins), inside).select("lo", "hi", "closed", "conf", "any_iou", "same_iou")  # a handful of bins
+    by = ["lo", "hi", "closed"]
+    counts = j.groupBy(*by).agg(F.count("conf").alias("candidates"), F.count_if(F.col("any_iou") >= 0.5).alias("any_half"), F.count_if(F.col("same_iou") >= 0.5).alias("same_half"))
+    out = bins.join(counts, by, "left").na.fill(0, ["candidates", "any_half", "same_half"])
+    return stats.with_described(out, j, by, {"conf_": F.col("conf"), "any_": F.col("any_iou"), "same_": F.col("same_iou")})
 
 
 def distributions(matches: DataFrame, preds: DataFrame, conf: int = 25) -> DataFrame:
     """Descriptions of the matches' confidence and overlap and of the false positives' confidence: name and columns."""
     kept = preds.where(F.col("conf") >= conf).select("image_id", "pred_id", "conf").join(matches.select("image_id", "pred_id", "iou"), ["image_id", "pred_id"], "left")
     hit = F.col("iou").isNotNull()
-    long = kept.select(F.explode(F.array(F.struct(F.lit("matched_confidence").alias("name"), F.when(hit, F.col("conf").cast("double")).alias("v")), F.struct(F.lit("matched_iou").alias("name"), F.col("iou").alias("v")), F.struct(F.lit("false_positive_confidence").alias("name"), F.when(~hit, F.col("conf").cast("double")).alias("v")))).alias("x")).select("x.*")
-    return long.groupBy("name").agg(*stats.describe_long(F.col("v")))
+    named = {"matched_confidence": F.when(hit, F.col("conf")), "matched_iou": F.col("iou"), "false_positive_confidence": F.when(~hit, F.col("conf"))}
+    base = kept.sparkSession.createDataFrame([(n,) for n in named], "name string")
+    return stats.alongside(base, stats.described(kept, [], named, True).withColumnRenamed("metric", "name"), ["name"]).na.fill(0, ["count"])
 
 
 def split_summary(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -154,8 +153,8 @@ def split_summary(images: DataFrame, boxes: DataFrame) -> DataFrame:
         F.sum("n").alias("annotations"),
         *[F.count_if(F.col("o") == s).alias(s) for s in sides],
         F.count_distinct("width", "height").alias("resolutions"),
-        *stats.describe_long(F.when(F.col("n") > 0, F.col("n").cast("double")), "boxes_"),
     )
+    own = stats.with_described(own, i, ["split"], {"boxes_": F.when(F.col("n") > 0, F.col("n"))})
     empty = F.col("images") - F.col("positive_images")
     classes = boxes.join(images.select("image_id", "split"), "image_id").groupBy("split").agg(F.array(*[F.count_if(F.col("class_id") == c).cast("long") for c in range(CLASSES)]).alias("class_counts"))
     return own.join(classes, "split", "left").select("*", empty.alias("empty_label_images"), F.round(G.percentage(F.col("positive_images"), F.col("images")), 6).alias("positive_share"), F.round(G.percentage(empty, F.col("images")), 6).alias("empty_share"))
@@ -165,27 +164,21 @@ def class_difficulty(sized: DataFrame, splits: tuple[str, ...] = ("train", "vali
     """Dense (split, class_id): boxes, images, and medians and quartiles of area share and of effective sides."""
     spark = sized.sparkSession
     dim = spark.createDataFrame([(s,) for s in splits], "split string").crossJoin(_classes(sized, classes))
-    q = lambda c, f, name: F.round(F.percentile(F.col(c), F.lit(f)), 6).alias(name)
-    g = sized.groupBy("split", "class_id").agg(
-        F.count("*").alias("annotations"),
-        F.count_distinct("image_id").alias("positive_images"),
-        q("area_pct", 0.5, "median_area_pct"),
-        q("area_pct", 0.25, "p25_area_pct"),
-        q("area_pct", 0.75, "p75_area_pct"),
-        q("effective_width", 0.5, "median_effective_width"),
-        q("effective_height", 0.5, "median_effective_height"),
-        q("short_side", 0.5, "median_short_side"),
-        q("short_side", 0.25, "p25_short_side"),
-        q("short_side", 0.75, "p75_short_side"),
-    )
+    g = sized.groupBy("split", "class_id").agg(F.count("*").alias("annotations"), F.count_distinct("image_id").alias("positive_images"))
+    c = {n: F.col(n) for n in ("area_pct", "effective_width", "effective_height", "short_side")}
+    named = {"median_area_pct": (c["area_pct"], 0.5), "p25_area_pct": (c["area_pct"], 0.25), "p75_area_pct": (c["area_pct"], 0.75), "median_effective_width": (c["effective_width"], 0.5), "median_effective_height": (c["effective_height"], 0.5)}
+    named |= {"median_short_side": (c["short_side"], 0.5), "p25_short_side": (c["short_side"], 0.25), "p75_short_side": (c["short_side"], 0.75)}
+    g = stats.alongside(g, stats.quantiles(sized, ["split", "class_id"], named), ["split", "class_id"])
     return dim.join(g, ["split", "class_id"], "left").na.fill(0, ["annotations", "positive_images"])
 
 
 def semantics(boxes: DataFrame, special: int, general: int) -> DataFrame:
     """Per class: images, median area; and of ``special``'s images how many hold ``general``, with that class's median area there."""
-    per = boxes.groupBy("class_id").agg(F.count_distinct("image_id").alias("images"), F.round(F.median("area"), 9).alias("median_area"))
+    per = boxes.groupBy("class_id").agg(F.count_distinct("image_id").alias("images"))
+    per = stats.alongside(per, stats.quantiles(boxes, ["class_id"], {"median_area": (F.col("area"), 0.5)}, 9), ["class_id"])
     own = boxes.where(F.col("class_id") == special).select("image_id").distinct()
-    there = boxes.where(F.col("class_id") == general).join(own, "image_id", "left_semi").agg(F.count_distinct("image_id").alias("shared_images"), F.round(F.median("area"), 9).alias("shared_median_area"))
+    there = boxes.where(F.col("class_id") == general).join(own, "image_id", "left_semi")
+    there = there.agg(F.count_distinct("image_id").alias("shared_images")).join(stats.quantiles(there, [], {"shared_median_area": (F.col("area"), 0.5)}, 9), F.lit(True), "left")
     return per.crossJoin(there)
 
 
@@ -206,8 +199,10 @@ def intensity(rows: DataFrame, split: str = "split") -> DataFrame:
     aggs = [F.count("*").alias("images"), F.sum("pixels").alias("pixels_"), F.count_if(F.col("processed_std") > F.col("original_std")).alias("images_with_increased_std")]
     for b in both:
         aggs += [F.sum(f"{b}_{c}").alias(f"{b}_{c}_s") for c in ("sum", "square_sum", "zeros", "fulls")]
-        aggs += [F.min(f"{b}_min").alias(f"{b}_least"), F.max(f"{b}_max").alias(f"{b}_most"), F.round(F.median(f"{b}_mean"), 6).alias(f"median_image_{b}_mean"), F.round(F.median(f"{b}_std"), 6).alias(f"median_image_{b}_std")]
-    g = rows.groupingSets([[split], []], split).agg(*aggs, F.grouping(split).alias("g"))
+        aggs += [F.min(f"{b}_min").alias(f"{b}_least"), F.max(f"{b}_max").alias(f"{b}_most")]
+    g = rows.groupingSets([[split], []], split).agg(*aggs, F.grouping(split).alias("g")).withColumn("scope_", F.when(F.col("g") == 1, "overall").otherwise(F.col(split)))
+    scoped = rows.withColumn("scope_", F.explode(F.array(F.col(split), F.lit("overall"))))
+    g = stats.alongside(g, stats.quantiles(scoped, ["scope_"], {f"median_image_{b}_{m}": (F.col(f"{b}_{m}"), 0.5) for b in both for m in ("mean", "std")}), ["scope_"])
     n = F.col("pixels_")
     mean = {b: F.col(f"{b}_sum_s") / n for b in both}
     std = {b: F.sqrt(F.greatest(F.lit(0.0), F.col(f"{b}_square_sum_s") / n - mean[b] * mean[b])) for b in both}

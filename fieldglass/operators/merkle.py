@@ -84,9 +84,8 @@ def difference(first: DataFrame, second: DataFrame) -> DataFrame:
     spark = first.sparkSession
     out, depth = None, 0
     todo = None
-    deepest = max(t.agg(F.max("depth")).first()[0] or 0 for t in (first, second))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
-    while depth <= deepest:
+    while True:
         sides = []
         slots = [r["slot"] for r in todo.select(F.pmod(F.xxhash64("path"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()] if todo is not None else None  # SLOTS numbers at most
         if slots == []:

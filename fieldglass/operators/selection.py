@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.operators import stats
 from fieldglass.operators.ordering import ordinals
 
 
@@ -25,7 +29,7 @@ def review(rows: DataFrame, rankings: dict[str, list[Column]], most: int, id_col
 
 def nearest_median(rows: DataFrame, by: list[str], value: str, id_cols: list[str]) -> DataFrame:
     """Of each group the row nearest to the group's median."""
-    mid = rows.groupBy(*by).agg(F.median(value).alias("mid"))
+    mid = stats.selected(rows.select(*by, F.col(value).alias("v")), by, [0.5]).select(*by, F.col("q0").alias("mid"))
     j = rows.join(mid, by)
     return j.groupBy(*by).agg(F.min_by(F.struct(*id_cols), F.struct(F.abs(F.col(value) - F.col("mid")).alias("d"), *id_cols)).alias("s")).select(*by, "s.*")
 
@@ -50,6 +54,66 @@ SPECIAL = {
 }
 
 
+class _Used:
+    """Images, targets and predictions that picks have used; what a case reuses only grows."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple] = set()
+
+    @staticmethod
+    def _parts(case: dict) -> list[tuple]:
+        own = [(k, case["image_id"], case[k]) for k in ("gt_id", "pred_id") if case[k] is not None]
+        return [("image", case["image_id"]), *own]
+
+    def cost(self, case: dict) -> int:
+        """Bits of what is used already: image before target before prediction."""
+        weight = {"image": 4, "gt_id": 2, "pred_id": 1}
+        return sum(weight[p[0]] for p in self._parts(case) if p in self.seen)
+
+    def take(self, case: dict) -> None:
+        self.seen.update(self._parts(case))
+
+
+class _Board:
+    """Cases of one category in a queue for each (class, size, flag), the least cost and rank first.
+
+    Within a queue class and size count alike, so the best case of all is one of
+    the heads.  Costs only grow: a head whose cost has grown goes back into
+    its queue, the others keep an old cost until they become heads.
+    """
+
+    def __init__(self, cases: list[dict], used: _Used) -> None:
+        self.used, self.left = used, len(cases)
+        self.counts: Counter = Counter()
+        self.queues: dict[tuple, list] = {}
+        for at, c in enumerate(cases):
+            self.queues.setdefault((c["class_id"], c["size_group"], c["duplicate_like"]), []).append((used.cost(c), c["rank"], at, c))
+        for q in self.queues.values():
+            heapq.heapify(q)
+
+    def _head(self, queue: list) -> tuple:
+        while (now := self.used.cost(queue[0][3])) != queue[0][0]:
+            heapq.heapreplace(queue, (now, *queue[0][1:]))
+        return queue[0]
+
+    def pick(self, wanted=None) -> dict:
+        """The least by (reuse, class count, size count, rank), of those ``wanted`` if there are any."""
+        open_ = [k for k, q in self.queues.items() if q]
+        own = [k for k in open_ if wanted is None or wanted(self.queues[k][0][3])] or open_
+
+        def order(k: tuple) -> tuple:
+            cost, rank, at, _ = self._head(self.queues[k])
+            return cost, self.counts["class", k[0]], self.counts["size", k[1]], rank, at
+
+        key = min(own, key=order)
+        case = heapq.heappop(self.queues[key])[3]
+        case = case | {"reuses_image": ("image", case["image_id"]) in self.used.seen}
+        self.used.take(case)
+        self.counts.update([("class", key[0]), ("size", key[1])])
+        self.left -= 1
+        return case
+
+
 def select_cases(pools: DataFrame, seed: int, quotas: dict[str, int] | None = None) -> tuple[list[dict], list[dict]]:
     """(cases, counts per category) of the greedy balanced sampler.
 
@@ -72,25 +136,11 @@ def select_cases(pools: DataFrame, seed: int, quotas: dict[str, int] | None = No
     few = [r.asDict() for r in ranked_.alias("r").join(best.alias("b"), on, "left_semi").collect()]
     total = {r["category"]: r["count"] for r in pools.groupBy("category").count().collect()}
     picked: list[dict] = []
-    used: dict[str, set] = {"image": set(), "gt_id": set(), "pred_id": set()}
-    for category in [*(c for c in FIRST_PICKED if c in quotas), *(c for c in quotas if c not in FIRST_PICKED)]:
-        left = [c for c in few if c["category"] == category]
-        classes: dict = {}
-        sizes: dict = {}
-        for index in range(min(quotas[category], len(left))):
-            wanted = SPECIAL.get((category, index))
-            eligible = [c for c in left if wanted(c)] if wanted else left
-            case = min(
-                eligible or left,
-                key=lambda c: (c["image_id"] in used["image"], *(c[k] is not None and (c["image_id"], c[k]) in used[k] for k in ("gt_id", "pred_id")), classes.get(c["class_id"], 0), sizes.get(c["size_group"], 0), c["rank"]),
-            )
-            left.remove(case)
-            picked.append(case | {"reuses_image": case["image_id"] in used["image"]})
-            used["image"].add(case["image_id"])
-            for k in ("gt_id", "pred_id"):
-                used[k].add((case["image_id"], case[k]))
-            classes[case["class_id"]] = classes.get(case["class_id"], 0) + 1
-            sizes[case["size_group"]] = sizes.get(case["size_group"], 0) + 1
+    used = _Used()
+    for category in sorted(quotas, key=lambda c: FIRST_PICKED.index(c) if c in FIRST_PICKED else len(FIRST_PICKED)):
+        board = _Board([c for c in few if c["category"] == category], used)
+        for index in range(min(quotas[category], board.left)):
+            picked.append(board.pick(SPECIAL.get((category, index))))
     picked.sort(key=lambda c: (list(quotas).index(c["category"]), c["rank"]))
     cases = [c | {"case_id": f"S3-{i:02d}"} for i, c in enumerate(picked, 1)]
     got = {q: sum(c["category"] == q for c in cases) for q in quotas}

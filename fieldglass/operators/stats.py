@@ -8,40 +8,119 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.geometry import finite
 from fieldglass.operators.ordering import ordinals, running_sum
+from fieldglass.plans.scratch import partitions, stage
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Of the longer description.
 PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 
 
-def describe(value: Column, prefix: str = "", digits: int = 6) -> list[Column]:
-    """Count, extremes, mean, population deviation and interpolated quantiles; nulls if empty."""
-    q = lambda f: F.round(F.percentile(value, F.lit(f)), digits)
-    return [
-        F.count(value).alias(f"{prefix}count"),
-        F.round(F.min(value), digits).alias(f"{prefix}min"),
-        F.round(F.avg(value), digits).alias(f"{prefix}mean"),
-        F.round(F.stddev_pop(value), digits).alias(f"{prefix}std"),
-        F.round(F.max(value), digits).alias(f"{prefix}max"),
-        *[q(f).alias(f"{prefix}p{round(f * 100):02d}") for f in QUANTILES],
-    ]
+_VALUES = "v"
 
 
-def describe_long(value: Column, prefix: str = "", digits: int = 6) -> list[Column]:
-    """Count, mean, median, population deviation, extremes and seven percentiles; a value that is not finite is an error."""
-    v = F.when(value.isNotNull() & ~finite(value), F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(value)
-    named = {"mean": F.avg(v), "median": F.percentile(v, F.lit(0.5)), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)} | {f"p{p}": F.percentile(v, F.lit(p / 100.0)) for p in PERCENTILES}
-    return [F.count(v).alias(f"{prefix}count"), *[F.round(c, digits).alias(f"{prefix}{k}") for k, c in named.items()]]
+def selected(values: DataFrame, keys: list[str], fractions: list[float] | tuple[float, ...], moments: bool = False) -> DataFrame:
+    """keys, n, q0, q1, ...: interpolated quantiles (fraction of n - 1) of the column ``v`` of every group; with moments least, most, mean, std.
+
+    Exact, without a buffer: the values are sorted by range into parts, ties
+    dealt by their rows' numbers, so a value that a third of the rows have
+    fills several parts; the parts' sizes (a row for each part and group) give
+    every value its place, and but for the two places around each quantile
+    all rows go.  Null values are none; a group without values gives no row.
+    """
+    tie, at = "placed_tie", "placed_at"
+    own = values.where(F.col(_VALUES).isNotNull()).select(*keys, F.col(_VALUES).cast("double").alias(_VALUES)).withColumn(tie, F.monotonically_increasing_id())
+    parts = partitions(values.sparkSession)
+    placed = stage(own.repartitionByRange(parts, *keys, _VALUES, tie).sortWithinPartitions(*keys, _VALUES).drop(tie).withColumn(at, F.monotonically_increasing_id()), "values")
+    pid, place = F.shiftright(F.col(at), 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(*keys, pid.alias("pid")).agg(F.count("*").alias("size"), F.min(place).alias("first_at"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*keys, "pid", (before - F.col("first_at")).alias("shift"), F.sum("size").over(W.partitionBy(*keys)).alias("n"))
+    on = F.col("p.pid") == F.col("o.pid")
+    for k in keys:
+        on = on & F.col(f"p.`{k}`").eqNullSafe(F.col(f"o.`{k}`"))
+    rank = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("shift")
+    ranked = placed.withColumn("pid", pid).alias("p").join(shifts.alias("o"), on).select("p.*", "o.n", rank.alias("rank"))
+    want = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
+    near = F.lit(False)
+    for h in want:
+        near = near | F.col("rank").between(F.floor(h), F.ceil(h))
+    picks = []
+    for i, h in enumerate(want):
+        picks += [F.max(F.when(F.col("rank") == F.floor(h), F.col(_VALUES))).alias(f"lo{i}"), F.max(F.when(F.col("rank") == F.ceil(h), F.col(_VALUES))).alias(f"hi{i}")]
+    found = ranked.where(near).groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    quantile = lambda i: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (want[i] - F.floor(want[i]))
+    out = found.select(*keys, "n", *[quantile(i).alias(f"q{i}") for i in range(len(want))])
+    if not moments:
+        return out
+    v = F.col(_VALUES)
+    return alongside(out, placed.groupBy(*keys).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")), keys)
+
+
+def alongside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``'s row of the same keys, nulls equal; both have a row for each group."""
+    if not keys:
+        return left.join(right, F.lit(True), "left")  # a row each
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    return left.alias("l").join(right.alias("r"), on, "left").select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in keys])
+
+
+def quantiles(rows: DataFrame, by: list[str], named: dict[str, tuple[Column, float]], digits: int = 6) -> DataFrame:
+    """by, and under each name a quantile of a column, rounded; null for a group without values of it."""
+    columns: dict[str, Column] = {}
+    which: dict[str, tuple[str, float]] = {}
+    for name, (c, f) in named.items():
+        metric = next((m for m, known in columns.items() if str(known) == str(c)), None) or f"m{len(columns)}"
+        columns[metric] = c
+        which[name] = (metric, f)
+    fractions = sorted({f for _, f in which.values()})
+    got = selected(_long(rows, by, columns), [*by, "metric"], fractions)
+    pick = lambda m, f: F.round(F.max(F.when(F.col("metric") == m, F.col(f"q{fractions.index(f)}"))), digits)
+    return got.groupBy(*by).agg(*[pick(m, f).alias(name) for name, (m, f) in which.items()])
+
+
+def _long(rows: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias(_VALUES)) for m, c in columns.items()])
+    return rows.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.metric", f"cell.{_VALUES}")
+
+
+def _columns(long: bool) -> dict[str, str]:
+    """The description's columns, in their order, and where ``selected`` has them."""
+    if not long:
+        return {"count": "n", "min": "least", "mean": "mean", "std": "std", "max": "most"} | {f"p{round(f * 100):02d}": f"q{i}" for i, f in enumerate(QUANTILES)}
+    return {"count": "n", "mean": "mean", "median": f"q{len(PERCENTILES)}", "std": "std", "min": "least", "max": "most"} | {f"p{p}": f"q{i}" for i, p in enumerate(PERCENTILES)}
+
+
+def described(rows: DataFrame, by: list[str], columns: dict[str, Column], long: bool = False, digits: int = 6) -> DataFrame:
+    """by, metric and the description of each column: count, extremes, mean, population deviation and quantiles.
+
+    ``long``: with the median and seven percentiles; a value that is not finite is an error then.
+    """
+    own = _long(rows, by, columns)
+    if long:
+        own = own.withColumn(_VALUES, F.when(F.col(_VALUES).isNotNull() & ~finite(F.col(_VALUES)), F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(F.col(_VALUES)))
+    fractions = [p / 100.0 for p in PERCENTILES] + [0.5] if long else list(QUANTILES)
+    got = selected(own, [*by, "metric"], fractions, True)
+    return got.select(*by, "metric", *[F.col(c).alias(n) if n == "count" else F.round(c, digits).alias(n) for n, c in _columns(long).items()])
+
+
+def with_described(base: DataFrame, rows: DataFrame, by: list[str], columns: dict[str, Column], long: bool = True, digits: int = 6) -> DataFrame:
+    """``base`` (a row for each group) with the description of each column of ``rows``, its name before theirs; count 0 and nulls over no values."""
+    d = described(rows, by, columns, long, digits)
+    names = list(_columns(long))
+    wide = d.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col(n))).alias(f"{m}{n}") for m in columns for n in names])
+    return alongside(base, wide, by).na.fill(0, [f"{m}count" for m in columns])
 
 
 def describe_grouped(rows: DataFrame, by: list[str], metrics: list[str], total: str | None = None) -> DataFrame:
-    """by, metric and the short description of each metric, over groups and, under the name ``total``, over all of the first key."""
-    u = rows.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "v")
-    if total is None:
-        return u.groupBy(*by, "metric").agg(*describe(F.col("v")))
-    sets = [[*by, "metric"], [*by[1:], "metric"]]
-    g = u.groupingSets(sets, *by, "metric").agg(*describe(F.col("v")), F.grouping(by[0]).alias("g"))
-    return g.withColumn(by[0], F.when(F.col("g") == 1, F.lit(total)).otherwise(F.col(by[0]))).drop("g")
+    """by, metric and the short description of each metric, over groups and, under the name ``total``, over all of the first key; a metric without values has count 0."""
+    own = rows
+    if total is not None:
+        own = rows.withColumn(by[0], F.explode(F.array(F.col(by[0]).cast("string"), F.lit(total))))
+    columns = {m: F.col(m) for m in metrics}
+    base = own.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    return alongside(base, described(own, by, columns), [*by, "metric"]).na.fill(0, ["count"])
 
 
 def histogram(rows: DataFrame, by: list[str], value: Column, edges: list[float]) -> DataFrame:

@@ -141,9 +141,3 @@ def coverage(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """How many parents have how many children."""
     n = parents.select(key).join(children.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(F.coalesce("n", F.lit(0)).alias("children"))
     return n.groupBy("children").agg(F.count("*").alias("parents"))
-
-
-def config_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Key paths whose value or type differs; rows are (path, type, value)."""
-    a, b = left.select("path", F.struct("type", "value").alias("l")), right.select("path", F.struct("type", "value").alias("r"))
-    return a.join(b, "path", "full_outer").where(~F.col("l").eqNullSafe(F.col("r"))).select("path")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldglass import scene as S
-from fieldglass.operators import merkle, sides
+from fieldglass.operators import merkle, settings, sides
 from fieldglass.plans import scratch
 from fieldglass.plans.queries import query
 from fieldglass.sinks import file_tree
 from fieldglass.sources import dataset_source as D
+from fieldglass.sources import settings as documents
 from fieldglass.sources.probe import PNG
 
 
@@ -238,3 +240,51 @@ def export_identity(spark: SparkSession, d: str) -> DataFrame:
     g = F.col("ground_truth")
     export = source.where(k % 73 != 0).withColumn("height", F.col("height") + (k % 59 == 0).cast("int")).withColumn("ground_truth", F.when(k % 61 == 0, F.reverse(g)).when(k % 67 == 0, F.slice(g, 1, 1)).otherwise(g))
     return sides.counted(sides.export_identity(export, source), ["sample_id"]).select("problem", "n")
+
+
+def _configs(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, user_id, config: an event as a configuration; keys, types and a whole section come and go by rule."""
+    e, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
+    rate = F.when(e % 13 == 0, F.floor(cents / 100).cast("string")).otherwise(F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
+    data = F.concat(F.lit('"dataset":{"root":"'), F.coalesce("event_type", F.lit("")), F.lit('","size":'), (e % 3).cast("string"), F.lit("}"))
+    training = F.concat(F.lit(',"training":{"props":'), F.coalesce("props", F.lit("null")), F.lit(',"rate":'), F.coalesce(rate, F.lit("null")), F.lit("}"))
+    note = F.when(e % 11 == 0, "").when(e % 5 == 0, ',"note":null').otherwise(',"note":"x"')
+    return S.table(spark, d, "events").select("event_id", "user_id", F.concat(F.lit("{"), data, F.when(e % 17 == 0, "").otherwise(training), note, F.lit("}")).alias("config"))
+
+
+_CONFIG = """
+with c as (select event_id e, user_id u, coalesce(event_type,'') root, event_id%3 size, event_id%17<>0 tr, (props::json->>'k') k,
+  case when event_id%13=0 then 'int' else 'float' end rt, case when event_id%13=0 then round(value*100)::bigint//100 else round(value*100)::bigint/100.0::double end r,
+  case when event_id%11=0 then 'none' when event_id%5=0 then 'null' else 'x' end nt from events),
+p as (select l.*, r.root root2, r.size size2, r.tr tr2, r.k k2, r.rt rt2, r.r r2, r.nt nt2 from (select *, lead(e) over (partition by u order by e) e2 from c) l join c r on r.e=l.e2),
+x as (
+  select 'dataset.root' path, 'str' a, 'str' b from p where root<>root2
+  union all select 'dataset.size', 'int', 'int' from p where size<>size2
+  union all select 'training', case when tr then 'dict' end, case when tr2 then 'dict' end from p where tr<>tr2
+  union all select 'training.props.k', 'int', 'int' from p where tr and tr2 and k<>k2
+  union all select 'training.rate', rt, rt2 from p where tr and tr2 and (rt<>rt2 or r<>r2)
+  union all select 'note', case nt when 'x' then 'str' when 'null' then 'NoneType' end, case nt2 when 'x' then 'str' when 'null' then 'NoneType' end from p where nt<>nt2)
+select path, a left_type, b right_type, count(*) n from x group by all
+"""
+
+
+@query(_CONFIG)
+def config_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Differences between each event's configuration and the user's next one, by key and types."""
+    rows = scratch.stage(documents.json(_configs(spark, d), ["event_id", "user_id"], "config"), "configs")
+    after = S.table(spark, d, "events").select("event_id", F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id")).alias("next")).where("next is not null")
+    left = rows.join(after, "event_id").drop("next", "user_id")
+    right = rows.withColumnRenamed("event_id", "next").join(after, "next").drop("next", "user_id")
+    return settings.differences(left, right, ["event_id"]).groupBy("path", "left_type", "right_type").agg(F.count("*").alias("n"))
+
+
+@query("""with r as (select event_id e, value v, event_id%7 k from events),
+x as (select e, 'scores.recall' p, v/20 n, k from r union all select e, 'scores.deep.f1', v/40, k from r)
+select p path, case when k=3 and p='scores.recall' then 'not_finite' else 'rate_outside' end rule, count(*) n from x where (k=3 and p='scores.recall') or not coalesce(n between 0 and 1, true) group by 1, 2""")
+def unsound_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of nested documents that are out of bounds or not finite."""
+    v = F.col("value")
+    recall = F.when(F.col("event_id") % 7 == 3, '"-infinity"').otherwise((v / 20).cast("string"))
+    text = F.concat(F.lit('{"scores":{"recall":'), F.coalesce(recall, F.lit("null")), F.lit(',"deep":{"f1":'), F.coalesce((v / 40).cast("string"), F.lit("null")), F.lit(',"count":9}}}'))
+    rows = documents.json(S.table(spark, d, "events").select("event_id", text.alias("t")), ["event_id"], "t")
+    return settings.unsound(rows).groupBy("path", "rule").agg(F.count("*").alias("n"))

@@ -244,7 +244,7 @@ def _describe_sql(v: str) -> str:
 
 @query(S.SQL + _SIZED + f" select split, class_id, {_describe_sql('sh')} from sz group by 1, 2")
 def describe_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return _sized(spark, d).groupBy("split", "class_id").agg(*stats.describe(F.col("short_side")))
+    return stats.described(_sized(spark, d), ["split", "class_id"], {"short_side": F.col("short_side")}).drop("metric")
 
 
 @query(
@@ -255,9 +255,7 @@ select coalesce(split,'total') split, metric, {_describe_sql("v")} from u group
 )
 def describe_images(spark: SparkSession, d: str) -> DataFrame:
     i = S.images(spark, d).select("split", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), (F.col("width") / F.col("height")).alias("aspect"))
-    u = i.unpivot("split", ["width", "height", "aspect"], "metric", "v")
-    g = u.groupingSets([["split", "metric"], ["metric"]], "split", "metric").agg(*stats.describe(F.col("v")))
-    return g.withColumn("split", F.coalesce("split", F.lit("total")))
+    return stats.describe_grouped(i, ["split"], ["width", "height", "aspect"], "total")
 
 
 @query(S.SQL + _SIZED + """, l(lim) as (values (16.0::double),(32.0),(48.0),(64.0)) select split, lim "limit", count(*) filter (sh<lim) below, round(count(*) filter (sh<lim)::double/count(*),9) fraction from sz cross join l group by 1,2""")
@@ -282,8 +280,11 @@ def occupancy_grouping(spark: SparkSession, d: str) -> DataFrame:
     pt = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     area = G.polygon_area(F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x0", "y1")))
     r = g.withColumn("r", area / (F.col("width") * F.col("height")))
-    out = r.groupingSets([[], ["split"], ["class_id"]], "split", "class_id").agg(F.count("*").alias("n"), F.round(F.avg("r"), 9).alias("mean"), F.round(F.median("r"), 9).alias("median"), F.grouping("split").alias("gs"), F.grouping("class_id").alias("gc"))
-    return out.select(F.when(F.col("gs") == 0, "split").when(F.col("gc") == 0, "class").otherwise("overall").alias("scope"), F.coalesce("split", F.lit("all")).alias("split"), F.coalesce("class_id", F.lit(-1)).alias("class_id"), "n", "mean", "median")
+    every = F.array(*[F.struct(F.lit(n).alias("scope"), split.alias("in_split"), cls.alias("in_class")) for n, split, cls in (("overall", F.lit("all"), F.lit(-1).cast("long")), ("split", F.col("split"), F.lit(-1).cast("long")), ("class", F.lit("all"), F.col("class_id").cast("long")))])
+    scoped = r.select("r", F.inline(every))
+    by = ["scope", "in_split", "in_class"]
+    out = stats.alongside(scoped.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("r"), 9).alias("mean")), stats.quantiles(scoped, by, {"median": (F.col("r"), 0.5)}, 9), by)
+    return out.select("scope", F.col("in_split").alias("split"), F.col("in_class").alias("class_id"), "n", "mean", "median")
 
 
 @query("with p as (select l_returnflag f, l_orderkey, count(*) n, sum(l_quantity::double) s, sum(l_quantity::double*l_quantity::double) q from lineitem group by 1,2) select f, sum(n)::bigint n, round(sum(s)/sum(n),6) mean, round(sqrt(greatest(0.0::double, sum(q)/sum(n)-(sum(s)/sum(n))*(sum(s)/sum(n)))),6) std from p group by 1")
@@ -570,13 +571,6 @@ def best_epoch(spark: SparkSession, d: str) -> DataFrame:
     return trees.best_epoch(log)
 
 
-@query("select path from (values ('a.x','int','1'),('a.y','int','2'),('b','str','\"q\"')) l(path,t,v) full outer join (values ('a.x','int','1'),('a.y','float','2'),('c','int','3')) r(path,t,v) using (path) where l.t is distinct from r.t or l.v is distinct from r.v")
-def config_diff(spark: SparkSession, d: str) -> DataFrame:
-    left = trees.config_rows(spark, {"a": {"x": 1, "y": 2}, "b": "q"})
-    right = trees.config_rows(spark, {"a": {"x": 1, "y": 2.0}, "c": 3})
-    return versions.config_diff(left, right)
-
-
 @query(S.SQL + match_sql() + match_sql(aware=False, name="k") + ", n as (select split, count(*) g from gt join scene_image using (image_id) group by 1), a as (select split, count(*) t from m join scene_image using (image_id) group by 1), b as (select split, count(*) t from k join scene_image using (image_id) group by 1) select split, g targets, coalesce(a.t,0) aware_tp, coalesce(b.t,0) agnostic_tp, round(coalesce(b.t,0)::double/g-coalesce(a.t,0)::double/g,9) recall_gap from n left join a using (split) left join b using (split)")
 def generalization(spark: SparkSession, d: str) -> DataFrame:
     _, g, v = _all(spark, d)

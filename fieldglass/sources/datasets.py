@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,41 +11,11 @@ from pyspark.sql import types as T
 
 from fieldglass.operators import duplicates
 from fieldglass.scene import SPLITS
-from fieldglass.sources import trees
+from fieldglass.sources import settings, trees
 
 KINDS = ("images", "labels")
 
 
-def class_names(text: str) -> list[str]:
-    """The class list of a dataset's configuration: a list or mapping, in the line or in the lines below it."""
-    lines = text.removeprefix("﻿").splitlines()
-    count = next((int(x.split(":", 1)[1]) for x in map(str.strip, reversed(lines)) if x.startswith("nc:")), None)
-    found: list[str] | None = None
-    for at, line in enumerate(lines):
-        if not line.strip().startswith("names:"):
-            continue
-        rest = line.strip().partition(":")[2].strip()
-        if rest:
-            value = ast.literal_eval(rest)
-            found = [str(v) for v in value] if isinstance(value, list) else [str(value[k]) for k in sorted(value, key=int)]
-            continue
-        items: list[str] = []
-        pairs: dict[int, str] = {}
-        for below in lines[at + 1 :]:
-            if below.strip().startswith("- "):
-                items.append(below.strip()[2:].strip("'\""))
-            elif not below[:1].isspace():
-                break
-            elif m := re.fullmatch(r"\s*(\d+)\s*:\s*(.+?)\s*", below):
-                pairs[int(m[1])] = m[2].strip("'\"")
-        found = items or [pairs[k] for k in sorted(pairs)] or found
-    if found is None:
-        raise ValueError("no class names")
-    if count not in (None, len(found)):
-        raise ValueError(f"nc is {count}, but there are {len(found)} class names")
-    return found
-
-
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """candidate_id, root, config, class_names of every folder with a data.yaml and all splits' images and labels; an error without any.
 
@@ -58,17 +26,19 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     parts = every.select(path, F.regexp_extract(path, r"^(.*)/(train|valid|test)/(images|labels)/[^/]+$", 1).alias("root"), F.regexp_extract(path, r"/((?:train|valid|test)/(?:images|labels))/[^/]+$", 1).alias("part"))
     whole = parts.where("root <> ''").groupBy("root").agg(F.count_distinct("part").alias("n")).where(F.col("n") == len(SPLITS) * len(KINDS)).select("root")
     configs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "data.yaml").text(root, wholetext=True)
-    configs = configs.select(F.col("_metadata.file_path").alias("config"), "value").withColumn("root", F.regexp_replace("config", "/data\\.yaml$", ""))
-    rows = sorted(configs.join(whole, "root").collect(), key=lambda r: r["root"].lower())
-    if not rows:
-        raise FileNotFoundError(f"no complete dataset below {root}")
+    configs = configs.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).withColumn("root", F.regexp_replace("file", "/data\\.yaml$", "")).join(whole, "root")
+    lists = settings.class_lists(settings.yaml(configs.select("file", "text")))
     base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    out = []
-    for r in rows:
-        own = re.sub(r"^file:/*", "/", r["root"])
-        rel = own.removeprefix(base).strip("/") or "."
-        out.append((trees.candidate_id(PurePosixPath(own).name, rel), r["root"], r["config"], class_names(r["value"])))
-    return spark.createDataFrame(out, "candidate_id string, root string, config string, class_names array<string>")
+    own = F.regexp_replace("root", "^file:/*", "/")
+    rel = F.substr(own, F.lit(len(base) + 2))
+    rel = F.when(rel == "", ".").otherwise(rel)
+    slug = F.trim(F.regexp_replace(F.lower(F.element_at(F.split(own, "/"), -1)), "[^a-z0-9]+", "-"), F.lit("-"))
+    name = F.concat(slug, F.lit("-"), F.substring(F.sha1(F.lower(rel).cast("binary")), 1, 8))
+    failed = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", "file", "problem")).cast("array<string>")).otherwise(F.col("names"))
+    out = configs.select("root", "file").join(lists, "file", "left").select(name.alias("candidate_id"), "root", F.col("file").alias("config"), failed.alias("class_names"))
+    if out.isEmpty():
+        raise FileNotFoundError(f"no complete dataset below {root}")
+    return out.orderBy(F.lower("root"), "root")
 
 
 def primary(candidates: DataFrame, marker: str = ".yolov8") -> DataFrame:

@@ -74,20 +74,5 @@ def best_epoch(log: DataFrame, score: str = "map50_95") -> DataFrame:
     return log.agg(F.max_by(F.struct(*log.columns), F.struct(F.col(score), -F.col("epoch"))).alias("r")).select("r.*")
 
 
-def config_rows(spark: SparkSession, config: dict) -> DataFrame:
-    """A nested mapping as (path, type, value) rows."""
-    out: list[tuple[str, str, str]] = []
-
-    def walk(prefix: str, value: object) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                walk(f"{prefix}.{k}" if prefix else str(k), v)
-        else:
-            out.append((prefix, type(value).__name__, json.dumps(value, sort_keys=True)))
-
-    walk("", config)
-    return spark.createDataFrame(out, "path string, type string, value string")
-
-
 def config_digest(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

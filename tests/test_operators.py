@@ -14,7 +14,7 @@ from fieldglass.functions import geometry as G
 from fieldglass.functions import pixels
 from fieldglass.operators import contracts, duplicates, ordering, precision, selection, stats, versions
 from fieldglass.sinks import tables, trees
-from fieldglass.sources import datasets
+from fieldglass.sources import datasets, settings
 from fieldglass.sources import trees as source_trees
 
 
@@ -154,14 +154,17 @@ def test_label_versions(spark):
     assert got["j"].semantic_equal
 
 
-def test_class_names():
-    assert datasets.class_names("names: ['a', 'b']\nnc: 2") == ["a", "b"]
-    assert datasets.class_names("names: {1: b, 0: a}".replace("a}", "'a'}").replace(": b", ": 'b'")) == ["a", "b"]
-    assert datasets.class_names("nc: 2\nnames:\n  - a\n  - 'b c'\n") == ["a", "b c"]
-    assert datasets.class_names("names:\n  1: b\n  0: a\nother: 1") == ["a", "b"]
-    for bad in ("nc: 1", "nc: 3\nnames: ['a']"):
-        with pytest.raises(ValueError):
-            datasets.class_names(bad)
+def class_names(spark, *texts):
+    rows = settings.yaml(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string"))
+    return [(r.names, r.problem) for r in settings.class_lists(rows).orderBy(F.col("file").cast("int")).collect()]
+
+
+def test_class_names(spark):
+    good = ["names: ['a', 'b']\nnc: 2", "names: {1: 'b', 0: 'a'}", "nc: 2\nnames:\n  - a\n  - 'b c'\n", "names:\n  1: b\n  0: a\nother: 1", "names:\n- a\n- b # two", "﻿names: [a, b]", "names: {0: a, 1: b}"]
+    want = [["a", "b"]] * 7
+    want[2] = ["a", "b c"]
+    assert class_names(spark, *good) == [(w, None) for w in want]
+    assert [p for _, p in class_names(spark, "nc: 1", "nc: 3\nnames: ['a']")] == ["no_names", "wrong_count"]
 
 
 def png(a):
@@ -254,7 +257,7 @@ def test_label_trees(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017  (raised inside Spark)
         trees.single_class(spark.createDataFrame([("a", bytearray(b"7 1 1 1 1"))], "path string, content binary")).collect()
     trees.data_yaml(spark, str(tmp_path / "data.yaml"), ["a", "b: c"])
-    assert datasets.class_names((tmp_path / "data.yaml").read_text()) == ["a", "b: c"]
+    assert class_names(spark, (tmp_path / "data.yaml").read_text()) == [(["a", "b: c"], None)]
     for name in ("new1", "new2", "old1"):
         (tmp_path / name).mkdir()
         (tmp_path / name / "f").write_text(name)
@@ -283,9 +286,6 @@ def test_contracts(spark, tmp_path):
     preds = spark.createDataFrame([(1, "p", 0, 1.5, 0.0, 0.0, 1.0, 1.0), (1, "q", 9, 0.5, 2.0, 0.0, 1.0, 1.0), (1, "q", 0, 0.5, 0.0, 0.0, 1.0, 1.0)], "image_id int, pred_id string, class_id int, conf double, x0 double, y0 double, x1 double, y1 double")
     gts = preds.select("image_id", F.col("pred_id").alias("gt_id"), F.lit(0).alias("class_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1")).where("gt_id = 'p'")
     assert sorted(r.rule for r in contracts.detections(preds, gts, 6).collect()) == ["pred_id_box", "pred_id_class", "pred_id_confidence", "pred_id_unique"]
-    assert contracts.numbers({"a": {"recall": 1.2, "n": [1, math.inf]}, "f1": 0.5, "b": True}) == ["a.recall", "a.n[1]"]
-    assert contracts.exact_config({"a": 1, "b": {"c": True}}, {"a": 1, "b": {"c": 1}, "d": 0}) == ["b.c", "d"]
-    assert contracts.planned_differences({"x": {"a": 1, "b": 2}, "y": {"a": 2, "b": 2}}, {("x", "y"): {"a"}}) == []
     assert contracts.reproduced({"m": 0.1}, {"m": 0.10004}) == [("m", pytest.approx(4e-5), True)]
     src = spark.createDataFrame([("train", "i", 1, 2, [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]), ("train", "i", 2, 2, [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])], "split string, image string, line_number int, class_id int, points array<struct<x:double,y:double>>")
     done = spark.createDataFrame([("train", "i", 1, 2, (0.5, 0.5, 1.0, 1.0))], "split string, image string, line_number int, class_id int, box struct<xc:double,yc:double,w:double,h:double>")
@@ -347,6 +347,30 @@ def test_selections(spark):
 
 
 def test_describe_refuses(spark):
-    with pytest.raises(Exception):  # noqa: B017  (raised inside Spark)
-        spark.createDataFrame([(float("nan"),)], "x double").agg(*stats.describe_long(F.col("x"))).collect()
-    assert spark.createDataFrame([], "x double").agg(*stats.describe_long(F.col("x"))).first()["mean"] is None
+    df = spark.createDataFrame([(float("nan"),)], "x double")
+    with pytest.raises(Exception, match="finite"):
+        stats.described(df, [], {"x": F.col("x")}, True).collect()
+    none = stats.with_described(spark.range(1).select(F.lit(1).alias("k")), df.where("false").withColumn("k", F.lit(1)), ["k"], {"x_": F.col("x")}).first()
+    assert none["x_count"] == 0 and none["x_mean"] is None
+
+
+@pytest.mark.parametrize("n,parts", [(1, 4), (2, 4), (7, 3), (500, 5), (2000, 1)])
+def test_quantiles_by_selection(spark, n, parts):
+    """Groups of many ties, nulls and few values, and a group that fills several parts."""
+    rng = np.random.default_rng(n)
+    rows = [("hot", 3.0)] * n + [("one", 1.5)] + [("none", None)] * 3 + [(None, float(x)) for x in rng.integers(0, 9, n)] + [("mixed", float(x)) for x in rng.normal(0, 1, n)] + [("mixed", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(parts)
+    fractions = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r for r in stats.selected(df, ["k"], fractions, True).collect()}
+    assert got.keys() == {"hot", "one", None, "mixed"}
+    for k, r in got.items():
+        own = np.array([v for x, v in rows if x == k and v is not None])
+        assert r.n == len(own) and [r[f"q{i}"] for i in range(len(fractions))] == pytest.approx(np.quantile(own, fractions).tolist())
+        assert (r.least, r.most, r["mean"], r["std"]) == pytest.approx((own.min(), own.max(), own.mean(), own.std()))
+
+
+def test_descriptions_hold_no_buffer(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"))
+    for out in (stats.described(df, ["k"], {"x": F.col("x")}, True), stats.quantiles(df, ["k"], {"m": (F.col("x"), 0.5)})):
+        plan = out._jdf.queryExecution().executedPlan().toString().lower()
+        assert "percentile" not in plan and "median(" not in plan and "collect_list" not in plan
