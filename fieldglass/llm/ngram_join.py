@@ -395,7 +395,7 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     cut = placed.groupBy("block", "grade").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("cuts"))
     chunk = F.xxhash64("block", "grade", F.pmod(F.xxhash64("cid"), F.col("cuts")))
     dealt = placed.join(cut, ["block", "grade"]).select("block", "grade", "cid", chunk.alias("chunk"))
-    held = stage(dealt.join(tokens, "cid"), "blocks")
+    held = stage(dealt.join(might_contain(tokens, F.col("cid"), dealt, F.col("cid")), "cid"), "blocks")
     chunks = held.select("block", "grade", "chunk").distinct()
     c, d = chunks.alias("c"), chunks.alias("d")
     near = (F.col("d.grade").between(F.col("c.grade"), F.col("c.grade") + 3)) & ((F.col("d.grade") > F.col("c.grade")) | (F.col("d.chunk") >= F.col("c.chunk")))
@@ -418,7 +418,9 @@ def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent
     # the sets of candidates, read anew
     some = stage(classes.select("cid", "raw", "chk", "top").join(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "cid"), "candidates")
     wanted = might_contain(slim, F.col("id"), some, F.col("top"))
-    tokens = stage(mapped(wanted.select("text"), _sets_of(k), "raw long, chk long, tokens binary").join(some.select("raw", "chk", "cid"), ["raw", "chk"]).select("cid", "tokens").dropDuplicates(["cid"]), "tokens")
+    # a set once for each full name; the join keeps the partitions that this made
+    sets = mapped(wanted.select("text"), _sets_of(k), "raw long, chk long, tokens binary").dropDuplicates(["raw", "chk"])
+    tokens = stage(sets.join(some.select("raw", "chk", "cid"), ["raw", "chk"]).select("cid", "tokens"), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
