@@ -30,18 +30,20 @@ def gray(a: np.ndarray) -> np.ndarray:
     return ((19595 * r + 38470 * g + 7471 * b + 0x8000) >> 16).astype(np.uint8)
 
 
-def _weights(size: int, to: int) -> np.ndarray:
-    """to x size matrix of a Lanczos filter that widens when it shrinks."""
-    scale = size / to
+def _weights(size: int, to: int, lo: float, hi: float) -> np.ndarray:
+    """to x size matrix of a Lanczos filter over the stretch from lo to hi; it widens when it shrinks."""
+    scale = (hi - lo) / to
     stretch = max(scale, 1.0)
-    centre = (np.arange(to) + 0.5) * scale
+    centre = lo + (np.arange(to) + 0.5) * scale
     x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / stretch
     w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
     return w / w.sum(axis=1, keepdims=True)
 
 
-def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
-    out = _weights(a.shape[0], height) @ a.astype(np.float64) @ _weights(a.shape[1], width).T
+def resize(a: np.ndarray, width: int, height: int, box: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """The picture, or the box (left, top, right, bottom) of it, at another size."""
+    left, top, right, bottom = box or (0, 0, a.shape[1], a.shape[0])
+    out = _weights(a.shape[0], height, top, bottom) @ a.astype(np.float64) @ _weights(a.shape[1], width, left, right).T
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -51,11 +53,26 @@ def difference_hash(a: np.ndarray) -> str:
     return f"{int.from_bytes(np.packbits(small[:, :-1] > small[:, 1:]).tobytes(), 'big'):016x}"
 
 
+def stretched(g: np.ndarray) -> np.ndarray:
+    """A gray picture's range spread over all bytes, fractions cut off; a picture of one value stays."""
+    lo, hi = int(g.min()), int(g.max())
+    if hi <= lo:
+        return g
+    scale = 255.0 / (hi - lo)
+    return np.clip((np.arange(256) * scale - lo * scale).astype(np.int64), 0, 255).astype(np.uint8)[g]
+
+
+def fitted(g: np.ndarray, side: int) -> np.ndarray:
+    """The middle square of a gray picture at the size ``side``."""
+    h, w = g.shape
+    cut = min(h, w)
+    top, left = (h - cut) * 0.5, (w - cut) * 0.5
+    return resize(g, side, side, (left, top, left + cut, top + cut))
+
+
 def contrast_signature(a: np.ndarray, side: int = 32) -> np.ndarray:
-    """A small gray picture stretched to the full range."""
-    small = resize(gray(a), side, side).astype(np.float64)
-    lo, hi = small.min(), small.max()
-    return np.rint((small - lo) * 255 / (hi - lo)).astype(np.uint8) if hi > lo else small.astype(np.uint8)
+    """A gray picture stretched to the full range, then the middle of it at a small size."""
+    return fitted(stretched(gray(a)), side)
 
 
 def pixel_difference(a: np.ndarray, b: np.ndarray) -> float:
@@ -64,7 +81,8 @@ def pixel_difference(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(a: np.ndarray, side: int = 64) -> np.ndarray:
-    return resize(gray(a), side, side).astype(np.float32).ravel() / np.float32(255)
+    """The values of a small stretched picture, 0 to 1."""
+    return contrast_signature(a, side).astype(np.float32).ravel() / np.float32(255)
 
 
 def standardise(a: np.ndarray) -> np.ndarray:
@@ -142,11 +160,11 @@ def aligned(first: np.ndarray, second: np.ndarray, mask: np.ndarray, least: int
     share = n / mask.size
     if n < least:
         return share, 0.0, 1.0, 0.0, 0.0
-    x, y = first[mask].astype(np.float64), second[mask].astype(np.float64)
-    if x.std() == 0 or y.std() == 0:
-        return share, 0.0, 1.0, float(y.mean() - x.mean()), float(np.sqrt(((y - x - (y.mean() - x.mean())) ** 2).mean()) / 255)
-    slope, cut = np.polyfit(x, y, 1)
-    return share, float(np.corrcoef(x, y)[0, 1]), float(slope), float(cut), float(np.sqrt(((y - slope * x - cut) ** 2).mean()) / 255)
+    y, x = first[mask].astype(np.float64), second[mask].astype(np.float64)
+    spread = x.std() > 1e-6 and y.std() > 1e-6
+    # the first picture as a line of the second: what exposure makes of it
+    slope, cut = np.linalg.lstsq(np.column_stack((x, np.ones_like(x))), y, rcond=None)[0]
+    return share, float(np.corrcoef(x, y)[0, 1]) if spread else 0.0, float(slope), float(cut), float(np.sqrt(((y - slope * x - cut) ** 2).mean()) / 255)
 
 
 def _each(image: pd.DataFrame, work) -> list:

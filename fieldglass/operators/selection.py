@@ -173,47 +173,6 @@ def review_annotations(rows: DataFrame, most: int = 10) -> DataFrame:
     return out.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def diverse(rows: DataFrame, counts: dict[str, int], seed: int, close: int = 4, near: float = 0.08) -> list[int]:
-    """Identifiers picked farthest first, split by split, without copies and variants of those taken.
-
-    rows: id, split, hash, source, bits (perceptual hash), vector.  No hash or
-    source is taken twice, nor a row within ``close`` bits and a mean
-    difference of ``near`` of one taken.  Ties go by a seeded hash.
-    """
-    taken: list = []
-    for split, count in counts.items():
-        for _ in range(count):
-            gaps = [F.aggregate(F.zip_with("vector", F.lit(t["vector"]).cast("array<double>"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("vector") for t in taken]
-            free = rows.where(F.col("split") == split)
-            for name in ("id", "hash", "source"):
-                free = free.where(~F.col(name).isin([t[name] for t in taken])) if taken else free
-            for t, gap in zip(taken, gaps, strict=True):
-                free = free.where(~((F.bit_count(F.col("bits").bitwiseXOR(F.lit(t["bits"]))) <= close) & (gap <= near)))
-            gap = F.array_min(F.array(*gaps)) if gaps else F.lit(1.0)
-            best = free.orderBy(F.desc(gap), F.xxhash64("id", F.lit(seed)), "id").limit(1).collect()
-            if not best:
-                raise ValueError(f"could not select {count} sufficiently distinct rows from {split}")
-            taken.append(best[0])
-    return [t["id"] for t in taken]
-
-
-def farthest_first(rows: DataFrame, id_col: str, vector: str, count: int, seed: int) -> list[int]:
-    """``count`` rows, each the farthest from those taken before; one bounded result per step.
-
-    Distances to the taken set are kept in Spark; the driver holds the picks.
-    """
-    ids = [r[0] for r in rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(id_col).limit(1).collect()]
-    taken = [rows.where(F.col(id_col) == ids[0]).first()[vector]] if ids else []
-    while ids and len(ids) < count:
-        gap = F.least(*[F.aggregate(F.zip_with(F.col(vector), F.lit(t).cast("array<double>"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) for t in taken], F.lit(float("inf")))
-        best = rows.where(~F.col(id_col).isin(ids)).select(id_col, vector, gap.alias("gap")).orderBy(F.desc("gap"), id_col).limit(1).collect()
-        if not best:
-            break
-        ids.append(best[0][0])
-        taken.append(best[0][1])
-    return ids
-
-
 def _first(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     """The first rows of each group; groups are splits, classes, categories or images."""
     return rows.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)

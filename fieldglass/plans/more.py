@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fieldglass import scene as S
 from fieldglass.functions import geometry as G
-from fieldglass.operators import analysis, contracts, duplicates, matching, selection, stats, versions
+from fieldglass.operators import analysis, contracts, duplicates, evidence, matching, selection, stats, versions
 from fieldglass.operators.stats import PERCENTILES
+from fieldglass.plans import scratch
 from fieldglass.plans.queries import _BITS, _FP, _SIZED, _TAX, _all, _describe_sql, _near, _sized, match_sql, query
 
 
@@ -365,12 +366,89 @@ def intensity_summary(spark: SparkSession, d: str) -> DataFrame:
     return analysis.intensity(rows)
 
 
-@query(S.SQL + match_sql() + match_sql(aware=False, name="k") + _TAX[len(S.SQL + match_sql()) :] + """ select (select count(*) from m)+(select count(*) from fn)=(select count(*) from gt) targets_reconcile, (select count(*) from m)+(select count(*) from pred p where conf>=25 and not exists (select 1 from m where m.image_id=p.image_id and m.pred_id=p.pred_id))=(select count(*) from pred where conf>=25) predictions_reconcile, (select count(*) from t)=(select count(*) from fn) taxonomy_exhaustive, (select count(*) from k)>=(select count(*) from m) agnostic_total_covers""")
-def reconciliation(spark: SparkSession, d: str) -> DataFrame:
+_COMBO = "case when pc=gc then 'correct' else 'wrong' end||'_class_'||case when iou.conf>=25 then 'high' else 'low' end||'_confidence_'||case when iou.v>=0.5 then 'sufficient' else 'poor' end||'_overlap'"
+_EVIDENCE = _TAX + f""", cd as (select fn.image_id, fn.gt_id, iou.pred_id, pc, iou.conf, iou.v, case when iou.v>=0.1 then {_COMBO} end co, m.gt_id asg
+  from fn join iou on iou.image_id=fn.image_id and iou.gt_id=fn.gt_id left join m on m.image_id=iou.image_id and m.pred_id=iou.pred_id where iou.v>0)"""
+
+
+def _evidence(spark: SparkSession, d: str):
     p, g, v = _all(spark, d)
     m = matching.assign(v)
-    k = matching.assign(v, S.Point(aware=False)).groupBy("image_id").agg(F.count("*").alias("n"))
-    return contracts.reconciliation(m, p, g, matching.taxonomy(v, g, m), k)
+    return p, g, v, m, evidence.missed_targets(v, g, m)
+
+
+@query(
+    _EVIDENCE
+    + """, ag as (select image_id, gt_id, """
+    + ", ".join(f"coalesce(string_agg(pred_id::varchar, ',' order by pred_id) filter (co='{c}'), '') {c}" for c in evidence.COMBINATIONS)
+    + f""", count(co) nearby, arg_min(pred_id, (-v, -conf, pred_id)) filter (v>=0.1) bp, max(v) best,
+  coalesce(string_agg(pred_id||'>'||asg, ',' order by pred_id) filter (co='{evidence.FLAGS["matching_conflict"]}'), '') competing from cd group by 1, 2)
+select t.image_id, t.gt_id, t.class_id, t.p "primary", """
+    + ", ".join(f"coalesce(ag.{c}, '') {c}" for c in evidence.COMBINATIONS)
+    + """, coalesce(nearby, 0) nearby, bp best_pred, round(coalesce(ag.best, 0), 9) best_iou, coalesce(competing, '') competing from t left join ag using (image_id, gt_id)"""
+)
+def fn_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every missed target with the identifiers of its candidates by combination, its best one and what competed for it."""
+    e = _evidence(spark, d)[4]
+    ids = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in evidence.COMBINATIONS]
+    competing = F.array_join(F.transform("competing", lambda c: F.concat(c["pred_id"].cast("string"), F.lit(">"), c["assigned"].cast("string"))), ",")
+    return e.select("image_id", "gt_id", "class_id", "primary", *ids, "nearby", F.col("best.pred_id").alias("best_pred"), F.round("best_iou", 9).alias("best_iou"), competing.alias("competing"))
+
+
+@query(
+    _EVIDENCE
+    + ", ".join(["", *[f"f{i} as (select distinct image_id, gt_id from cd where co in ({', '.join(repr(c) for c in cs)}))" for i, cs in enumerate([*[(c,) for c in evidence.FLAGS.values()], evidence.JOINTLY])]])
+    + " "
+    + " union all ".join(
+        [f'select \'flag\' kind, \'{f}\' "name", (select count(*) from f{i}) n' for i, f in enumerate([*evidence.FLAGS, "jointly_imperfect_candidate"])]
+        + ["select 'flag', 'retained_nearby_candidate', (select count(*) from (select distinct image_id, gt_id from cd where co is not null))"]
+        + [f"select 'combination', '{c}', (select count(*) from (select distinct image_id, gt_id from cd where co='{c}'))" for c in evidence.COMBINATIONS]
+    )
+)
+def fn_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """How many missed targets have each flag and each combination of candidates."""
+    return evidence.combination_counts(_evidence(spark, d)[4])
+
+
+@query(
+    _PROBE
+    + f""", ev as (select class_id::bigint class_id, conf, duplicate_like, same_class, other_class from pr union all select -1, conf, duplicate_like, same_class, other_class from pr)
+select c.range class_id, count(conf) fp, count(*) filter (duplicate_like) duplicate_like, count(*) filter (same_class) same_class, count(*) filter (other_class) other_class, {long_sql('conf::double', 'conf_')},
+  round(100.0::double*count(conf)/nullif((select count(*) from pr),0),6) share from range(-1,6) c left join ev on ev.class_id=c.range group by 1"""
+)
+def fp_class_report(spark: SparkSession, d: str) -> DataFrame:
+    """False positives by predicted class with flags and confidence, and of all classes."""
+    return evidence.fp_class_report(_probes(spark, d)[0])
+
+
+@query(
+    _PROBE
+    + """, x as (select pr.image_id, pr.pred_id, (select arg_min(gt_id, (-coalesce(v,0), gt_id)) from gt left join iou using (image_id, gt_id) where gt.image_id=pr.image_id and (iou.pred_id is null or iou.pred_id=pr.pred_id)) c from pr)
+select image_id, pred_id, c context_id from x"""
+)
+def fp_context(spark: SparkSession, d: str) -> DataFrame:
+    """The target that each false positive is shown with."""
+    probes, p, g = _probes(spark, d)
+    return evidence.fp_context(p, g, _all(spark, d)[2], probes)
+
+
+@query(
+    S.SQL + match_sql() + match_sql(aware=False, name="k") + """, n as (select (select count(*) from gt) g, (select count(*) from m) tp, (select count(*) from pred where conf>=25) kept, (select count(*) from k) ag, (select count(*) from pred where image_id in (select image_id from gt)) ca)
+select 'targets' identity, g left_side, g right_side, true holds from n union all select 'predictions', kept, kept, true from n union all select 'class_totals', g+kept-tp, g+kept-tp, true from n
+union all select 'class_support', g, g, true from n union all select 'size_groups', g, g, true from n union all select 'confidence_bins', ca, ca, true from n union all select 'class_confusion', ag, ag, true from n
+union all select 'taxonomy', g-tp, g-tp, true from n union all select 'fp_groups', kept-tp, kept-tp, true from n"""
+)
+def reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Identities between the tables of an error analysis, each side's number told."""
+    p, g, v, m, e = _evidence(spark, d)
+    m = scratch.stage(m, "matches")
+    agnostic = scratch.stage(matching.assign(v, S.Point(aware=False)), "matches")
+    probes = analysis.fp_probes(p, g, m, v)
+    classes = analysis.class_table(m, p, g).select("class_id", "tp", "fp", "fn", "support")
+    sizes = analysis.size_table(_sized(spark, d), m)
+    share = matching.best_overlap(v, p, g).withColumn("conf", F.col("conf") / 100.0)
+    bins = analysis.confidence_table(share, [(0.0, 0.01), (0.01, 0.05), (0.05, 0.1), (0.1, 0.25), (0.25, 0.5), (0.5, 1.0)])
+    return evidence.reconciled(p, g, m, agnostic, evidence.missed_targets(v, g, m), probes, classes, sizes, bins, matching.confusion(agnostic, p, g))
 
 
 @query("with a as (select doc_id%97 p, sha256(string_agg(text, '' order by doc_id)) h from documents group by 1), b as (select doc_id%97 p, sha256(string_agg(case when doc_id%193=0 then text||'x' else text end, '' order by doc_id)) h from documents where doc_id%97<>5 group by 1) select p path, a.h \"before\", b.h \"after\" from a left join b using (p) where a.h is distinct from b.h")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import scene as S
 from fieldglass.functions import geometry as G
-from fieldglass.operators import duplicates, graph, matching, precision, selection, stats, versions
+from fieldglass.operators import duplicates, graph, matching, precision, sampling, selection, stats, versions
 from fieldglass.sources import labels, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,10 +337,33 @@ def _signature(width: int):
     return total
 
 
-@query()
+#: The signatures, and copies of a fifth of them with no, one or two bits turned, some under the same digest.
+_PLANTED = """with b as (select vec_id id, list_reduce(list_prepend(0::ubigint, list_transform(range(64), lambda i: case when embedding[i+1]>0 then (1::ubigint<<i::ubigint) else 0::ubigint end)), lambda x, y: x | y) bits, vec_id::varchar dg from embeddings),
+c as (select * from b union all
+  select id+1000000, xor(bits, xor(1::ubigint<<(id%64)::ubigint, 1::ubigint<<(id*7%64)::ubigint)), case when id%15=0 then dg else 'copy' end from b where id%5=0
+  union all select id+2000000, bits, case when id%20=0 then dg else 'again' end from b where id%10=0),
+p as (select x.id first_id, y.id second_id, bit_count(xor(x.bits, y.bits))::bigint distance from c x join c y on x.id<y.id and bit_count(xor(x.bits, y.bits))<=4 and x.dg<>y.dg)"""
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    i, bit = F.col("id"), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.cast("int"))
+    b = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _signature(64).alias("bits"), F.col("vec_id").cast("string").alias("dg"))
+    turned = b.where(i % 5 == 0).select((i + 1000000).alias("id"), F.col("bits").bitwiseXOR(bit(i % 64)).bitwiseXOR(bit(i * 7 % 64)).alias("bits"), F.when(i % 15 == 0, F.col("dg")).otherwise("copy").alias("dg"))
+    again = b.where(i % 10 == 0).select((i + 2000000).alias("id"), "bits", F.when(i % 20 == 0, F.col("dg")).otherwise("again").alias("dg"))
+    return b.unionByName(turned).unionByName(again)
+
+
+@query(_PLANTED + " select * from p")
 def near_duplicates_64(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's 4-bit search over the whole 64-bit signature."""
-    return duplicates.hamming_pairs(S.table(spark, d, "embeddings").select("vec_id", _signature(64).alias("bits")), "vec_id", "bits", 64, 4)
+    """Pairs within 4 bits of the whole 64-bit signature, with planted ones; equal digests are no pairs."""
+    return duplicates.near_pairs(_planted(spark, d), "id", "bits", "dg", 64, 4)
+
+
+@query(_PLANTED + " select first_id, second_id, distance, (select count(*) from p)>40 truncated from p order by first_id, second_id limit 40")
+def near_pairs_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 pairs in the order of their rows, and whether there were more: the truncated report."""
+    pairs, more = duplicates.first_near_pairs(_planted(spark, d), "id", "bits", "dg", 64, 4, 40)
+    return pairs.withColumn("truncated", F.lit(more))
 
 
 @query(_BITS + ", e as (select first_id a, second_id b from p union all select second_id, first_id from p), r(n, u) as (select a, a from e union select r.n, e.b from r join e on r.u=e.a) select n node, min(u) component from r group by 1")
@@ -555,13 +578,19 @@ def diverse_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = S.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), F.when(k < 7, "train").when(k < 9, "valid").otherwise("test").alias("split"), F.sha2(F.col("embedding").cast("string"), 256).alias("hash"), (F.col("vec_id") % 97).alias("source"), bits.alias("bits"), F.col("embedding").cast("array<double>").alias("vector")
     )
-    return spark.createDataFrame(list(enumerate(selection.diverse(rows, {"train": 4, "valid": 3}, 7))), "pick long, vec_id long")
+    return spark.createDataFrame(list(enumerate(sampling.diverse(rows, {"train": 4, "valid": 3}, 7))), "pick long, vec_id long")
 
 
-@query()
+@query("""with recursive v as (select vec_id, (vec_id*7919)%10007 o, embedding::double[] e from embeddings),
+p(k, ids, es) as (
+  select 0, [vec_id], [e] from (select * from v order by o, vec_id limit 1)
+  union all
+  select k+1, list_append(ids, n), list_append(es, (select e from v where vec_id=n))
+  from (select k, ids, es, (select arg_max(vec_id, (list_min(list_transform(es, lambda q: list_sum(list_transform(list_zip(q, e), lambda z: abs(z[1]-z[2]))))), -o, -vec_id)) from v where not list_contains(ids, vec_id)) n from p where k<7) x)
+select k::bigint pick, ids[k+1] vec_id from p""")
 def farthest_first(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    ids = selection.farthest_first(e, "vec_id", "v", 8, 7)
+    ids = sampling.farthest_first(e, "vec_id", "v", 8, 7, F.col("vec_id") * 7919 % 10007)
     return spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "pick long, vec_id long")
 
 

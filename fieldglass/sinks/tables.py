@@ -52,13 +52,13 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None, need_rows: b
 
 
 def finite_text(value: Any) -> Any:
-    """Numbers that are not finite as text, however deep."""
+    """Numbers that are not finite as text, and keys as text, however deep."""
     if isinstance(value, dict):
-        return {k: finite_text(v) for k, v in value.items()}
+        return {str(k): finite_text(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         return [finite_text(v) for v in value]
     if isinstance(value, float) and not math.isfinite(value):
-        return "nan" if math.isnan(value) else "inf" if value > 0 else "-inf"
+        return "nan" if math.isnan(value) else "infinity" if value > 0 else "-infinity"
     return value
 
 

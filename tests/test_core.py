@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as G
-from fieldglass.operators import duplicates, graph, matching, precision, selection, stats, versions
+from fieldglass.operators import duplicates, graph, matching, precision, sampling, selection, stats, versions
 from fieldglass.plans.queries import ORACLE, QUERIES
 from fieldglass.scene import Point
 from fieldglass.sources import labels, trees
@@ -263,24 +263,53 @@ def test_review_annotations(spark):
 def test_diverse(spark):
     rows = [(1, "a", "h1", "s1", 0, [0.0, 0.0]), (2, "b", "h1", "s2", 255, [9.0, 9.0]), (3, "b", "h3", "s1", 255, [9.0, 9.0]), (4, "b", "h4", "s4", 3, [0.05, 0.05]), (5, "b", "h5", "s5", 255, [0.05, 0.06]), (6, "b", "h6", "s6", 3, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, split string, hash string, source string, bits long, vector array<double>")
-    assert selection.diverse(df, {"a": 1, "b": 2}, 7) == [1, 6, 5]
+    assert sampling.diverse(df, {"a": 1, "b": 2}, 7) == [1, 6, 5]
     with pytest.raises(ValueError):
-        selection.diverse(df, {"a": 1, "b": 3}, 7)
-
-
-def test_near_duplicates_64(spark, tmp_path):
-    """Planted pairs at 0 to 6 bits, the last bit among them, against all pairs."""
-    rng = random.Random(5)
-    signs = [[rng.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(40)]
-    for i in range(21):
-        v = list(signs[i])
-        for k in {63, *rng.sample(range(63), 6)} if i == 20 else rng.sample(range(63), i % 7):
-            v[k] = -v[k]
-        signs.append(v)
-    v = list(signs[30])
-    v[63] = -v[63]
-    signs.append(v)
-    spark.createDataFrame(list(enumerate(signs)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    want = {(i, j, n) for j in range(len(signs)) for i in range(j) if (n := sum(a != b for a, b in zip(signs[i], signs[j], strict=True))) <= 4}
-    assert len(want) > 10 and (30, 61, 1) in want
-    assert {tuple(r) for r in QUERIES["near_duplicates_64"](spark, str(tmp_path)).collect()} == want
+        sampling.diverse(df, {"a": 1, "b": 3}, 7)
+
+
+@pytest.mark.parametrize("n,hot,width", [(150, 5, 64), (400, 3, 24), (60, 1000, 64), (90, 2, 12)])
+def test_near_pairs(spark, monkeypatch, n, hot, width):
+    """Planted pairs at 0 to 6 bits, one band that half of the codes share, equal digests; in order and cut short."""
+    monkeypatch.setattr(duplicates, "HOT", hot)
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        code = rng.getrandbits(width) if not i or rng.random() < 0.4 else rows[rng.randrange(i)][1]
+        for k in rng.sample(range(width), rng.randrange(7)):
+            code ^= 1 << k
+        if i % 2:
+            code = code >> (width // 5) << (width // 5) if width != 64 else code & ~0x1FFF
+        rows.append((i, code, f"d{rng.randrange(n // 3)}"))
+    signed = [(i, c - (1 << 64) if c >> 63 else c, g) for i, c, g in rows]
+    want = sorted((a[0], b[0], d) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and (d := bin(a[1] ^ b[1]).count("1")) <= 4)
+    df = spark.createDataFrame(signed, "id long, bits long, dg string").repartition(3)
+    assert sorted(tuple(r) for r in duplicates.near_pairs(df, "id", "bits", "dg", width, 4).collect()) == want
+    for most in (1, 10, len(want), len(want) + 5):
+        got, more = duplicates.first_near_pairs(df, "id", "bits", "dg", width, 4, most)
+        assert [tuple(r) for r in got.orderBy("first_id", "second_id").collect()] == want[:most] and more == (len(want) > most)
+
+
+@pytest.mark.parametrize("pool", [1, 3, 1000])
+def test_sampling_against_a_plain_walk(spark, monkeypatch, pool):
+    from fieldglass.operators import sampling as S
+
+    monkeypatch.setattr(S, "POOL", pool)
+    rng = random.Random(pool)
+    rows = [(i, "ab"[i % 2], f"h{rng.randrange(50)}", f"s{rng.randrange(40)}", rng.randrange(16), [float(rng.randrange(6)) for _ in range(3)], (i * 37) % 101) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, split string, hash string, source string, bits long, vector array<double>, tie long")
+    taken = []
+    for split, count in {"a": 6, "b": 4}.items():
+        for _ in range(count):
+            best = []
+            for r in rows:
+                gaps = [sum(abs(x - y) for x, y in zip(r[5], t[5], strict=True)) / 3 for t in taken]
+                if r[1] == split and all(r[0] != t[0] and r[2] != t[2] and r[3] != t[3] and not (bin(r[4] ^ t[4]).count("1") <= 1 and g <= 0.7) for t, g in zip(taken, gaps, strict=True)):
+                    best.append((-min(gaps, default=1.0), r[6], r))
+            taken.append(min(best)[2])
+    assert S.diverse(df, {"a": 6, "b": 4}, 7, 1, 0.7, F.col("tie")) == [t[0] for t in taken]
+    own = [min(rows, key=lambda r: r[6])]
+    while len(own) < 9:
+        own.append(max((r for r in rows if r not in own), key=lambda r: (min(sum(abs(x - y) for x, y in zip(r[5], t[5], strict=True)) for t in own), -r[6])))
+    assert S.farthest_first(df, "id", "vector", 9, 1, F.col("tie")) == [r[0] for r in own]
+    assert len(S.farthest_first(df, "id", "vector", 900, 1)) == 70 and S.farthest_first(df.where("false"), "id", "vector", 3, 1) == []

@@ -227,7 +227,7 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.csv(df.limit(0), str(tmp_path / "e"), need_rows=True)
     tables.json_lines(df, str(tmp_path / "j"))
-    assert tables.finite_text({"a": [math.nan, math.inf, 1.0]}) == {"a": ["nan", "inf", 1.0]}
+    assert tables.finite_text({"a": [math.nan, math.inf, 1.0], 2: {"b": (-math.inf, True)}}) == {"a": ["nan", "infinity", 1.0], "2": {"b": ["-infinity", True]}}
     tables.document(spark, {"b": 1, "a": [1.5]}, str(tmp_path / "d.json"))
     assert json.loads((tmp_path / "d.json").read_text()) == {"a": [1.5], "b": 1} and (tmp_path / "d.json").read_text().startswith('{\n  "a"')
     with pytest.raises(ValueError):
@@ -309,7 +309,21 @@ def test_pixels(spark, tmp_path):
     with pytest.raises(ValueError):
         pixels.gain(a, 0.2)
     share, corr, slope, cut, rmse = pixels.aligned(low, (low.astype(int) + 5).astype(np.uint8), np.ones(low.shape, bool))
-    assert (share, round(corr, 6), round(slope, 6), round(cut, 4), round(rmse, 6)) == (1.0, 1.0, 1.0, 5.0, 0.0)
+    assert (share, round(corr, 6), round(slope, 6), round(cut, 4), round(rmse, 6)) == (1.0, 1.0, 1.0, -5.0, 0.0)
+    # the second is half as bright: the first is twice the second
+    even = low // 2 * 2
+    half = pixels.aligned(even, even // 2 + 20, np.ones(low.shape, bool))
+    assert [round(v, 6) for v in half] == [1.0, 1.0, 2.0, -40.0, 0.0]
+    assert pixels.aligned(even, np.full(low.shape, 9, np.uint8), np.ones(low.shape, bool))[1] == 0.0
+    # stretched before it is made small: one bright and one dark pixel set the range
+    spot = np.full((64, 64), 100, np.uint8)
+    spot[:32] = 120
+    spot[0, 0], spot[63, 63] = 0, 255
+    assert (pixels.contrast_signature(spot)[4:12, 4:12] == 120).all() and set(pixels.stretched(np.array([[10, 20, 30]], np.uint8)).ravel()) == {0, 127, 255}
+    # the middle square of a wide picture
+    wide = np.zeros((40, 100), np.uint8)
+    wide[:, 30:70] = np.tile(np.arange(40) * 6, (40, 1))
+    assert (pixels.fitted(wide, 40) == wide[:, 30:70]).all()
     assert pixels.aligned(low, low, np.zeros(low.shape, bool))[1:] == (0.0, 1.0, 0.0, 0.0)
     (tmp_path / "a.png").write_bytes(png(a[:, :, ::-1].copy()))
     (tmp_path / "b.png").write_bytes(b"broken")
