@@ -451,13 +451,13 @@ def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return evidence.reconciled(p, g, m, agnostic, evidence.missed_targets(v, g, m), probes, classes, sizes, bins, matching.confusion(agnostic, p, g))
 
 
-@query("with a as (select doc_id%97 p, sha256(string_agg(text, '' order by doc_id)) h from documents group by 1), b as (select doc_id%97 p, sha256(string_agg(case when doc_id%193=0 then text||'x' else text end, '' order by doc_id)) h from documents where doc_id%97<>5 group by 1) select p path, a.h \"before\", b.h \"after\" from a left join b using (p) where a.h is distinct from b.h")
+@query("with a as (select 'doc/'||doc_id p, sha256(coalesce(text,'')) h from documents), b as (select 'doc/'||doc_id p, sha256(coalesce(text,'')||case when doc_id%193=0 then 'x' else '' end) h from documents where doc_id%97<>5) select p path, a.h \"before\", b.h \"after\" from a left join b using (p) where a.h is distinct from b.h")
 def hash_drift(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97).alias("path"), "text")
-    # each path's few documents in order
-    sha = lambda df: df.groupBy("path").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), ""), 256).alias("sha256"))
-    changed = docs.where("path <> 5").withColumn("text", F.when(F.col("doc_id") % 193 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return contracts.drift(sha(docs), sha(changed))
+    """Files of a baseline, one for each document, that have changed or are gone."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    docs = S.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), i.cast("string")).alias("path"), text.alias("text"))
+    now = docs.where(i % 97 != 5).select("path", F.sha2(F.when(i % 193 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return contracts.drift(docs.select("path", F.sha2("text", 256).alias("sha256")), now)
 
 
 @query(S.SQL + " select image_id, gt_id, x0/width::double+(x1-x0)/width::double/2 between 0 and 1 and (x1-x0)>0 and x1<=width and y1<=height ok from gt join scene_image using (image_id)")

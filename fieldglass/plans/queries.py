@@ -209,14 +209,14 @@ ap as (select su.class_id, th.t threshold, su.s support, coalesce(ar.ap,0)::doub
 
 @query(_ap_sql("select class_id, threshold, support, round(ap, 6) ap from ap"))
 def ap_by_class(spark: SparkSession, d: str) -> DataFrame:
-    p, g, v = _all(spark, d)
-    return precision.average_precision(v, p, g).select("class_id", F.col("threshold").cast("long").alias("threshold"), "support", F.round("ap", 6).alias("ap"))
+    p, g = S.boxes(spark, d)
+    return precision.average_precision(None, p, g).select("class_id", F.col("threshold").cast("long").alias("threshold"), "support", F.round("ap", 6).alias("ap"))
 
 
 @query(_ap_sql("select round(avg(ap) filter (threshold=50), 6) map50, round(avg(ap), 6) map50_95 from ap"))
 def map_summary(spark: SparkSession, d: str) -> DataFrame:
-    p, g, v = _all(spark, d)
-    a = precision.average_precision(v, p, g)
+    p, g = S.boxes(spark, d)
+    a = precision.average_precision(None, p, g)
     return a.agg(F.round(F.avg(F.when(F.col("threshold") == 50, F.col("ap"))), 6).alias("map50"), F.round(F.avg("ap"), 6).alias("map50_95"))
 
 

@@ -90,7 +90,8 @@ def test_taxonomy(spark, pred, want):
 def test_average_precision(spark):
     gts = boxes(spark, [(1, 1, 0, 0, 0, 10, 10), (2, 1, 1, 0, 0, 10, 10)])
     preds = boxes(spark, [(1, 1, 0, 0, 0, 10, 10, 90), (2, 1, 1, 0, 0, 10, 10, 80)], True)
-    ap = precision.average_precision(matching.overlaps(preds, gts), preds, gts).collect()
+    ap = precision.average_precision(None, preds, gts).collect()
+    assert sorted(ap) == sorted(precision.average_precision(matching.overlaps(preds, gts), preds, gts).collect())
     assert {round(r.ap, 6) for r in ap} == {0.995} and {r.support for r in ap} == {1}
 
 
@@ -313,3 +314,15 @@ def test_sampling_against_a_plain_walk(spark, monkeypatch, pool):
         own.append(max((r for r in rows if r not in own), key=lambda r: (min(sum(abs(x - y) for x, y in zip(r[5], t[5], strict=True)) for t in own), -r[6])))
     assert S.farthest_first(df, "id", "vector", 9, 1, F.col("tie")) == [r[0] for r in own]
     assert len(S.farthest_first(df, "id", "vector", 900, 1)) == 70 and S.farthest_first(df.where("false"), "id", "vector", 3, 1) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reached_from_boxes_and_pairs(spark, seed):
+    """Crowded images: more predictions than are kept, ties of overlap, targets that several want."""
+    rng = random.Random(seed)
+    preds = [(i // 40, i % 40, rng.randrange(2), x := 10 * rng.randrange(3), 0, x + 10, 10 + rng.randrange(2), rng.randrange(100)) for i in range(200)]
+    gts = [(i // 8, i % 8, rng.randrange(2), x := 10 * rng.randrange(3), 0, x + 10, 10) for i in range(40)]
+    p, g = boxes(spark, preds, True), boxes(spark, gts)
+    key = lambda d: sorted((r.image_id, r.pred_id, r.class_id, r.conf, r.reach) for r in d.collect())
+    a = key(precision.reached(p, g, 5, 25))
+    assert a == key(precision.reached_by_pairs(matching.overlaps(p, g), p, 5, 25)) and 0 < sum(r[4] > 0 for r in a) <= len(gts) and len(a) == 125
