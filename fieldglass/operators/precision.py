@@ -112,7 +112,8 @@ def average_precision(pairs: DataFrame | None, preds: DataFrame, gts: DataFrame,
     support = gts.groupBy(F.col("class_id").cast("long").alias("class_id")).agg(F.count("*").alias("support"))
     order = ["class_id", F.desc("conf"), "image_id", "pred_id"]
     found = reached(preds, gts, floor, most) if pairs is None else reached_by_pairs(pairs, preds, floor, most)
-    sorted_ = found.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # written, for a sort by range reads its input twice
+    sorted_ = stage(found, "reached").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     counted = stage(sorted_.select(F.spark_partition_id().alias("part"), "class_id", "reach").mapInArrow(_counted, _COUNTED), "hits")
     # what lies in the parts before: a row for each part and class
     before = W.partitionBy("class_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

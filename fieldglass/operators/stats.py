@@ -92,8 +92,8 @@ def _columns(long: bool) -> dict[str, str]:
     return {"count": "n", "mean": "mean", "median": f"q{len(PERCENTILES)}", "std": "std", "min": "least", "max": "most"} | {f"p{p}": f"q{i}" for i, p in enumerate(PERCENTILES)}
 
 
-def described(rows: DataFrame, by: list[str], columns: dict[str, Column], long: bool = False, digits: int = 6) -> DataFrame:
-    """by, metric and the description of each column: count, extremes, mean, population deviation and quantiles.
+def described(rows: DataFrame, by: list[str], columns: dict[str, Column], long: bool = False, digits: int | None = 6) -> DataFrame:
+    """by, metric and the description of each column: count, extremes, mean, population deviation and quantiles, rounded if ``digits`` are given.
 
     ``long``: with the median and seven percentiles; a value that is not finite is an error then.
     """
@@ -102,7 +102,7 @@ def described(rows: DataFrame, by: list[str], columns: dict[str, Column], long:
         own = own.withColumn(_VALUES, F.when(F.col(_VALUES).isNotNull() & ~finite(F.col(_VALUES)), F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(F.col(_VALUES)))
     fractions = [p / 100.0 for p in PERCENTILES] + [0.5] if long else list(QUANTILES)
     got = selected(own, [*by, "metric"], fractions, True)
-    return got.select(*by, "metric", *[F.col(c).alias(n) if n == "count" else F.round(c, digits).alias(n) for n, c in _columns(long).items()])
+    return got.select(*by, "metric", *[F.col(c).alias(n) if n == "count" or digits is None else F.round(c, digits).alias(n) for n, c in _columns(long).items()])
 
 
 def with_described(base: DataFrame, rows: DataFrame, by: list[str], columns: dict[str, Column], long: bool = True, digits: int = 6) -> DataFrame:

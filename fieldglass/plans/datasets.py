@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldglass import scene as S
-from fieldglass.operators import merkle, settings, sides
+from fieldglass.operators import difficulty, duplicates, merkle, settings, sides
 from fieldglass.plans import scratch
-from fieldglass.plans.queries import query
+from fieldglass.plans.more import long_sql
+from fieldglass.plans.queries import _PLANTED, _planted, query
 from fieldglass.sinks import file_tree
 from fieldglass.sources import dataset_source as D
 from fieldglass.sources import settings as documents
@@ -288,3 +290,70 @@ def unsound_numbers(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"scores":{"recall":'), F.coalesce(recall, F.lit("null")), F.lit(',"deep":{"f1":'), F.coalesce((v / 40).cast("string"), F.lit("null")), F.lit(',"count":9}}}'))
     rows = documents.json(S.table(spark, d, "events").select("event_id", text.alias("t")), ["event_id"], "t")
     return settings.unsound(rows).groupBy("path", "rule").agg(F.count("*").alias("n"))
+
+
+def _floored(sql: str) -> str:
+    """Rounding by the same two operations in both engines, for shares of image sides often lie half-way."""
+    return re.sub(r"round\((.*?), ?6\) ", r"floor((\1)*1e6+0.5)/1e6 ", sql)
+
+
+_BOXES = S.SQL + """, bm as (select split, class_id, (x1-x0)::double/width nw, (y1-y0)::double/height nh, (x1-x0)::double w, (y1-y0)::double h, least(640.0::double/width, 640.0::double/height) sc from gt join scene_image using (image_id)),
+bx as (select split, nw normalized_width, nh normalized_height, nw*nh normalized_area, least(nw,nh) normalized_shorter_side, greatest(nw,nh) normalized_longer_side, w width_px, h height_px, w*h area_px, w*sc effective_width, h*sc effective_height, w*sc*(h*sc) effective_area, least(w*sc,h*sc) effective_short_side from bm)"""
+
+
+@query(
+    _BOXES
+    + """, nn as (select image_id, count(*) n from gt group by 1), im as (select split, n::double annotations_per_positive_image, width::double width_px, height::double height_px, width::double*height pixel_area, width::double/height aspect_ratio from scene_image left join nn using (image_id)),
+u as (select split, 'image' subject, metric, v from (unpivot im on annotations_per_positive_image, width_px, height_px, pixel_area, aspect_ratio into name metric value v)
+  union all select split, 'box', metric, v from (unpivot bx on """
+    + ", ".join(difficulty.MEASURES)
+    + f""" into name metric value v))
+select split, subject, metric, {_floored(long_sql('v'))} from u where v is not null group by 1, 2, 3"""
+)
+def split_measures(spark: SparkSession, d: str) -> DataFrame:
+    """All seventeen descriptions of every split."""
+    out = difficulty.split_measures(S.images(spark, d), S.targets(spark, d), None)
+    return out.select(*[F.floor(F.col(c) * 1e6 + 0.5) / 1e6 if kind == "double" else F.col(c) for c, kind in out.dtypes]).toDF(*out.columns)
+
+
+@query(
+    _BOXES
+    + f""", l(metric, lim) as (values {", ".join(f"('normalized_area', {x}::double)" for x in difficulty.AREA_LIMITS)}, {", ".join(f"('effective_short_side', {x}::double)" for x in difficulty.SIDE_LIMITS)}),
+u as (select split, metric, v from (unpivot bx on normalized_area, effective_short_side into name metric value v))
+select split, metric, lim "limit", count(*) filter (v<lim) below, round(count(*) filter (v<lim)::double/count(*), 9) fraction from u join l using (metric) group by 1, 2, 3"""
+)
+def small_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return difficulty.small_boxes(difficulty.box_measures(S.targets(spark, d), S.images(spark, d)))
+
+
+@query(S.SQL + " select * from (select split, row_number() over (partition by split order by count(*) desc, width, height)::int rank, width, height, count(*) images from scene_image group by split, width, height) where rank<=10")
+def common_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    return difficulty.common_resolutions(S.images(spark, d))
+
+
+@query(S.SQL + " select image_id, coalesce(string_agg(distinct class_id::varchar, ',' order by class_id::varchar), '') classes, min((x1-x0)*(y1-y0))::double smallest_area from scene_image left join gt using (image_id) group by 1")
+def class_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of every image, and its smallest box."""
+    out = difficulty.class_sets(S.targets(spark, d), S.images(spark, d))
+    return out.select("image_id", F.array_join(F.transform("classes", lambda c: c.cast("string")), ",").alias("classes"), "smallest_area")
+
+
+@query(S.SQL + ", o as (select split, case when width::double/height<0.95 then 'portrait' when width::double/height>1.05 then 'landscape' else 'approximately_square' end orientation from scene_image), k as (select * from (select distinct split from o) cross join (values ('portrait'),('landscape'),('approximately_square')) v(orientation)) select k.split, k.orientation, count(o.split) images, round(100.0::double*count(o.split)/(select count(*) from o q where q.split=k.split), 6) percent from k left join o on o.split=k.split and o.orientation=k.orientation group by 1, 2")
+def orientation_shares(spark: SparkSession, d: str) -> DataFrame:
+    return difficulty.orientation_shares(S.images(spark, d))
+
+
+@query(
+    _PLANTED.replace("with b as", "with recursive b as")
+    + """, e as (select first_id a, second_id b from p union all select second_id, first_id from p), r(n, u) as (select a, a from e union select r.n, e.b from r join e on r.u=e.a), m as (select n, min(u) c from r group by 1),
+w as (select id, case when id%10<7 then 'train' when id%10<9 then 'valid' else 'test' end split, (id%13)::varchar source, c least from c join m on m.n=c.id),
+g as (select least, count(*) member_count, count(distinct split)>1 cross_split, string_agg(distinct split, ' | ' order by split) splits, count(distinct source) source_count, string_agg(distinct source, ' | ' order by source) sources, row_number() over (order by least) group_id from w group by 1 having count(*)>1)
+select id, split, source, member_count, cross_split, splits, source_count::int source_count, sources, group_id from w join g using (least)"""
+)
+def derivative_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of planted near copies with the splits and sources that they reach into."""
+    rows = _planted(spark, d)
+    near = duplicates.near_pairs(rows, "id", "bits", "dg", 64, 4).select(F.col("first_id").alias("a"), F.col("second_id").alias("b"))
+    k = F.col("id") % 10
+    own = rows.select("id", F.when(k < 7, "train").when(k < 9, "valid").otherwise("test").alias("split"), (F.col("id") % 13).cast("string").alias("source"))
+    return difficulty.derivative_groups(near, own)

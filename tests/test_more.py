@@ -126,3 +126,22 @@ def test_order_free(spark):
     assert observed.order_free(first, rows) == [0, 5, 10]
     with pytest.raises(ContractError, match="order"):
         observed.order_free(lambda d: [r.id for r in d.limit(3).collect()], rows)
+
+
+def test_difficulty_tables(spark):
+    """Groups by the least member, splits and sources joined; suffixes counted in any case; images without boxes."""
+    from fieldglass.operators import difficulty
+
+    rows = spark.createDataFrame([(1, "train", "s"), (2, "valid", "s"), (3, "train", "t"), (4, "train", "u"), (8, "valid", "v"), (9, "valid", "v")], "id long, split string, source string")
+    edges = spark.createDataFrame([(2, 3), (1, 2), (9, 8), (4, 4)], "a long, b long")
+    got = sorted(tuple(r) for r in difficulty.derivative_groups(edges, rows).select("id", "group_id", "member_count", "cross_split", "splits", "source_count", "sources").collect())
+    assert got == [(1, 1, 3, True, "train | valid", 2, "s | t"), (2, 1, 3, True, "train | valid", 2, "s | t"), (3, 1, 3, True, "train | valid", 2, "s | t"), (8, 2, 2, False, "valid", 1, "v"), (9, 2, 2, False, "valid", 1, "v")]
+    assert difficulty.derivative_groups(edges.where("false"), rows).count() == 0
+    files = spark.createDataFrame([("train", ".JPG"), ("train", ".jpg"), ("train", ".png")], "split string, suffix string")
+    assert difficulty.format_counts(files, ["split"]).first().image_formats == {".jpg": 2, ".png": 1}
+    images = spark.createDataFrame([(1, "train", 100, 200), (2, "train", 100, 100)], "image_id long, split string, width int, height int")
+    boxes = spark.createDataFrame([(1, 5, 0, 0, 10, 20), (1, 2, 0, 0, 10, 10)], "image_id long, class_id int, x0 int, y0 int, x1 int, y1 int")
+    assert {r.image_id: (r.classes, r.smallest_area) for r in difficulty.class_sets(boxes, images).collect()} == {1: ([2, 5], 100.0), 2: ([], None)}
+    d = {(r.subject, r.metric): r for r in difficulty.split_measures(images, boxes).collect()}
+    assert len(d) == 17 and (d["image", "annotations_per_positive_image"]["count"], d["image", "annotations_per_positive_image"]["mean"]) == (1, 2.0)
+    assert d["box", "effective_short_side"].median == 32.0 and d["box", "normalized_area"].max == 0.01
