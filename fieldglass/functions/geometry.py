@@ -274,3 +274,16 @@ def learning_rate(images_seen: Column, epoch: Column, base: float, warmup_images
     warm = F.least(images_seen / F.lit(float(warmup_images)), F.lit(1.0))
     decay = F.greatest(1 - epoch / F.lit(float(epochs)), F.lit(0.0)) * (1 - final_factor) + final_factor
     return F.lit(base) * warm * decay
+
+
+def class_map(counts: Column, names: list[str]) -> Column:
+    """An array of counts by class as a map from names, in the order of the classes; another length is an error."""
+    fits = F.size(counts) == len(names)
+    made = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), counts)
+    return F.when(fits, made).otherwise(F.raise_error(F.concat(F.lit(f"{len(names)} classes, but counts: "), F.size(counts).cast("string"))).cast("map<string,bigint>"))
+
+
+def by_identifier(boxes: Column) -> Column:
+    """Boxes of an export in the order of their identifiers, whatever the order they came in."""
+    keyed = F.transform(boxes, lambda b: F.struct(b["box_id"].alias("k"), b.alias("b")))
+    return F.transform(F.array_sort(keyed, lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)), lambda x: x["b"])

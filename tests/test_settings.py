@@ -132,3 +132,36 @@ def test_unsound(spark):
     doc = {"a": {"recall": 1.2, "n": -3, "iou": 1.0001, "s": "nan"}, "f1": 0.5, "b": True, "precision": -1, "x": "infinity", "y": "else"}
     got = {(r.path, r.rule) for r in compare.unsound(configs(spark, d=doc)).collect()}
     assert got == {("a.recall", "rate_outside"), ("a.iou", "rate_outside"), ("precision", "rate_outside"), ("a.s", "not_finite"), ("x", "not_finite")}
+
+
+def test_reviews(spark):
+    from fieldglass.operators import contracts
+
+    cases = spark.createDataFrame([(f"c{i}", f"h{i}") for i in range(7)], "case_id string, overlay_sha256 string")
+    views = list(contracts.VIEWS)
+    good = ("inspected", views, ["a"], ["b"], ["c"])
+    rows = [("c0", "h0", *good), ("c1", "other", *good), ("c2", "h2", "pending", views[:1], ["a"], ["b"], ["c"]), ("c3", "h3", "inspected", views[::-1], [], [" "], None), ("c4", "h4", *good), ("c4", "h4", *good), ("x", "h", *good), ("c5", None, None, None, ["a"], ["b", None], ["c"])]
+    records = spark.createDataFrame(rows, "case_id string, overlay_sha256 string, inspection_status string, inspected_views array<string>, direct_observations array<string>, plausible_interpretations array<string>, unverified_claims array<string>")
+    got = {}
+    for r in contracts.reviews(cases, records).collect():
+        got.setdefault(r.case_id, set()).add(r.rule)
+    assert got == {
+        "c1": {"overlay"},
+        "c2": {"not_inspected", "views"},
+        "c3": set(contracts.STATEMENTS),
+        "c4": {"repeated"},
+        "c5": {"overlay", "not_inspected", "views", "plausible_interpretations"},
+        "c6": {"no_record"},
+        "x": {"no_case"},
+    }
+
+
+def test_maps_and_orders(spark):
+    from fieldglass.functions import geometry as G
+
+    one = spark.range(1)
+    assert one.select(G.class_map(F.array(F.lit(3), F.lit(0)).cast("array<bigint>"), ["a", "b"]).alias("m")).first().m == {"a": 3, "b": 0}
+    with pytest.raises(Exception, match="2 classes"):
+        one.select(G.class_map(F.array(F.lit(3)).cast("array<bigint>"), ["a", "b"])).collect()
+    boxes = F.array(*[F.struct(F.lit(k).alias("box_id"), F.lit(v).alias("class_id")) for k, v in (("p/2", 1), ("p/1", 2), ("p/10", 3))])
+    assert [tuple(b) for b in one.select(G.by_identifier(boxes).alias("b")).first().b] == [("p/1", 2), ("p/10", 3), ("p/2", 1)]
