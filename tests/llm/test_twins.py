@@ -107,3 +107,44 @@ def test_language_against_plain_python():
         assert gamma[first[i] : first[i + 1]] == pytest.approx(want, abs=1e-9)
         assert size[first[i] : first[i + 1]].tolist() == [len(w.encode()) for w in words]
     assert [model.labels[int(gamma[first[i] : first[i + 1]].sum(axis=0).argmax())] for i in range(3)] == ["en", "de", "es"]
+
+
+def plain_pu(positive, unlabelled, v, prior, steps, rate, sparse):
+    """Dense non-negative risk descent, with derivatives by differences of the risk itself; how often the correction held."""
+    dense = lambda sets: np.array([[float(k in s) for k in range(v)] + [1.0] for s in sets])
+    p, u = dense(positive), dense(unlabelled)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    negative = lambda x: sig(u @ x).mean() - prior * sig(p @ x).mean()
+    risk = lambda x: prior * (1 - sig(p @ x)).mean() + negative(x)
+
+    def slope(f, x):
+        e = np.eye(v + 1) * 1e-6
+        return np.array([(f(x + d) - f(x - d)) / 2e-6 for d in e])
+
+    x = np.append(np.zeros(v), -1.0)
+    m1 = m2 = np.zeros(v + 1)
+    held = 0
+    for t in range(1, steps + 1):
+        ok = negative(x) >= 0
+        held += not ok
+        g = slope(risk, x) if ok else -slope(negative, x)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        pace = rate / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        x = x - pace * m1 / (1 - 0.9**t)
+        x = np.sign(x) * np.maximum(np.abs(x) - pace * np.append(np.full(v, sparse), 8 * sparse), 0)
+    return x, held
+
+
+@pytest.mark.parametrize("prior,corrects", [(0.05, False), (0.7, True)])
+def test_toxicity_against_plain_python(prior, corrects):
+    """The corrected risk and its steps over places in a small vocabulary, where the correction holds and where it does not."""
+    rng = np.random.default_rng(int(prior * 10))
+    v = 6
+    positive = [np.array(sorted({0, *rng.integers(0, 3, 2).tolist()}), np.int64) for _ in range(9)]
+    unlabelled = [np.array(sorted(set(rng.integers(2, v, int(rng.integers(0, 4))).tolist())), np.int64) for _ in range(30)] + positive[:2]
+    from fieldglass.llm import toxicity
+
+    steps = 60
+    model = toxicity.fit_places(np.arange(v, dtype=np.uint64), positive, unlabelled, prior, steps, 0.1, 3e-4)
+    x, held = plain_pu(positive, unlabelled, v, prior, steps, 0.1, 3e-4)
+    assert np.append(model.weights, model.bias) == pytest.approx(x, abs=2e-3) and (held > 0) == corrects
