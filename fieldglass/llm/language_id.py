@@ -12,8 +12,10 @@ labelled anew by forward-backward, with sticky transitions, in all texts; then
 the field learns weights and transitions together.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
-an empty table gives no rows; repeated rows get equal results; without any
-labelled text every text is ``und``; other columns are ignored.
+an empty table gives no rows; repeated rows get equal results; of languages with
+equal scores the first in the labels' order is told; a text of any length is
+read whole, in memory in proportion to it; without any labelled text every text is
+``und``; columns that are kept pass through under their own names, whatever they are.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ up to a text's share of good lines, and a logistic fit on the training texts
 turns it, with the share's extremes, into the probability of label 1.
 
 Defined results: a null or blank text has no lines and a share of 0; repeated
-rows get equal scores; an empty table gives no rows; without labels of both
-kinds the score is the labels' mean (0.5 without any); other columns are ignored.
+rows get equal scores; a text of any length is scored whole, in memory in proportion to it;
+of contradicting labels of one identifier the larger counts; an empty table
+gives no rows; without labels of both kinds the score is the labels' mean (0.5
+without any); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
