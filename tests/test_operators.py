@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import readwriter as T
 
 from fieldglass.functions import geometry as G
 from fieldglass.functions import pixels
@@ -217,7 +218,7 @@ def test_dataset_sources(spark, dataset):
     assert datasets.pairs(spark, root, strict=False).count() == 5
 
 
-def test_tables(spark, tmp_path):
+def test_tables(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("a", 1, True, {"k": 2, "b": 1}, [1, 2]), ("b", None, False, None, [])], "s string, n int, f boolean, m map<string,int>, l array<int>")
     tables.csv(df, str(tmp_path / "c"), ["s", "n", "f", "m"])
     text = sorted((tmp_path / "c").glob("*.csv"))[0].read_text().splitlines()
@@ -227,6 +228,12 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.csv(df.limit(0), str(tmp_path / "e"), need_rows=True)
     tables.json_lines(df, str(tmp_path / "j"))
+    tables.json_lines(df.where("false"), str(tmp_path / "j"))
+    # a writer that writes something else
+    with pytest.raises(ValueError, match="does not read back"):
+        monkeypatch.setattr(T.DataFrameWriter, "json", lambda self, path, **k: self.mode("overwrite").text(path))
+        tables.json_lines(spark.range(3).select(F.lit('{"other":1}').alias("t")), str(tmp_path / "j"))
+    monkeypatch.undo()
     assert tables.finite_text({"a": [math.nan, math.inf, 1.0], 2: {"b": (-math.inf, True)}}) == {"a": ["nan", "infinity", 1.0], "2": {"b": ["-infinity", True]}}
     tables.document(spark, {"b": 1, "a": [1.5]}, str(tmp_path / "d.json"))
     assert json.loads((tmp_path / "d.json").read_text()) == {"a": [1.5], "b": 1} and (tmp_path / "d.json").read_text().startswith('{\n  "a"')
