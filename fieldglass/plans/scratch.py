@@ -12,14 +12,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("fieldglass_passing", default=())
 _OWN: dict[str, str] = {}
 _USED: set[str] = set()
+_ONCE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,20 +66,41 @@ def passing(spark: SparkSession):
             remove(spark, path)
 
 
+def _written(df: DataFrame, label: str, by: list[str] | None) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
+
 def stage(df: DataFrame, label: str, by: list[str] | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     ``by``: columns to lay the files out by; ``lasting``: the table passes with
     the block around the innermost ``passing`` block, without one at the session's end.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    path = _written(df, label, by)
     blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
     if blocks:
         blocks[-1].append(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def once(spark: SparkSession, key: str, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """A staged table that is written once for each application and key; whoever asks again reads it.
+
+    For what is worked out of tables that do not change while the application runs.
+    """
+    full = (spark.sparkContext.applicationId, label, key)
+    if full not in _ONCE or not _there(spark, _ONCE[full][0]):
+        df = build()
+        _ONCE[full] = (_written(df, label, None), df.schema)
+    path, schema = _ONCE[full]
     return spark.read.schema(schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldglass.plans.scratch import stage
+from fieldglass.plans.scratch import once
 
 #: Parameters of an evaluation; classes are 0 .. CLASSES - 1.
 SPLITS = ("train", "valid", "test")
@@ -74,8 +74,8 @@ def predictions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(predictions, targets) from rows that are numbered once and written."""
-    rows = stage(_rows(spark, sf_dir), "scene")
+    """(predictions, targets) from rows that are numbered and written once for each folder of tables."""
+    rows = once(spark, sf_dir, lambda: _rows(spark, sf_dir), "scene")
     return predictions(spark, sf_dir, rows), targets(spark, sf_dir, rows)
 
 

@@ -395,3 +395,16 @@ def test_descriptions_hold_no_buffer(spark):
     for out in (stats.described(df, ["k"], {"x": F.col("x")}, True), stats.quantiles(df, ["k"], {"m": (F.col("x"), 0.5)})):
         plan = out._jdf.queryExecution().executedPlan().toString().lower()
         assert "percentile" not in plan and "median(" not in plan and "collect_list" not in plan
+
+
+def test_scene_is_written_once(spark):
+    from fieldglass import scene
+    from fieldglass.plans import scratch
+
+    sf = "/root/testdata/sf0.001"
+    first, second = scene.boxes(spark, sf)[0], scene.boxes(spark, sf)[1]
+    files = first.inputFiles()
+    assert files == second.inputFiles() == scene.boxes(spark, sf)[0].inputFiles()
+    scratch.remove(spark, files[0].rsplit("/", 1)[0])
+    again = scene.boxes(spark, sf)[0]
+    assert not set(again.inputFiles()) & set(files) and again.count() > 0
