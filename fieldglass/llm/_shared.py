@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import _bytes as B
-from fieldglass.plans.scratch import partitions, remove, shared_dir
+from fieldglass.plans.scratch import partitions, remove, shared_dir, swept
 
 __all__ = ["free_name", "heavy", "mapped", "marked", "might_contain", "partitions", "passing", "split_join", "stage", "unpacked"]
 
@@ -38,17 +38,19 @@ def passing(spark: SparkSession):
 WRITE = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4}
 
 
-def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+def stage(df: DataFrame, label: str, lasting: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    ``lasting``: passes with the block around the innermost ``passing`` block.
+    ``lasting``: how many of the innermost ``passing`` blocks the table outlives.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.options(**WRITE).parquet(path)
+    with swept(spark):
+        df.write.options(**WRITE).parquet(path)
     B.tidy()  # what the driver's models left
-    blocks = _PASSING.get()[:-1] if lasting else _PASSING.get()
+    blocks = _PASSING.get()
+    blocks = blocks[: max(0, len(blocks) - lasting)]
     if blocks:
         blocks[-1].append(path)
     return spark.read.schema(schema).parquet(path)

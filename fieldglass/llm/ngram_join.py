@@ -40,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,13 +231,14 @@ def _packed(part, keys, cids, a, b, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(cids, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(part), kind, np.int32))], ["part", "keys", "cids", "a", "b", "kind"])
 
 
-def _emit(links, member):
+def _emit(links, member, parts: int = 1):
+    """Links and members, dealt over the parts whatever their bucket."""
     if len(links):
         nil = [None] * len(links)
-        yield _packed(nil, nil, nil, links[:, 0], links[:, 1], _LINK)
+        yield _packed(links[:, 1] % parts, nil, nil, links[:, 0], links[:, 1], _LINK)
     for at in range(0, len(member[0]), PACKED):
         k, c = member[0][at : at + PACKED], member[1][at : at + PACKED]
-        yield _packed([None], [k.tobytes()], [c.tobytes()], [None], [None], _MEMBER)
+        yield _packed([(int(k[0]) ^ int(c[0])) % parts], [k.tobytes()], [c.tobytes()], [None], [None], _MEMBER)
 
 
 def _deal(parts: int, batch_keys: int):
@@ -244,7 +246,7 @@ def _deal(parts: int, batch_keys: int):
 
     def flush(keys, cids):
         (key, cid), links, member = collapse(np.concatenate(keys), np.concatenate(cids))
-        yield from _emit(links, member)
+        yield from _emit(links, member, parts)
         to = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # key is sorted, and so is this
         cuts = np.searchsorted(to, np.arange(parts + 1))
         own = np.flatnonzero(np.diff(cuts))
@@ -269,9 +271,14 @@ def _deal(parts: int, batch_keys: int):
 
 
 def _reduce(batches):
-    """All entries of this task's parts: links and members of shared buckets."""
+    """All entries of this task's parts: links and members of shared buckets; those that the dealing found pass through."""
     keys, cids = [], []
     for b in batches:
+        entry = pc.equal(b.column("kind"), _ENTRY)
+        found = b.filter(pc.invert(entry))
+        if found.num_rows:
+            yield found
+        b = b.filter(entry)
         for k, c in zip(b.column("keys").to_pylist(), b.column("cids").to_pylist(), strict=True):
             keys.append(np.frombuffer(k, np.uint64))
             cids.append(np.frombuffer(c, np.int64))
@@ -406,13 +413,14 @@ def _blocks(named: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return mapped(both, _compare(percent), "a long, b long")
 
 
-def _named(slim: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+def _shared(full: DataFrame, parts: int) -> DataFrame:
+    """Links and members of the keys that several classes share; the entries move once and are never written."""
+    dealt = mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, DEALT), _PACKED)
+    return mapped(dealt.repartition(parts, "part"), _reduce, _PACKED)
+
+
+def _named(slim: DataFrame, shared: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(cid, component_id) of every class with shingles, as a written table."""
-    spark = slim.sparkSession
-    with passing(spark):
-        dealt = stage(mapped(full.select("cid", "keys").where(F.octet_length("keys") > 0), _deal(parts, DEALT), _PACKED), "dealt")
-        reduced = mapped(dealt.where(F.col("kind") == _ENTRY).select("part", "keys", "cids").repartition(parts, "part"), _reduce, _PACKED)
-        shared = stage(dealt.where(F.col("kind") != _ENTRY).unionByName(reduced), "shared", lasting=True)
     links = shared.where(F.col("kind") == _LINK).select("a", "b").distinct()
     members = mapped(shared.where(F.col("kind") == _MEMBER).select("keys", "cids"), _unpack, "key long, cid long").distinct()
     # the sets of candidates, read anew
@@ -458,15 +466,19 @@ def _joined(slim: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, n, component_id) of rows (id, text); ids are of any type with an order."""
     spark = slim.sparkSession
     kind = slim.schema["id"].dataType.simpleString()
-    rows = stage(mapped(slim, _index(k, percent, 1 << 17), f"id {kind}, cid long, chk long, n long, keys binary"), "sets")
-    full = _told_apart(rows.where("n > 0"))
-    classes = full.groupBy("cid").agg(F.min("raw").alias("raw"), F.min("chk").alias("chk"), F.min("id").alias("top"))
-    entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    parts = max(partitions(spark), -(-entries // ENTRIES))
     with passing(spark):
-        name = _named(slim, full, classes, k, percent, parts)
-    linked = full.select("id", "n", "cid").join(name, "cid").select("id", "n", "component_id")
-    return linked.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+        # the keys are most of a row, and pass as soon as they are dealt
+        with passing(spark):
+            rows = stage(mapped(slim, _index(k, percent, 1 << 17), f"id {kind}, cid long, chk long, n long, keys binary"), "sets")
+            full = _told_apart(rows.where("n > 0"))
+            entries = int(full.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+            shared = stage(_shared(full, max(partitions(spark), -(-entries // ENTRIES))), "shared", lasting=1)
+            few = stage(full.select("id", "n", "cid", "raw", "chk"), "classes", lasting=2)
+            none = stage(rows.where("n = 0").select("id", "n"), "blank", lasting=2)
+        classes = few.groupBy("cid").agg(F.min("raw").alias("raw"), F.min("chk").alias("chk"), F.min("id").alias("top"))
+        name = _named(slim, shared, classes, k, percent)
+    linked = few.select("id", "n", "cid").join(name, "cid").select("id", "n", "component_id")
+    return linked.unionByName(none.select("id", "n", F.col("id").alias("component_id")))
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases that the docstrings define: clashing names, repeated rows, hash names, hot keys."""
 
+import os
 import random
 
 import numpy as np
@@ -66,6 +67,28 @@ def test_one_of_each_ties(spark):
     assert len(got) == 4 and {(r[0], r[1] or "") for r in got} == {(3, "a b c d e f"), (2, ""), (1, ""), (9, "q")}
 
 
+def test_keys_pass_once_dealt(spark, monkeypatch):
+    """Index entries are in no written table but the first, and that one has gone, with all shuffle files, before sets are read anew."""
+    rng, seen, real = random.Random(3), {}, ngram_join.stage
+    here = lambda path: os.path.exists(path.removeprefix("file:"))
+
+    def noted(df, label, lasting=0):
+        if label == "tokens":
+            seen["gone"] = not here(seen["sets"])
+        out = real(df, label, lasting)
+        seen[label] = os.path.dirname(out.inputFiles()[0])
+        if label in ("dealt", "shared"):
+            seen["entries"] = seen.get("entries", 0) + out.where(F.col("kind") == ngram_join._ENTRY).count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", noted)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(40)) for _ in range(80)) for _ in range(30)]
+    texts += [t + " end" for t in texts]
+    out = ngram_join.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+    assert seen["gone"] and seen["entries"] == 0
+
+
 def test_hot_text_is_dealt(spark, monkeypatch):
     """A text that every run holds, under null and repeated identifiers."""
     monkeypatch.setattr(exact_dedup, "heavy", lambda total: 3)
