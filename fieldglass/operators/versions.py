@@ -116,10 +116,19 @@ def with_previous(rows: DataFrame, previous: DataFrame, keys: list[str], value:
 
 
 def lineage(new: DataFrame, old: DataFrame, key: str, score: Column) -> DataFrame:
-    """Each new row's best old row of its key; ties go to the first old id."""
-    n, o = new.alias("n"), old.alias("o")
-    j = n.join(o, F.col(f"n.{key}") == F.col(f"o.{key}"), "left")
-    return j.groupBy(F.col("n.id").alias("new_id")).agg(F.max_by("o.id", F.struct(score.alias("s"), (-F.col("o.id")).alias("t"))).alias("old_id"), F.count("o.id").alias("candidates"))
+    """Each new row's best old row of its key; ties go to the first old id.
+
+    The score is worked out of the columns but ``id``, so rows that agree in
+    all of these are scored as one: pairs are made of the differing rows of a
+    key, whatever the number of rows.
+    """
+    own, other = ([c for c in df.columns if c != "id"] for df in (new, old))
+    kinds = new.select(*own).distinct().alias("n")
+    olds = old.groupBy(*other).agg(F.min("id").alias("id"), F.count("id").alias("m")).alias("o")
+    best = kinds.join(olds, F.col(f"n.{key}") == F.col(f"o.{key}")).groupBy(*[F.col(f"n.{c}").alias(c) for c in own]).agg(F.max(F.struct(score.alias("s"), (-F.col("o.id")).alias("t"), F.col("o.id").alias("id"))).alias("best"), F.sum("o.m").alias("m"))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own]
+    j = new.alias("r").join(best.alias("b"), on, "left")
+    return j.groupBy(F.col("r.id").alias("new_id")).agg(F.max_by("b.best.id", F.col("b.best")).alias("old_id"), F.coalesce(F.sum("b.m"), F.lit(0)).alias("candidates"))
 
 
 def relationship(m: dict[str, Column]) -> Column:

@@ -1,5 +1,6 @@
 """The later queries against their SQL, evidence of literal scenes, and observed contracts."""
 
+import hashlib
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import analysis, evidence, matching, observed
+from fieldglass.operators import analysis, evidence, matching, observed, versions
 from fieldglass.operators.contracts import ContractError
 from fieldglass.plans import datasets, more  # noqa: F401  (they register queries)
 from fieldglass.plans.queries import ORACLE, QUERIES
@@ -145,3 +146,24 @@ def test_difficulty_tables(spark):
     d = {(r.subject, r.metric): r for r in difficulty.split_measures(images, boxes).collect()}
     assert len(d) == 17 and (d["image", "annotations_per_positive_image"]["count"], d["image", "annotations_per_positive_image"]["mean"]) == (1, 2.0)
     assert d["box", "effective_short_side"].median == 32.0 and d["box", "normalized_area"].max == 0.01
+
+
+def test_lineage_scores_differing_rows_once(spark, tmp_path):
+    """Best old rows as from all pairs, null keys and ids included, from scores of the rows that differ alone."""
+    told = str(tmp_path / "scored")
+    new = [(i, None if i % 41 == 0 else i % 2, i % 3) for i in range(200)]
+    old = [(None if i % 37 == 0 else i, i % 4, i % 3) for i in range(1, 150)]
+
+    @F.udf("long")
+    def score(a, b):
+        with open(told, "a") as out:
+            out.write("x")
+        return -abs(a - b)
+
+    n, o = (spark.createDataFrame(r, "id long, k long, s long") for r in (new, old))
+    got = {r.new_id: (r.old_id, r.candidates) for r in versions.lineage(n, o, "k", score("n.s", "o.s")).collect()}
+    want = {}
+    for i, k, s in new:
+        mine = [(-abs(s - t), -j, j) for j, q, t in old if j is not None and k is not None and q == k]
+        want[i] = (max(mine)[2], len(mine)) if mine else (None, 0)
+    assert got == want and len(open(told).read()) < 200
