@@ -40,7 +40,8 @@ def quota(rows: DataFrame, category: str, quotas: dict[str, int], seed: int, id_
     rank = F.sha2(F.concat(F.lit(f'[{seed},"'), F.col(category), F.lit('",'), F.col(id_col).cast("string"), F.lit("]")), 256)
     r = rows.withColumn("category", F.col(category)).join(F.broadcast(q), "category").withColumn("rank", rank)
     r = r.withColumn("n", F.row_number().over(W.partitionBy("category").orderBy("rank", id_col)))
-    return r.where("n <= quota").select("category", F.col("n").alias("pick"), F.col(id_col).alias("id"), "rank")
+    # by a literal, so that each task keeps so many of a category before rows move
+    return r.where(F.col("n") <= max(quotas.values(), default=0)).where("n <= quota").select("category", F.col("n").alias("pick"), F.col(id_col).alias("id"), "rank")
 
 
 #: Fixed values of the case sampler: picks per category, and the order of picking.

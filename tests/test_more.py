@@ -8,7 +8,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import analysis, evidence, matching, observed, versions
+from fieldglass.operators import analysis, evidence, matching, observed, selection, versions
 from fieldglass.operators.contracts import ContractError
 from fieldglass.plans import datasets, more  # noqa: F401  (they register queries)
 from fieldglass.plans.queries import ORACLE, QUERIES
@@ -167,3 +167,14 @@ def test_lineage_scores_differing_rows_once(spark, tmp_path):
         mine = [(-abs(s - t), -j, j) for j, q, t in old if j is not None and k is not None and q == k]
         want[i] = (max(mine)[2], len(mine)) if mine else (None, 0)
     assert got == want and len(open(told).read()) < 200
+
+
+
+def test_quota_is_cut_before_rows_move(spark):
+    """Each task keeps a category's first rows, so no task gets a whole category."""
+    rows = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("c"))
+    out = selection.quota(rows, "c", {"a": 6, "b": 3}, 7, "id")
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    rank = lambda c, i: hashlib.sha256(f'[7,"{c}",{i}]'.encode()).hexdigest()
+    want = {(c, n + 1, i) for c, q in (("a", 6), ("b", 3)) for n, i in enumerate(sorted((i for i in range(4000) if (i % 5 == 0) == (c == "b")), key=lambda i: (rank(c, i), i))[:q])}
+    assert {(r.category, r.pick, r.id) for r in out.collect()} == want
