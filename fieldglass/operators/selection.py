@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators import stats
 from fieldglass.operators.ordering import ordinals
+from fieldglass.plans.scratch import stage
 
 
 def ranked(rows: DataFrame, reason: str, order: list[Column], most: int, id_cols: list[str]) -> DataFrame:
@@ -154,7 +155,8 @@ def review_annotations(rows: DataFrame, most: int = 10) -> DataFrame:
     rows: split, image_id, gt_id, class_id, occupancy, area, border, aspect; train and valid only.
     """
     key = ["split", "image_id", "gt_id"]
-    own = rows.where(F.col("split").isin("train", "valid"))
+    # eight parts read the rows; they are worked out once
+    own = stage(rows.where(F.col("split").isin("train", "valid")).select(*key, "class_id", "occupancy", "area", "border", "aspect"), "annotations")
     rankings = {
         "lowest_occupancy": F.asc("occupancy"),
         "highest_occupancy": F.desc("occupancy"),

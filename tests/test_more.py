@@ -178,3 +178,22 @@ def test_quota_is_cut_before_rows_move(spark):
     rank = lambda c, i: hashlib.sha256(f'[7,"{c}",{i}]'.encode()).hexdigest()
     want = {(c, n + 1, i) for c, q in (("a", 6), ("b", 3)) for n, i in enumerate(sorted((i for i in range(4000) if (i % 5 == 0) == (c == "b")), key=lambda i: (rank(c, i), i))[:q])}
     assert {(r.category, r.pick, r.id) for r in out.collect()} == want
+
+
+def _noted(told):
+    """A flag, always true, that leaves a mark for every row it is worked out for."""
+
+    @F.udf("boolean")
+    def note(_):
+        with open(told, "a") as out:
+            out.write("x")
+        return True
+
+    return note
+
+
+def test_annotations_are_worked_out_once(spark, tmp_path):
+    told = str(tmp_path / "rows")
+    i = F.col("id")
+    rows = spark.range(50).select(F.lit("train").alias("split"), i.alias("image_id"), F.lit(1).cast("long").alias("gt_id"), (i % 6).alias("class_id"), F.when(_noted(told)("id"), i / 50.0).alias("occupancy"), *[(i * k % 53 / 53.0).alias(c) for k, c in ((7, "area"), (11, "border"), (13, "aspect"))])
+    assert selection.review_annotations(rows).count() > 10 and len(open(told).read()) == 50
