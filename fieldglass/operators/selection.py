@@ -127,6 +127,7 @@ def select_cases(pools: DataFrame, seed: int, quotas: dict[str, int] | None = No
     one of them is unused, or all images are among them.
     """
     quotas = QUOTAS if quotas is None else quotas
+    pools = stage(pools, "pools")  # read three times
     most = sum(quotas.values()) + 1
     num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     key = F.concat(F.lit(f'[{seed},"'), F.col("category"), F.lit('",'), F.concat_ws(",", num("image_id"), num("gt_id"), num("pred_id")), F.lit("]"))

@@ -192,6 +192,13 @@ def _noted(told):
     return note
 
 
+def test_pools_are_worked_out_once(spark, tmp_path):
+    told = str(tmp_path / "pools")
+    pools = spark.range(60).select(F.lit("complete_miss").alias("category"), F.col("id").alias("image_id"), F.col("id").alias("gt_id"), F.lit(None).cast("long").alias("pred_id"), (F.col("id") % 6).alias("class_id"), (F.col("id") % 3).cast("int").alias("size_group"), (~_noted(told)("id")).alias("duplicate_like"))
+    cases, short = selection.select_cases(pools, 7)
+    assert len(cases) == 8 and short[0]["pool"] == 60 and len(open(told).read()) == 60
+
+
 def test_annotations_are_worked_out_once(spark, tmp_path):
     told = str(tmp_path / "rows")
     i = F.col("id")
