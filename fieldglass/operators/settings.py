@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.operators.contracts import ContractError
@@ -28,6 +28,18 @@ def differences(left: DataFrame, right: DataFrame, by: list[str] | None = None)
     return off.join(above, [*by, "parent"], "left_anti").select(*by, "path", *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("l", "left"), ("r", "right")) for c in ("type", "value")])
 
 
+def differing(left: Column, right: Column) -> Column:
+    """``differences`` of two documents of one row, as from ``sources.settings.flattened``: an array, so that no key moves."""
+    ends = lambda side, p: F.array_max(F.transform(F.filter(side, lambda x: x["path"] == p), lambda x: F.struct(x["type"], x["value"])))
+    parents = lambda p: F.array_max(F.transform(F.filter(F.concat(left, right), lambda x: x["path"] == p), lambda x: x["parent"]))
+    paths = F.array_distinct(F.transform(F.concat(F.array_except(left, right), F.array_except(right, left)), lambda x: x["path"]))
+    both = F.transform(paths, lambda p: F.struct(p.alias("path"), parents(p).alias("parent"), ends(left, p).alias("l"), ends(right, p).alias("r")))
+    off = F.filter(both, lambda x: ~x["l"].eqNullSafe(x["r"]))
+    # bound once, for a lambda that names an expression works it out for each element
+    own = F.get(F.transform(F.array(off), lambda o: F.filter(o, lambda x: ~F.exists(o, lambda y: F.coalesce(y["path"] == x["parent"], F.lit(False))))), F.lit(0))
+    return F.transform(own, lambda x: F.struct(x["path"].alias("path"), *[x[s][c].alias(f"{n}_{c}") for s, n in (("l", "left"), ("r", "right")) for c in ("type", "value")]))
+
+
 def scientific(rows: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """The keys of the scientific sections; a configuration without one of them is an error."""
     own = rows.where(F.substring_index("path", ".", 1).isin(list(sections)))

@@ -23,9 +23,8 @@ _KEY = r"""^(?:"([^"]*)"|'([^']*)'|([^\s"'\[{#-][^:]*?))\s*:(?:\s+(.*))?$"""
 _COMMENT = r"""(^|\s+)#[^"']*$"""
 
 
-def _kind(v: Column) -> Column:
-    """The type of a variant."""
-    told = F.schema_of_variant(v)
+def _kind(told: Column) -> Column:
+    """The type of a variant whose schema is told."""
     names = {"BIGINT": "int", "STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType"}
     out = F.when(told.startswith("OBJECT"), "dict").when(told.startswith("ARRAY"), "list").when(told.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
     for k, n in names.items():
@@ -41,18 +40,25 @@ def flattened(v: Column, path: Column, parent: Column) -> Column:
     """An array of (path, parent, type, value) for a variant and all keys in it, level by level within the row."""
 
     def below(front: Column) -> Column:
-        mappings = F.filter(front, lambda x: F.schema_of_variant(x["v"]).startswith("OBJECT"))
+        mappings = F.filter(front, lambda x: x["kind"] == "dict")
         name = lambda x, e: F.when(x["path"] == "", e["key"]).otherwise(F.concat_ws(".", x["path"], e["key"]))
         keys = lambda x: F.transform(F.map_entries(x["v"].cast("map<string,variant>")), lambda e: F.struct(name(x, e).alias("path"), x["path"].alias("parent"), e["value"].alias("v")))
         return F.flatten(F.transform(mappings, keys)).cast(_OPEN)
 
     def row(x: Column) -> Column:
-        kind = _kind(x["v"])
+        kind = x["kind"]
         text = F.when(kind == "float", x["v"].cast("double").cast("string")).when(kind == "str", x["v"].cast("string")).when(~kind.isin("dict", "NoneType"), F.to_json(x["v"]))
         return F.struct(x["path"].alias("path"), x["parent"].alias("parent"), kind.alias("type"), text.alias("value"))
 
     top = F.array(F.struct(path.alias("path"), parent.alias("parent"), v.alias("v"))).cast(_OPEN)
-    step = lambda s, _: F.struct(below(s["front"]).alias("front"), F.concat(s["out"], F.transform(s["front"], row)).cast(_ROW).alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        # a level's types are told once and bound, for a lambda that names an expression works it out at each use
+        told = F.transform(s["front"], lambda x: F.struct(x["path"].alias("path"), x["parent"].alias("parent"), x["v"].alias("v"), F.schema_of_variant(x["v"]).alias("told")))
+        known = F.transform(told, lambda x: F.struct(x["path"].alias("path"), x["parent"].alias("parent"), x["v"].alias("v"), _kind(x["told"]).alias("kind")))
+        level = lambda k: F.struct(below(k).alias("front"), F.concat(s["out"], F.transform(k, row)).cast(_ROW).alias("out"))
+        return F.when(F.size(s["front"]) == 0, s).otherwise(F.get(F.transform(F.array(known), level), F.lit(0)))
+
     deep = lambda s: F.raise_error(F.concat(F.get(s["front"], F.lit(0))["path"], F.lit(" is nested too deep"))).cast(_ROW)
     done = F.aggregate(F.sequence(F.lit(0), F.lit(DEPTH)), F.struct(top.alias("front"), F.expr(f"cast(array() as {_ROW})").alias("out")), step, lambda s: F.when(F.size(s["front"]) > 0, deep(s)).otherwise(s["out"]))
     return F.filter(done, lambda x: x["path"] != "")
@@ -61,7 +67,8 @@ def flattened(v: Column, path: Column, parent: Column) -> Column:
 def json(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, path, parent, type, value of JSON documents; one that does not parse is an error."""
     v = F.parse_json(F.col(text))
-    return rows.select(*ids, F.inline(flattened(v, F.lit(""), F.lit(None).cast("string"))))
+    # outer, for Spark adds a filter to a plain one that works the array out twice more
+    return rows.select(*ids, F.inline_outer(flattened(v, F.lit(""), F.lit(None).cast("string")))).where("path is not null")
 
 
 def _flow(raw: Column) -> Column:

@@ -165,3 +165,19 @@ def test_maps_and_orders(spark):
         one.select(G.class_map(F.array(F.lit(3)).cast("array<bigint>"), ["a", "b"])).collect()
     boxes = F.array(*[F.struct(F.lit(k).alias("box_id"), F.lit(v).alias("class_id")) for k, v in (("p/2", 1), ("p/1", 2), ("p/10", 3))])
     assert [tuple(b) for b in one.select(G.by_identifier(boxes).alias("b")).first().b] == [("p/1", 2), ("p/10", 3), ("p/2", 1)]
+
+
+def test_differing_within_the_row(spark):
+    """The same differences as between tables, also where a key with a dot meets a nested one; and no key of a document moves."""
+    docs = ['{"a":1,"b":{"c":2,"d":{"e":1}},"n":null}', '{"a":1.0,"b":3,"n":null}', '{"b":{"c":2},"b.c":5,"m":[1]}', '{"b":{"c":5},"b.c":2}', "{}"]
+    pairs = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in docs for y in docs)]
+    rows = spark.createDataFrame(pairs, "i int, x string, y string")
+    flat = lambda c: settings.flattened(F.parse_json(c), F.lit(""), F.lit(None).cast("string"))
+    got = rows.select("i", F.inline_outer(compare.differing(flat("x"), flat("y")))).where("path is not null")
+    want = compare.differences(settings.json(rows, ["i"], "x"), settings.json(rows, ["i"], "y"), ["i"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+    from fieldglass.plans import datasets
+
+    plan = datasets.config_diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
