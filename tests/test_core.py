@@ -326,3 +326,10 @@ def test_reached_from_boxes_and_pairs(spark, seed):
     key = lambda d: sorted((r.image_id, r.pred_id, r.class_id, r.conf, r.reach) for r in d.collect())
     a = key(precision.reached(p, g, 5, 25))
     assert a == key(precision.reached_by_pairs(matching.overlaps(p, g), p, 5, 25)) and 0 < sum(r[4] > 0 for r in a) <= len(gts) and len(a) == 125
+
+
+def test_a_filter_on_valid_lines_parses_them_once(spark):
+    """Spark pushes the filter below the parsed columns: it must not name the steps of the parsing many times over."""
+    rows = spark.createDataFrame([("f", "0 0.1 0.2 0.3 0.2 0.1 0.5\n1 0.5 0.5 0.2 0.2")], "file string, text string")
+    plan = labels.parse(labels.lines(rows), [0, 1]).where("valid").groupBy("file").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim(") <= 2
