@@ -327,3 +327,14 @@ def test_reproduction(spark):
     r = merkle.reproduction(a, b, (ann(0, 1, 1), ann(0, 1, 2))).first()
     assert Counter(r.asDict()) == Counter({"label_files_compared": 8, "image_files_compared": 16, "label_hash_mismatches": 2, "image_hash_mismatches": 1, "empty_label_mismatches": 1, "missing_or_extra_folders": 1, "first_annotations": 3, "second_annotations": 3, "class_counts_identical": False, "fingerprints_identical": False, "success": False})
     assert merkle.reproduction(a, a, (ann(0), ann(0))).first().success
+
+
+def test_convert_reads_the_tree_twice(spark, tree, tmp_path, monkeypatch):
+    """What is written reads the source for the images' bytes alone, and its paths are known without; the rest reads written tables."""
+    told = []
+    whole = file_tree.write
+    monkeypatch.setattr(file_tree, "write", lambda files, root, overwrite=False, paths=None: (told.append((files, paths)), whole(files, root, overwrite, paths))[1])
+    _, converted = file_tree.convert(spark, tree, str(tmp_path / "out"), list(range(6)), ("train", "valid"))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("annotated_images")
+    (files, paths), = told
+    assert (scans(files), scans(paths), scans(converted)) == (1, 0, 0)
