@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as G
 from fieldglass.operators import stats
 from fieldglass.operators.contracts import ContractError
+from fieldglass.plans.scratch import partitions
 from fieldglass.scene import CLASSES
 
 #: The combinations of class, confidence and overlap of a nearby candidate, in this order.
@@ -25,34 +26,49 @@ FLAGS = {
 FP_FLAGS = ("duplicate_like", "same_class", "other_class")
 
 
-def missed_targets(pairs: DataFrame, gts: DataFrame, matches: DataFrame, conf: int = 25, strong: float = 0.5, near: float = 0.1) -> DataFrame:
+def _holds(*combinations: str) -> Column:
+    """Whether a candidate of one of these combinations was found: a bit for each, so that who only counts gathers no identifiers."""
+    return F.col("found").bitwiseAND(F.lit(sum(1 << COMBINATIONS.index(c) for c in combinations))) > 0
+
+
+def missed_targets(pairs: DataFrame, gts: DataFrame, matches: DataFrame, conf: int = 25, strong: float = 0.5, near: float = 0.1, tasks: int | None = None) -> DataFrame:
     """A row for each unmatched target, from one aggregate over its candidates.
 
     image_id, gt_id, class_id, primary; for each combination the sorted
-    identifiers of its candidates; nearby (their number), best_iou over all
+    identifiers of its candidates; nearby (their number), found (a bit for each combination), best_iou over all
     candidates (0 without), best (the nearest one: pred_id, class_id, conf, iou; null
     without), competing (eligible predictions and the targets that they were
-    matched with), and the flags.
+    matched with), and the flags.  tasks: over how many the images are dealt.
     """
-    missed = gts.join(matches, ["image_id", "gt_id"], "left_anti").select("image_id", "gt_id", "class_id")
     close, high, same, hit = F.col("iou") >= near, F.col("conf") >= conf, F.col("pc") == F.col("gc"), F.col("iou") >= strong
-    name = F.concat(F.when(same, "correct").otherwise("wrong"), F.lit("_class_"), F.when(high, "high").otherwise("low"), F.lit("_confidence_"), F.when(hit, "sufficient").otherwise("poor"), F.lit("_overlap"))
-    own = pairs.join(missed.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_semi").withColumn("combination", F.when(close, name))
-    own = own.join(matches.select("image_id", "pred_id", F.col("gt_id").alias("assigned")), ["image_id", "pred_id"], "left")
-    eligible = F.col("combination") == FLAGS["matching_conflict"]
+    number = F.when(same, 0).otherwise(4) + F.when(high, 0).otherwise(2) + F.when(hit, 0).otherwise(1)  # in COMBINATIONS
+    # targets, matches and candidates move once, by image; a window tells candidates what took them, and one aggregate what each target has
+    kinds = {c: pairs.schema[c].dataType for c in ("pred_id", "pc", "conf", "iou")}
+    rows = gts.select("image_id", "gt_id", F.lit(0).alias("kind"), "class_id", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], F.lit(None).cast("int").alias("combination"))
+    nothing = F.lit(None).cast(gts.schema["class_id"].dataType).alias("class_id")
+    taken = matches.select("image_id", "gt_id", F.lit(1).alias("kind"), nothing, "pred_id", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("pc", "conf", "iou")], F.lit(None).cast("int").alias("combination"))
+    own = pairs.select("image_id", "gt_id", F.lit(2).alias("kind"), nothing, "pred_id", "pc", "conf", "iou", F.when(close, number).alias("combination"))
+    rows = rows.unionByName(taken).unionByName(own).repartition(tasks or partitions(gts.sparkSession), "image_id")
+    one_prediction = W.partitionBy("image_id", "pred_id")
+    rows = rows.withColumn("assigned", F.max(F.when(F.col("kind") == 1, F.col("gt_id"))).over(one_prediction))
+    eligible = F.col("combination") == COMBINATIONS.index(FLAGS["matching_conflict"])
     order = F.struct((-F.col("iou")).alias("i"), (-F.col("conf")).alias("c"), F.col("pred_id").alias("p"))
-    g = own.groupBy("image_id", "gt_id").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("combination") == c, F.col("pred_id")))).alias(c) for c in COMBINATIONS],
+    ids = F.array_sort(F.collect_list(F.when(F.col("combination").isNotNull(), F.struct("pred_id", "combination"))))
+    j = rows.groupBy("image_id", "gt_id").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("class_id"))).alias("class_id"),
+        F.count_if(F.col("kind") == 0).alias("targets"),
+        F.count_if(F.col("kind") == 1).alias("taken"),
+        ids.alias("close"),
         F.count("combination").alias("nearby"),
-        F.max("iou").alias("best_iou"),
-        F.min_by(F.struct("pred_id", F.col("pc").alias("class_id"), "conf", "iou"), F.when(close, order)).alias("best"),
+        F.coalesce(F.bit_or(F.expr("shiftleft(1, combination)")), F.lit(0)).alias("found"),
+        F.coalesce(F.max("iou"), F.lit(0.0)).alias("best_iou"),
+        F.min_by(F.struct("pred_id", F.col("pc").alias("class_id"), "conf", "iou"), F.when((F.col("kind") == 2) & close, order)).alias("best"),
         F.array_sort(F.collect_list(F.when(eligible, F.struct("pred_id", "assigned")))).alias("competing"),
     )
-    none = {c: F.coalesce(F.col(c), F.array().cast("array<bigint>")).alias(c) for c in COMBINATIONS}
-    j = missed.join(g, ["image_id", "gt_id"], "left")
-    kind = g.schema["competing"].dataType.simpleString()
-    j = j.select("image_id", "gt_id", "class_id", *none.values(), F.coalesce("nearby", F.lit(0)).alias("nearby"), F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"), "best", F.coalesce("competing", F.expr(f"cast(array() as {kind})")).alias("competing"))
-    has = {f: F.size(c) > 0 for f, c in FLAGS.items()} | {"retained_nearby_candidate": F.col("nearby") > 0, "jointly_imperfect_candidate": sum((F.size(c) for c in JOINTLY), F.lit(0)) > 0}
+    of = lambda i: F.transform(F.filter("close", lambda x: x["combination"] == i), lambda x: x["pred_id"])
+    by_kind = [of(i).alias(c) for i, c in enumerate(COMBINATIONS)]
+    j = j.where("targets > 0 and taken = 0").select("image_id", "gt_id", "class_id", *by_kind, "nearby", "found", "best_iou", "best", "competing")
+    has = {f: _holds(c) for f, c in FLAGS.items()} | {"retained_nearby_candidate": F.col("nearby") > 0, "jointly_imperfect_candidate": _holds(*JOINTLY)}
     j = j.select("*", *[c.alias(f) for f, c in has.items()])
     alone = [f for f in FLAGS if f != "matching_conflict"]
     several = sum((F.col(f).cast("int") for f in alone), F.lit(0)) > 1
@@ -72,7 +88,7 @@ def require_claimed(evidence: DataFrame) -> None:
 def combination_counts(evidence: DataFrame) -> DataFrame:
     """kind (flag or combination), name, n: how many missed targets have each."""
     flags = [*FLAGS, "retained_nearby_candidate", "jointly_imperfect_candidate"]
-    cells = [F.struct(F.lit("flag").alias("kind"), F.lit(f).alias("name"), F.col(f).alias("has")) for f in flags] + [F.struct(F.lit("combination").alias("kind"), F.lit(c).alias("name"), (F.size(c) > 0).alias("has")) for c in COMBINATIONS]
+    cells = [F.struct(F.lit("flag").alias("kind"), F.lit(f).alias("name"), F.col(f).alias("has")) for f in flags] + [F.struct(F.lit("combination").alias("kind"), F.lit(c).alias("name"), _holds(c).alias("has")) for c in COMBINATIONS]
     return evidence.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.kind", "x.name").agg(F.count_if("x.has").alias("n"))
 
 

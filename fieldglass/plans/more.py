@@ -374,7 +374,7 @@ _EVIDENCE = _TAX + f""", cd as (select fn.image_id, fn.gt_id, iou.pred_id, pc, i
 def _evidence(spark: SparkSession, d: str):
     p, g, v = _all(spark, d)
     m = matching.assign(v)
-    return p, g, v, m, evidence.missed_targets(v, g, m)
+    return p, g, v, m, evidence.missed_targets(v, g, m, tasks=S.tasks(spark, d))
 
 
 @query(
