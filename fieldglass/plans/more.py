@@ -407,7 +407,8 @@ def fn_evidence(spark: SparkSession, d: str) -> DataFrame:
 )
 def fn_combinations(spark: SparkSession, d: str) -> DataFrame:
     """How many missed targets have each flag and each combination of candidates."""
-    return evidence.combination_counts(_evidence(spark, d)[4])
+    with scratch.dealing(spark, S.tasks(spark, d)):
+        return scratch.stage(evidence.combination_counts(_evidence(spark, d)[4]), "combinations")
 
 
 @query(

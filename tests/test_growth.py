@@ -28,3 +28,8 @@ def test_missed_targets_move_once(found):
     v, g, m = found
     text = plan(evidence.missed_targets(v, g, m))
     assert text.count("Join ") == text.split("Union", 1)[1].count("Join ") and text.count("RepartitionByExpression [image_id") == 1
+
+
+def test_counts_of_combinations_gather_nothing(found):
+    v, g, m = found
+    assert plan(evidence.combination_counts(evidence.missed_targets(v, g, m.localCheckpoint()))).count("collect_list") == 0
