@@ -441,15 +441,18 @@ union all select 'taxonomy', g-tp, g-tp, true from n union all select 'fp_groups
 )
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Identities between the tables of an error analysis, each side's number told."""
-    p, g, v, m, e = _evidence(spark, d)
-    m = scratch.stage(m, "matches")
-    agnostic = scratch.stage(matching.assign(v, S.Point(aware=False)), "matches")
-    probes = analysis.fp_probes(p, g, m, v)
-    classes = analysis.class_table(m, p, g).select("class_id", "tp", "fp", "fn", "support")
-    sizes = analysis.size_table(_sized(spark, d), m)
-    share = matching.best_overlap(v, p, g).withColumn("conf", F.col("conf") / 100.0)
-    bins = analysis.confidence_table(share, [(0.0, 0.01), (0.01, 0.05), (0.05, 0.1), (0.1, 0.25), (0.25, 0.5), (0.5, 1.0)])
-    return evidence.reconciled(p, g, m, agnostic, evidence.missed_targets(v, g, m), probes, classes, sizes, bins, matching.confusion(agnostic, p, g))
+    n = S.tasks(spark, d)
+    with scratch.dealing(spark, n):
+        p, g, v = _all(spark, d)
+        m = scratch.stage(matching.assign(v), "matches")
+        agnostic = scratch.stage(matching.assign(v, S.Point(aware=False)), "matches")
+        probes = analysis.fp_probes(p, g, m, v)
+        classes = analysis.class_table(m, p, g).select("class_id", "tp", "fp", "fn", "support")
+        sizes = analysis.size_table(_sized(spark, d), m)
+        share = matching.best_overlap(v, p, g).withColumn("conf", F.col("conf") / 100.0)
+        bins = analysis.confidence_table(share, [(0.0, 0.01), (0.01, 0.05), (0.05, 0.1), (0.1, 0.25), (0.25, 0.5), (0.5, 1.0)])
+        missed = evidence.missed_targets(v, g, m, tasks=n)
+        return scratch.stage(evidence.reconciled(p, g, m, agnostic, missed, probes, classes, sizes, bins, matching.confusion(agnostic, p, g)), "identities")
 
 
 @query("with a as (select 'doc/'||doc_id p, sha256(coalesce(text,'')) h from documents), b as (select 'doc/'||doc_id p, sha256(coalesce(text,'')||case when doc_id%193=0 then 'x' else '' end) h from documents where doc_id%97<>5) select p path, a.h \"before\", b.h \"after\" from a left join b using (p) where a.h is distinct from b.h")

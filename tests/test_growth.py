@@ -24,6 +24,19 @@ def found(spark):
     return v, g, matching.assign(v)
 
 
+def test_reconciliation_is_dealt_by_size(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    assert S.tasks(spark, SF) == -(-rows // 100)
+    dealt = []
+    keep = scratch.stage
+    monkeypatch.setattr(scratch, "stage", lambda df, *a, **k: dealt.append((spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))) or keep(df, *a, **k))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(scratch, "TASK_ROWS", rows // 9)
+    assert all(r.holds for r in QUERIES["reconciliation"](spark, SF).collect())
+    assert dealt and set(dealt) == {(str(S.tasks(spark, SF)), "false")} and S.tasks(spark, SF) > 8 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_missed_targets_move_once(found):
     v, g, m = found
     text = plan(evidence.missed_targets(v, g, m))
