@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import geometry as G
 from fieldglass.operators import graph, stats
 from fieldglass.operators.ordering import ordinals
+from fieldglass.plans.scratch import stage
 from fieldglass.scene import TARGET_SIDE
 
 #: What is counted as small, as a share of the image and in pixels of the model's input.
@@ -18,7 +19,12 @@ SIDE_LIMITS = (8.0, 16.0, 32.0, 64.0)
 
 def box_measures(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """Boxes (image_id, x0, y0, x1, y1) with their image's split and twelve measures: shares of the image, pixels, and pixels of the model's input."""
-    j = boxes.join(images.select("image_id", "split", "width", "height"), "image_id")
+    return measured(boxes.join(images.select("image_id", "split", "width", "height"), "image_id"), "class_id" in boxes.columns)
+
+
+def measured(placed: DataFrame, with_class: bool = True) -> DataFrame:
+    """``box_measures`` of boxes that have their image's split, width and height."""
+    j = placed
     w, h = (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")
     scale = F.least(F.lit(float(TARGET_SIDE)) / F.col("width"), F.lit(float(TARGET_SIDE)) / F.col("height"))
     nw, nh = w / F.col("width"), h / F.col("height")
@@ -36,21 +42,27 @@ def box_measures(boxes: DataFrame, images: DataFrame) -> DataFrame:
         "effective_area": w * scale * (h * scale),
         "effective_short_side": F.least(w * scale, h * scale),
     }
-    return j.select("image_id", "split", *[c for c in boxes.columns if c == "class_id"], *[c.alias(n) for n, c in named.items()])
+    return j.select("image_id", "split", *(["class_id"] if with_class else []), *[c.alias(n) for n, c in named.items()])
 
 
 MEASURES = ("normalized_width", "normalized_height", "normalized_area", "normalized_shorter_side", "normalized_longer_side", "width_px", "height_px", "area_px", "effective_width", "effective_height", "effective_area", "effective_short_side")
 
 
-def split_measures(images: DataFrame, boxes: DataFrame, digits: int | None = 6) -> DataFrame:
-    """split, subject (image or box), metric and the long description: boxes of an annotated image, four measures of images, twelve of boxes."""
+def split_measures(images: DataFrame, boxes: DataFrame, digits: int | None = 6, placed: DataFrame | None = None) -> DataFrame:
+    """split, subject (image or box), metric and the long description: boxes of an annotated image, four measures of images, twelve of boxes.
+
+    placed: the boxes that have an image with its split, width and height, if
+    they are at hand.  Boxes and images meet once: what is measured is written.
+    """
+    if placed is None:
+        placed = stage(boxes.select("image_id", "x0", "y0", "x1", "y1").join(images.select("image_id", "split", "width", "height"), "image_id"), "placed")
     n = boxes.groupBy("image_id").agg(F.count("*").alias("n"))
-    i = images.join(n, "image_id", "left")
+    i = stage(images.join(n, "image_id", "left").select("split", "width", "height", "n"), "counted")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     of_images = {"annotations_per_positive_image": F.col("n"), "width_px": w, "height_px": h, "pixel_area": w * h, "aspect_ratio": w / h}
     of_boxes = {m: F.col(m) for m in MEASURES}
     a = stats.described(i, ["split"], of_images, True, digits).withColumn("subject", F.lit("image"))
-    b = stats.described(box_measures(boxes, images), ["split"], of_boxes, True, digits).withColumn("subject", F.lit("box"))
+    b = stats.described(measured(placed, False), ["split"], of_boxes, True, digits).withColumn("subject", F.lit("box"))
     return a.unionByName(b)
 
 

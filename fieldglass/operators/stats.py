@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,52 +20,73 @@ PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 _VALUES = "v"
 
 
+#: Ranges of values for each factor of e, in ``_bucket``.
+_FINE = 369
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as the value rises: about 256 for each doubling, one for 0, for infinity and for what is no number."""
+    far = F.lit(1 << 40)
+    place = lambda x: F.when(x == float("inf"), far).otherwise(F.floor(F.ln(x) * _FINE) + (1 << 20))
+    return F.when(F.isnan(v), far + 1).when(v > 0, place(v)).when(v < 0, -place(-v)).otherwise(F.lit(0)).cast("long")
+
+
 def selected(values: DataFrame, keys: list[str], fractions: list[float] | tuple[float, ...], moments: bool = False) -> DataFrame:
     """keys, n, q0, q1, ...: interpolated quantiles (fraction of n - 1) of the column ``v`` of every group; with moments least, most, mean, std.
 
-    Exact, without a buffer: the values are sorted by range into parts, ties
-    dealt by their rows' numbers, so a value that a third of the rows have
-    fills several parts; the parts' sizes (a row for each part and group) give
-    every value its place, and but for the two places around each quantile
-    all rows go.  Null values are none; a group without values gives no row.
+    Exact, without a buffer: values are counted by narrow ranges first, in
+    each task; the ranges that hold a wanted place are known then, and only
+    their values are counted one by one.  These counts (a row for each
+    differing value) are sorted by range into parts, so no task has all of a
+    group.  ``values`` is worked out twice; neither pass moves a row for
+    each value.  Null values are none; a group without values gives no row.
     """
-    tie, at = "placed_tie", "placed_at"
-    own = values.where(F.col(_VALUES).isNotNull()).select(*keys, F.col(_VALUES).cast("double").alias(_VALUES)).withColumn(tie, F.monotonically_increasing_id())
-    parts = partitions(values.sparkSession)
-    placed = stage(own.repartitionByRange(parts, *keys, _VALUES, tie).sortWithinPartitions(*keys, _VALUES).drop(tie).withColumn(at, F.monotonically_increasing_id()), "values")
-    pid, place = F.shiftright(F.col(at), 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(*keys, pid.alias("pid")).agg(F.count("*").alias("size"), F.min(place).alias("first_at"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select(*keys, "pid", (before - F.col("first_at")).alias("shift"), F.sum("size").over(W.partitionBy(*keys)).alias("n"))
-    on = F.col("p.pid") == F.col("o.pid")
-    for k in keys:
-        on = on & F.col(f"p.`{k}`").eqNullSafe(F.col(f"o.`{k}`"))
-    rank = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("shift")
-    ranked = placed.withColumn("pid", pid).alias("p").join(shifts.alias("o"), on).select("p.*", "o.n", rank.alias("rank"))
-    want = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
-    near = F.lit(False)
-    for h in want:
-        near = near | F.col("rank").between(F.floor(h), F.ceil(h))
-    picks = []
-    for i, h in enumerate(want):
-        picks += [F.max(F.when(F.col("rank") == F.floor(h), F.col(_VALUES))).alias(f"lo{i}"), F.max(F.when(F.col("rank") == F.ceil(h), F.col(_VALUES))).alias(f"hi{i}")]
-    found = ranked.where(near).groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    quantile = lambda i: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (want[i] - F.floor(want[i]))
-    out = found.select(*keys, "n", *[quantile(i).alias(f"q{i}") for i in range(len(want))])
+    v, bucket, at = F.col(_VALUES), "placed_bucket", "placed_at"
+    own = values.where(v.isNotNull()).select(*keys, v.cast("double").alias(_VALUES)).withColumn(bucket, _bucket(v.cast("double")))
+    more = [F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("sum"), F.stddev_pop(v).alias("std")] if moments else []
+    counts = stage(own.groupBy(*keys, bucket).agg(F.count("*").alias("size"), *more), "ranges")
+    group = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("size").over(group.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = counts.select(*keys, bucket, "size", before.alias("before"), F.sum("size").over(group).alias("n"))
+    places = [p for f in fractions for p in (F.floor((F.col("n") - 1) * F.lit(float(f))), F.ceil((F.col("n") - 1) * F.lit(float(f))))]
+    holds = lambda first, size: reduce(lambda a, b: a | b, [(p >= first) & (p < first + size) for p in places], F.lit(False))
+    # written, so that Spark knows its size: a small table, unless there are many groups
+    wanted = stage(sizes.where(holds(F.col("before"), F.col("size"))).select(*keys, bucket, "before", "n"), "ranges")
+    ids = [*keys, bucket]
+    close = alongside(own, wanted, ids, "inner").groupBy(*ids, "before", "n", _VALUES).agg(F.count("*").alias("size"))
+    placed = stage(close.repartitionByRange(partitions(values.sparkSession), *ids, _VALUES).sortWithinPartitions(*ids, _VALUES).withColumn(at, F.monotonically_increasing_id()), "values")
+    pid = F.shiftright(F.col(at), 33)
+    parts = placed.groupBy(*ids, pid.alias("pid")).agg(F.sum("size").alias("rows"))
+    earlier = F.coalesce(F.sum("rows").over(W.partitionBy(*ids).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*ids, "pid", earlier.alias("earlier"))
+    here = F.coalesce(F.sum("size").over(W.partitionBy(*ids, "pid").orderBy(_VALUES).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = alongside(placed.withColumn("pid", pid), parts, [*ids, "pid"], "inner").withColumn("first", F.col("before") + F.col("earlier") + here)
+    last = F.col("first") + F.col("size")
+    picks = [F.max(F.when((p >= F.col("first")) & (p < last), v)).alias(f"{'hi' if i % 2 else 'lo'}{i // 2}") for i, p in enumerate(places)]
+    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+    def quantile(i: int) -> Column:
+        h = (F.col("n") - 1) * F.lit(float(fractions[i]))
+        return F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h))
+
+    out = found.select(*keys, "n", *[quantile(i).alias(f"q{i}") for i in range(len(fractions))])
     if not moments:
         return out
-    v = F.col(_VALUES)
-    return alongside(out, placed.groupBy(*keys).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")), keys)
+    n, mean = F.sum("size").over(group), F.sum("sum").over(group) / F.sum("size").over(group)
+    off = F.col("sum") / F.col("size") - F.col("mean")
+    whole = counts.select(*keys, "size", "least", "most", "sum", "std", n.alias("n"), mean.alias("mean"))
+    square = F.sum(F.col("size") * (F.col("std") * F.col("std") + off * off))
+    return alongside(out, whole.groupBy(*keys).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("mean").alias("mean"), F.sqrt(square / F.max("n")).alias("std")), keys)
 
 
-def alongside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``left`` with the columns of ``right``'s row of the same keys, nulls equal; both have a row for each group."""
+def alongside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``'s row of the same keys, nulls equal; ``right`` has a row for each group."""
     if not keys:
         return left.join(right, F.lit(True), "left")  # a row each
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
-    return left.alias("l").join(right.alias("r"), on, "left").select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in keys])
+    return left.alias("l").join(right.alias("r"), on, how).select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in keys])
 
 
 def quantiles(rows: DataFrame, by: list[str], named: dict[str, tuple[Column, float]], digits: int = 6) -> DataFrame:

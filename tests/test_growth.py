@@ -37,6 +37,29 @@ def test_reconciliation_is_dealt_by_size(spark, monkeypatch):
     assert dealt and set(dealt) == {(str(S.tasks(spark, SF)), "false")} and S.tasks(spark, SF) > 8 and spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_only_counted_values_are_placed(spark, monkeypatch):
+    kept = {}
+    keep = stats.stage
+
+    def stage(df, label, *a):
+        kept[label] = kept.get(label, 0) + df.count()
+        return keep(df, label, *a)
+
+    monkeypatch.setattr(stats, "stage", stage)
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") % 50).otherwise(F.sqrt(F.col("id").cast("double"))).cast("double").alias("v"))
+    got = {r.k: r for r in stats.selected(df, ["k"], [0.25, 0.5], True).collect()}
+    assert got[0].q1 == 24.0 and got[0].n == n // 2 and got[1].q0 == pytest.approx(((n / 4 - 1) ** 0.5 + (n / 4 + 1) ** 0.5) / 2, rel=1e-4)
+    assert kept["values"] < n / 50
+
+
+def test_places_of_extreme_values(spark):
+    values = [float("-inf"), -1e300, -2.5, -1e-300, -0.0, 0.0, 5e-324, 1.0, 1.0, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    r = stats.selected(df, [], [i / 11 for i in range(12)]).collect()[0]
+    assert r.n == 12 and [r.q3, r.q4, r.q5, r.q7, r.q8] == pytest.approx([-1e-300, 0.0, 0.0, 1.0, 1.0]) and r.q11 != r.q11
+
+
 def test_missed_targets_move_once(found):
     v, g, m = found
     text = plan(evidence.missed_targets(v, g, m))
@@ -46,3 +69,9 @@ def test_missed_targets_move_once(found):
 def test_counts_of_combinations_gather_nothing(found):
     v, g, m = found
     assert plan(evidence.combination_counts(evidence.missed_targets(v, g, m.localCheckpoint()))).count("collect_list") == 0
+
+
+def test_split_measures_read_the_written_scene(spark, monkeypatch):
+    S.placed(spark, SF)
+    monkeypatch.setattr(S, "_rows", lambda *a: pytest.fail("numbered again"))
+    assert QUERIES["split_measures"](spark, SF).count() == 51
