@@ -224,7 +224,7 @@ _SIZED = ", sz as (select g.*, i.split, i.width, i.height, least(640.0::double/i
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    g = S.boxes(spark, d)[1].join(S.images(spark, d), "image_id")
+    g = S.placed(spark, d)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     scale = F.least(F.lit(640.0) / F.col("width"), F.lit(640.0) / F.col("height"))
     return g.withColumn("short_side", F.least(w, h) * scale).withColumn("box_w", w).withColumn("box_h", h)
