@@ -277,7 +277,7 @@ def key_size_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(S.SQL + ", a as (select image_id, class_id, (x1-x0)*(y1-y0)/(width*height::double) r from gt join scene_image using (image_id)), t as (select count(distinct image_id) shared_images, round(median(r),9) shared_median_area from a where class_id=3 and image_id in (select image_id from a where class_id=2)) select class_id, count(distinct image_id) images, round(median(r),9) median_area, shared_images, shared_median_area from a cross join t group by 1,4,5")
 def class_semantics(spark: SparkSession, d: str) -> DataFrame:
-    b = S.targets(spark, d).join(S.images(spark, d), "image_id")
+    b = S.placed(spark, d)
     return analysis.semantics(b.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("width") * F.col("height"))), 2, 3)
 
 
