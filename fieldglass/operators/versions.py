@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,24 @@ def two_stage(old: DataFrame, new: DataFrame, by: list[str], order: str = "name"
 
 def _points(coords: Column, tol: float) -> Column:
     """Sorted vertices of x, y, x, y, ... without a repeated closing one."""
-    points = F.transform(F.filter(F.sequence(F.lit(0), F.size(coords) - 1), lambda i: i % 2 == 0), lambda i: F.struct(F.get(coords, i).alias("x"), F.get(coords, i + 1).alias("y")))
-    first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
-    closed = (F.size(points) > 1) & (F.greatest(F.abs(first["x"] - last["x"]), F.abs(first["y"] - last["y"])) <= tol)
-    return F.array_sort(F.when(closed, F.slice(points, 1, F.greatest(F.lit(1), F.size(points) - 1))).otherwise(points))
+    listed = F.transform(F.filter(F.sequence(F.lit(0), F.size(coords) - 1), lambda i: i % 2 == 0), lambda i: F.struct(F.get(coords, i).alias("x"), F.get(coords, i + 1).alias("y")))
+
+    def opened(points: Column) -> Column:
+        first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
+        closed = (F.size(points) > 1) & (F.greatest(F.abs(first["x"] - last["x"]), F.abs(first["y"] - last["y"])) <= tol)
+        return F.array_sort(F.when(closed, F.slice(points, 1, F.greatest(F.lit(1), F.size(points) - 1))).otherwise(points))
+
+    return _bound(listed, opened)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def geometry_matches(a: Column, b: Column, tol: float = 0.001) -> Column:
     """Whether two sorted lists of vertices agree within the tolerance."""
-    near = F.forall(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.greatest(F.abs(z["a"]["x"] - z["b"]["x"]), F.abs(z["a"]["y"] - z["b"]["y"])) <= tol)
+    near = F.forall(F.zip_with(a, b, lambda x, y: F.greatest(F.abs(x["x"] - y["x"]), F.abs(x["y"] - y["y"])) <= tol), lambda ok: ok)
     return (F.size(a) == F.size(b)) & F.coalesce(near, F.lit(False))
 
 
@@ -54,18 +65,21 @@ def compare_labels(old: DataFrame, new: DataFrame, key: str, tol: float = 0.001)
     takes the first free new row of the same geometry.
     """
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        row = F.struct("line_number", F.col("class_name").alias("c"), _points(F.col("coords"), tol).alias("p"))
-        return rows.where(F.size("coords") % 2 == 0).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias(name))
+    def side(rows: DataFrame, new_: bool) -> DataFrame:
+        row = F.struct(F.col("line_number").cast("int").alias("line_number"), F.col("class_name").cast("string").alias("c"), F.transform(_points(F.col("coords"), tol), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("p"))
+        return rows.where(F.size("coords") % 2 == 0).select(key, F.lit(new_).alias("new_"), row.alias("row"))
 
-    j = side(old, "olds").join(side(new, "news"), key, "full_outer")
+    # both sides move at once; those without a key are not of one image
+    both = side(old, False).unionByName(side(new, True)).groupBy(key, F.when(F.col(key).isNull(), F.col("new_")).alias("side"))
+    j = both.agg(*[F.array_sort(F.collect_list(F.when(F.col("new_") if n == "news" else ~F.col("new_"), F.col("row")))).alias(n) for n in ("olds", "news")])
     kind = "array<struct<line_number:int,c:string,p:array<struct<x:double,y:double>>>>"
     j = j.select(key, *[F.coalesce(F.col(c).cast(kind), F.expr(f"cast(array() as {kind})")).alias(c) for c in ("olds", "news")])
 
     def take(s: Column, o: Column) -> Column:
         at = F.get(F.filter(s["free"], lambda i: geometry_matches(o["p"], F.get(F.col("news"), i)["p"], tol)), F.lit(0))
-        pair = F.struct(o["c"].alias("old_class"), F.get(F.col("news"), at)["c"].alias("new_class"))
-        return F.struct(F.when(at.isNull(), s["free"]).otherwise(F.array_except(s["free"], F.array(at))).alias("free"), F.when(at.isNull(), s["pairs"]).otherwise(F.concat(s["pairs"], F.array(pair))).alias("pairs"))
+        pair = lambda at: F.struct(o["c"].alias("old_class"), F.get(F.col("news"), at)["c"].alias("new_class"))
+        found = lambda at: F.struct(F.array_except(s["free"], F.array(at)).alias("free"), F.concat(s["pairs"], F.array(pair(at))).alias("pairs"))
+        return _bound(at, lambda at: F.when(at.isNull(), s).otherwise(found(at)))
 
     start = F.struct(F.when(F.size("news") > 0, F.sequence(F.lit(0), F.size("news") - 1)).otherwise(F.expr("cast(array() as array<int>)")).alias("free"), F.expr("cast(array() as array<struct<old_class:string,new_class:string>>)").alias("pairs"))
     done = j.select(key, F.size("olds").alias("old_count"), F.size("news").alias("new_count"), F.array_join(F.array_sort(F.array_distinct(F.transform("olds", lambda o: o["c"]))), " | ").alias("old_classes"), F.array_join(F.array_sort(F.array_distinct(F.transform("news", lambda o: o["c"]))), " | ").alias("new_classes"), F.aggregate("olds", start, take)["pairs"].alias("transitions"))

@@ -237,7 +237,7 @@ _V2_FOLD = S.SQL + _V2 + match_sql(-1e9, -1e9, False, "m", "pairs")
 
 
 def _label_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    g = S.targets(spark, d)
+    g = S.boxes(spark, d)[1]
     at = lambda c: F.col(c) / 1000.0
     shift = F.when(F.col("gt_id") % 5 == 0, 0.0005).when(F.col("gt_id") % 7 == 0, 0.02).otherwise(0.0)
     row = lambda df, cls, x0: df.select("image_id", F.col("gt_id").cast("int").alias("line_number"), cls.cast("string").alias("class_name"), F.array(x0, at("y0"), at("x1"), at("y1")).alias("coords"))

@@ -80,3 +80,11 @@ def test_split_measures_read_the_written_scene(spark, monkeypatch):
     S.placed(spark, SF)
     monkeypatch.setattr(S, "_rows", lambda *a: pytest.fail("numbered again"))
     assert QUERIES["split_measures"](spark, SF).count() == 51
+
+
+def test_label_sides_move_at_once(spark):
+    old = spark.createDataFrame([("a", 1, "0", [0.0, 0.0, 1.0, 1.0]), (None, 1, "0", [0.0, 0.0, 1.0, 1.0])], "image string, line_number int, class_name string, coords array<double>")
+    out = versions.compare_labels(old, old.withColumn("class_name", F.lit("1")), "image")
+    assert "Join" not in plan(out)
+    got = sorted((r.image or "", r.old_count, r.new_count, len(r.transitions)) for r in out.collect())
+    assert got == [("", 0, 1, 0), ("", 1, 0, 0), ("a", 1, 1, 1)]
