@@ -515,7 +515,7 @@ i as (select f, n, unnest(list_filter([case when k='x' then 'invalid_class_forma
 select code, count(*) n from i group by 1"""
 )
 def label_issues(spark: SparkSession, d: str) -> DataFrame:
-    r = S._rows(spark, d)
+    r = S.scene_rows(spark, d).repartition(S.tasks(spark, d), "image_id")
     p, s = F.col("pk"), F.col("sk")
     cls = F.when(p % 17 == 0, "x").when(p % 19 == 0, "9").otherwise((p % 6).cast("string"))
     num = lambda v: (v / 10.0).cast("string")

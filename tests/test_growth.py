@@ -71,6 +71,12 @@ def test_counts_of_combinations_gather_nothing(found):
     assert plan(evidence.combination_counts(evidence.missed_targets(v, g, m.localCheckpoint()))).count("collect_list") == 0
 
 
+def test_the_scene_is_not_worked_out_again(spark, monkeypatch, name):
+    S.placed(spark, SF)
+    monkeypatch.setattr(S, "_rows", lambda *a: pytest.fail("numbered again"))
+    assert "row_number() windowspecdefinition(l_orderkey" not in plan(QUERIES[name](spark, SF))
+
+
 def test_sizes_meet_no_images_again(spark):
     out = selection.review(_sized(spark, SF), {"smallest": [F.asc("short_side")]}, 10, ["image_id", "gt_id"])
     assert "Join" not in plan(out)
