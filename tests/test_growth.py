@@ -71,6 +71,7 @@ def test_counts_of_combinations_gather_nothing(found):
     assert plan(evidence.combination_counts(evidence.missed_targets(v, g, m.localCheckpoint()))).count("collect_list") == 0
 
 
+@pytest.mark.parametrize("name", ["review_candidates", "occupancy_grouping", "class_semantics", "label_issues"])
 def test_the_scene_is_not_worked_out_again(spark, monkeypatch, name):
     S.placed(spark, SF)
     monkeypatch.setattr(S, "_rows", lambda *a: pytest.fail("numbered again"))
